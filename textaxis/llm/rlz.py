@@ -106,7 +106,7 @@ def _windows(window: int, anchor: int):
 
 def _merged(spans) -> list[list[int]]:
     out: list[list[int]] = []
-    for a, b in sorted((x["start"], x["stop"]) for x in spans or ()):
+    for a, b in sorted((x["start"], x["stop"]) for x in (() if spans is None else spans)):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
