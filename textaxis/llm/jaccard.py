@@ -202,13 +202,25 @@ def _lists(t: tuple[int, int]):
     return run
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, for comparing sets of two texts."""
+    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(raw: pa.Buffer) -> np.ndarray:
+    short = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    full = np.zeros((len(short), 8), np.uint8)
+    full[:, 2:] = short
+    return full.view(U).ravel()
+
+
 def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, data, held = [], [], 0
             for _, s in shingle_sets(batch, words):
                 ids.append(_keys(s)[0])
-                data.append(s.tobytes())
+                data.append(_packed(s))
                 held += len(data[-1])
                 if held > 16 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], schema=_FULL)
@@ -226,7 +238,7 @@ def _compare(t: tuple[int, int]):
         for batch in batches:
             keep = np.zeros(len(batch), bool)
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
@@ -277,8 +289,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     texts = classes.join(members, F.col("k1") == F.col("id"), "left_semi").select(F.col("first").alias("doc_id"))
     sets = materialize(
         known.join(texts.distinct(), "doc_id", "left_semi").select("text")
-        .mapInArrow(_full_sets(words), "id long, hashes binary")
-        .groupBy("id").agg(F.first("hashes").alias("hashes")), "fullsets")
+        .mapInArrow(_full_sets(words), "id long, hashes binary"), "fullsets")
     stars = materialize(_linked(lists.where("star").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets, t), "links")
     part = materialize(connected_components(stars), "parts")
 
