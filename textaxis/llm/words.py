@@ -88,9 +88,8 @@ def split_words(buf: np.ndarray, offsets: np.ndarray, separators: np.ndarray) ->
     return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word; ``lower`` takes A-Z as a-z."""
-    table = _BYTE[LOWER] if lower else _BYTE
+def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word."""
     out = np.empty(len(starts), U)
     size = np.cumsum(ends - starts)
     lo = 0
@@ -100,7 +99,7 @@ def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: boo
         lens = ends[lo:hi] - starts[lo:hi]
         at = np.cumsum(lens) - lens
         place = np.arange(int(lens.sum())) - np.repeat(at, lens)
-        v = table[buf[place + np.repeat(starts[lo:hi], lens)]]
+        v = _BYTE[buf[place + np.repeat(starts[lo:hi], lens)]]
         v *= powers(_PLACE, int(lens.max()))[0][place]
         out[lo:hi] = np.add.reduceat(v, at) + lens.astype(U)
         lo = hi
@@ -138,11 +137,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def word_slices(batch: pa.RecordBatch, column: str, separators: np.ndarray = SPACES, lower: bool = False):
-    """For each slice of a batch: its rows, and each word's row in the slice and hash."""
+    """For each slice of a batch: its rows, and each word's row in the slice and hash; ``lower`` takes A-Z as a-z."""
     buf, offsets = text_buffer(batch.column(column))
     for lo, hi in slices(offsets):
         part, at = buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
-        if lower and separators is NOT_ALNUM:
+        if lower:
             part = LOWER[part]
         starts, ends, row = split_words(part, at, separators)
-        yield lo, hi, row, hash_words(part, starts, ends, lower)
+        yield lo, hi, row, hash_words(part, starts, ends)
