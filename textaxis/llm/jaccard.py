@@ -11,8 +11,9 @@ ones by count) into index lists. Two relations let most of the work be skipped:
   every other; members that its answer already links need no comparison with one another. Only members that stay
   outside the first one's component are then compared with the rest of their list, so no list yields all its pairs.
 
-Every comparison takes both whole sets. The only broadcast is the order's table of frequent hashes, at most
-``FREQUENT`` entries of 16 bytes; any such table gives the same links, as it only sets the order of tokens.
+Every comparison takes both whole sets. Broadcast are only the order's table of frequent hashes, at most ``FREQUENT``
+entries of 16 bytes (any such table gives the same links, as it only sets the order of tokens), and a Bloom filter of
+the documents whose whole sets are needed, at most 8 MB.
 """
 
 from __future__ import annotations
@@ -214,9 +215,43 @@ def _unpacked(raw: pa.Buffer) -> np.ndarray:
     return full.view(U).ravel()
 
 
-def _full_sets(words: int):
+def _bloom_slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Two places of each id among ``bits`` bits."""
+    return np.concatenate([mix(ids.view(U) ^ _SALT1) % U(bits), mix(ids.view(U) ^ _SALT2) % U(bits)]).astype(np.int64)
+
+
+def _bloom_words(bits: int):
+    """Places as numbers of 32-bit words and their bits, for a bitwise aggregate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bloom_slots(batch.column("doc_id").to_numpy(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.left_shift(1, at & 31))], names=["slot", "bit"])
+
+    return run
+
+
+def bloom_filter(ids: DataFrame, most: int = 1 << 26):
+    """A broadcast Bloom filter of ``ids`` (doc_id): at most ``most`` bits, whatever the number of ids.
+
+    It is put together by a bitwise aggregate, so at most ``most / 32`` rows reach the driver. Beyond its size it
+    lets more ids through than were put in, never fewer.
+    """
+    spark = ids.sparkSession
+    bits = min(most, 1 << max(10, (16 * ids.count()).bit_length()))
+    rows = ids.mapInArrow(_bloom_words(bits), "slot long, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bit")).toPandas()
+    table = np.zeros(bits >> 5, np.int64)
+    table[rows["slot"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64)
+    return spark.sparkContext.broadcast((bits, table.astype(np.uint32)))
+
+
+def _full_sets(words: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, table = wanted.value
         for batch in batches:
+            at = _bloom_slots(batch.column("doc_id").to_numpy(), bits)
+            hit = (table[at >> 5] >> (at & 31).astype(np.uint32)) & 1
+            batch = batch.filter(pa.array(hit.reshape(2, -1).all(axis=0)))
             ids, data, held = [], [], 0
             for _, s in shingle_sets(batch, words):
                 ids.append(_keys(s)[0])
@@ -287,13 +322,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
 
     members = lists.select("id").distinct()
     texts = classes.join(members, F.col("k1") == F.col("id"), "left_semi").select(F.col("first").alias("doc_id"))
-    sets = materialize(
-        known.join(texts.distinct(), "doc_id", "left_semi").select("text")
-        .mapInArrow(_full_sets(words), "id long, hashes binary"), "fullsets")
-    stars = materialize(_linked(lists.where("star").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets, t), "links")
+    sets = materialize(known.mapInArrow(_full_sets(words, bloom_filter(texts)), "id long, hashes binary"), "fullsets")
+    # Of all first members that a set meets, the one it meets most often answers first.
+    met = materialize(lists.where("star").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n")), "met")
+    best = met.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    stars = materialize(_linked(best, sets, t), "links")
     part = materialize(connected_components(stars), "parts")
 
-    # Members that are outside the component of their list's first one meet the rest of that list.
+    # What these answers leave open: sets that meet a first member of another component, and members that are outside
+    # the component of their list's first one, which meet the rest of that list.
     own = lists.join(part, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     hub = part.select(F.col("id").alias("hub"), F.col("component").alias("hub_part"))
     own = own.join(hub, "hub", "left").withColumn("hub_part", F.coalesce("hub_part", "hub"))
@@ -306,7 +343,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
         .where(f"n - pos >= {need} and r_n - r_pos >= {need} and least(n, r_n) >= {need}")
         .select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct()
     )
-    links = stars.unionByName(_linked(cross, sets, t))
+    named = lambda c: part.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part"))
+    other = met.join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(a_part, a) <> coalesce(b_part, b)")
+    other = other.join(best, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = stars.unionByName(_linked(cross.unionByName(other).distinct(), sets, t))
     whole = connected_components(links)
 
     named = classes.join(whole, F.col("k1") == F.col("id"), "left").withColumn("c", F.coalesce("component", "k1"))
