@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from textaxis.plans import corpus_queries, eval_queries, policy_queries, text_queries, vector_queries
+
+_MODULES = (text_queries, vector_queries, corpus_queries, eval_queries, policy_queries)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _m in _MODULES:
+    QUERIES |= _m.registry.queries
+    ORACLES |= _m.registry.oracles
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the vector operators are in: items by label."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").agg(F.count("*").alias("n"))
+    """Retained items, mean confidence margin and top-five margin by quadrant."""
+    return QUERIES["entry_quadrants"](spark, sf_dir)
