@@ -10,7 +10,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textaxis.llm import decontam, jaccard, licenses, lm, packing, rlz, rules, sharding, tokens, warc
+from textaxis.llm import decontam, jaccard, licenses, lm, oracles, packing, rlz, rules, sharding, tokens, warc
 
 
 def vocabulary(name: str) -> str:
@@ -73,4 +73,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_label_propagation, op2_rule_ledger, op3_attention_scores, op4_aligned_leaks, op5_relative_lz, op6_diagonal_voting,
     op7_rank_merging, op8_set_relation_join, op9_mixture_packing, op10_revisit_resolution, pipeline)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_rule_ledger": oracles.OP2, "op5_relative_lz": oracles.OP5, "op8_set_relation_join": oracles.OP8, "op10_revisit_resolution": oracles.OP10}
