@@ -33,7 +33,7 @@ def rows_of(columns, rows):
     return sorted([tuple(plain(r[i]) for i in order) for r in rows], key=str)
 
 
-KINDS = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+KINDS = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
 
 
 def differences(df, con, sql: str) -> list[str]:

@@ -46,7 +46,7 @@ def cell_diagnostics(rows: DataFrame, base: str, a: str, b: str, c: str) -> Data
 
 def pivot_with_totals(rows: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     """Counts pivoted over ``values``, zero filled, with a total column and a 'total' row."""
-    wide = rows.where(F.col(column).isin(*values)).groupBy(row).pivot(column, values).agg(F.count("*")).na.fill(0, values)
+    wide = rows.where(F.col(column).isin(*values)).groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0, values)
     total = F.lit(0)
     for v in values:
         total = total + F.col(f"`{v}`")

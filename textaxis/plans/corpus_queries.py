@@ -117,8 +117,6 @@ def _(t):
 @query("w7_w8_keep_first", """
     select 'p_' || lpad((row_number() over (order by doc_id) - 1)::varchar, 6, '0') as id, doc_id from (select doc_id, row_number() over (partition by text order by doc_id) as r from documents) where r = 1""")
 def _(t):
-    from textaxis.operators.ranking import keyed_offsets  # noqa: F401
-
     from pyspark.sql import Window
 
     first = O.keep_first(t("documents").select("doc_id", F.md5("text").alias("k")), ["k"], ["doc_id"])
@@ -235,7 +233,8 @@ def _pool(t):
 @query("q1_q13_checks", f"""
     with {_POOL}, tr as (select * from pool where is_train), va as (select * from pool where not is_train), c as (select quadrant, source, topic, count(*) as x from tr group by all),
     sh as (select count(*) / sum(count(*)) over (partition by quadrant) as x from tr group by quadrant, source), th as (select quadrant, topic, count(*) as n, count(*) / sum(count(*)) over (partition by quadrant) as p from tr group by quadrant, topic),
-    kl as (select sum(a.p * ln((a.p + 1e-9) / (b.p + 1e-9))) as kl from th a join th b using (topic) where a.quadrant < b.quadrant group by a.quadrant, b.quadrant), m as (select avg(n_tokens) as l, avg(margin) as g from tr group by quadrant),
+    gr as (select g.quadrant, g.topic, coalesce(th.p, 0) as p from (select * from (select distinct quadrant from tr), (select distinct topic from tr)) g left join th on th.quadrant = g.quadrant and th.topic = g.topic),
+    kl as (select sum(a.p * ln((a.p + 1e-9) / (b.p + 1e-9))) as kl from gr a join gr b using (topic) where a.quadrant < b.quadrant group by a.quadrant, b.quadrant), m as (select avg(n_tokens) as l, avg(margin) as g from tr group by quadrant),
     r as (select 'MAX_CELL_SIZE' as check_name, max(x)::double as value, 250.0 as bound from c union all select 'SOURCE_CAP', max(x), 0.7 from sh union all select 'TOPIC_CAP', max(p), 0.5 from th union all select 'TOPIC_KL', max(kl), 8.0 from kl
       union all select 'LENGTH_RATIO', max(l) / min(l), 3.0 from m union all select 'CONF_MARGIN_RATIO', max(g) / min(g), 2.5 from m union all select 'NO_DOC_LEAKAGE:val_indist', (select count(distinct document_id) from va where document_id in (select document_id from tr)), 0.0)
     select check_name, round(value, 6) as value, bound::double as bound, value <= bound as passed from r
@@ -260,4 +259,4 @@ def _(t):
     d = t("documents").select("source", F.md5("text").alias("k"))
     by = d.groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("source") == "src0").alias("a"))
     # All four set operations are one grouping of keys.
-    return by.agg(F.count_if("a > 0 and n > a").alias("shared"), F.count_if("a > 0 and n = a").alias("own"), F.count("*").alias("texts"), F.count_if("n > 1").alias("repeated"))
+    return by.agg(F.count_if(F.expr("a > 0 and n > a")).alias("shared"), F.count_if(F.expr("a > 0 and n = a")).alias("own"), F.count("*").alias("texts"), F.count_if(F.expr("n > 1")).alias("repeated"))

@@ -96,7 +96,7 @@ def _(t):
 
     w = Window.partitionBy("p").orderBy("conv_id", "turn")
     c = t("conversations").select("conv_id", "turn", F.md5(F.substring("text", 1, 80)).alias("p"))
-    return c.withColumn("r", F.row_number().over(w)).agg(F.count_if("r > 1").alias("n_prefix"))
+    return c.withColumn("r", F.row_number().over(w)).agg(F.count_if(F.expr("r > 1")).alias("n_prefix"))
 
 
 @query("j19_j22_resume", """

@@ -243,8 +243,8 @@ def _(t):
 
 @query("t5_split_half", f"""
     with {SCORED}, h as (select *, row_number() over (partition by label order by md5('3:' || vec_id::varchar), vec_id) as r, count(*) over (partition by label) as n from scored),
-    m as (select label, avg(se) filter (where r <= n // 2) as a, avg(se) filter (where r > n // 2) as b from h where n > 1 group by label)
-    select count(*) as n, round(corr(a, b), 6) as half, round(2 * corr(a, b) / (1 + corr(a, b)), 6) as reliability from m""")
+    hm as (select label, avg(se) filter (where r <= n // 2) as a, avg(se) filter (where r > n // 2) as b from h where n > 1 group by label)
+    select count(*) as n, round(corr(a, b), 6) as half, round(2 * corr(a, b) / (1 + corr(a, b)), 6) as reliability from hm""")
 def _(t):
     got = S.split_half(scored(t), "label", "vec_id", "score_econ", 3)
     return got.select("n", F.round("half", 6).alias("half"), F.round("reliability", 6).alias("reliability"))
@@ -283,9 +283,9 @@ def _(t):
 
 
 @query("t15_bootstrap", f"""
-    with {SCORED}, g as (select label, avg(se) as x from scored group by label), p as (select row_number() over (order by label) - 1 as place, x from g), n as (select count(*) as n from g),
-    d as (select rep, ('0x' || substr(md5('9:' || rep::varchar || ':' || place::varchar), 1, 12))::bigint % n as place from p, n, range(200) t(rep)),
-    m as (select rep, avg(x) as m from d join p using (place) group by rep) select round(avg(m), 6) as mean, round(stddev_samp(m), 6) as se from m""")
+    with {SCORED}, g as (select label, avg(se) as x from scored group by label), p as (select row_number() over (order by label) - 1 as place, x from g), gn as (select count(*) as n from g),
+    d as (select rep, ('0x' || substr(md5('9:' || rep::varchar || ':' || place::varchar), 1, 12))::bigint % n as place from p, gn, range(200) t(rep)),
+    bm as (select rep, avg(x) as m from d join p using (place) group by rep) select round(avg(m), 6) as mean, round(stddev_samp(m), 6) as se from bm""")
 def _(t):
     by = scored(t).groupBy("label").agg(F.avg("score_econ").alias("x"))
     got = S.bootstrap_se(by, "x", "label", 200, 9)
