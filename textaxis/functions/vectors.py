@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: The fixed order of quadrants.
 QUADRANTS = ("left_lib", "left_auth", "right_lib", "right_auth")
@@ -106,7 +107,7 @@ def valid(v: Column, width: int) -> Column:
     return v.isNotNull() & (F.size(v) == width) & ~F.coalesce(bad, F.lit(False))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def dot_wide(a, b):
     """Inner product in numpy batches, for wide vectors."""
     import numpy as np
