@@ -53,7 +53,7 @@ def test_rules_measure_and_policies(spark):
 def test_rules_ablation_counts_bits(spark):
     led = spark.createDataFrame([(1,), (3,), (2,), (0,), (4,), (5,)], "failed long")
     got = {r["rule"]: (r["failed"], r["failed_alone"], r["rejected_without"]) for r in rules.ablation(led, "v1").collect()}
-    assert got == {"few_words": (3, 1, 4), "repeated_phrases": (2, 1, 4), "symbols": (2, 1, 4)}
+    assert got == {"few_words": (3, 1, 4), "repeated_phrases": (2, 1, 4), "symbols": (2, 1, 4), "shouting": (0, 0, 5)}
 
 
 def test_token_counts_equal_the_library(spark):

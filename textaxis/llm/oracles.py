@@ -6,13 +6,13 @@ _WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
 OP2 = rf"""
     with w as (select doc_id, coalesce(text, '') as text, {_WORDS.format(x="coalesce(text, '')")} as w from documents),
     m as (select doc_id, w, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
-      list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines from w),
+      list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines, len(regexp_extract_all(text, '[A-Z]')) as n_upper from w),
     t as (select doc_id, i, count(*) over (partition by doc_id, g) as c from (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w))),
     r as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from t where c > 1) group by doc_id),
-    a as (select m.doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, len(lines) as n_lines from m left join r on m.doc_id = r.doc_id),
+    a as (select m.doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, len(lines) as n_lines, n_upper from m left join r on m.doc_id = r.doc_id),
     f as (select *, ((n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words)::int + 4 * (100 * n_symbols > 40 * n_words)::int + 8 * (n_dup_lines >= 3 and 100 * n_dup_lines > 50 * n_lines)::int
-      + 16 * (word_chars > 25 * n_words)::int + 32 * (word_chars < 2 * n_words)::int)::bigint as failed from a)
-    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed & 7 = 0 as kept, failed from f"""
+      + 16 * (word_chars > 25 * n_words)::int + 32 * (word_chars < 2 * n_words)::int + 64 * (100 * n_upper > 50 * word_chars)::int)::bigint as failed from a)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed & 71 = 0 as kept, failed from f"""
 
 OP5 = rf"""
     with w as (select doc_id, {_WORDS.format(x="coalesce(text, '')")} as w from documents),

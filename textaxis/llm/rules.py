@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SYMBOLS = "#*$%&|<>"
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
+_CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 
 #: The rules, in bit order: never reorder, only append, so that stored ledgers stay readable. Each is true on failure.
 #: All ratios are in whole numbers, so that every engine decides alike.
@@ -27,19 +28,20 @@ RULES: dict[str, str] = {
     "repeated_lines": "n_dup_lines >= 3 and 100 * n_dup_lines > 50 * n_lines",
     "long_words": "word_chars > 25 * n_words",
     "short_words": "word_chars < 2 * n_words",
+    "shouting": "100 * n_upper > 50 * word_chars",
 }
 #: Versioned policies: name -> rules.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_phrases"),
-    "v1": ("few_words", "repeated_phrases", "symbols"),
+    "v1": ("few_words", "repeated_phrases", "symbols", "shouting"),
     "v2": tuple(RULES),
 }
 
 
-def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (lines with a word) of one text."""
+def measure(text: str | None) -> tuple[int, ...]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (with a word), n_upper (A-Z) of a text."""
     if not text:
-        return (0,) * 6
+        return (0,) * len(_COUNTS)
     raw = text.encode()
     words = raw.split()  # of bytes: white space is exactly 0x20 and 0x09 to 0x0D
     chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
@@ -53,14 +55,15 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
             if often[t] > 1:
                 repeat += i + 3 - max(at, i)
                 at = i + 3
-    return len(words), chars, symbols, len(lines) - len(set(lines)), repeat, len(lines)
+    upper = len(raw) - len(raw.translate(None, _CAPITALS))
+    return len(words), chars, symbols, len(lines) - len(set(lines)), repeat, len(lines), upper
 
 
 def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = list(zip(*map(measure, batch.column("text").to_pylist()), strict=True)) or [[]] * 6
+        got = list(zip(*map(measure, batch.column("text").to_pylist()), strict=True)) or [[]] * len(_COUNTS)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in got)],
-                                         names=["doc_id", *_COUNTS, "n_lines"])
+                                         names=["doc_id", *_COUNTS])
 
 
 def mask_of(rules: tuple[str, ...]) -> int:
@@ -73,7 +76,7 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     A null or empty text has zero everywhere and fails ``few_words``. One scan, no shuffle.
     """
-    shape = "doc_id long, " + ", ".join(f"{c} long" for c in (*_COUNTS, "n_lines"))
+    shape = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())]
     failed = bits[0]
@@ -117,11 +120,11 @@ def filter_quality(docs: DataFrame, policy: str = "v1") -> DataFrame:
     The verdict is a column of the same scan, so rows need no key; a row without text goes.
     """
 
-    @F.pandas_udf("struct<n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long>")
+    @F.pandas_udf("struct<" + ", ".join(f"{c} long" for c in _COUNTS) + ">")
     def counts(text):
         import pandas as pd
 
-        return pd.DataFrame([measure(t) for t in text], columns=[*_COUNTS, "n_lines"])
+        return pd.DataFrame([measure(t) for t in text], columns=list(_COUNTS))
 
     m = docs.withColumn("__m", counts(F.col("text").cast("string")))
     ok = F.lit(True)
