@@ -62,7 +62,8 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_piped(spark: SparkSession, path: str, names: list[str], encoding: str = "ISO-8859-1") -> DataFrame:
     """Bar-separated lines with a header; only the first ``len(names) - 1`` bars separate, shorter lines are left out."""
-    lines = spark.read.option("encoding", encoding).text(path)
+    # The text source reads UTF-8 only; one CSV column without quotes and with a separator no text holds reads any.
+    lines = spark.read.schema("value string").option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(path)
     parts = F.split("value", r"\|", len(names))
     rows = lines.select(parts.alias("p")).where((F.size("p") == len(names)) & (F.col("p")[0] != names[0]))
     return rows.select(*[F.col("p")[i].alias(n) for i, n in enumerate(names)])

@@ -12,12 +12,14 @@ COLUMNS = ("document_id", "text", "source_name", "source_family", "language", "t
 
 
 def to_documents(rows: DataFrame, dataset: str, row: Column, text: Column, source: Column | None = None, family: str | None = None, language: Column | None = None,
-                 title: Column | None = None, date: Column | None = None, author: Column | None = None, metadata: dict[str, Column] | None = None) -> DataFrame:
-    """Rows of one source in the document schema; the id is the data set, the text's short hash and the row number."""
+                 title: Column | None = None, date: Column | None = None, author: Column | None = None, metadata: dict[str, Column] | None = None,
+                 hashed: Column | None = None) -> DataFrame:
+    """Rows of one source in the document schema; the id is the data set, the short hash of the text (or of ``hashed``)
+    and the row number."""
     none = F.lit(None).cast("string")
     open_fields = F.to_json(F.struct(*[c.alias(k) for k, c in metadata.items()])) if metadata else none
     return rows.select(
-        X.synthetic_id(dataset, text, row).alias("document_id"), X.normalize_whitespace(text).alias("text"), (F.lit(dataset) if source is None else X.coerce_text(source)).alias("source_name"),
+        X.synthetic_id(dataset, text if hashed is None else hashed, row).alias("document_id"), X.normalize_whitespace(text).alias("text"), (F.lit(dataset) if source is None else X.coerce_text(source)).alias("source_name"),
         F.lit(family or dataset).alias("source_family"), (F.lit("en") if language is None else F.coalesce(language, F.lit("und"))).alias("language"), (none if title is None else X.coerce_text(title)).alias("title"),
         (none if date is None else X.iso_date(date)).alias("date"), (none if author is None else X.coerce_text(author)).alias("speaker_or_author"), F.lit(dataset).alias("raw_dataset"),
         open_fields.alias("metadata"), X.word_count(text).alias("n_words"))
@@ -40,9 +42,8 @@ def normalize_pages(rows: DataFrame) -> DataFrame:
     body = F.regexp_replace("html", "<[^>]*>", " ")
     host = F.regexp_extract("url", "//([^/]*)", 1)
     language = F.nullif(F.regexp_extract("url", r"example\.[a-z]+/([a-z][a-z])/", 1), F.lit(""))
-    got = to_documents(rows, "pages", F.col("page_id"), F.col("html"), host, language=language, title=F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), metadata={"url": F.col("url")})
-    plain = rows.select(X.synthetic_id("pages", F.col("html"), F.col("page_id")).alias("document_id"), X.normalize_whitespace(body).alias("__t"), X.word_count(body).alias("__n"))
-    return got.join(plain, "document_id").withColumn("text", F.col("__t")).withColumn("n_words", F.col("__n")).drop("__t", "__n").select(*COLUMNS)
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    return to_documents(rows, "pages", F.col("page_id"), body, host, language=language, title=title, metadata={"url": F.col("url")}, hashed=F.col("html"))
 
 
 def normalize_conversations(rows: DataFrame) -> DataFrame:
