@@ -25,10 +25,23 @@ from textaxis.session import materialize
 BLOCKS, QUEUES, BLOCK_WINDOWS = 4096, 256, 256
 CACHE = 600_000
 #: A text is cut before white space that follows something else, where the pattern of the vocabulary always cuts, too.
+_BLANKS = " \n\t\r"
 _CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
+class _Numbers(dict):
+    """Numbers chunks as they come up and keeps the new ones: one lookup per chunk."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class ByteEncoder:
     """A byte-level BPE from a ``tokenizers`` file, with a bounded cache of the chunks between white space."""
 
@@ -38,31 +51,57 @@ class ByteEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.known, self.coded = _Numbers(), []
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # a character of a token stands for a byte
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
+    def _coded(self, chunks: list[str]) -> list[bytes]:
+        """The ids of new chunks. Those that begin with white space and end without are put end to end, as the pattern
+        cuts between them, too; the ids are told apart by their bytes."""
+        out: list[bytes | None] = [None] * len(chunks)
+        alone = [i for i, c in enumerate(chunks) if c[0] not in _BLANKS or c[-1] in _BLANKS]
+        for i, ids in zip(alone, self._ids([chunks[i] for i in alone]), strict=True):
+            out[i] = ids
+        rest = [i for i, c in enumerate(chunks) if c[0] in _BLANKS and c[-1] not in _BLANKS]
+        rows = [rest[i:i + 512] for i in range(0, len(rest), 512)]
+        found = self.tokenizer.encode_batch_fast(["".join([chunks[i] for i in r]) for r in rows], add_special_tokens=False)
+        for row, e in zip(rows, found, strict=True):
+            ids = np.array(e.ids, self.kind)
+            done = np.cumsum(self.bytes_of[ids])
+            ends = np.cumsum([len(chunks[i].encode()) for i in row])
+            cut = np.searchsorted(done, ends) + 1
+            if (done[cut - 1] != ends).any():
+                raise ValueError("an id spans two chunks: this vocabulary can't be read by chunks")
+            raw, at = ids.tobytes(), 0
+            for i, b in zip(row, (cut * self.kind.itemsize).tolist(), strict=True):
+                out[i] = raw[at:b]
+                at = b
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes; equal to the library's over the whole text."""
-        out: list[bytes | None] = [None] * len(texts)
-        chunks, whole = {}, []
+        if len(self.known) > CACHE:
+            self.known, self.coded = _Numbers(), []
+        number = self.known.__getitem__
+        held, whole = [], []
         for i, text in enumerate(texts):
             text = text or ""
             if any(s in text for s in self.special) or _ODD_SPACE.search(text):
                 whole.append(i)
             else:
-                chunks[i] = _CHUNK.findall(text)
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = list({c for parts in chunks.values() for c in parts if c not in known})
-        if new:
-            known.update(zip(new, self._ids(new), strict=True))
-        get = known.__getitem__
-        for i, parts in chunks.items():
-            out[i] = b"".join(map(get, parts))
+                held.append((i, list(map(number, _CHUNK.findall(text)))))
+        new, self.known.new = self.known.new, []
+        self.coded += self._coded(new)
+        out: list[bytes | None] = [None] * len(texts)
+        coded = self.coded.__getitem__
+        for i, numbers in held:
+            out[i] = b"".join(map(coded, numbers))
         if whole:
             for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
                 out[i] = ids
@@ -218,7 +257,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 1024, shares: dict[str,
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     coded = docs.mapInArrow(_encode(vocabulary), "doc_id long, source string, n long, ids binary")
-    coded = materialize(coded.withColumn("rid", F.monotonically_increasing_id()), "ids")
+    coded = materialize(coded.withColumn("rid", F.monotonically_increasing_id()), "ids", "zstd")
     kind = _encoder(vocabulary).kind.str
     sizes = coded.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES - 1).collect()
     total = coded.agg(F.sum("n"), F.count("*")).first()
