@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textaxis.llm.frequent import most_frequent
 from textaxis.llm.words import Ranges, mix, word_slices
 from textaxis.operators.graph import connected_components
 from textaxis.session import materialize
@@ -306,7 +307,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
         rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2")
         .agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
     )
-    often = found.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k1").limit(FREQUENT).toPandas()
+    often = most_frequent(found.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")), "k1", "n", FREQUENT)
+    often = often.sort_values(["n", "k1"], ascending=[False, True])
     hot = often["k1"].to_numpy(np.int64).view(U)
     o = np.argsort(hot)
     rank = np.empty(len(hot), np.int64)
