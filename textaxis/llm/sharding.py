@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation.
 
 Documents with equal texts are neighbours. Labels (shards) start even; in each round every linked document asks for
-the shard where most of its neighbours are, unless its own shard is already full of them, and moves are granted under
-quotas: what leaves a shard for another comes back as documents that want the opposite way, or else as documents
+the shard where most of its neighbours are, among those that still have something to give in exchange, unless its own
+shard is already full of them. Moves are granted under quotas: what leaves a shard for another comes back as documents that want the opposite way, or else as documents
 without neighbours, so sizes never change. Neighbourhoods are counts by (group, shard), never pairs, and movers are
 taken by rank within (from, to) by salted running counts, so a group with a third of all rows is dealt like any other.
 Only the shards-by-shards matrix of demands reaches the driver.
@@ -58,12 +58,15 @@ def shard_by_propagation(docs: DataFrame, shards: int = 16, rounds: int = 8) ->
     start = start.withColumn("shard", (F.col("at") % shards).cast("int")).drop("at")
     state = materialize(start.join(linked.withColumn("linked", F.lit(True)), "grp", "left").select("rid", "shard", F.when(F.col("linked"), F.col("grp")).alias("grp")), "labels")
     full = rows // shards
+    closed: set[int] = set()
 
     for _ in range(rounds if rows else 0):
         near = state.where("grp is not null").groupBy("grp", "shard").agg(F.count("*").alias("c"))
-        goal = near.where(F.col("c") < full).groupBy("grp").agg(F.max(F.struct("c", (-F.col("shard")).alias("s"))).alias("g"))
-        goal = goal.select("grp", (-F.col("g.s")).alias("goal"), F.col("g.c").alias("there"))
-        ask = near.join(goal, "grp").where(f"shard <> goal and c < {full} and c <= there").select("grp", "shard", "goal")
+        able = (F.col("c") < full) & ~F.col("shard").isin(*closed) if closed else F.col("c") < full
+        goal = near.groupBy("grp").agg(F.max(F.when(able, F.struct("c", (-F.col("shard")).alias("s")))).alias("g"), F.sum("c").alias("n"))
+        goal = goal.where("g is not null").select("grp", (-F.col("g.s")).alias("goal"), F.col("g.c").alias("there"), "n")
+        # A small group goes where there is room, even if more of it is elsewhere.
+        ask = near.join(goal, "grp").where(f"shard <> goal and c < {full} and (c <= there or n <= {full // 8})").select("grp", "shard", "goal")
         state_ask = materialize(state.join(ask, ["grp", "shard"], "left").select("rid", "grp", "shard", "goal"), "asks")
         counts = state_ask.groupBy("shard", "goal", F.col("grp").isNull().alias("free")).agg(F.count("*").alias("n")).collect()
         demand, spare = np.zeros((shards, shards), np.int64), np.zeros(shards, np.int64)
@@ -73,6 +76,7 @@ def shard_by_propagation(docs: DataFrame, shards: int = 16, rounds: int = 8) ->
             elif r["free"]:
                 spare[r["shard"]] += r["n"]
         grant, back = _quotas(demand, spare)
+        closed |= set(np.flatnonzero((demand - grant).sum(axis=0)).tolist())  # shards with nothing left to give
         if not grant.any():
             break
         movers = state_ask.where("goal is not null")
