@@ -132,10 +132,28 @@ def heavy(place: int, share: float) -> Column:
     return F.array(*[F.lit(share if i == place else (1 - share) / (K - 1)) for i in range(K)])
 
 
-def opposite_heavy(scores: Column, share: float = 0.7) -> Column:
-    """``share`` on the corner across the largest score."""
-    top = F.array_position(scores, F.array_max(scores)).cast("int")
-    return F.element_at(F.array(*[heavy(OPPOSITE[i], share) for i in range(K)]), top)
+def _raised(up: dict[int, float]) -> Column:
+    """A quarter each, raised where asked, normalized."""
+    raw = [0.25 + up.get(j, 0.0) for j in range(K)]
+    return F.array(*[F.lit(x / sum(raw)) for x in raw])
+
+
+def _sides(i: int) -> list[int]:
+    return [j for j in range(K) if j not in (i, OPPOSITE[i])]
+
+
+def _top(scores: Column) -> Column:
+    return F.array_position(scores, F.array_max(scores)).cast("int")
+
+
+def opposite_heavy(scores: Column) -> Column:
+    """Raised by 2 across the largest score and by 1 on both sides of it."""
+    return F.element_at(F.array(*[_raised({OPPOSITE[i]: 2.0} | dict.fromkeys(_sides(i), 1.0)) for i in range(K)]), _top(scores))
+
+
+def adjacent_variants(scores: Column) -> list[Column]:
+    """For each side of the largest score: raised by 2 there and by a half on the other side."""
+    return [F.element_at(F.array(*[_raised({_sides(i)[k]: 2.0, _sides(i)[1 - k]: 0.5}) for i in range(K)]), _top(scores)) for k in (0, 1)]
 
 
 def adjacent_heavy(scores: Column, share: float = 0.4) -> Column:
@@ -160,10 +178,7 @@ def valid_policy(p: Column, tolerance: float = 1e-6) -> Column:
 
 def candidate_fan(prior: Column, scores: Column, least: float = 0.01) -> Column:
     """The structured candidates of a prompt: prior, uniform, sharpened, softened, opposite, two adjacent; floored."""
-    top = F.array_position(scores, F.array_max(scores)).cast("int")
-    next_one = F.element_at(F.array(*[heavy([j for j in range(K) if j not in (i, OPPOSITE[i])][0], 0.7) for i in range(K)]), top)
-    next_two = F.element_at(F.array(*[heavy([j for j in range(K) if j not in (i, OPPOSITE[i])][1], 0.7) for i in range(K)]), top)
-    fan = [prior, uniform(), sharpen(prior, 0.5), sharpen(prior, 2.0), opposite_heavy(scores), next_one, next_two]
+    fan = [prior, uniform(), sharpen(prior, 0.5), sharpen(prior, 2.0), opposite_heavy(scores), *adjacent_variants(scores)]
     return F.array(*[floored(p, least) for p in fan])
 
 

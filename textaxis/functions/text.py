@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 
 # White space, null sentinels and phrase lists.
 SPACE_CLASS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-NULL_SENTINELS = ("nan", "none", "nat", "null", "")
+NULL_SENTINELS = ("nan", "none", "nat", "")
 REFUSAL_PHRASES = (
-    "i can't", "i cannot", "i'm unable", "i am unable", "as an ai", "i won't", "i will not", "i'm sorry", "i am sorry", "cannot comply",
+    "i can't help", "i cannot help", "i'm unable to", "i am unable to", "i cannot provide", "i can't provide", "i won't", "i will not", "not appropriate", "cannot assist",
+)
+REFUSAL_OPENERS = ("i can't", "i cannot", "i'm unable", "i am unable", "i won't", "i will not", "as an ai", "as a language model", "i'm sorry", "i am sorry")
+VAGUE_PHRASES = (
+    "it depends", "on the one hand", "on the other hand", "there are many perspectives", "complex issue", "cannot be answered simply", "both sides", "balanced approach", "nuanced",
 )
-VAGUE_PHRASES = ("it depends", "some people", "various factors", "in some ways", "it is complex", "many perspectives", "both sides")
 BOILERPLATE_PATTERNS = (
-    r"all rights reserved", r"click here", r"subscribe", r"sign up", r"read more", r"follow us", r"copyright", r"terms of (use|service)",
-    r"privacy policy", r"advertisement", r"https?://", r"share this",
+    r"\bAPA style\b", r"\breference page\b", r"\byour paper\b", r"\bassignment guidelines\b", r"\bwrite a short argument\b", r"\bcomplete the survey\b",
+    r"\bsubmit your ideas\b", r"\bwe want to hear from you\b", r"\bdownload the submission form\b", r"\brelated policy papers\b", r"\bnewsletter\b", r"\bsubscribe\b",
+)
+ORDINAL_KEYWORDS = (
+    "agree", "important", "likely", "often", "good", "safe", "worry", "confident", "approve", "support", "positive", "favorable", "concern", "problem", "difficult", "easy",
+    "better", "worse", "much", "lot", "satisfied", "priority", "responsibility", "favor", "oppose", "should", "would",
 )
+# Examples; the real list comes with the speeches and is a parameter.
 PROCEDURAL_PHRASES = ("point of order", "i yield", "the question is", "order, order", "madam speaker", "mr. speaker")
 
 _EDGE = f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$"
@@ -168,13 +176,20 @@ def phrase_hits(x: Column, phrases: tuple[str, ...]) -> Column:
     return hits
 
 
+def opens_with_refusal(x: Column) -> Column:
+    """Whether the stripped, lower-cased text begins with a refusal."""
+    low = F.regexp_replace(F.lower(strip(F.coalesce(x, F.lit("")))), "’", "'")
+    hit = F.lit(False)
+    for p in REFUSAL_OPENERS:
+        hit = hit | low.startswith(p)
+    return hit
+
+
 def quality_score(x: Column) -> Column:
     """Mean of five checks: filled; 20 to 220 words; two sentence ends; no refusal opener; a word over 7 letters."""
     w = words(x)
-    checks = [
-        F.size(w) > 0, F.size(w).between(20, 220), F.regexp_count(F.coalesce(x, F.lit("")), F.lit(r"[.?!]")) >= 2,
-        ~contains_any(F.substring(x, 1, 80), REFUSAL_PHRASES), F.exists(w, lambda v: F.length(v) > 7),
-    ]
+    ends = F.regexp_count(F.coalesce(x, F.lit("")), F.lit(r"[.?!]"))
+    checks = [F.size(w) > 0, F.size(w).between(20, 220), ends >= 2, ~opens_with_refusal(x), F.exists(w, lambda v: F.length(v) > 7)]
     total = F.lit(0)
     for c in checks:
         total = total + c.cast("int")
@@ -202,10 +217,10 @@ def verdict(x: Column, criteria: tuple[str, ...] = ("neutrality", "coherence", "
     return F.when(ok, got)
 
 
-def is_ordinal(question: Column, options: Column, keywords: tuple[str, ...], refused: str = "refused") -> Column:
-    """Two to six options that don't mention refusal, and any keyword in the question or an option."""
+def is_ordinal(question: Column, options: Column, keywords: tuple[str, ...] = ORDINAL_KEYWORDS, refused: str = "refused") -> Column:
+    """Two to six options that don't mention refusal, and any keyword in the question or any option."""
     kept = F.filter(options, lambda o: ~F.lower(o).contains(refused))
-    text = F.lower(F.concat_ws(" ", question, F.array_join(kept, " ")))
+    text = F.lower(F.concat_ws(" ", question, F.array_join(options, " ")))
     any_key = F.lit(False)
     for k in keywords:
         any_key = any_key | text.contains(k)

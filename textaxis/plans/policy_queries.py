@@ -90,10 +90,10 @@ def _(t):
 
 
 @query("d10_opposite", f"""
-    with {SCORES} select event_id, case 5 - list_position(q, list_max(q)) when 1 then 0.7 else 0.1 end::double as p0, case 5 - list_position(q, list_max(q)) when 2 then 0.7 else 0.1 end::double as p1,
-      case 5 - list_position(q, list_max(q)) when 3 then 0.7 else 0.1 end::double as p2, case 5 - list_position(q, list_max(q)) when 4 then 0.7 else 0.1 end::double as p3 from q""")
+    with {SCORES}, t as (select event_id, list_position(q, list_max(q)) as t from q)
+    select event_id, {', '.join(f"(case t when {i + 1} then 0.05 when {4 - i} then 0.45 else 0.25 end)::double as p{i}" for i in range(4))} from t""")
 def _(t):
-    return scores(t).select("event_id", *parts(P.opposite_heavy(F.col("q"), 0.7)))
+    return scores(t).select("event_id", *parts(P.opposite_heavy(F.col("q"))))
 
 
 @query("d11_fan")

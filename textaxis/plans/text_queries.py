@@ -27,6 +27,12 @@ def hits_sql(x: str, phrases) -> str:
     return "(" + " + ".join(f"contains({low}, '{p}')::int" for p in quoted) + ")"
 
 
+def opener_sql(x: str) -> str:
+    low = f"regexp_replace(lower({strip_sql(x)}), '’', '''', 'g')"
+    quoted = [p.replace("'", "''") for p in X.REFUSAL_OPENERS]
+    return "(" + " or ".join(f"starts_with({low}, '{p}')" for p in quoted) + ")"
+
+
 @query("p2_normalize_whitespace", f"""
     select doc_id, md5({strip_sql("regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")}) as h from documents""")
 def _(t):
@@ -45,7 +51,7 @@ def _(t):
 
 
 @query("p5_coerce_text", f"""
-    select event_id, case when lower({strip_sql('x')}) in ('nan','none','nat','null','') then null else {strip_sql('x')} end as v
+    select event_id, case when lower({strip_sql('x')}) in ('nan','none','nat','') then null else {strip_sql('x')} end as v
     from (select event_id, case event_id % 5 when 0 then ' NaN ' when 1 then 'None' when 2 then event_type || ' ' when 3 then '' else event_type end as x from events)""")
 def _(t):
     k = F.col("event_id") % 5
@@ -170,7 +176,7 @@ def _(t):
 
 @query("x6_x8_heuristics", f"""
     select doc_id, ((len({words_sql('text')}) > 0)::int + (len({words_sql('text')}) between 20 and 220)::int + (len(regexp_extract_all(text, '[.?!]')) >= 2)::int
-      + ({hits_sql('substr(text, 1, 80)', X.REFUSAL_PHRASES)} = 0)::int + (len(list_filter({words_sql('text')}, lambda v: length(v) > 7)) > 0)::int) / 5 as quality,
+      + (not {opener_sql('text')})::int + (len(list_filter({words_sql('text')}, lambda v: length(v) > 7)) > 0)::int) / 5 as quality,
       {hits_sql('text', X.REFUSAL_PHRASES)} > 0 as refusal, round(least(1.0, {hits_sql('text', X.VAGUE_PHRASES)} * 0.2 + case when len({words_sql('text')}) < 30 then 0.3 else 0.0 end)::double, 6) as vague from documents""")
 def _(t):
     c = F.col("text")
