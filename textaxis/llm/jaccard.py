@@ -31,9 +31,9 @@ from textaxis.operators.graph import connected_components
 from textaxis.session import materialize
 
 U = np.uint64
-FREQUENT = 1 << 16
+FREQUENT = 1 << 19
 #: Shingles that a task counts at a time when it looks for frequent ones, and the least count it reports.
-COUNT_ROWS, LOCAL_COUNT = 4_000_000, 3
+COUNT_ROWS, LOCAL_COUNT = 4_000_000, 2
 #: Tokens that one bucket of the index should hold.
 BUCKET_TOKENS = 1 << 19
 _SALT1, _SALT2 = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
