@@ -23,7 +23,7 @@ from textaxis.operators.ranking import keyed_offsets
 from textaxis.session import materialize
 
 BLOCKS, QUEUES, BLOCK_WINDOWS = 4096, 256, 256
-CACHE = 600_000
+CACHE = 800_000
 #: A text is cut before white space that follows something else, where the pattern of the vocabulary always cuts, too.
 _BLANKS = " \n\t\r"
 _CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
@@ -41,6 +41,12 @@ class _Numbers(dict):
         self.new.append(chunk)
         return n
 
+    def forget(self, kept: int) -> None:
+        """Keep the first chunks only."""
+        first = [c for c, n in self.items() if n < kept]
+        self.clear()
+        self.update(zip(first, range(kept), strict=True))
+
 
 class ByteEncoder:
     """A byte-level BPE from a ``tokenizers`` file, with a bounded cache of the chunks between white space."""
@@ -86,8 +92,9 @@ class ByteEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes; equal to the library's over the whole text."""
-        if len(self.known) > CACHE:
-            self.known, self.coded = _Numbers(), []
+        if len(self.known) > CACHE:  # what came up first is mostly what comes up often
+            self.known.forget(CACHE // 2)
+            del self.coded[CACHE // 2:]
         number = self.known.__getitem__
         held, whole = [], []
         for i, text in enumerate(texts):
@@ -229,18 +236,24 @@ def _fill(bounds: np.ndarray, share: np.ndarray, sizes: np.ndarray, per: int, le
 
 
 def _checked(kind: str):
+    """Pieces with the checksums of their ids; only the checksums are taken one by one."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for doc, n, ids, pieces in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids"), batch.column("pieces").to_pylist(), strict=True):
-                wide = np.frombuffer(ids.as_buffer(), kind).astype("<u4")
-                for p in pieces:
-                    crc = zlib.crc32(wide[p["start"]:p["start"] + p["length"]])
-                    for c, v in zip(out, (doc, p["start"], p["length"], crc, n, p["sequence_id"], p["offset"]), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
+            pieces = batch.column("pieces")
+            flat = pieces.flatten()
+            start, length = flat.field("start").to_pylist(), flat.field("length").to_pylist()
+            many = pieces.value_lengths().to_numpy()
+            sums, at = [], 0
+            for ids, k in zip(batch.column("ids"), many.tolist(), strict=True):
+                wide = memoryview(np.frombuffer(ids.as_buffer(), kind).astype("<u4").view(np.uint8))
+                sums += [zlib.crc32(wide[4 * a:4 * (a + n)]) for a, n in zip(start[at:at + k], length[at:at + k], strict=True)]
+                at += k
+            row = pa.array(np.repeat(np.arange(len(many)), many))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").take(row), flat.field("start"), flat.field("length"), pa.array(sums, pa.int64()), batch.column("n").take(row),
+                flat.field("sequence_id"), flat.field("offset")], names=names)
 
     return run
 
