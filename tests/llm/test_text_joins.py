@@ -133,6 +133,17 @@ def test_substrings_equal_brute_force(spark, window, anchor):
             assert text[i] == t
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_passages_twice_in_the_later_document(spark, seed):
+    rng = np.random.default_rng(seed)
+    a, b, p, x, y = ([f"{c}{seed}_{rng.integers(10**6)}" for _ in range(60)] for c in "abpxy")
+    first, later = " ".join(a + p + b), " ".join(x + p + y + x + p + y)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rlz.dedup_substrings(table(spark, [first, later])).collect()}
+    assert got == plain_cut([first, later], [0, 1], 50) and got[1][1] == 120
+    rows = table(spark, [first, " ".join(x + p + y), " ".join(a[:9] + x + p + y)], [0, 1, 1])  # one doc_id, two texts
+    assert sorted(r["n_removed"] for r in rlz.dedup_substrings(rows).collect()) == [0, 60, 60]
+
+
 def test_substrings_odd_tables(spark):
     assert rlz.dedup_substrings(table(spark, [])).count() == 0
     long = " ".join(f"w{i}" for i in range(60))

@@ -5,8 +5,9 @@ the word run of ``anchor`` words with the least hash, and the windows with one a
 ``2 * window - anchor`` words). The smallest document with a block is that block's reference. A document is factored
 greedily: a block that an earlier document's index entry equals is copied whole, so neighbouring copied blocks chain to
 one long factor without looking at any word of it again. Only at factor boundaries, blocks whose anchor is shared
-while the block is not, the single windows are compared, and only for one document per distinct block. As equal
-windows have equal anchors at equal places, this finds exactly the windows that also start in an earlier document.
+while the block is not, the single windows are compared, and only for one document per distinct block, at every place
+where that document holds it. As equal windows have equal anchors at equal places, this finds exactly the windows that
+also start in an earlier document.
 
 All matching is aggregation by hash (128 bits together), partial before each shuffle: a passage in a third of all
 documents is one reference with many copies, never a list of pairs.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textaxis.llm.words import Ranges, sliding_min, word_slices
+from textaxis.llm.words import Ranges, mix, sliding_min, word_slices
 from textaxis.session import materialize
 
 U = np.uint64
@@ -52,6 +53,13 @@ def _chosen(grams: np.ndarray, row: np.ndarray, window: int, anchor: int) -> tup
     return np.concatenate(starts), np.concatenate(picks)
 
 
+def _hashed(h: np.ndarray, row: np.ndarray, s: np.ndarray, pick: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first window of each block, as a place in ``s``, and the block's hash."""
+    at = np.flatnonzero(np.r_[True, (pick[1:] != pick[:-1]) | (row[s[1:]] != row[s[:-1]])])
+    a, b = s[at], s[np.r_[at[1:], len(s)] - 1] + window
+    return at, Ranges(h, 1).of(a, b) + (pick[at] - a).astype(U)
+
+
 def _blocks(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,11 +71,9 @@ def _blocks(window: int, anchor: int):
                 s, pick = _chosen(grams, row, window, anchor)
                 if not len(s):
                     continue
-                new = np.r_[True, (pick[1:] != pick[:-1]) | (row[s[1:]] != row[s[:-1]])]
-                at = np.flatnonzero(new)
+                at, block = _hashed(h, row, s, pick, window)
                 a, p = s[at], pick[at]
                 b = s[np.r_[at[1:], len(s)] - 1] + window
-                block = Ranges(h, 1).of(a, b) + (p - a).astype(U)
                 r = row[a]
                 first = np.searchsorted(row, r, "left")
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
@@ -78,7 +84,7 @@ def _blocks(window: int, anchor: int):
 
 
 def _windows(window: int, anchor: int):
-    """The windows of the asked blocks; ``asked`` has the first words of each block."""
+    """The windows of the asked blocks, at each of their places; ``asked`` has the hashes of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,10 +97,10 @@ def _windows(window: int, anchor: int):
                 if not len(s):
                     continue
                 first = np.searchsorted(row, np.arange(hi - lo), "left")
-                wanted = np.concatenate([np.asarray(asked[lo + i].as_py(), np.int64) + first[i] for i in range(hi - lo)])
-                new = np.r_[True, (pick[1:] != pick[:-1]) | (row[s[1:]] != row[s[:-1]])]
-                begun = s[new][np.cumsum(new) - 1]
-                take = np.isin(begun, wanted)
+                salt = mix(np.arange(hi - lo, dtype=U))
+                wanted = np.concatenate([np.asarray(asked[lo + i].as_py(), np.int64).view(U) ^ salt[i] for i in range(hi - lo)])
+                begin, block = _hashed(h, row, s, pick, window)
+                take = np.repeat(np.isin(block ^ salt[row[s[begin]]], wanted), np.diff(np.r_[begin, len(s)]))
                 s, pick = s[take], pick[take]
                 wins = Ranges(h, 2).rolling(window)[s] + (pick - s).astype(U)
                 r = row[s]
@@ -124,17 +130,17 @@ def duplicate_spans(docs: DataFrame, window: int = 50, anchor: int = 16) -> Data
     blocks = materialize(docs.select("doc_id", "tag", "text").mapInArrow(_blocks(window, anchor), shape), "blocks")
     index = materialize(
         blocks.groupBy("anchor", "block")
-        .agg(F.min(F.struct("doc_id", "tag", "start")).alias("ref"), F.max("doc_id").alias("last")), "index")
-    copied = index.where("last > ref.doc_id").select("anchor", "block", F.col("ref.doc_id").alias("r"))
+        .agg(F.min("doc_id").alias("r"), F.max("doc_id").alias("last")), "index")
+    copied = index.where("last > r").select("anchor", "block", "r")
     whole = blocks.join(copied, ["anchor", "block"]).where("doc_id > r").select("doc_id", "tag", "start", "stop")
 
     shared = index.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     asked = (
-        index.join(shared, "anchor", "left_semi").select("ref.*")
-        .groupBy("doc_id", "tag").agg(F.collect_set("start").alias("asked"))
+        index.join(shared, "anchor", "left_semi").select(F.col("r").alias("doc_id"), "block")
+        .groupBy("doc_id").agg(F.collect_set("block").alias("asked"))
     )
     single = materialize(
-        docs.select("doc_id", "tag", "text").join(asked, ["doc_id", "tag"])
+        docs.select("doc_id", "tag", "text").join(asked, "doc_id")
         .mapInArrow(_windows(window, anchor), "anchor long, win long, doc_id long, tag long, start int"), "windows")
     seen = single.groupBy("anchor", "win").agg(F.min("doc_id").alias("r"), F.max("doc_id").alias("last")).where("last > r")
     edge = (
