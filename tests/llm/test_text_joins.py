@@ -202,6 +202,16 @@ def test_leaks_exact_and_edited(spark):
     assert decontam.contaminated_pairs(table(spark, texts), bench.where("false")).count() == 0
 
 
+def test_a_common_seed_is_enough(spark):
+    item = [f"i{k}" for k in range(15)]
+    edited = [w if k not in (4, 8, 12) else f"e{k}" for k, w in enumerate(item)]  # runs of 4, 3, 3 and 2: one seed
+    around = [f"a{k}" for k in range(40)]
+    texts = [" ".join(around + edited + around), *(f"x{k} " + " ".join(item) for k in range(30)), "no " + " ".join(item[:4]) + " more"]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontam.contaminated_pairs(table(spark, texts), bench).collect()}
+    assert got == {0: 0.7} | dict.fromkeys(range(1, 31), 1.0)
+
+
 def test_scores_base_and_model(spark):
     rng = np.random.default_rng(6)
     words = ["alpha", "beta", "gamma", "delta", "Omega", "zeta"]

@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment decides.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment decides.
 
 The test items' n-grams are the seeds. One scan of the training texts emits the passages around places whose n-gram
 might be a seed (a bitmap of fixed size, broadcast, stands for the seed table, so the scan needs no shuffle and its
 broadcast does not grow); Spark then joins their hashes to the seed table, which removes the bitmap's false hits.
-A pair of passage and item goes on if it shares two seeds on nearby diagonals, or one rare seed. The alignment is
-local, over words, and scores edited copies: a word more, less or changed costs half of what an equal one earns.
+Every pair of passage and item that shares a seed goes on, however common the seed is. The alignment is local, over
+words, and scores edited copies: a word more, less or changed costs half of what an equal one earns. Only pairs that
+cannot reach the limit, as too few of the item's words stand in the passage at all, are left out before it.
 """
 
 from __future__ import annotations
@@ -130,6 +131,8 @@ def _aligned(percent: int):
                         spans.append((max(0, lo - len(x) // 2), min(len(y), p + len(x) + len(x) // 2)))
                         lo = q
                 for s, e in spans:
+                    if 100 * int(np.isin(x, y[s:e]).sum()) < percent * len(x):  # an item word earns MATCH at most once
+                        continue
                     jobs.append((doc, item, x, y[s:e], base + s))
                     cells = max(cells, (e - s))
                     if len(jobs) * cells > 200_000:
@@ -141,14 +144,13 @@ def _aligned(percent: int):
     return run
 
 
-def contaminated_pairs(docs: DataFrame, items: DataFrame, n: int = 4, percent: int = 50, rare: int = 20) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, items: DataFrame, n: int = 4, percent: int = 50) -> DataFrame:
     """``(doc_id, item_id, start_word, end_word, item_words, n_hits, score)``, one row per document and leaked item.
 
     ``docs`` has doc_id and text, ``items`` item_id and text. Words are runs of letters and digits, A-Z in lower case.
     A document holds an item if the best alignment reaches ``percent`` of the score of a whole exact copy; ``score``
     is that share, the places are those of the best alignment. Items of fewer than ``n`` words and null texts match
-    nothing; rows without doc_id or item_id are left out; repeated rows count once. ``rare``: corpus hits up to which
-    a single seed is enough; commoner seeds need a second one of the same item in the passage.
+    nothing; rows without doc_id or item_id are left out; repeated rows count once.
     """
     spark = docs.sparkSession
     items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -163,11 +165,9 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, n: int = 4, percent: i
     found = materialize(found.withColumn("passage", F.monotonically_increasing_id()), "passages")
 
     hits = found.select("passage", F.explode(F.arrays_zip("pos", "seed")).alias("h")).select("passage", "h.*")
-    often = seeds.select("seed").distinct().join(hits, "seed").groupBy("seed").agg((F.count("*") <= rare).alias("is_rare"))
     pairs = (
-        hits.join(seeds.drop("words").join(often, "seed"), "seed").groupBy("passage", "item_id")
-        .agg(F.collect_list(F.struct("pos", "item_pos")).alias("hits"), F.count_distinct("pos").alias("n_hits"), F.max("is_rare").alias("is_rare"))
-        .where("n_hits > 1 or is_rare")
+        hits.join(seeds.drop("words"), "seed").groupBy("passage", "item_id")
+        .agg(F.collect_list(F.struct("pos", "item_pos")).alias("hits"))
     )
     whole = seeds.where("words is not null").groupBy("item_id").agg(F.first("words").alias("item_words"))
     jobs = pairs.join(found.select("passage", "doc_id", "base", "words"), "passage").join(whole, "item_id")
