@@ -236,6 +236,37 @@ def test_scores_base_and_model(spark):
     assert lm.score_texts(table(spark, []), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, lm.BLOCK, lm.BLOCK + 1, lm.BLOCK * lm.PIECE, 3 * lm.BLOCK * lm.PIECE + 7])
+def test_every_id_is_a_training_target_once(size):
+    text = np.arange(100, 100 + size).astype(np.int32)
+    before = np.concatenate([np.full(lm.BLOCK, -1), text[-1:], text])
+    for stored in ("<u2", "<i4"):
+        windows = np.concatenate([lm.read_windows(x, stored) for x in lm.cut_pieces(text, stored)])
+        target = windows[:, lm.BLOCK + 1:]
+        assert target[target >= 0].tolist() == text.tolist()
+        assert all((w[:lm.BLOCK + 1] == before[b * lm.BLOCK:][:lm.BLOCK + 1]).all() for b, w in enumerate(windows))
+
+
+def test_the_whole_of_each_text_trains(spark, monkeypatch):
+    texts = [" ".join(f"w{i * j % 97}" for j in range(400)) for i in range(20)]
+    seen, real = spark.sparkContext.accumulator(0), lm._descend
+
+    def counting(shared):
+        descend = real(shared)
+
+        def run(key, table):
+            out = descend(key, table)
+            seen.add(out.column("n")[0].as_py())
+            return out
+
+        return run
+
+    monkeypatch.setattr(lm, "_descend", counting)
+    lm.score_texts(table(spark, texts), vocabulary("byte_bpe_50k.json"))
+    train = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(20))
+    assert seen.value >= lm.AVERAGES * train * 400 // lm.BLOCK
+
+
 def test_model_is_a_distribution_and_causal():
     rng = np.random.default_rng(7)
     n = 40

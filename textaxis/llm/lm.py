@@ -4,7 +4,7 @@ The model reads subword ids. One attention head, causal and over a bounded conte
 text by learned query and key embeddings and learned distances; what it attends to are the tokens that followed there,
 so its output is a distribution over ids. A learned gate per last token mixes it with a bigram and a unigram
 distribution, so every score is a true log probability. Counts cover all training texts; the weights are trained by
-averaged local gradient descent, to which every training text gives one window, so both grow with the corpus.
+averaged local gradient descent over all tokens of all training texts, in the windows in which they are scored.
 
 Scoring cuts a text into blocks; a window is a block and the one before it, so windows overlap, every token is scored
 once, in the later half of a window, and a batch of windows is a few masked array operations.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from textaxis.llm.frequent import most_frequent
 from textaxis.llm.packing import _encoder
+from textaxis.llm.words import mix
 from textaxis.session import materialize
 
 BLOCK = 16
@@ -32,6 +33,8 @@ CLASSES, WIDTH = 2048, 8
 #: Words whose counts every task gets; all other words meet their counts in a join.
 HEAD = 1 << 16
 STEPS_BATCH, RATE, AVERAGES, SHARD = 64, 0.15, 2, 8192
+#: Blocks of a text that go to one shard together.
+PIECE = 64
 _SMOOTH = 8.0
 #: Bound of every weight; keeps the exponentials of attention finite.
 LIMIT = 3.0
@@ -108,29 +111,64 @@ def _count(kind: str, end: int):
     return run
 
 
+def _stored(end: int) -> str:
+    """The type of stored ids; -1 is its largest value."""
+    return "<u2" if end < (1 << 16) - 1 else "<i4"
+
+
+def cut_pieces(x: np.ndarray, stored: str) -> list[bytes]:
+    """Pieces of PIECE blocks of a text (ids with an end), each with the block and one id before it.
+
+    Every id is a target once. The end stands before the text, after a block of nothing.
+    """
+    wide = np.dtype(stored).itemsize
+    raw = np.concatenate([np.full(BLOCK, -1, np.int32), x[-1:], x]).astype(stored).tobytes()
+    return [raw[at * wide:(at + (PIECE + 1) * BLOCK + 1) * wide] for at in range(0, len(x), PIECE * BLOCK)]
+
+
+def read_windows(piece, stored: str) -> np.ndarray:
+    """The windows of a piece: 2 * BLOCK + 1 ids, -1 where there is none; the last BLOCK are targets."""
+    got = np.frombuffer(piece, stored)
+    n = -(-(len(got) - BLOCK - 1) // BLOCK)
+    flat = np.full((n + 1) * BLOCK + 1, -1, np.int32)
+    flat[:len(got)] = got
+    if stored == "<u2":
+        flat[flat == (1 << 16) - 1] = -1
+    return np.lib.stride_tricks.sliding_window_view(flat, 2 * BLOCK + 1)[::BLOCK]
+
+
+def _pieces(kind: str, end: int):
+    """The pieces of each text, with numbers by which they are dealt to the shards and sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = batch.column("doc_id").to_pylist()
+            for lo, hi in _parts(batch):
+                words, number = [], []
+                for d, x in zip(doc[lo:hi], _ids(batch.column("ids").slice(lo, hi - lo), kind, end), strict=True):
+                    got = cut_pieces(x, _stored(end))
+                    words += got
+                    first = np.uint64(zlib.crc32(str(d).encode()) << 32)
+                    number.append(mix(first + np.arange(len(got), dtype=np.uint64)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.concatenate(number))], names=["word", "id"])
+
+    return run
+
+
 def _pairs(kind: str, end: int, classes: np.ndarray):
-    """Counts of class pairs (kind 0, id = left * CLASSES + right) and one training window of each text (kind 1)."""
+    """Counts of class pairs, id = left * CLASSES + right."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(CLASSES * CLASSES, np.int64)
         for batch in batches:
-            doc = batch.column("doc_id").to_pylist()
             for lo, hi in _parts(batch, 1 << 22):
-                windows, number, codes = [], [], []
-                for i, x in enumerate(_ids(batch.column("ids").slice(lo, hi - lo), kind, end)):
+                codes = []
+                for x in _ids(batch.column("ids").slice(lo, hi - lo), kind, end):
                     c = classes[x].astype(np.int64)
                     codes.append(np.append(c[-1], c[:-1]) * CLASSES + c)
-                    h = zlib.crc32(str(doc[lo + i]).encode())
-                    start = h % max(1, len(x) - 2 * BLOCK)
-                    w = np.full(2 * BLOCK + 1, -1, np.int32)
-                    got = np.append(x[-1], x)[start:start + 2 * BLOCK + 1]
-                    w[:len(got)] = got
-                    windows.append(w.tobytes())
-                    number.append(h)
                 pairs += np.bincount(np.concatenate(codes), minlength=len(pairs))
-                yield _counted(1, windows, number, np.ones(len(number), np.int64))
         at = np.flatnonzero(pairs)
-        yield _counted(0, None, at, pairs[at])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(pairs[at])], names=["id", "n"])
 
     return run
 
@@ -188,7 +226,7 @@ class Model:
     def step(self, windows: np.ndarray, grown: dict[str, np.ndarray]) -> None:
         """One step of Adagrad on windows of 2 * BLOCK + 1 ids (-1: none); the later half are targets."""
         c = self.classes
-        keys, values = c[np.maximum(windows[:, :-1], 0)], windows[:, 1:]
+        keys, values = c[np.maximum(windows[:, :-1], 0)], np.where(windows[:, :-1] < 0, -1, windows[:, 1:])
         last, target = keys[:, BLOCK:], np.maximum(windows[:, 1 + BLOCK:], 0)
         real = (windows[:, 1 + BLOCK:] >= 0).astype(np.float32)
         if not real.any():
@@ -197,13 +235,14 @@ class Model:
         up = real / real.sum()
         ratio = np.stack([uni, bi, att], axis=-1) / p[..., None]
         d_gate = g * (1 - ratio) * up[..., None]
-        a = s / np.maximum(total, 1e-20)[..., None]
-        d_s = -(up * seen * g[..., 2] / p)[..., None] * a * (same - att[..., None])
+        d_s = same - att[..., None]
+        d_s *= s
+        d_s *= -(up * seen * g[..., 2] / p / np.maximum(total, 1e-20))[..., None]
         d_q, d_k = d_s @ k * WIDTH**-0.5, d_s.transpose(0, 2, 1) @ q * WIDTH**-0.5
         slope = {n: np.zeros_like(w) for n, w in self.weights.items()}
-        np.add.at(slope["gate"], last, d_gate)
-        np.add.at(slope["query"], last, d_q)
-        np.add.at(slope["key"], keys, d_k)
+        for n, at, d in (("gate", last, d_gate), ("query", last, d_q), ("key", keys, d_k)):
+            for column in range(d.shape[-1]):
+                slope[n][:, column] = np.bincount(at.ravel(), d[..., column].ravel(), CLASSES)
         i, j = np.arange(BLOCK)[:, None] + BLOCK, np.arange(2 * BLOCK)[None, :]
         np.add.at(slope["distance"], np.clip(i - j, 0, 2 * BLOCK - 1), np.where(j < i, d_s.sum(axis=0), 0))
         for n, d in slope.items():
@@ -261,7 +300,9 @@ def _descend(shared):
         model: Model = shared.value
         rows = table.sort_by([("id", "ascending"), ("word", "ascending")]).column("word")
         kept = model.vector()
-        windows = np.stack([np.frombuffer(x.as_buffer(), np.int32) for x in rows])
+        stored = _stored(len(model.unigram) - 1)
+        windows = np.concatenate([read_windows(x.as_buffer(), stored) for x in rows])
+        windows = windows[np.random.default_rng(7).permutation(len(windows))]
         grown = {n: np.full_like(w, 1e-6) for n, w in model.weights.items()}
         for at in range(0, len(windows), STEPS_BATCH):
             model.step(windows[at:at + STEPS_BATCH], grown)
@@ -339,17 +380,16 @@ def score_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
     classes = np.full(len(units), CLASSES - 1, np.int32)
     top = np.argsort(-units, kind="stable")[:CLASSES - 1]
     classes[top] = np.arange(len(top))
-    second = materialize(train.select("doc_id", "ids").mapInArrow(_pairs(kind, end, classes), "kind byte, word binary, id long, n long"), "pairs")
     pairs = np.zeros(CLASSES * CLASSES, np.int64)
-    counted = second.where("kind = 0").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSES squared
+    counted = train.select("ids").mapInArrow(_pairs(kind, end, classes), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSES squared
     pairs[counted["id"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     model = Model(units, pairs.reshape(CLASSES, CLASSES), classes)
-    windows = second.where("kind = 1").select("word", "id")
-    shards = max(1, texts // SHARD)
+    pieces = train.select("doc_id", "ids").mapInArrow(_pieces(kind, end), "word binary, id long")
+    shards = max(1, int(units.sum()) // (BLOCK * SHARD))
     for _ in range(AVERAGES if texts else 0):
         shared = spark.sparkContext.broadcast(model)
         parts = (
-            windows.withColumn("shard", F.pmod(F.xxhash64("id", "word"), F.lit(shards))).groupBy("shard")
+            pieces.withColumn("shard", F.pmod(F.xxhash64("id", "word"), F.lit(shards))).groupBy("shard")
             .applyInArrow(_descend(shared), "slot long, n long, sum binary")
             .groupBy("slot").applyInArrow(_summed, "n long, sum binary").collect()  # at most 16 rows
         )
