@@ -267,6 +267,18 @@ def test_the_whole_of_each_text_trains(spark, monkeypatch):
     assert seen.value >= lm.AVERAGES * train * 400 // lm.BLOCK
 
 
+def test_a_token_attends_to_32_ids_before_it_at_least():
+    n = 200
+    classes, pairs = np.arange(n).astype(np.int32), np.zeros((lm.CLASSES, lm.CLASSES), np.int64)
+    model = lm.Model(np.ones(n, np.int64), pairs, classes)
+    text = np.arange(n).astype(np.int32)
+    for at in range(40, 140):
+        copy, other = text.copy(), text.copy()
+        copy[at - 32], other[at - 32] = at, 199  # the id at ``at`` stands 32 before, or an id that doesn't come up again
+        two = [model.score([x[:at + extra].copy()])[0] for x in (copy, other) for extra in (0, 1)]
+        assert two[1] - two[0] > two[3] - two[2] + 1e-4
+
+
 def test_model_is_a_distribution_and_causal():
     rng = np.random.default_rng(7)
     n = 40

@@ -27,7 +27,7 @@ from textaxis.llm.packing import _encoder
 from textaxis.llm.words import mix
 from textaxis.session import materialize
 
-BLOCK = 16
+BLOCK = 32
 #: Ids with a bigram row and an embedding of their own; all others share the last. Sets the size of the model.
 CLASSES, WIDTH = 2048, 8
 #: Words whose counts every task gets; all other words meet their counts in a join.
