@@ -259,3 +259,22 @@ def test_gate(spark):
     other = rows.withColumn("document_id", F.col("document_id") + 100)
     good = R.checks(rows, {"val_indist": other}, ["q0"], source_cap=1.0, topic_cap=1.0)
     assert R.gate(good).count() == good.count()
+
+
+def test_questions_match_by_beginning_then_by_containment(spark):
+    long = "How much, if at all, do you think the following proposals would do to reduce economic inequality in the U.S.?"
+    questions = [("a", long + " Taxes"), ("b", "Do you favor it"), ("c", long + " Schools"), ("d", "Some say so. " + long), ("e", "favor")]
+    texts = ["  " + long, "xx " + long, long[:60], "Well: do you? Do you favor it or not", "favor", "nothing", "", None]
+
+    def plain(q):
+        begins = {v[:80]: k for k, v in questions}
+        if q is None:
+            return None
+        q = q.strip()
+        return begins.get(q[:80]) or next((k for k, v in questions if q[:60] in v or v[:60] in q), None)
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    asked = spark.createDataFrame([(k, q, i) for i, (k, q) in enumerate(questions)], "key string, question string, n int")
+    got = {r["id"]: r["key"] for r in O.match_questions(rows, asked, "id", "text", "key", "question", "n").collect()}
+    assert got == {i: plain(q) for i, q in enumerate(texts)}
+    assert [got[i] for i in range(6)] == ["c", "a", "a", "b", "e", None]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textaxis.functions.text import words
+from textaxis.functions.text import strip, words
 
 
 def hash_order(seed: int, *keys: str) -> Column:
@@ -62,6 +62,26 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
+def match_questions(rows: DataFrame, questions: DataFrame, row_key: str, text: str, key: str, question: str, order: str, equal: int = 80, inside: int = 60) -> DataFrame:
+    """``(row_key, key)``: each row's question, null without one.
+
+    First by equality of the stripped text's first ``equal`` characters with a question's; of equal beginnings the last
+    question by ``order`` holds, as in the reference's table of beginnings. Rows without such take the first question by
+    ``order`` that contains the text's first ``inside`` characters, or whose first ``inside`` the text contains. The
+    questions are a bounded list and are broadcast; ``row_key`` is unique.
+    """
+    rows = rows.select(row_key, strip(F.col(text)).alias("__t"))
+    asked = questions.select(F.col(key).alias("__k"), F.col(question).alias("__q"), F.col(order).alias("__o"))
+    begins = asked.groupBy(F.substring("__q", 1, equal).alias("__p")).agg(F.max_by("__k", "__o").alias("__k"), F.lit(True).alias("__hit"))
+    first = rows.join(F.broadcast(begins), F.substring("__t", 1, equal) == F.col("__p"), "left")
+    either = F.col("__q").contains(F.substring("__t", 1, inside)) | F.col("__t").contains(F.substring("__q", 1, inside))
+    rest = first.where("__hit is null").select(row_key, "__t")
+    second = (
+        rest.join(F.broadcast(asked), either, "left").groupBy(row_key).agg(F.min_by("__k", "__o").alias(key))
+    )
+    return first.where("__hit").select(row_key, F.col("__k").alias(key)).unionByName(second)
+
+
 def min_gap(indexes: Column, gap: int) -> Column:
     """Greedy selection from an array of indexes: each kept one is at least ``gap`` after the last kept one."""
     none = F.array().cast("array<long>")
