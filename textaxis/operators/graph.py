@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textaxis.session import materialize
+from textaxis.session import materialize, release, scratch
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,29 +16,37 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     a hub with a third of all edges is a skewed join (split by AQE), never one task's list. Nulls and self loops are
     ignored; an empty input gives an empty result. The rounds are logarithmic in the size of a component.
     """
-    e = (
-        edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-        .where(F.col("u").isNotNull() & (F.col("u") != F.col("v")))
-        .distinct()
-    )
-    e = materialize(e, "edges")
-    before = None
-    while True:
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        joined = large.join(low, "v")
-        small = (
-            joined.select(F.col("m").alias("u"), "v")
-            .unionByName(joined.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v")))
-            .where("u <> v")
+    with scratch(edges.sparkSession) as keep:
+        e = (
+            edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+            .where(F.col("u").isNotNull() & (F.col("u") != F.col("v")))
             .distinct()
         )
-        e = materialize(small, "edges")
-        seen = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (seen["n"], seen["h"]) == before:
-            break
-        before = (seen["n"], seen["h"])
+        e = materialize(e, "edges")
+        before = None
+        while True:
+            after = materialize(_step(e), "edges")
+            release(e)
+            e = after
+            seen = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+            if (seen["n"], seen["h"]) == before:
+                break
+            before = (seen["n"], seen["h"])
+        keep(e)
     inner = e.select(F.col("v").alias("id"), F.col("u").alias("component"))
     return inner.unionByName(e.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())
+
+
+def _step(e: DataFrame) -> DataFrame:
+    """One large-star and one small-star step."""
+    both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+    low = large.groupBy("v").agg(F.min("u").alias("m"))
+    joined = large.join(low, "v")
+    return (
+        joined.select(F.col("m").alias("u"), "v")
+        .unionByName(joined.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v")))
+        .where("u <> v")
+        .distinct()
+    )
