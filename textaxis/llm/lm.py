@@ -1,10 +1,16 @@
 """Language-model scoring with a causal self-attention model in numpy.
 
 The model reads subword ids. One attention head, causal and over a bounded context, weighs the earlier places of a
-text by learned query and key embeddings and learned distances; what it attends to are the tokens that followed there,
-so its output is a distribution over ids. A learned gate per last token mixes it with a bigram and a unigram
-distribution, so every score is a true log probability. Counts cover all training texts; the weights are trained by
-averaged local gradient descent over all tokens of all training texts, in the windows in which they are scored.
+text: queries and keys are the ids themselves, on scales that are learned (how much an equal id counts, by the class
+of the id, more if the ids before are equal, too; how much a key of each class counts; how much each distance counts).
+What it attends to are the tokens that followed there, so its output is a distribution over ids. A learned gate, by
+the last token and by whether the head found an equal place, mixes it with a bigram and a unigram distribution, so
+every score is a true log probability.
+
+Counts cover all training texts. The weights are trained by expectation maximisation over all ids of all training
+texts, in the windows in which they are scored: a pass adds up what each weight was expected to give and what it gave
+(sums of fixed size, so they don't depend on how the texts are dealt), and each weight grows by the ratio of the two.
+A training token's own pair is taken out of the bigram counts while it trains the gates.
 
 Scoring cuts a text into blocks; a window is a block and the one before it, so windows overlap, every token is scored
 once, in the later half of a window, and a batch of windows is a few masked array operations.
@@ -12,9 +18,9 @@ once, in the later half of a window, and a batch of windows is a few masked arra
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +30,22 @@ from pyspark.sql import functions as F
 
 from textaxis.llm.frequent import most_frequent
 from textaxis.llm.packing import _encoder
-from textaxis.llm.words import mix
-from textaxis.session import materialize
+from textaxis.session import materialize, release, scratch
 
 BLOCK = 32
-#: Ids with a bigram row and an embedding of their own; all others share the last. Sets the size of the model.
-CLASSES, WIDTH = 2048, 8
+#: Ids with a bigram row, a key and a gate of their own; all others share the last. Sets the size of the model.
+CLASSES = 2048
 #: Words whose counts every task gets; all other words meet their counts in a join.
 HEAD = 1 << 16
-STEPS_BATCH, RATE, AVERAGES, SHARD = 64, 0.15, 2, 8192
-#: Blocks of a text that go to one shard together.
-PIECE = 64
+#: Passes of training over all training texts.
+PASSES = 1
+#: Weights before training of an equal id, and of an equal id after an equal one.
+EQUAL, EQUAL_PAIR = 25.0, 170.0
+#: What a class needs to be seen of before its own figures outweigh those of all classes.
+PRIOR = 20.0
 _SMOOTH = 8.0
-#: Bound of every weight; keeps the exponentials of attention finite.
-LIMIT = 3.0
-#: Windows that are scored at a time.
-SCORED = 1024
+#: Windows that are worked on at a time.
+WINDOWS = 128
 
 _COUNTS = pa.schema([("kind", pa.int8()), ("word", pa.binary()), ("id", pa.int64()), ("n", pa.int64())])
 
@@ -111,50 +117,6 @@ def _count(kind: str, end: int):
     return run
 
 
-def _stored(end: int) -> str:
-    """The type of stored ids; -1 is its largest value."""
-    return "<u2" if end < (1 << 16) - 1 else "<i4"
-
-
-def cut_pieces(x: np.ndarray, stored: str) -> list[bytes]:
-    """Pieces of PIECE blocks of a text (ids with an end), each with the block and one id before it.
-
-    Every id is a target once. The end stands before the text, after a block of nothing.
-    """
-    wide = np.dtype(stored).itemsize
-    raw = np.concatenate([np.full(BLOCK, -1, np.int32), x[-1:], x]).astype(stored).tobytes()
-    return [raw[at * wide:(at + (PIECE + 1) * BLOCK + 1) * wide] for at in range(0, len(x), PIECE * BLOCK)]
-
-
-def read_windows(piece, stored: str) -> np.ndarray:
-    """The windows of a piece: 2 * BLOCK + 1 ids, -1 where there is none; the last BLOCK are targets."""
-    got = np.frombuffer(piece, stored)
-    n = -(-(len(got) - BLOCK - 1) // BLOCK)
-    flat = np.full((n + 1) * BLOCK + 1, -1, np.int32)
-    flat[:len(got)] = got
-    if stored == "<u2":
-        flat[flat == (1 << 16) - 1] = -1
-    return np.lib.stride_tricks.sliding_window_view(flat, 2 * BLOCK + 1)[::BLOCK]
-
-
-def _pieces(kind: str, end: int):
-    """The pieces of each text, with numbers by which they are dealt to the shards and sorted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc = batch.column("doc_id").to_pylist()
-            for lo, hi in _parts(batch):
-                words, number = [], []
-                for d, x in zip(doc[lo:hi], _ids(batch.column("ids").slice(lo, hi - lo), kind, end), strict=True):
-                    got = cut_pieces(x, _stored(end))
-                    words += got
-                    first = np.uint64(zlib.crc32(str(d).encode()) << 32)
-                    number.append(mix(first + np.arange(len(got), dtype=np.uint64)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.concatenate(number))], names=["word", "id"])
-
-    return run
-
-
 def _pairs(kind: str, end: int, classes: np.ndarray):
     """Counts of class pairs, id = left * CLASSES + right."""
 
@@ -174,150 +136,174 @@ def _pairs(kind: str, end: int, classes: np.ndarray):
 
 
 class Model:
-    """Counts and weights. ``classes`` maps ids to rows of the bigram table and of the embeddings."""
+    """Counts and weights. ``classes`` maps ids to rows of the bigram table, to keys and to gates.
+
+    Weights are factors: ``distance`` by distance, ``key`` by class, ``match`` by level (0: another id, 1: the same
+    id, 2: the same after the same) and class of the last id, ``gate`` by class of the last id and best level found.
+    """
 
     def __init__(self, units: np.ndarray, pairs: np.ndarray, classes: np.ndarray):
         n, v = units.sum(), len(units)
-        self.unigram = ((units + 0.5) / (n + 0.5 * v)).astype(np.float64)
-        self.classes = classes
-        share = np.bincount(classes, self.unigram, CLASSES)
-        self.inside = (self.unigram / share[classes]).astype(np.float32)
+        self.end = v - 1
+        unigram = (units + 0.5) / (n + 0.5 * v)
+        share = np.bincount(classes, unigram, CLASSES)
         rows = pairs.sum(axis=1, keepdims=True)
+        self.unigram, self.inside = unigram.astype(np.float32), (unigram / share[classes]).astype(np.float32)
+        self.share, self.rows = share.astype(np.float32), (rows[:, 0] + _SMOOTH).astype(np.float32)
         self.bigram = ((pairs + _SMOOTH * share[None, :]) / (rows + _SMOOTH)).astype(np.float32)
-        rng = np.random.default_rng(7)
+        self.classes = np.append(classes, 0).astype(np.int32)  # no id: -1
+        gate = np.empty((CLASSES, 3, 3), np.float32)
+        gate[:] = [[0.1, 0.85, 0.05], [0.1, 0.8, 0.1], [0.05, 0.45, 0.5]]
         self.weights = {
-            "query": rng.normal(0, 0.3, (CLASSES, WIDTH)).astype(np.float32), "key": rng.normal(0, 0.3, (CLASSES, WIDTH)).astype(np.float32),
-            "distance": np.zeros(2 * BLOCK, np.float32), "gate": np.tile(np.float32([0.0, 2.0, -1.0]), (CLASSES, 1)),
+            "distance": np.ones(2 * BLOCK, np.float32), "key": np.ones(CLASSES, np.float32),
+            "match": np.repeat(np.float32([[1.0], [EQUAL], [EQUAL_PAIR]]), CLASSES, axis=1), "gate": gate.reshape(-1, 3),
         }
-        self.weights["key"][:] = self.weights["query"]
 
-    def base(self, last: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unigram and bigram probabilities of targets after tokens of class ``last``."""
-        return self.unigram[target].astype(np.float32), self.bigram[last, self.classes[target]] * self.inside[target]
-
-    def attend(self, keys: np.ndarray, values: np.ndarray, last: np.ndarray):
-        """Attention weights (window, query, place), not yet normed; zero where a place isn't seen or not filled."""
-        w = self.weights
-        q, k = w["query"][last], w["key"][keys]
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(WIDTH**-0.5)
-        i, j = np.arange(BLOCK)[:, None] + BLOCK, np.arange(2 * BLOCK)[None, :]
-        s += np.where(j < i, w["distance"][np.clip(i - j, 0, 2 * BLOCK - 1)], np.float32(-1e4))
-        np.exp(s, out=s)
-        edge = np.flatnonzero((values < 0).any(axis=1))  # few windows have places that aren't filled
-        s[edge] *= (values[edge] >= 0)[:, None, :]
-        return s, q, k
-
-    def mixed(self, keys, values, last, target):
-        """Log10 probability of each target, and what training needs of the way there."""
-        s, q, k = self.attend(keys, values, last)
-        same = values[:, None, :] == target[:, :, None]
-        total = s.sum(axis=2)
-        copied = np.einsum("bij,bij->bi", s, same, dtype=np.float32)
-        uni, bi = self.base(last, target)
+    def forward(self, x: np.ndarray, grown: dict[str, np.ndarray] | None = None) -> np.ndarray:
+        """Log10 probability of each target of windows ``x``, 2 * BLOCK + 1 ids each (-1: none), 0 where there is none.
+
+        The last BLOCK ids are targets; place j has the key x[j] and the value x[j + 1], and the target at x[p + 1] is
+        asked for by x[p] and sees the places before p. With ``grown`` the sums of a training pass are added to it.
+        """
+        w, size = self.weights, len(x)
+        wide, tall = np.int32(2 * BLOCK + 1), np.int32(BLOCK + 2)
+        none, i32, f32 = x < 0, np.int32, np.float32
+        small = np.uint16 if self.end < (1 << 16) - 2 else np.uint32
+        keys = x.astype(small)  # -1 becomes the largest value; a query without id gets the next one
+        asks = np.where(none[:, BLOCK - 1:], small(np.iinfo(small).max - 1), keys[:, BLOCK - 1:])
+        equal = asks[:, :, None] == keys[:, None, :]
+        equal &= np.arange(wide)[None, :] < np.arange(BLOCK - 1, wide)[:, None]
+        flat = equal.ravel()
+        f = np.flatnonzero(flat).astype(i32)  # pairs of equal ids, few of all
+        line = f // wide
+        column, window = f - line * wide, line // tall
+        line -= window * tall
+        before = flat.take(np.maximum(f - (wide + 1), 0)) & (column > 0) & (line > 0)
+
+        cls = self.classes[x[:, :-1]]
+        held = w["key"][cls] * ~(none[:, :-1] | none[:, 1:])
+        held_flat, cls_flat = held.ravel(), cls.ravel()
+        apart = np.arange(BLOCK, 2 * BLOCK)[None, :] - np.arange(2 * BLOCK)[:, None]
+        causal = apart > 0
+        apart = np.where(causal, apart, 0)
+        near = np.where(causal, w["distance"][apart], f32(0))
+        last, target = cls[:, BLOCK:].ravel(), x[:, BLOCK + 1:].ravel()
+        real = target >= 0
+        target = np.where(real, target, 0)
+        match, distance = w["match"].ravel(), w["distance"]
+
+        # Places whose key is the asking id.
+        at = np.flatnonzero((line >= 1) & (line <= BLOCK) & (column < 2 * BLOCK))
+        q, j = (window * i32(BLOCK) + line - i32(1)).take(at), (window * i32(2 * BLOCK) + column).take(at)
+        pair, d = before.take(at), (line + i32(BLOCK - 1) - column).take(at)
+        plain = held_flat.take(j) * distance.take(d)
+        q_class = last.take(q) + np.where(pair, i32(2 * CLASSES), i32(CLASSES))
+        more = plain * (match.take(q_class) - f32(1))
+        total = (held @ near).ravel() + np.bincount(q, more, size * BLOCK).astype(f32)
+        level = np.zeros(size * BLOCK, i32)
+        level[q] = 1
+        level[q[pair]] = 2
+        # Places whose value is the target.
+        at = np.flatnonzero((line >= 2) & (column >= 1))
+        t, k = (window * i32(BLOCK) + line - i32(2)).take(at), (window * i32(2 * BLOCK) + column - i32(1)).take(at)
+        one = before.take(at)
+        two = one & flat.take(np.maximum(f.take(at) - 2 * (wide + 1), 0)) & (column.take(at) > 1)
+        e = (line + i32(BLOCK - 1) - column).take(at)
+        t_class = last.take(t) + (one.astype(i32) + two) * i32(CLASSES)
+        given = held_flat.take(k) * distance.take(e) * match.take(t_class)
+        copied = np.bincount(t, given, size * BLOCK).astype(f32)
+
+        uni, to = self.unigram.take(target), self.classes.take(target)
+        bi = self.bigram.ravel().take(last * i32(CLASSES) + to)
+        if grown is not None:
+            rows = self.rows.take(last)
+            bi = np.maximum(bi * rows - f32(1), f32(_SMOOTH) * self.share.take(to)) / np.maximum(rows - f32(1), f32(_SMOOTH))
+        bi = bi * self.inside.take(target)
         seen = total > 1e-20
-        att = np.where(seen, copied / np.maximum(total, 1e-20), bi)
-        g = self.weights["gate"][last]
-        g = np.exp(g - g.max(axis=-1, keepdims=True))
-        g /= g.sum(axis=-1, keepdims=True)
-        p = g[..., 0] * uni + g[..., 1] * bi + g[..., 2] * att
-        return p, (s, same, total, seen, q, k, uni, bi, att, g)
-
-    def step(self, windows: np.ndarray, grown: dict[str, np.ndarray]) -> None:
-        """One step of Adagrad on windows of 2 * BLOCK + 1 ids (-1: none); the later half are targets."""
-        c = self.classes
-        keys, values = c[np.maximum(windows[:, :-1], 0)], np.where(windows[:, :-1] < 0, -1, windows[:, 1:])
-        last, target = keys[:, BLOCK:], np.maximum(windows[:, 1 + BLOCK:], 0)
-        real = (windows[:, 1 + BLOCK:] >= 0).astype(np.float32)
-        if not real.any():
-            return
-        p, (s, same, total, seen, q, k, uni, bi, att, g) = self.mixed(keys, values, last, target)
-        up = real / real.sum()
-        ratio = np.stack([uni, bi, att], axis=-1) / p[..., None]
-        d_gate = g * (1 - ratio) * up[..., None]
-        d_s = same - att[..., None]
-        d_s *= s
-        d_s *= -(up * seen * g[..., 2] / p / np.maximum(total, 1e-20))[..., None]
-        d_q, d_k = d_s @ k * WIDTH**-0.5, d_s.transpose(0, 2, 1) @ q * WIDTH**-0.5
-        slope = {n: np.zeros_like(w) for n, w in self.weights.items()}
-        for n, at, d in (("gate", last, d_gate), ("query", last, d_q), ("key", keys, d_k)):
-            for column in range(d.shape[-1]):
-                slope[n][:, column] = np.bincount(at.ravel(), d[..., column].ravel(), CLASSES)
-        i, j = np.arange(BLOCK)[:, None] + BLOCK, np.arange(2 * BLOCK)[None, :]
-        np.add.at(slope["distance"], np.clip(i - j, 0, 2 * BLOCK - 1), np.where(j < i, d_s.sum(axis=0), 0))
-        for n, d in slope.items():
-            grown[n] += d * d
-            self.weights[n] -= RATE * d / (np.sqrt(grown[n]) + 1e-6)
-            np.clip(self.weights[n], -LIMIT, LIMIT, out=self.weights[n])
-
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Log10 probability of each text, given as ids with an end."""
-        out = np.zeros(len(texts))
-        lo = 0
-        while lo < len(texts):
-            hi, blocks = lo, 0
-            while hi < len(texts) and blocks < SCORED:
-                blocks += -(-len(texts[hi]) // BLOCK)
-                hi += 1
-            out[lo:hi] = self._score(texts[lo:hi])
-            lo = hi
-        return out
-
-    def _score(self, texts: list[np.ndarray]) -> np.ndarray:
-        sizes = np.array([len(x) for x in texts])
-        blocks = -(-sizes // BLOCK)
-        begin = np.cumsum(blocks + 1) * BLOCK - blocks * BLOCK  # after a block of nothing before each text
-        flat = np.full(int((blocks.sum() + len(texts)) * BLOCK), -1, np.int32)
+        att = np.where(seen, copied / np.maximum(total, f32(1e-20)), bi)
+        gated = last * i32(3) + level
+        mixed = [g * v for g, v in zip(w["gate"].take(gated, axis=0).T, (uni, bi, att), strict=True)]
+        p = np.maximum(mixed[0] + mixed[1] + mixed[2], f32(1e-30))
+        if grown is not None:
+            for c, m in enumerate(mixed):
+                m *= real / p
+                grown["gate"][:, c] += np.bincount(gated, m, 3 * CLASSES)
+            rate = np.where(seen, mixed[2] / np.maximum(total, f32(1e-20)), f32(0))
+            rates = rate.reshape(size, BLOCK)
+            extra, got = rate.take(q) * more, (mixed[2] / np.maximum(copied, f32(1e-30))).take(t) * given
+            grown["distance"] += np.bincount(d, extra, 2 * BLOCK)
+            grown["distance"] += np.bincount(apart.ravel(), np.where(causal, (held.T @ rates) * near, 0).ravel(), 2 * BLOCK)
+            grown["key"] += np.bincount(cls_flat, (held * (rates @ near.T)).ravel(), CLASSES) + np.bincount(cls_flat.take(j), extra, CLASSES)
+            grown["match"] += np.bincount(q_class, extra + rate.take(q) * plain, 3 * CLASSES)
+            grown["distance_got"] += np.bincount(e, got, 2 * BLOCK)
+            grown["key_got"] += np.bincount(cls_flat.take(k), got, CLASSES)
+            grown["match_got"] += np.bincount(t_class, got, 3 * CLASSES)
+        return np.where(real, np.log10(p), f32(0)).reshape(size, BLOCK)
+
+    @staticmethod
+    def sums() -> dict[str, np.ndarray]:
+        """The sums of a training pass before it: what the weights were expected to give, and what they gave."""
+        sizes = {"distance": 2 * BLOCK, "key": CLASSES, "match": 3 * CLASSES}
+        return {"gate": np.zeros((3 * CLASSES, 3))} | {n + tail: np.zeros(k) for n, k in sizes.items() for tail in ("", "_got")}
+
+    def learn(self, grown: dict[str, np.ndarray]) -> None:
+        """The weights after a training pass over all texts."""
+        w = self.weights
+        gate = grown["gate"].reshape(CLASSES, 3, 3)
+        whole = gate.sum(axis=0) + 1e-6
+        whole /= whole.sum(axis=1, keepdims=True)
+        w["gate"] = ((gate + PRIOR * whole) / (gate.sum(axis=2, keepdims=True) + PRIOR)).reshape(-1, 3).astype(np.float32)
+        for n in ("distance", "key"):
+            w[n] = (w[n] * ((grown[n + "_got"] + 5) / (grown[n] + 5)) ** 0.7).astype(np.float32)
+        had, got = grown["match"].reshape(3, -1), grown["match_got"].reshape(3, -1)
+        ratio = (got.sum(axis=1) + 5) / (had.sum(axis=1) + 5)
+        w["match"][1:] *= ((got + PRIOR * ratio[:, None]) / (had + PRIOR))[1:].astype(np.float32)
+
+    def windows(self, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Batches of windows over texts (ids with an end), with the number of each one's text.
+
+        A block of nothing is before each text, and the end as the id before its first.
+        """
+        blocks = np.array([-(-len(x) // BLOCK) for x in texts])
+        begin = np.cumsum(blocks + 1) * BLOCK - blocks * BLOCK + 1
+        flat = np.full(int((blocks.sum() + len(texts)) * BLOCK) + 1, -1, np.int32)
         for x, b in zip(texts, begin.tolist(), strict=True):
             flat[b:b + len(x)] = x
-        before = np.append(-1, flat[:-1])
-        before[begin] = texts[0][-1]  # the end stands before a text, too
-        left = self.classes[np.maximum(before, 0)]
+        flat[begin - 1] = self.end
         text = np.repeat(np.arange(len(texts)), blocks)
-        start = np.repeat(begin, blocks) + BLOCK * (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) - BLOCK
+        start = np.repeat(begin, blocks) + BLOCK * (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks) - 1) - 1
+        for at in range(0, len(start), WINDOWS):
+            yield flat[start[at:at + WINDOWS, None] + np.arange(2 * BLOCK + 1)], text[at:at + WINDOWS]
+
+    def score(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Log10 probability of each text, given as ids with an end."""
         out = np.zeros(len(texts))
-        for at in range(0, len(start), SCORED):
-            place = start[at:at + SCORED, None] + np.arange(2 * BLOCK)
-            values, keys = flat[place], left[place]
-            target = values[:, BLOCK:]
-            p, _ = self.mixed(keys, values, keys[:, BLOCK:], np.maximum(target, 0))
-            logs = np.where(target >= 0, np.log10(np.maximum(p, 1e-30), dtype=np.float64), 0)
-            out += np.bincount(text[at:at + SCORED], logs.sum(axis=1), len(texts))
+        for x, text in self.windows(texts):
+            out += np.bincount(text, self.forward(x).sum(axis=1, dtype=np.float64), len(texts))
         return out
 
-    def vector(self) -> np.ndarray:
-        return np.concatenate([w.ravel() for w in self.weights.values()]).astype(np.float64)
+    def train(self, texts: list[np.ndarray], grown: dict[str, np.ndarray]) -> None:
+        """Add the sums of these texts to those of a training pass."""
+        for x, _ in self.windows(texts):
+            self.forward(x, grown)
 
-    def load(self, vector: np.ndarray) -> None:
-        at = 0
-        for w in self.weights.values():
-            w[...] = vector[at:at + w.size].reshape(w.shape)
-            at += w.size
 
+def _expected(kind: str, shared):
+    """The sums of a training pass over a task's texts, as (place, value)."""
 
-def _descend(shared):
-    def run(key, table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        rows = table.sort_by([("id", "ascending"), ("word", "ascending")]).column("word")
-        kept = model.vector()
-        stored = _stored(len(model.unigram) - 1)
-        windows = np.concatenate([read_windows(x.as_buffer(), stored) for x in rows])
-        windows = windows[np.random.default_rng(7).permutation(len(windows))]
-        grown = {n: np.full_like(w, 1e-6) for n, w in model.weights.items()}
-        for at in range(0, len(windows), STEPS_BATCH):
-            model.step(windows[at:at + STEPS_BATCH], grown)
-        out = model.vector() * len(windows)
-        model.load(kept)
-        return pa.table({"slot": pa.array([key[0].as_py() % 16], pa.int64()), "n": pa.array([len(windows)], pa.int64()), "sum": pa.array([out.tobytes()], pa.binary())})
+        grown = model.sums()
+        for batch in batches:
+            for lo, hi in _parts(batch):
+                model.train(_ids(batch.column("ids").slice(lo, hi - lo), kind, model.end), grown)
+        flat = np.concatenate([g.ravel() for g in grown.values()])
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["id", "v"])
 
     return run
 
 
-def _summed(key, table):
-    total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table.column("sum"))
-    return pa.table({"n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "sum": pa.array([total.tobytes()], pa.binary())})
-
-
 def _scores(kind: str, shared, head):
     names = ["doc_id", "held_out", "n_tokens", "n_head", "head_score", "score", "rest"]
 
@@ -331,15 +317,15 @@ def _scores(kind: str, shared, head):
                 n, known, total, rest = [], [], [], []
                 for t in part.column("text").to_pylist():
                     words = _lower(t).split()
-                    got = list(map(get, words))
-                    other = [w for w, x in zip(words, got, strict=True) if x is None]
+                    got = np.fromiter(map(get, words, repeat(1.0)), np.float64, len(words))  # logarithms are below 0
+                    other = np.flatnonzero(got > 0)
                     n.append(len(words) + 1)
                     known.append(len(words) - len(other) + (end[1] > 0))
-                    total.append(sum(x for x in got if x is not None) + end[0])
-                    rest.append(other)
+                    total.append(got.sum() - len(other) + end[0])
+                    rest.append([words[i] for i in other.tolist()])
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(total, pa.float64()), pa.array(model.score(_ids(part.column("ids"), kind, len(model.classes) - 1))), pa.array(rest, pa.list_(pa.binary()))], names=names)
+                    pa.array(total, pa.float64()), pa.array(model.score(_ids(part.column("ids"), kind, model.end))), pa.array(rest, pa.list_(pa.binary()))], names=names)
 
     return run
 
@@ -350,60 +336,71 @@ def score_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
     Texts whose ``crc32(doc_id as text) mod 5`` is 1 are held out; all others train. ``base_score`` is the add-half
     unigram score over words and one end, with counts of all training texts; ``score`` is the model's log10
     probability of the whole text's subword ids and end. ``vocabulary`` is the path of a byte-level ``tokenizers``
-    file, the same on every executor. A null text counts as empty; a row without doc_id trains. Without training
-    texts both models are flat. Broadcast: at most ``HEAD`` words with their counts (other words meet theirs in a
-    join), and the model, whose size is set by the vocabulary and ``CLASSES``.
+    file, the same on every executor. A null text counts as empty; a row without doc_id trains; repeated rows train
+    and are scored as often as they stand there. Without training texts both models are flat; an empty table gives no
+    row; texts of any length are trained on and scored whole. Other columns are ignored. Broadcast: at most ``HEAD``
+    words with their counts (other words meet theirs in a join), and the model, whose size is set by the vocabulary
+    and ``CLASSES``.
     """
     spark = docs.sparkSession
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), out.alias("held_out"))
     encoder = _encoder(vocabulary)
     kind, end = encoder.kind.str, encoder.tokenizer.get_vocab_size()
-    coded = materialize(docs.mapInArrow(_code(vocabulary), "doc_id long, held_out boolean, text string, ids binary"), "coded", "zstd")
-    train = coded.where("not held_out")
-    found = materialize(
-        train.select("text", "ids").mapInArrow(_count(kind, end), "kind byte, word binary, id long, n long")
-        .groupBy("kind", "word", "id").agg(F.sum("n").alias("n")), "counts")
-    units = np.zeros(end + 1, np.int64)
-    for r in found.where("kind = 1").select("id", "n").collect():  # at most the vocabulary
-        units[r["id"]] = r["n"]
-    words = found.where("kind = 0")
-    texts = found.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    seen = words.agg(F.sum("n"), F.count("*")).first()
-    tokens, distinct = (seen[0] or 0) + texts, seen[1] + (texts > 0)
-    scale = tokens + 0.5 * (distinct + 1)
-    often = most_frequent(words, "word", "n", HEAD)
-    log = np.log10((often["n"].to_numpy(np.float64) + 0.5) / scale)
-    head = dict(zip(map(bytes, often["word"]), log.tolist(), strict=True))
-    head[None] = (float(np.log10((texts + 0.5) / scale)), texts)
+    with scratch(spark) as keep:
+        coded = materialize(docs.mapInArrow(_code(vocabulary), "doc_id long, held_out boolean, text string, ids binary"), "coded", "zstd")
+        train = coded.where("not held_out")
+        found = materialize(
+            train.select("text", "ids").mapInArrow(_count(kind, end), "kind byte, word binary, id long, n long")
+            .groupBy("kind", "word", "id").agg(F.sum("n").alias("n")), "counts")
+        units = np.zeros(end + 1, np.int64)
+        for r in found.where("kind = 1").select("id", "n").collect():  # at most the vocabulary
+            units[r["id"]] = r["n"]
+        words = found.where("kind = 0")
+        texts = found.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+        seen = words.agg(F.sum("n"), F.count("*")).first()
+        tokens, distinct = (seen[0] or 0) + texts, seen[1] + (texts > 0)
+        scale = tokens + 0.5 * (distinct + 1)
+        often = most_frequent(words, "word", "n", HEAD)
+        log = np.log10((often["n"].to_numpy(np.float64) + 0.5) / scale)
+        head = dict(zip(map(bytes, often["word"]), log.tolist(), strict=True))
+        head[None] = (float(np.log10((texts + 0.5) / scale)), texts)
+
+        model = trained(train.select("ids"), units, kind, PASSES if texts else 0)
+        shape = "doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, score double, rest array<binary>"
+        scored = coded.mapInArrow(_scores(kind, spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(head)), shape)
+        scored = materialize(scored.withColumn("rid", F.monotonically_increasing_id()), "scores", "zstd")
+        release(coded)
+        tail = scored.select("rid", F.explode("rest").alias("word"))
+        logs = F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.5)) / F.lit(float(scale)))
+        tail = (
+            tail.join(words.select("word", "n"), "word", "left").groupBy("rid")
+            .agg(F.sum(logs).alias("tail_score"), F.count_if(F.col("n") > 0).alias("n_tail"))
+        )
+        return keep(materialize(scored.join(tail, "rid", "left").select(
+            "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
+            (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"), "score"), "scored"))
+
+
+def trained(train: DataFrame, units: np.ndarray, kind: str, passes: int = PASSES) -> Model:
+    """A model of the texts of ``train`` (ids), whose ids have the counts ``units``.
 
+    Each pass reads all texts and sends sums of fixed size: at most CLASSES squared pairs, then the weights' sums.
+    """
+    spark = train.sparkSession
+    end = len(units) - 1
     classes = np.full(len(units), CLASSES - 1, np.int32)
     top = np.argsort(-units, kind="stable")[:CLASSES - 1]
     classes[top] = np.arange(len(top))
     pairs = np.zeros(CLASSES * CLASSES, np.int64)
-    counted = train.select("ids").mapInArrow(_pairs(kind, end, classes), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSES squared
+    counted = train.mapInArrow(_pairs(kind, end, classes), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     pairs[counted["id"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     model = Model(units, pairs.reshape(CLASSES, CLASSES), classes)
-    pieces = train.select("doc_id", "ids").mapInArrow(_pieces(kind, end), "word binary, id long")
-    shards = max(1, int(units.sum()) // (BLOCK * SHARD))
-    for _ in range(AVERAGES if texts else 0):
-        shared = spark.sparkContext.broadcast(model)
-        parts = (
-            pieces.withColumn("shard", F.pmod(F.xxhash64("id", "word"), F.lit(shards))).groupBy("shard")
-            .applyInArrow(_descend(shared), "slot long, n long, sum binary")
-            .groupBy("slot").applyInArrow(_summed, "n long, sum binary").collect()  # at most 16 rows
-        )
-        model.load(sum(np.frombuffer(r["sum"], np.float64) for r in parts) / sum(r["n"] for r in parts))
-
-    shape = "doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, score double, rest array<binary>"
-    scored = coded.mapInArrow(_scores(kind, spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(head)), shape)
-    scored = materialize(scored.withColumn("rid", F.monotonically_increasing_id()), "scores")
-    tail = scored.select("rid", F.explode("rest").alias("word"))
-    logs = F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.5)) / F.lit(float(scale)))
-    tail = (
-        tail.join(words.select("word", "n"), "word", "left").groupBy("rid")
-        .agg(F.sum(logs).alias("tail_score"), F.count_if(F.col("n") > 0).alias("n_tail"))
-    )
-    return scored.join(tail, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"), "score")
+    for _ in range(passes):
+        sums = train.mapInArrow(_expected(kind, spark.sparkContext.broadcast(model)), "id long, v double").groupBy("id").agg(F.sum("v").alias("v")).toPandas()
+        grown = model.sums()
+        flat = np.zeros(sum(g.size for g in grown.values()))
+        flat[sums["id"].to_numpy(np.int64)] = sums["v"].to_numpy(np.float64)
+        cuts = np.cumsum([g.size for g in grown.values()])[:-1]
+        model.learn({n: part.reshape(g.shape) for (n, g), part in zip(grown.items(), np.split(flat, cuts), strict=True)})
+    return model
