@@ -1,11 +1,13 @@
-"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment decides.
-
-The test items' n-grams are the seeds. One scan of the training texts emits the passages around places whose n-gram
-might be a seed (a bitmap of fixed size, broadcast, stands for the seed table, so the scan needs no shuffle and its
-broadcast does not grow); Spark then joins their hashes to the seed table, which removes the bitmap's false hits.
-Every pair of passage and item that shares a seed goes on, however common the seed is. The alignment is local, over
-words, and scores edited copies: a word more, less or changed costs half of what an equal one earns. Only pairs that
-cannot reach the limit, as too few of the item's words stand in the passage at all, are left out before it.
+"""Benchmark decontamination: rare word seeds find passages, Smith-Waterman alignment decides.
+
+The test items' seeds are spaced triples of words: six shapes of three words within five places, so that copies with
+every third or fourth word changed still hold some. One scan of the training texts finds the places whose triples might
+be seeds (a bitmap of fixed size, broadcast, stands for the seed table, so the scan needs no shuffle and its broadcast
+does not grow). Where the seed table itself is small (``INDEX_SEEDS``, as benchmarks are), it goes along and the scan
+leaves out hits that cannot reach the limit, as too few of the item's words stand around them at all. Spark then joins
+the seeds of the passages to the seed table. Every pair of passage and item that shares a seed goes on, however common
+the seed is; the same bound by words is taken before each alignment, so both ways give the same pairs. The alignment
+is local, over words, and scores edited copies: a word more, less or changed costs half of what an equal one earns.
 """
 
 from __future__ import annotations
@@ -17,57 +19,119 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textaxis.llm.words import NOT_ALNUM, Ranges, word_slices
-from textaxis.session import materialize
+from textaxis.llm.words import NOT_ALNUM, mix, word_slices
+from textaxis.session import materialize, scratch
 
-BITMAP = 1 << 22
+BITMAP = 1 << 25
+#: Places of a seed's words, from its first one.
+SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
+#: Most seeds whose table (28 bytes a seed, and the items' words) goes along with the scan.
+INDEX_SEEDS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _SEEDS = pa.schema([("item_id", pa.int64()), ("seed", pa.int64()), ("item_pos", pa.int32()), ("words", pa.binary())])
 _PASSAGES = pa.schema([("doc_id", pa.int64()), ("base", pa.int32()), ("words", pa.binary()), ("pos", pa.list_(pa.int32())), ("seed", pa.list_(pa.int64()))])
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(42)).astype(np.int64)  # 22 bits: BITMAP
-
-
-def _item_seeds(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, row, h in word_slices(batch, "text", NOT_ALNUM, lower=True):
-                grams = Ranges(h).rolling(n)
-                cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                for i in range(hi - lo):
-                    a, b = int(cut[i]), int(cut[i + 1])
-                    k = b - a - n + 1
-                    if k > 0:
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([batch.column("item_id")[lo + i].as_py()] * k, pa.int64()), pa.array(grams[a:a + k].view(np.int64)),
-                            pa.array(np.arange(k, dtype=np.int32)), pa.array([h[a:b].tobytes()] + [None] * (k - 1), pa.binary())], schema=_SEEDS)
-
-    return run
+def seeds_of(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All seeds of texts, whose words have the hashes ``h``, and the place of each one's first word."""
+    seed, place = [], []
+    for number, shape in enumerate(SHAPES):
+        n = len(h) - shape[-1]
+        if n > 0:
+            x = np.full(n, number + 1, np.uint64)
+            for at in shape:
+                x = mix(x * np.uint64(3) + h[at:at + n])
+            inside = np.flatnonzero(row[:n] == row[shape[-1]:])
+            seed.append(x[inside])
+            place.append(inside)
+    return (np.concatenate(seed), np.concatenate(place)) if seed else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _passages(n: int, reach: int, bitmap):
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(39)).astype(np.int64)  # 25 bits: BITMAP
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        item = batch.column("item_id").to_pylist()
+        for lo, hi, row, h in word_slices(batch, "text", NOT_ALNUM, lower=True):
+            cut = np.searchsorted(row, np.arange(hi - lo + 1))
+            for i in range(hi - lo):
+                words = h[cut[i]:cut[i + 1]]
+                seed, place = seeds_of(words, np.zeros(len(words), np.int8))
+                if k := len(seed):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([item[lo + i]] * k, pa.int64()), pa.array(seed.view(np.int64)), pa.array(place.astype(np.int32)),
+                        pa.array([words.tobytes()] + [None] * (k - 1), pa.binary())], schema=_SEEDS)
+
+
+class SeedIndex:
+    """The seed table in arrays, for hits that can be judged in the scan."""
+
+    def __init__(self, seeds):
+        """``seeds`` is the whole table as pandas: item_id, seed, item_pos, words (on one row of each text)."""
+        text = seeds["words"].notna().to_numpy().cumsum() - 1  # rows of a text follow one another, the one with words first
+        self.words = [np.frombuffer(w, np.uint64) for w in seeds["words"].dropna()]
+        self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
+        self.words = [np.searchsorted(self.vocabulary, w) for w in self.words]
+        seed = seeds["seed"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(seed, kind="stable")
+        self.seed, self.text, self.place = seed[order], text[order], seeds["item_pos"].to_numpy(np.int64)[order]
+
+    def able(self, h: np.ndarray, row: np.ndarray, seed: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+        """Which hits of a slice of texts have enough words of some item around them."""
+        low, high = np.searchsorted(self.seed, seed, "left"), np.searchsorted(self.seed, seed, "right")
+        many = high - low
+        hit = np.repeat(np.arange(len(seed)), many)
+        entry = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        start = at[hit] - self.place[entry]
+        first, last = np.searchsorted(row, row[at[hit]], "left"), np.searchsorted(row, row[at[hit]], "right")
+        known = np.searchsorted(self.vocabulary, h)
+        known[known == len(self.vocabulary)] = 0
+        known[self.vocabulary[known] != h] = len(self.vocabulary)
+        here = np.zeros(len(self.vocabulary) + 1, bool)
+        keep, judged = np.zeros(len(seed), bool), {}
+        for i, t, s, a, b in zip(hit.tolist(), self.text[entry].tolist(), start.tolist(), first.tolist(), last.tolist(), strict=True):
+            if keep[i]:
+                continue
+            words = self.words[t]
+            m = len(words)
+            if (got := judged.get((t, s))) is None:
+                near = known[max(a, s - m // 2):min(b, s + m + m // 2)]
+                here[near] = True
+                got = judged[t, s] = 100 * np.count_nonzero(here[words]) >= percent * m
+                here[near] = False
+            keep[i] = got
+        return keep
+
+
+def _passages(reach: int, percent: int, bitmap, index):
     """Hits closer than ``reach`` share a passage, which has ``reach`` words more on both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        might = bitmap.value
+        might, table = bitmap.value, index.value
         for batch in batches:
             doc = batch.column("doc_id").to_pylist()
             for lo, _, row, h in word_slices(batch, "text", NOT_ALNUM, lower=True):
-                grams = Ranges(h).rolling(n)
-                at = np.flatnonzero(might[_slot(grams)])
-                at = at[row[at] == row[at + n - 1]]
+                seed, at = seeds_of(h, row)
+                slot = _slot(seed)
+                hit = np.flatnonzero((might[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+                seed, at = seed[hit], at[hit]
+                if table is not None and len(at):
+                    keep = table.able(h, row, seed, at, percent)
+                    seed, at = seed[keep], at[keep]
                 if not len(at):
                     continue
+                order = np.argsort(at, kind="stable")
+                seed, at = seed[order], at[order]
                 cuts = np.flatnonzero(np.r_[True, (np.diff(at) > reach) | (row[at[1:]] != row[at[:-1]]), True])
                 out: list[list] = [[], [], [], [], []]
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     r = row[at[a]]
                     first, last = np.searchsorted(row, [r, r + 1])
-                    x, y = max(first, at[a] - reach), min(last, at[b - 1] + n + reach)
-                    for c, v in zip(out, (doc[lo + r], x - first, h[x:y].tobytes(), (at[a:b] - x).astype(np.int32), grams[at[a:b]].view(np.int64)), strict=True):
+                    x, y = max(first, at[a] - reach), min(last, at[b - 1] + reach)
+                    for c, v in zip(out, (doc[lo + r], x - first, h[x:y].tobytes(), (at[a:b] - x).astype(np.int32), seed[a:b].view(np.int64)), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PASSAGES, strict=True)], schema=_PASSAGES)
 
@@ -123,7 +187,7 @@ def _aligned(percent: int):
             cells = 0
             for doc, item, base, words, item_words, hits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "base", "words", "item_words", "hits")), strict=True):
                 x, y = np.frombuffer(item_words, np.uint64), np.frombuffer(words, np.uint64)
-                begin = sorted(h["pos"] - h["item_pos"] for h in hits)
+                begin = sorted({p - q for h in hits for p in h["pos"] for q in h["item_pos"]})
                 lo = begin[0]
                 spans = []
                 for p, q in zip(begin, [*begin[1:], None], strict=True):
@@ -144,38 +208,44 @@ def _aligned(percent: int):
     return run
 
 
-def contaminated_pairs(docs: DataFrame, items: DataFrame, n: int = 4, percent: int = 50) -> DataFrame:
-    """``(doc_id, item_id, start_word, end_word, item_words, n_hits, score)``, one row per document and leaked item.
+def contaminated_pairs(docs: DataFrame, items: DataFrame, percent: int = 50, index_seeds: int = INDEX_SEEDS) -> DataFrame:
+    """``(doc_id, item_id, start_word, end_word, item_words, score, n_places)``, one row per document and leaked item.
 
-    ``docs`` has doc_id and text, ``items`` item_id and text. Words are runs of letters and digits, A-Z in lower case.
-    A document holds an item if the best alignment reaches ``percent`` of the score of a whole exact copy; ``score``
-    is that share, the places are those of the best alignment. Items of fewer than ``n`` words and null texts match
-    nothing; rows without doc_id or item_id are left out; repeated rows count once.
+    ``docs`` has doc_id and text, ``items`` item_id and text; other columns are ignored. Words are runs of letters and
+    digits, A-Z in lower case. A document holds an item if the best alignment reaches ``percent`` of the score of a
+    whole exact copy and holds a seed (three equal words within five places, in any of ``SHAPES``); ``score`` is that
+    share, the places are those of the best alignment, of equal ones the first; ``n_places`` counts the places that
+    reach the limit. Items of fewer than three words and null texts match nothing; rows without doc_id or item_id are
+    left out; repeated rows count once per pair. Texts of any length are read whole; an empty table gives no row.
     """
     spark = docs.sparkSession
-    items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    seeds = materialize(items.mapInArrow(_item_seeds(n), "item_id long, seed long, item_pos int, words binary"), "seeds")
-    places = seeds.select(F.shiftrightunsigned("seed", 42).alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)  # at most BITMAP
-    bitmap = np.zeros(BITMAP, bool)
-    bitmap[places] = True
-    reach = max(n, seeds.agg(F.max(F.octet_length("words"))).first()[0] or 0) // 8 * 3 // 2 + n
+    items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shape = "doc_id long, base int, words binary, pos array<int>, seed array<long>"
-    found = texts.mapInArrow(_passages(n, reach, spark.sparkContext.broadcast(bitmap)), shape)
-    found = materialize(found.withColumn("passage", F.monotonically_increasing_id()), "passages")
-
-    hits = found.select("passage", F.explode(F.arrays_zip("pos", "seed")).alias("h")).select("passage", "h.*")
-    pairs = (
-        hits.join(seeds.drop("words"), "seed").groupBy("passage", "item_id")
-        .agg(F.collect_list(F.struct("pos", "item_pos")).alias("hits"))
-    )
-    whole = seeds.where("words is not null").groupBy("item_id").agg(F.first("words").alias("item_words"))
-    jobs = pairs.join(found.select("passage", "doc_id", "base", "words"), "passage").join(whole, "item_id")
-    shape = "doc_id long, item_id long, start_word long, end_word long, item_words long, score double"
-    scored = jobs.select("doc_id", "item_id", "base", "words", "item_words", "hits").mapInArrow(_aligned(percent), shape)
-    best = scored.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("score", -F.col("start_word"), "end_word", "item_words")).alias("b"), F.count("*").alias("n_places"))
-    return best.select("doc_id", "item_id", (-F.col("b.col2")).alias("start_word"), "b.end_word", "b.item_words", F.round("b.score", 6).alias("score"), "n_places")
+    with scratch(spark) as keep:
+        seeds = materialize(items.mapInArrow(_item_seeds, "item_id long, seed long, item_pos int, words binary"), "seeds")
+        places = seeds.select(F.shiftrightunsigned("seed", 39).alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)  # at most BITMAP
+        bits = np.zeros(BITMAP, np.uint8)
+        bits[places] = 1
+        few = seeds.count() <= index_seeds
+        index = spark.sparkContext.broadcast(SeedIndex(seeds.toPandas()) if few else None)
+        reach = max(1, seeds.agg(F.max(F.octet_length("words"))).first()[0] or 0) // 8 * 3 // 2 + SHAPES[-1][-1]
+        shape = "doc_id long, base int, words binary, pos array<int>, seed array<long>"
+        found = texts.mapInArrow(_passages(reach, percent, spark.sparkContext.broadcast(np.packbits(bits, bitorder="little")), index), shape)
+        found = materialize(found.withColumn("passage", F.monotonically_increasing_id()), "passages")
+
+        # Places are brought together by seed on both sides first, so a seed and an item meet once per passage.
+        hits = found.select("passage", F.explode(F.arrays_zip("pos", "seed")).alias("h")).groupBy("passage", "h.seed").agg(F.collect_list("h.pos").alias("pos"))
+        of = seeds.groupBy("seed", "item_id").agg(F.collect_set("item_pos").alias("item_pos"))
+        pairs = hits.join(of, "seed").groupBy("passage", "item_id").agg(F.collect_list(F.struct("pos", "item_pos")).alias("hits"))
+        whole = seeds.where("words is not null").select("item_id", F.col("words").alias("item_words"))
+        jobs = pairs.join(found.select("passage", "doc_id", "base", "words"), "passage").join(whole, "item_id")
+        shape = "doc_id long, item_id long, start_word long, end_word long, item_words long, score double"
+        scored = jobs.select("doc_id", "item_id", "base", "words", "item_words", "hits").mapInArrow(_aligned(percent), shape)
+        best = scored.groupBy("doc_id", "item_id").agg(
+            F.max(F.struct("score", -F.col("start_word"), "end_word", "item_words")).alias("b"),
+            F.count_distinct("start_word", "end_word").alias("n_places"))
+        return keep(materialize(best.select(
+            "doc_id", "item_id", (-F.col("b.col2")).alias("start_word"), "b.end_word", "b.item_words", F.round("b.score", 6).alias("score"), "n_places"), "leaks"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
