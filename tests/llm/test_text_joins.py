@@ -144,6 +144,40 @@ def test_passages_twice_in_the_later_document(spark, seed):
     assert sorted(r["n_removed"] for r in rlz.dedup_substrings(rows).collect()) == [0, 60, 60]
 
 
+def test_factors_are_copies_and_greedy(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(400)]
+    texts = [list(rng.choice(words, 200)) for _ in range(4)]
+    for _ in range(12):
+        parts = []
+        for _ in range(3):
+            source = texts[rng.integers(len(texts))]
+            a = int(rng.integers(0, len(source) - 30))
+            parts += source[a:a + int(rng.integers(5, 90))] + list(rng.choice(words, rng.integers(0, 6)))
+        texts.append(parts)
+    rows = rlz.factors(table(spark, [" ".join(t) for t in texts]), 20, 8).collect()
+    assert len(rows) > 10
+    covered = {}
+    for r in rows:
+        assert r["length"] >= 20 and r["ref_doc_id"] < r["doc_id"]
+        copy = texts[r["doc_id"]][r["start"]:r["start"] + r["length"]]
+        assert copy == texts[r["ref_doc_id"]][r["ref_start"]:r["ref_start"] + r["length"]]
+        covered.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["length"]))
+    first = {}
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 19):
+            first.setdefault(tuple(t[i:i + 20]), d)
+    for d, t in enumerate(texts):
+        want = {p for i in range(len(t) - 19) if first[tuple(t[i:i + 20])] < d for p in range(i, i + 20)}
+        assert covered.get(d, set()) == want
+
+
+def test_parse_takes_the_furthest_factor():
+    copies = [(0, 50, 3, 10), (30, 80, 3, 40), (20, 70, 1, 0), (60, 200, 2, 5), (70, 120, 1, 9), (300, 350, 4, 0)]
+    assert rlz.parse(copies) == [(0, 80, 3, 10), (60, 140, 2, 5), (300, 50, 4, 0)]
+    assert rlz.parse([]) == []
+
+
 def test_substrings_odd_tables(spark):
     assert rlz.dedup_substrings(table(spark, [])).count() == 0
     long = " ".join(f"w{i}" for i in range(60))
@@ -212,6 +246,54 @@ def test_a_common_seed_is_enough(spark):
     assert got == {0: 0.7} | dict.fromkeys(range(1, 31), 1.0)
 
 
+def edited(rng, item, share, even):
+    """A copy with words changed at even steps, or changed, dropped and put in at random."""
+    if even:
+        step = max(2, round(1 / share))
+        return [f"e{rng.integers(10**6)}" if k % step == step - 1 else w for k, w in enumerate(item)]
+    out = []
+    for w in item:
+        if rng.random() >= share:
+            out.append(w)
+        elif (kind := rng.integers(3)) == 0:
+            out.append(f"e{rng.integers(10**6)}")
+        elif kind == 1:
+            out += [w, f"e{rng.integers(10**6)}"]
+    return out
+
+
+@pytest.mark.parametrize("index_seeds", [decontam.INDEX_SEEDS, 0])
+def test_edited_copies_against_all_alignments(spark, index_seeds):
+    rng = np.random.default_rng(8)
+    items = [[f"w{rng.integers(400)}" for _ in range(rng.integers(8, 45))] for _ in range(20)]
+    texts = []
+    for share in (0.05, 0.1, 0.2, 0.25, 0.3):
+        for even in (False, True):
+            for k in range(0, 20, 2):
+                around = [f"w{rng.integers(400)}" for _ in range(30)]
+                texts.append(" ".join(around[:15] + edited(rng, items[k + even], share, even) + around[15:]))
+    number = {}
+    coded = lambda t: np.array([number.setdefault(w, len(number) + 1) for w in t.split()], np.uint64)
+    xs, ys = [coded(" ".join(x)) for x in items], [coded(t) for t in texts]
+    want = {}
+    for d, y in enumerate(ys):
+        score, _ = decontam.align(xs, [y] * len(xs))
+        want |= {(d, k): s / (2 * len(x)) for k, (s, x) in enumerate(zip(score.tolist(), xs, strict=True)) if s >= len(x)}
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated_pairs(table(spark, texts), bench, index_seeds=index_seeds).collect()}
+    assert set(got) <= set(want) and len(want) > 80
+    assert len(got) >= 0.95 * len(want)
+    assert all(got[p] == pytest.approx(want[p], abs=1e-5) for p in got)
+
+
+def test_every_fourth_word_replaced_is_found(spark):
+    items = [[f"i{k}x{j}" for j in range(40)] for k in range(20)]
+    texts = [" ".join(f"e{k}x{j}" if j % 4 == 3 else w for j, w in enumerate(x)) for k, x in enumerate(items)]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = decontam.contaminated_pairs(table(spark, texts), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, k) for k in range(20)]
+
+
 def test_scores_base_and_model(spark):
     rng = np.random.default_rng(6)
     words = ["alpha", "beta", "gamma", "delta", "Omega", "zeta"]
@@ -236,81 +318,116 @@ def test_scores_base_and_model(spark):
     assert lm.score_texts(table(spark, []), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
-@pytest.mark.parametrize("size", [1, 2, lm.BLOCK, lm.BLOCK + 1, lm.BLOCK * lm.PIECE, 3 * lm.BLOCK * lm.PIECE + 7])
-def test_every_id_is_a_training_target_once(size):
-    text = np.arange(100, 100 + size).astype(np.int32)
-    before = np.concatenate([np.full(lm.BLOCK, -1), text[-1:], text])
-    for stored in ("<u2", "<i4"):
-        windows = np.concatenate([lm.read_windows(x, stored) for x in lm.cut_pieces(text, stored)])
-        target = windows[:, lm.BLOCK + 1:]
-        assert target[target >= 0].tolist() == text.tolist()
-        assert all((w[:lm.BLOCK + 1] == before[b * lm.BLOCK:][:lm.BLOCK + 1]).all() for b, w in enumerate(windows))
+def plain_model(units, pairs, classes):
+    return lm.Model(np.asarray(units), pairs, np.asarray(classes, np.int32))
 
 
-def test_the_whole_of_each_text_trains(spark, monkeypatch):
-    texts = [" ".join(f"w{i * j % 97}" for j in range(400)) for i in range(20)]
-    seen, real = spark.sparkContext.accumulator(0), lm._descend
+def small_model(n=40, seed=7):
+    rng = np.random.default_rng(seed)
+    pairs = np.zeros((lm.CLASSES, lm.CLASSES), np.int64)
+    pairs[:n, :n] = rng.integers(0, 9, (n, n))
+    return plain_model(rng.integers(0, 50, n), pairs, np.minimum(np.arange(n), lm.CLASSES - 1))
+
+
+def plain_score(model, text):
+    """The model written down place by place."""
+    w, out = model.weights, 0.0
+    distance, key, match = w["distance"], w["key"], w["match"]
+    before = [model.end, *text.tolist()]  # before[i] is the id before place i
+    for i, target in enumerate(text.tolist()):
+        last, low = before[i], (i // lm.BLOCK - 1) * lm.BLOCK
+        c = model.classes[last]
+        total = copied = 0.0
+        best = 0
+        for j in range(max(0, low), i):
+            level = 0 if before[j] != last else 2 if j > max(0, low) and before[j - 1] == before[i - 1] else 1
+            best = max(best, level)
+            s = distance[i - j] * key[model.classes[before[j]]] * match[level, c]
+            total += s
+            copied += s * (text[j] == target)
+        uni, bi = model.unigram[target], model.bigram[c, model.classes[target]] * model.inside[target]
+        g = w["gate"][c * 3 + best]
+        out += math.log10(g[0] * uni + g[1] * bi + g[2] * (copied / total if total else bi))
+    return out
 
-    def counting(shared):
-        descend = real(shared)
 
-        def run(key, table):
-            out = descend(key, table)
-            seen.add(out.column("n")[0].as_py())
-            return out
+@pytest.mark.parametrize("size", [1, 2, lm.BLOCK, lm.BLOCK + 1, 5 * lm.BLOCK + 7])
+def test_scores_equal_the_plain_model(size):
+    model, rng = small_model(), np.random.default_rng(size)
+    model.weights["distance"] = rng.uniform(0.5, 2, 2 * lm.BLOCK).astype(np.float32)
+    model.weights["key"] = rng.uniform(0.5, 2, lm.CLASSES).astype(np.float32)
+    text = rng.integers(0, 40, size).astype(np.int32)
+    other = rng.integers(0, 40, 3).astype(np.int32)
+    got = model.score([other, text, other])
+    assert got[1] == pytest.approx(plain_score(model, text), rel=1e-4)
+    assert got[0] == got[2] == pytest.approx(plain_score(model, other), rel=1e-4)
 
-        return run
 
-    monkeypatch.setattr(lm, "_descend", counting)
-    lm.score_texts(table(spark, texts), vocabulary("byte_bpe_50k.json"))
-    train = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(20))
-    assert seen.value >= lm.AVERAGES * train * 400 // lm.BLOCK
+def test_every_id_is_a_target_once():
+    model = small_model()
+    texts = [np.arange(n).astype(np.int32) % 40 for n in (1, 2, lm.BLOCK, lm.BLOCK + 1, 300, 4)]
+    seen = [[] for _ in texts]
+    for x, text in model.windows(texts):
+        for row, t in zip(x, text, strict=True):
+            seen[t] += [v for v in row[lm.BLOCK + 1:].tolist() if v >= 0]
+    assert seen == [t.tolist() for t in texts]
 
 
-def test_a_token_attends_to_32_ids_before_it_at_least():
-    n = 200
-    classes, pairs = np.arange(n).astype(np.int32), np.zeros((lm.CLASSES, lm.CLASSES), np.int64)
-    model = lm.Model(np.ones(n, np.int64), pairs, classes)
-    text = np.arange(n).astype(np.int32)
-    for at in range(40, 140):
-        copy, other = text.copy(), text.copy()
-        copy[at - 32], other[at - 32] = at, 199  # the id at ``at`` stands 32 before, or an id that doesn't come up again
-        two = [model.score([x[:at + extra].copy()])[0] for x in (copy, other) for extra in (0, 1)]
-        assert two[1] - two[0] > two[3] - two[2] + 1e-4
+def test_probabilities_sum_up_to_one():
+    model, rng = small_model(), np.random.default_rng(9)
+    prefix = rng.integers(0, 40, 50).astype(np.int32)
+    start = model.score([prefix])[0]
+    assert sum(10 ** (model.score([np.append(prefix, x).astype(np.int32)])[0] - start) for x in range(40)) == pytest.approx(1.0, abs=1e-3)
 
 
-def test_model_is_a_distribution_and_causal():
-    rng = np.random.default_rng(7)
-    n = 40
-    units = rng.integers(0, 50, n)
-    classes = np.minimum(np.arange(n), lm.CLASSES - 1).astype(np.int32)
+def repeats(rng, n=60):
+    """Texts whose second half repeats the first at a distance, in random order of phrases."""
+    out = []
+    for _ in range(n):
+        phrases = [rng.integers(0, 200, 6) for _ in range(4)]
+        out.append(np.concatenate([phrases[i] for i in rng.permutation(np.repeat(np.arange(4), 3))] + [[200]]).astype(np.int32))
+    return out
+
+
+def test_learned_attention_beats_uniform_weights_and_bigrams():
+    rng = np.random.default_rng(10)
+    train, held = repeats(rng), repeats(rng)
+    units, classes = np.bincount(np.concatenate(train), minlength=201), np.arange(201)
     pairs = np.zeros((lm.CLASSES, lm.CLASSES), np.int64)
-    pairs[:n, :n] = rng.integers(0, 9, (n, n))
-    model = lm.Model(units, pairs, classes)
-    grown = {k: np.full_like(w, 1e-6) for k, w in model.weights.items()}
-    windows = rng.integers(0, n, (32, 2 * lm.BLOCK + 1)).astype(np.int32)
-    before = np.log(model.mixed(classes[windows[:, :-1]], windows[:, 1:], classes[windows[:, lm.BLOCK:-1]], windows[:, 1 + lm.BLOCK:])[0]).mean()
-    for _ in range(20):
-        model.step(windows, grown)
-    after = np.log(model.mixed(classes[windows[:, :-1]], windows[:, 1:], classes[windows[:, lm.BLOCK:-1]], windows[:, 1 + lm.BLOCK:])[0]).mean()
-    assert after > before
-    prefix = rng.integers(0, n, 50).astype(np.int32)
-    last = [model.score([np.append(prefix, x).astype(np.int32)])[0] - 0 for x in range(n)]
-    # With the text's own last id as its boundary the first factor differs, so compare the sums of the last factors.
-    total = 0.0
-    for x in range(n):
-        text = np.concatenate([prefix, [x, 0]]).astype(np.int32)
-        cut = np.concatenate([prefix, [0]]).astype(np.int32)
-        keys = classes[np.append(0, text[:-1])]
-        values = text
-        place = len(prefix)
-        block = place // lm.BLOCK * lm.BLOCK
-        k, v = np.zeros(2 * lm.BLOCK, int), np.full(2 * lm.BLOCK, -1)
-        for j in range(2 * lm.BLOCK):
-            if 0 <= block - lm.BLOCK + j <= place:
-                k[j], v[j] = keys[block - lm.BLOCK + j], values[block - lm.BLOCK + j]
-        total += model.mixed(k[None], v[None], k[None, lm.BLOCK:], np.maximum(v, 0)[None, lm.BLOCK:])[0][0, place - block]
-        assert len(cut)
-    assert total == pytest.approx(1.0, abs=1e-3) and len(last) == n
-    one = model.score([rng.integers(0, n, 100).astype(np.int32)])
-    assert np.isfinite(one).all()
+    for x in train:
+        np.add.at(pairs, (np.append(200, x[:-1]), x), 1)
+
+    def held_out(learned):
+        model = plain_model(units, pairs, classes)
+        if not learned:
+            model.weights["match"][:] = 1
+        for _ in range(3):
+            grown = model.sums()
+            model.train(train, grown)
+            kept = {k: w.copy() for k, w in model.weights.items()}
+            model.learn(grown)
+            if not learned:
+                model.weights.update(distance=kept["distance"], key=kept["key"], match=kept["match"])
+        with_attention = model.score(held).sum()
+        model.weights["gate"][:, 1] += model.weights["gate"][:, 2]
+        model.weights["gate"][:, 2] = 0
+        return with_attention, model.score(held).sum()
+
+    learned, bigrams = held_out(True)
+    uniform, _ = held_out(False)
+    assert learned > 0.85 * uniform and learned > 0.75 * bigrams  # scores are negative
+
+
+def test_training_passes_add_up_over_parts_and_help():
+    rng = np.random.default_rng(11)
+    texts = repeats(rng, 20)
+    model = plain_model(np.bincount(np.concatenate(texts), minlength=201), np.zeros((lm.CLASSES, lm.CLASSES), np.int64), np.arange(201))
+    whole, parts = model.sums(), model.sums()
+    model.train(texts, whole)
+    for x in texts:
+        model.train([x], parts)
+    assert all(np.allclose(whole[k], parts[k], rtol=1e-3, atol=1e-4) for k in whole)
+    assert whole["gate"].sum() == pytest.approx(sum(map(len, texts)), rel=1e-4)  # each id of each text trains once
+    before = model.score(texts).sum()
+    model.learn(whole)
+    assert model.score(texts).sum() > before

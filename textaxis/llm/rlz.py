@@ -2,12 +2,14 @@
 
 A text is cut into overlapping blocks that depend on content alone: of each window of ``window`` words the anchor is
 the word run of ``anchor`` words with the least hash, and the windows with one anchor make a block (at most
-``2 * window - anchor`` words). The smallest document with a block is that block's reference. A document is factored
-greedily: a block that an earlier document's index entry equals is copied whole, so neighbouring copied blocks chain to
-one long factor without looking at any word of it again. Only at factor boundaries, blocks whose anchor is shared
-while the block is not, the single windows are compared, and only for one document per distinct block, at every place
-where that document holds it. As equal windows have equal anchors at equal places, this finds exactly the windows that
-also start in an earlier document.
+``2 * window - anchor`` words). The index has every distinct block with its reference, the first place in the smallest
+document that holds it. A document's blocks that stand in the index under an earlier document are copies of their
+references; copies that go on in the reference as they do in the document are one factor, without looking at any word
+again. The document is then parsed greedily: from each place on, the factor that reaches furthest is taken.
+
+At factor boundaries, blocks whose anchor is shared while the block is not, the single windows are compared, and only
+for one document per distinct block, at every place where that document holds it. As equal windows have equal anchors
+at equal places, factors and boundaries together cover exactly the windows that also start in an earlier document.
 
 All matching is aggregation by hash (128 bits together), partial before each shuffle: a passage in a third of all
 documents is one reference with many copies, never a list of pairs.
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textaxis.llm.words import Ranges, mix, sliding_min, word_slices
-from textaxis.session import materialize
+from textaxis.session import materialize, release, scratch
 
 U = np.uint64
 #: Words of a single text whose anchors are chosen at a time; bounds the bits for a place.
@@ -110,9 +112,51 @@ def _windows(window: int, anchor: int):
     return run
 
 
-def _merged(spans) -> list[list[int]]:
+def parse(copies: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The greedy factors (start, length, ref_doc_id, ref_start) of a document from its copies (start, stop, ref_doc_id, ref_start).
+
+    Copies that go on in their reference are one factor. Of the factors that begin at or before the next place, the
+    one that reaches furthest is taken, of equal ones that with the smaller reference; it may overlap the one before.
+    """
+    whole: list[list[int]] = []
+    for start, stop, ref, at in sorted(copies, key=lambda c: (c[2], c[3] - c[0], c[0])):
+        last = whole[-1] if whole else None
+        if last and last[2] == ref and last[3] - last[0] == at - start and start <= last[1]:
+            last[1] = max(last[1], stop)
+        else:
+            whole.append([start, stop, ref, at])
+    whole.sort(key=lambda f: (f[0], -f[1], f[2], f[3]))
+    out: list[tuple[int, int, int, int]] = []
+    place, i = 0, 0
+    while i < len(whole):
+        best = None
+        while i < len(whole) and whole[i][0] <= place:
+            if best is None or whole[i][1] > best[1]:
+                best = whole[i]
+            i += 1
+        if best is not None and best[1] > place:
+            out.append((best[0], best[1] - best[0], best[2], best[3]))
+            place = best[1]
+        elif i < len(whole):
+            place = max(place, whole[i][0])
+    return out
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc_id", pa.int64()), ("ref_start", pa.int32())]))
+    for batch in batches:
+        copies = batch.column("copies")
+        flat = copies.flatten()
+        rows = list(zip(*(flat.field(c).to_pylist() for c in ("start", "stop", "ref", "ref_start")), strict=True))
+        ends = np.cumsum(copies.value_lengths().to_numpy())
+        factors = [[dict(zip(("start", "length", "ref_doc_id", "ref_start"), f, strict=True)) for f in parse(rows[a:b])]
+                   for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(factors, kind)], names=["doc_id", "tag", "factors"])
+
+
+def _merged(factors) -> list[list[int]]:
     out: list[list[int]] = []
-    for a, b in sorted((x["start"], x["stop"]) for x in (() if spans is None else spans)):
+    for a, b in sorted((x["start"], x["start"] + x["length"]) for x in (() if factors is None else factors)):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -120,45 +164,60 @@ def _merged(spans) -> list[list[int]]:
     return out
 
 
-def duplicate_spans(docs: DataFrame, window: int = 50, anchor: int = 16) -> DataFrame:
-    """``(doc_id, tag, spans)``: word ranges of ``docs`` (doc_id, text, tag) that repeat an earlier document.
+def parsed(docs: DataFrame, window: int = 50, anchor: int = 16) -> DataFrame:
+    """``(doc_id, tag, factors)``: the factors of each text of ``docs`` (doc_id, text, tag) that repeats an earlier one.
 
-    The ranges cover each window of ``window`` words whose word sequence also starts in a document with a smaller
-    doc_id. They may overlap. ``tag`` tells rows of one doc_id apart.
+    Factors are ``(start, length, ref_doc_id, ref_start)`` in words, in order, each at least ``window`` long; they
+    cover each window of ``window`` words whose word sequence also starts in a document with a smaller doc_id, and
+    nothing else. ``tag`` tells rows of one doc_id apart; of a repeated doc_id ``ref_start`` is in any of its texts
+    that holds the words there.
+    """
+    with scratch(docs.sparkSession) as keep:
+        shape = "anchor long, block long, doc_id long, tag long, start int, stop int"
+        blocks = materialize(docs.select("doc_id", "tag", "text").mapInArrow(_blocks(window, anchor), shape), "blocks")
+        first = F.min(F.struct("doc_id", "start"))
+        index = blocks.groupBy("anchor", "block").agg(first.alias("f"), F.max("doc_id").alias("last"))
+        index = materialize(index.select("anchor", "block", F.col("f.doc_id").alias("ref"), F.col("f.start").alias("ref_start"), "last"), "index")
+        copied = index.where("last > ref").drop("last")
+        whole = materialize(blocks.join(copied, ["anchor", "block"]).where("doc_id > ref").select("doc_id", "tag", "start", "stop", "ref", "ref_start"), "copies")
+        release(blocks)
+
+        shared = index.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+        asked = (
+            index.join(shared, "anchor", "left_semi").select(F.col("ref").alias("doc_id"), "block")
+            .groupBy("doc_id").agg(F.collect_set("block").alias("asked"))
+        )
+        single = materialize(
+            docs.select("doc_id", "tag", "text").join(asked, "doc_id")
+            .mapInArrow(_windows(window, anchor), "anchor long, win long, doc_id long, tag long, start int"), "windows")
+        release(index)
+        seen = single.groupBy("anchor", "win").agg(first.alias("f"), F.max("doc_id").alias("last")).where("last > f.doc_id")
+        edge = (
+            single.join(seen, ["anchor", "win"]).where("doc_id > f.doc_id")
+            .select("doc_id", "tag", "start", (F.col("start") + window).alias("stop"), F.col("f.doc_id").alias("ref"), F.col("f.start").alias("ref_start"))
+        )
+        copies = whole.unionByName(edge).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop", "ref", "ref_start")).alias("copies"))
+        shape = "doc_id long, tag long, factors array<struct<start int, length int, ref_doc_id long, ref_start int>>"
+        return keep(materialize(copies.mapInArrow(_parsed, shape), "factors"))
+
+
+def factors(docs: DataFrame, window: int = 50, anchor: int = 16) -> DataFrame:
+    """One row per factor of ``docs`` (doc_id, text): doc_id, start, length, ref_doc_id, ref_start, in words.
+
+    Null texts and rows without doc_id have none; an empty table gives no row.
     """
-    shape = "anchor long, block long, doc_id long, tag long, start int, stop int"
-    blocks = materialize(docs.select("doc_id", "tag", "text").mapInArrow(_blocks(window, anchor), shape), "blocks")
-    index = materialize(
-        blocks.groupBy("anchor", "block")
-        .agg(F.min("doc_id").alias("r"), F.max("doc_id").alias("last")), "index")
-    copied = index.where("last > r").select("anchor", "block", "r")
-    whole = blocks.join(copied, ["anchor", "block"]).where("doc_id > r").select("doc_id", "tag", "start", "stop")
-
-    shared = index.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    asked = (
-        index.join(shared, "anchor", "left_semi").select(F.col("r").alias("doc_id"), "block")
-        .groupBy("doc_id").agg(F.collect_set("block").alias("asked"))
-    )
-    single = materialize(
-        docs.select("doc_id", "tag", "text").join(asked, "doc_id")
-        .mapInArrow(_windows(window, anchor), "anchor long, win long, doc_id long, tag long, start int"), "windows")
-    seen = single.groupBy("anchor", "win").agg(F.min("doc_id").alias("r"), F.max("doc_id").alias("last")).where("last > r")
-    edge = (
-        single.join(seen, ["anchor", "win"]).where("doc_id > r")
-        .select("doc_id", "tag", "start", (F.col("start") + window).alias("stop"))
-    )
-    return whole.unionByName(edge).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return parsed(_tagged(docs).where("doc_id is not null"), window, anchor).select("doc_id", F.inline("factors"))
 
 
 def _cut(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, sha, texts = [], [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("factors").to_pylist(), strict=True):
                 words = (text or "").encode().split()  # of bytes: white space is exactly 0x20 and 0x09 to 0x0D
                 n.append(len(words))
                 kept, at = [], 0
-                for a, b in _merged(spans):
+                for a, b in _merged(found):
                     kept += words[at:a]
                     at = b
                 kept += words[at:]
@@ -184,11 +243,12 @@ def dedup_substrings(docs: DataFrame, window: int = 50, anchor: int = 16, keep_t
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Each word covered by a window of ``window`` words that also starts in
     a document with a smaller doc_id goes; windows are judged on the input. ``kept`` is the kept words joined by one
     space, or the text itself where nothing goes. A null text has no words; a row without doc_id keeps all words and
-    is no reference. Repeats inside one document stay.
+    is no reference. Repeats inside one document stay, also over several rows of one doc_id; each repeated row gets a
+    row. Texts of any length are read whole, in slices; an empty table gives no row; other columns are ignored.
     """
     tagged = _tagged(docs)
-    spans = duplicate_spans(tagged.where("doc_id is not null"), window, anchor)
-    joined = tagged.join(spans, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "spans")
+    found = parsed(tagged.where("doc_id is not null"), window, anchor)
+    joined = tagged.join(found, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "factors")
     out = joined.mapInArrow(_cut(keep_text), "doc_id long, tag long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if keep_text else out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -198,16 +258,16 @@ def rewrite(docs: DataFrame, window: int = 50, anchor: int = 16) -> DataFrame:
 
     A text of which nothing is left becomes empty; no row goes.
     """
-    spans = duplicate_spans(_tagged(docs).where("doc_id is not null"), window, anchor)
+    found = parsed(_tagged(docs).where("doc_id is not null"), window, anchor)
     names = docs.columns
     tagged = docs.withColumn("__tag", F.crc32(F.coalesce(F.col("text"), F.lit(""))))
-    spans = spans.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__t"), "spans").withColumnRenamed("spans", "__spans")
-    joined = tagged.join(spans, (F.col("doc_id") == F.col("__doc")) & (F.col("__tag") == F.col("__t")), "left")
+    found = found.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__t"), F.col("factors").alias("__factors"))
+    joined = tagged.join(found, (F.col("doc_id") == F.col("__doc")) & (F.col("__tag") == F.col("__t")), "left")
 
     @F.pandas_udf("string")
-    def cut(text, spans):
+    def cut(text, factors):
         out = []
-        for t, s in zip(text, spans, strict=True):
+        for t, s in zip(text, factors, strict=True):
             if s is None or t is None:
                 out.append(t)
                 continue
@@ -218,8 +278,8 @@ def rewrite(docs: DataFrame, window: int = 50, anchor: int = 16) -> DataFrame:
             out.append(b" ".join(kept + words[at:]).decode())
         return type(text)(out, dtype=object)
 
-    cut_text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut("text", "__spans"))
+    cut_text = F.when(F.col("__factors").isNull(), F.col("text")).otherwise(cut("text", "__factors"))
     out = joined.withColumn("text", cut_text)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("__factors").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*names)
