@@ -37,5 +37,23 @@ OP10 = r"""
     p as (select page_id, tag, regexp_extract(bare, '^([^?]*)', 1) as place, regexp_replace(regexp_replace(regexp_extract(bare, '\?(.*)$', 1), '(?i)(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&+', '') as kept from b),
     u as (select page_id, tag, regexp_replace(lower(regexp_extract(place, '^([^/]*)', 1)), '^www\.|:(80|443)$', '', 'g') || regexp_replace(regexp_replace(place, '^[^/]*', ''), '/+$', '')
       || case when kept = '' then '' else '?' || array_to_string(list_sort(string_split(kept, '&')), '&') end as url_key from p),
-    r as (select *, max(page_id) over (partition by url_key) as last, arg_max(tag, page_id) over (partition by url_key) as last_tag from u)
-    select page_id, url_key, last as refers_to_page, case when tag = last_tag then 'resolved' else 'mismatch' end as resolution, case when tag = last_tag then tag end as etag, case when tag = last_tag then 'text/html' end as content_type from r"""
+    t as (select *, ('0x' || substr(md5('full' || page_id), 1, 8))::bigint as t1, ('0x' || substr(md5('again' || page_id), 1, 8))::bigint as t2 from u),
+    a as (select r.page_id, r.url_key, r.tag, arg_max(s.page_id, (s.t1, s.page_id)) as ref, arg_max(s.tag, (s.t1, s.page_id)) as ref_tag
+      from t r left join t s on r.url_key = s.url_key and (s.t1 < r.t2 or (s.t1 = r.t2 and s.page_id <= r.page_id)) group by r.page_id, r.url_key, r.tag),
+    v as (select *, case when ref is null then 'orphan' when case page_id % 3 when 1 then substr(tag, 1, 2) = substr(ref_tag, 1, 2) else tag = ref_tag end then 'resolved' else 'mismatch' end as resolution from a)
+    select page_id, url_key, ref as refers_to_page, resolution, case when resolution = 'resolved' then ref_tag end as etag, case when resolution = 'resolved' then 'text/html' end as content_type from v"""
+
+_LEDGER = OP2[:OP2.rindex("select doc_id")] + "select failed from f"
+_RULES = ("few_words", "repeated_phrases", "symbols", "repeated_lines", "long_words", "short_words", "shouting")
+
+
+def ablations(policies: dict[str, tuple[str, ...]]) -> str:
+    """SQL for the ablations of all policies."""
+    parts = []
+    for policy, rules in policies.items():
+        mask = sum(1 << _RULES.index(r) for r in rules)
+        for rule in rules:
+            bit = 1 << _RULES.index(rule)
+            parts.append(f"""select '{policy}' as policy, '{rule}' as rule, count(*) filter (where failed & {bit} <> 0) as failed,
+      count(*) filter (where failed & {mask} = {bit}) as failed_alone, count(*) filter (where failed & {mask & ~bit} <> 0) as rejected_without from led""")
+    return f"with led as ({_LEDGER}) " + " union all ".join(parts)

@@ -31,6 +31,11 @@ def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, alone and together, from one stored ledger of ``documents``."""
+    return rules.ablations(_table(spark, sf_dir, "documents"))
+
+
 def op3_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -72,6 +77,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_label_propagation, op2_rule_ledger, op3_attention_scores, op4_aligned_leaks, op5_relative_lz, op6_diagonal_voting,
-    op7_rank_merging, op8_set_relation_join, op9_mixture_packing, op10_revisit_resolution, pipeline)}
+    op7_rank_merging, op8_set_relation_join, op9_mixture_packing, op10_revisit_resolution, rule_ablations, pipeline)}
 ORACLES: dict[str, str] = {
-    "op2_rule_ledger": oracles.OP2, "op5_relative_lz": oracles.OP5, "op8_set_relation_join": oracles.OP8, "op10_revisit_resolution": oracles.OP10}
+    "op2_rule_ledger": oracles.OP2, "rule_ablations": oracles.ablations(rules.POLICIES), "op5_relative_lz": oracles.OP5, "op8_set_relation_join": oracles.OP8, "op10_revisit_resolution": oracles.OP10}

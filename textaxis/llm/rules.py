@@ -10,11 +10,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textaxis.session import materialize, scratch
+
 _SYMBOLS = "#*$%&|<>"
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
@@ -74,15 +77,23 @@ def mask_of(rules: tuple[str, ...]) -> int:
 def ledger(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): the measurements and ``failed``, the bits of the failed rules.
 
-    A null or empty text has zero everywhere and fails ``few_words``. One scan, no shuffle.
+    A null or empty text has zero everywhere and fails ``few_words``. Repeated rows and rows without doc_id have an
+    entry each; an empty table has none; texts of any length are measured whole; other columns are ignored. One scan,
+    no shuffle.
     """
     shape = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())]
-    failed = bits[0]
-    for b in bits[1:]:
-        failed = failed.bitwiseOR(b)
-    return docs.mapInArrow(_measures, shape).withColumn("failed", failed.cast("long"))
+    return docs.mapInArrow(_measures, shape).withColumn("failed", failure_bits())
+
+
+def failure_bits(of: str = "") -> Column:
+    """Every rule once, bit i for rule i; measurements are columns, or fields of the struct column ``of``."""
+    inner = rf"{of}.\1" if of else r"\1"
+    failed = F.lit(0)
+    for i, rule in enumerate(RULES.values()):
+        rule = re.sub(r"\b(n_\w+|word_chars)\b", inner, rule)
+        failed = failed.bitwiseOR(F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)))
+    return failed.cast("long")
 
 
 def passes(failed: Column, policy: str) -> Column:
@@ -107,8 +118,16 @@ def ablation(led: DataFrame, policy: str) -> DataFrame:
     return led.agg(F.array(*sums).alias("rows")).select(F.inline("rows"))
 
 
+def ablations(docs: DataFrame) -> DataFrame:
+    """``(policy, rule, failed, failed_alone, rejected_without)`` for every policy, from one stored ledger of ``docs``."""
+    with scratch(docs.sparkSession) as keep:
+        led = materialize(ledger(docs).select("failed"), "ledger")
+        parts = [ablation(led, policy).select(F.lit(policy).alias("policy"), "*") for policy in POLICIES]
+        return keep(materialize(reduce(DataFrame.unionByName, parts), "ablations"))
+
+
 def verdicts(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The ledger with ``base_failed`` and ``kept`` (the policy's verdict; false wherever the base fails)."""
+    """The ledger with ``base_failed`` and ``kept`` (the policy's verdict; false wherever the base fails), row for row."""
     base = ~passes(F.col("failed"), "base")
     led = ledger(docs).withColumn("base_failed", base)
     return led.withColumn("kept", ~F.col("base_failed") & passes(F.col("failed"), policy))
@@ -117,7 +136,8 @@ def verdicts(docs: DataFrame, policy: str = "v1") -> DataFrame:
 def filter_quality(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with all their columns and no shuffle.
 
-    The verdict is a column of the same scan, so rows need no key; a row without text goes.
+    Each row gets its ledger entry in the same scan, and the verdict is read off its bits, so rows need no key. A row
+    without text goes; repeated rows are judged alike; an empty table stays empty; texts are measured whole.
     """
 
     @F.pandas_udf("struct<" + ", ".join(f"{c} long" for c in _COUNTS) + ">")
@@ -126,8 +146,5 @@ def filter_quality(docs: DataFrame, policy: str = "v1") -> DataFrame:
 
         return pd.DataFrame([measure(t) for t in text], columns=list(_COUNTS))
 
-    m = docs.withColumn("__m", counts(F.col("text").cast("string")))
-    ok = F.lit(True)
-    for name in {**dict.fromkeys(POLICIES["base"]), **dict.fromkeys(POLICIES[policy])}:
-        ok = ok & ~F.expr(re.sub(r"\b(n_\w+|word_chars)\b", r"__m.\1", RULES[name]))
-    return m.where(ok).select(*docs.columns)
+    led = docs.withColumn("__m", counts(F.col("text").cast("string"))).withColumn("__failed", failure_bits("__m"))
+    return led.where(passes(F.col("__failed"), "base") & passes(F.col("__failed"), policy)).select(*docs.columns)
