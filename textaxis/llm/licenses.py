@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textaxis.llm.words import NOT_ALNUM, Ranges, word_slices
-from textaxis.session import materialize
+from textaxis.session import materialize, scratch
 
 # Phrases and their labels, and openings of public license texts.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -115,7 +115,8 @@ def scan_licenses(docs: DataFrame, k: int = 3, band: int = 4, percent: int = 60,
     Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case. ``n_base``: places of phrases;
     ``score``: the best verified coverage of a template (at least 0.5 where a phrase stands, else 0). Labels are
     distinct, sorted and joined by commas; none is an empty string. A null text has no words. The one broadcast is
-    the templates' k-grams, which are parameters of fixed size.
+    the templates' k-grams, which are parameters of fixed size. Repeated rows and rows without doc_id each get a row;
+    an empty table gives none; texts of any length are read whole, in slices; other columns are ignored.
     """
     templates, phrases = templates or TEMPLATES, phrases or PHRASES
     spark: SparkSession = docs.sparkSession
@@ -124,10 +125,12 @@ def scan_licenses(docs: DataFrame, k: int = 3, band: int = 4, percent: int = 60,
     bitmap[(np.array([r[3] for r in rows], np.int64).view(np.uint64) >> np.uint64(44)).astype(np.int64)] = True
     grams = spark.createDataFrame(rows, "label string, size int, tpos int, gram long")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialize(texts.mapInArrow(_scan(k, phrases, bitmap), _DOCS).withColumn("rid", F.monotonically_increasing_id()), "licenses")
-    hits = found.where("size(gram) > 0").select("rid", F.explode(F.arrays_zip("gram", "pos")).alias("h")).select("rid", "h.*")
-    spans = diagonal_spans(hits, grams, k, band, percent)
-    best = spans.groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("coverage").alias("coverage"), F.count("*").alias("n_spans"))
+    with scratch(spark) as keep:
+        found = keep(materialize(texts.mapInArrow(_scan(k, phrases, bitmap), _DOCS).withColumn("rid", F.monotonically_increasing_id()), "licenses"))
+        hits = found.where("size(gram) > 0").select("rid", F.explode(F.arrays_zip("gram", "pos")).alias("h")).select("rid", "h.*")
+        spans = diagonal_spans(hits, grams, k, band, percent)
+        best = spans.groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("coverage").alias("coverage"), F.count("*").alias("n_spans"))
+        best = keep(materialize(best, "verified"))
     base = F.filter(F.split("base_labels", ","), lambda x: x != "")
     more = F.coalesce("more", F.array().cast("array<string>"))
     floor = F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)

@@ -2,9 +2,9 @@
 
 Every source is a queue of tokens. A window of ``length`` tokens takes from each queue what its target share says,
 plus the deficit carried over from earlier windows; shares default to what the corpus holds, so all queues end
-together. Windows are dealt in blocks: the driver runs the round-robin once over whole blocks (at most ``BLOCKS`` of
-them and ``QUEUES`` queues, so its work has a fixed bound), which gives every block its exact start in every queue;
-each block then runs the same round-robin over its own windows, in parallel. Deficits so carry across windows and
+together. Windows are dealt in two levels: the driver runs the round-robin once over whole blocks (at most
+``BOUNDS`` starts of blocks in queues, so its work has a fixed bound), which gives every block its exact start in every
+queue; each block then runs the same round-robin over its own windows, in parallel, a part of them at a time. Deficits so carry across windows and
 blocks alike, and every window but the very last is full.
 """
 
@@ -20,9 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textaxis.operators.ranking import keyed_offsets
-from textaxis.session import materialize
+from textaxis.session import materialize, scratch
 
-BLOCKS, QUEUES, BLOCK_WINDOWS = 4096, 256, 256
+QUEUES, BLOCK_WINDOWS = 1024, 256
+#: Most blocks, and most entries of the table that says where each block starts in each queue.
+BLOCKS, BOUNDS = 1 << 16, 1 << 22
+#: Windows that a block deals at a time.
+DEALT = 4096
 CACHE = 800_000
 #: A text is cut before white space that follows something else, where the pattern of the vocabulary always cuts, too.
 _BLANKS = " \n\t\r"
@@ -174,9 +178,10 @@ def deal(credit: np.ndarray, left: np.ndarray, size: int) -> np.ndarray:
     return give
 
 
-def rounds(start_left: np.ndarray, share: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """What each round takes from each queue; deficits carry from round to round."""
-    left, deficit = start_left.copy(), np.zeros(len(share))
+def rounds(start_left: np.ndarray, share: np.ndarray, sizes: list[int], deficit: np.ndarray | None = None) -> np.ndarray:
+    """What each round takes from each queue; deficits carry from round to round, and on in ``deficit`` if given."""
+    left, carried = start_left.copy(), deficit
+    deficit = np.zeros(len(share)) if carried is None else carried.copy()
     out = np.zeros((len(sizes), len(share)), np.int64)
     for k, size in enumerate(sizes):
         live = np.where(left > 0, share, 0)
@@ -184,13 +189,16 @@ def rounds(start_left: np.ndarray, share: np.ndarray, sizes: list[int]) -> np.nd
         out[k] = give = deal(credit, left, size)
         left -= give
         deficit = np.where(left > 0, credit - give, 0)
+    if carried is not None:
+        carried[:] = deficit
     return out
 
 
-def _to_blocks(bounds: np.ndarray):
-    """``bounds[b, q]``: where block b starts in queue q."""
+def _to_blocks(shared):
+    """``shared`` has bounds[b, q]: where block b starts in queue q."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = shared.value
         for batch in batches:
             q, start, n, rid = (batch.column(c).to_numpy() for c in ("queue", "start", "n", "rid"))
             first, last = np.empty(len(q), np.int64), np.empty(len(q), np.int64)
@@ -206,30 +214,34 @@ def _to_blocks(bounds: np.ndarray):
     return run
 
 
-def _fill(bounds: np.ndarray, share: np.ndarray, sizes: np.ndarray, per: int, length: int):
+def _fill(shared, sizes: np.ndarray, per: int, length: int):
     schema = pa.schema([(c, pa.int64()) for c in ("rid", "start", "length", "sequence_id", "offset")])
 
     def run(key, table):
-        b = key[0].as_py()
-        size = int(sizes[b])
-        have = bounds[b + 1] - bounds[b]
+        b, bounds = key[0].as_py(), shared.value
+        size, begin, end = int(sizes[b]), bounds[b], bounds[b + 1]
+        share = np.where(end > begin, (end - begin) / max(1, size), 0)
         windows = [length] * (size // length) + ([size % length] if size % length else [])
-        give = rounds(have, np.where(have > 0, have / have.sum(), 0), windows)
-        edges = bounds[b] + np.vstack([np.zeros((1, len(have)), np.int64), np.cumsum(give, axis=0)])
-        before = np.cumsum(give, axis=1) - give
         q, start, n, rid = (table.column(c).to_numpy() for c in ("queue", "start", "n", "rid"))
+        queues = [(k, at[np.argsort(start[at], kind="stable")]) for k in np.unique(q) for at in (np.flatnonzero(q == k),)]
         out: list[list[np.ndarray]] = [[], [], [], [], []]
-        for k in np.unique(q):
-            at = np.flatnonzero(q == k)
-            at = at[np.argsort(start[at], kind="stable")]
-            s, e = start[at], start[at] + n[at]
-            cuts = np.unique(np.concatenate([s, e, edges[:, k]]))
-            cuts = cuts[(cuts >= edges[0, k]) & (cuts <= edges[-1, k])]
-            p, size_of = cuts[:-1], np.diff(cuts)
-            doc = np.searchsorted(s, p, "right") - 1
-            window = np.searchsorted(edges[:, k], p, "right") - 1
-            for c, v in zip(out, (rid[at][doc], p - s[doc], size_of, b * per + window, before[window, k] + p - edges[window, k]), strict=True):
-                c.append(v)
+        deficit = np.zeros(len(share))
+        for w in range(0, len(windows), DEALT):
+            give = rounds(end - begin, share, windows[w:w + DEALT], deficit)
+            edges = begin + np.vstack([np.zeros((1, len(share)), np.int64), np.cumsum(give, axis=0)])
+            before = np.cumsum(give, axis=1) - give
+            begin = edges[-1]
+            for k, at in queues:
+                s, e = start[at], start[at] + n[at]
+                low, high = np.searchsorted(e, edges[0, k], "right"), np.searchsorted(s, edges[-1, k], "left")
+                s, e, ids = s[low:high], e[low:high], rid[at][low:high]
+                cuts = np.unique(np.concatenate([s, e, edges[:, k]]))
+                cuts = cuts[(cuts >= edges[0, k]) & (cuts <= edges[-1, k])]
+                p, size_of = cuts[:-1], np.diff(cuts)
+                doc = np.searchsorted(s, p, "right") - 1
+                window = np.searchsorted(edges[:, k], p, "right") - 1
+                for c, v in zip(out, (ids[doc], p - s[doc], size_of, b * per + w + window, before[window, k] + p - edges[window, k]), strict=True):
+                    c.append(v)
         return pa.Table.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], schema=schema)
 
     return run
@@ -261,42 +273,51 @@ def _checked(kind: str):
 def pack(docs: DataFrame, vocabulary: str, length: int = 1024, shares: dict[str, float] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``docs`` has doc_id, text and source; ``vocabulary`` is the path of a byte-level ``tokenizers`` file, the same on
-    every executor. A document is its ids and then id 0 (a null or empty text: id 0 alone). ``shares`` are target
-    proportions by source (default: the corpus's own); a queue that ends leaves its share to the others. Sources
-    beyond the ``QUEUES - 1`` largest share one queue, and so do nulls as one source. Each id is in exactly one piece;
-    all sequences hold ``length`` ids but the last. Repeated rows are documents of their own; an empty table gives
-    no row.
+    ``docs`` has doc_id, text and source; other columns are ignored. ``vocabulary`` is the path of a byte-level
+    ``tokenizers`` file, the same on every executor. A document is its ids and then id 0 (a null or empty text: id 0
+    alone). ``shares`` are target proportions by source (default: the corpus's own); a queue that ends leaves its share
+    to the others. Sources beyond the ``QUEUES - 1`` largest share one queue, whose target is the sum of theirs; nulls
+    are a source like any other. Each id is in exactly one piece; all sequences hold ``length`` ids but the last.
+    Repeated rows, and rows without doc_id, are documents of their own; texts of any length are packed whole; an empty
+    table gives no row.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    coded = docs.mapInArrow(_encode(vocabulary), "doc_id long, source string, n long, ids binary")
-    coded = materialize(coded.withColumn("rid", F.monotonically_increasing_id()), "ids", "zstd")
-    kind = _encoder(vocabulary).kind.str
-    sizes = coded.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES - 1).collect()
-    total = coded.agg(F.sum("n"), F.count("*")).first()
-    tokens, rows = total[0] or 0, total[1]
-    names = [r["source"] for r in sizes]
-    held = np.array([r["n"] for r in sizes] + [tokens - sum(r["n"] for r in sizes)], np.int64)
-    share = held / max(1, tokens) if shares is None else np.array([shares.get(x, 0.0) for x in [*names, None]], float)
-    share = np.where(held > 0, np.maximum(share, 0), 0)
-
-    windows = -(-tokens // length)
-    per = max(BLOCK_WINDOWS, -(-windows // BLOCKS))
-    blocks = -(-windows // per)
-    amounts = [min(per * length, tokens - b * per * length) for b in range(blocks)]
-    taken = rounds(held, share, amounts)
-    bounds = np.vstack([np.zeros((1, len(held)), np.int64), np.cumsum(taken, axis=0)])
-
-    queue = F.lit(len(names))
-    for i, name in enumerate(names):
-        queue = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(i)).otherwise(queue)
-    light = coded.select(queue.cast("int").alias("queue"), "n", "rid")
-    placed = keyed_offsets(light, ["queue"], ["rid"], "n", out="start", salts=max(1024, rows // 50_000))
-    shape = "block long, queue int, start long, n long, rid long"
-    pieces = (
-        placed.select("queue", "start", "n", "rid").mapInArrow(_to_blocks(bounds), shape).groupBy("block")
-        .applyInArrow(_fill(bounds, share, np.array(amounts, np.int64), per, length), "rid long, start long, length long, sequence_id long, offset long")
-        .groupBy("rid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
-    )
+    with scratch(spark) as keep:
+        coded = docs.mapInArrow(_encode(vocabulary), "doc_id long, source string, n long, ids binary")
+        coded = keep(materialize(coded.withColumn("rid", F.monotonically_increasing_id()), "ids", "zstd"))
+        kind = _encoder(vocabulary).kind.str
+        by_source = coded.groupBy("source").agg(F.sum("n").alias("n"))
+        sizes = by_source.orderBy(F.desc("n"), "source").limit(QUEUES - 1).collect()
+        total = coded.agg(F.sum("n"), F.count("*")).first()
+        tokens, rows = total[0] or 0, total[1]
+        names = [r["source"] for r in sizes]
+        held = np.array([r["n"] for r in sizes] + [tokens - sum(r["n"] for r in sizes)], np.int64)
+        if shares is None:
+            share = held / max(1, tokens)
+        else:
+            given = set(names)
+            share = np.array([shares.get(x, 0.0) for x in names] + [sum(v for x, v in shares.items() if x not in given)], float)
+        share = np.where(held > 0, np.maximum(share, 0), 0)
+
+        windows = -(-tokens // length)
+        per = max(BLOCK_WINDOWS, -(-windows // min(BLOCKS, BOUNDS // len(held))))
+        blocks = -(-windows // per)
+        amounts = [min(per * length, tokens - b * per * length) for b in range(blocks)]
+        taken = rounds(held, share, amounts)
+        bounds = spark.sparkContext.broadcast(np.vstack([np.zeros((1, len(held)), np.int64), np.cumsum(taken, axis=0)]))  # at most BOUNDS
+
+        number = spark.createDataFrame([(x is None, x or "", i) for i, x in enumerate(names)], "__null boolean, __source string, queue int")
+        light = coded.select("source", "n", "rid").join(
+            F.broadcast(number), F.col("source").isNull().eqNullSafe(F.col("__null")) & (F.coalesce("source", F.lit("")) == F.col("__source")), "left")
+        light = light.select(F.coalesce("queue", F.lit(len(names))).alias("queue"), "n", "rid")
+        placed = keyed_offsets(light, ["queue"], ["rid"], "n", out="start", salts=max(1024, rows // 50_000))
+        shape = "block long, queue int, start long, n long, rid long"
+        pieces = (
+            placed.select("queue", "start", "n", "rid").mapInArrow(_to_blocks(bounds), shape).groupBy("block")
+            .applyInArrow(_fill(bounds, np.array(amounts, np.int64), per, length), "rid long, start long, length long, sequence_id long, offset long")
+            .groupBy("rid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
+        )
+        pieces = keep(materialize(pieces, "pieces"))
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return coded.join(pieces, "rid").select("doc_id", "n", "ids", "pieces").mapInArrow(_checked(kind), shape)

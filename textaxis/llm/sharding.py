@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textaxis.operators.ranking import keyed_offsets
-from textaxis.session import materialize
+from textaxis.session import materialize, release, scratch
 
 
 def _quotas(demand: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,64 +44,71 @@ def shard_by_propagation(docs: DataFrame, shards: int = 16, rounds: int = 8) ->
 
     Law ``rows``: shards differ by at most one row. ``slot`` numbers a shard's rows from 0 without gaps;
     ``grown_shard`` is null, as adding a shard deals anew. A null text has no bytes (size 1, crc32 0) and no
-    neighbours; rows without doc_id and repeated rows are rows like any other.
+    neighbours; rows without doc_id and repeated rows are rows like any other; an empty table gives no row; of very
+    long texts only size and hashes travel; other columns are ignored. Propagation ends when no shard has anything to
+    give in exchange, or after ``rounds``; what it couldn't bring together then stays apart, see ``cut_share``.
     """
     text = F.col("text").cast("string")
-    base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(1)).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.unhex(F.md5(text)).alias("grp"))
-    base = materialize(base.withColumn("rid", F.monotonically_increasing_id()), "docs")
-    rows = base.count()
-    salts = max(256, rows // 50_000)
-    linked = base.where("grp is not null").groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp")
-    start = keyed_offsets(base.select("rid", "grp"), [], ["rid"], out="at", salts=salts)
-    start = start.withColumn("shard", (F.col("at") % shards).cast("int")).drop("at")
-    state = materialize(start.join(linked.withColumn("linked", F.lit(True)), "grp", "left").select("rid", "shard", F.when(F.col("linked"), F.col("grp")).alias("grp")), "labels")
-    full = rows // shards
-    closed: set[int] = set()
+    with scratch(docs.sparkSession) as keep:
+        base = docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(1)).cast("long").alias("size"),
+            F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.unhex(F.md5(text)).alias("grp"))
+        base = keep(materialize(base.withColumn("rid", F.monotonically_increasing_id()), "docs"))
+        rows = base.count()
+        salts = max(256, rows // 50_000)
+        groups = base.where("grp is not null").groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp")
+        start = keyed_offsets(base.select("rid", "grp"), [], ["rid"], out="at", salts=salts)
+        start = materialize(start.withColumn("shard", (F.col("at") % shards).cast("int")).drop("at"), "start")
+        # Rows without neighbours never meet the joins by group; they only pay for moves.
+        linked = start.where("grp is not null").join(groups, "grp", "left_semi").select("rid", "shard", "grp")
+        linked = materialize(linked, "linked")
+        free = start.where("grp is null").select("rid", "shard").unionByName(start.where("grp is not null").join(groups, "grp", "left_anti").select("rid", "shard"))
+        free = materialize(free, "free")
+        full = rows // shards
+        closed: set[int] = set()
 
-    for _ in range(rounds if rows else 0):
-        near = state.where("grp is not null").groupBy("grp", "shard").agg(F.count("*").alias("c"))
-        able = (F.col("c") < full) & ~F.col("shard").isin(*closed) if closed else F.col("c") < full
-        goal = near.groupBy("grp").agg(F.max(F.when(able, F.struct("c", (-F.col("shard")).alias("s")))).alias("g"), F.sum("c").alias("n"))
-        goal = goal.where("g is not null").select("grp", (-F.col("g.s")).alias("goal"), F.col("g.c").alias("there"), "n")
-        # A small group goes where there is room, even if more of it is elsewhere.
-        ask = near.join(goal, "grp").where(f"shard <> goal and c < {full} and (c <= there or n <= {full // 8})").select("grp", "shard", "goal")
-        state_ask = materialize(state.join(ask, ["grp", "shard"], "left").select("rid", "grp", "shard", "goal"), "asks")
-        counts = state_ask.groupBy("shard", "goal", F.col("grp").isNull().alias("free")).agg(F.count("*").alias("n")).collect()
-        demand, spare = np.zeros((shards, shards), np.int64), np.zeros(shards, np.int64)
-        for r in counts:
-            if r["goal"] is not None:
+        for _ in range(rounds if rows else 0):
+            near = linked.groupBy("grp", "shard").agg(F.count("*").alias("c"))
+            able = (F.col("c") < full) & ~F.col("shard").isin(*closed) if closed else F.col("c") < full
+            goal = near.groupBy("grp").agg(F.max(F.when(able, F.struct("c", (-F.col("shard")).alias("s")))).alias("g"), F.sum("c").alias("n"))
+            goal = goal.where("g is not null").select("grp", (-F.col("g.s")).alias("goal"), F.col("g.c").alias("there"), "n")
+            # A small group goes where there is room, even if more of it is elsewhere.
+            ask = near.join(goal, "grp").where(f"shard <> goal and c < {full} and (c <= there or n <= {full // 8})").select("grp", "shard", "goal")
+            asks = materialize(linked.join(ask, ["grp", "shard"], "left").select("rid", "grp", "shard", "goal"), "asks")
+            demand, spare = np.zeros((shards, shards), np.int64), np.zeros(shards, np.int64)
+            for r in asks.where("goal is not null").groupBy("shard", "goal").agg(F.count("*").alias("n")).collect():
                 demand[r["shard"], r["goal"]] += r["n"]
-            elif r["free"]:
+            for r in free.groupBy("shard").agg(F.count("*").alias("n")).collect():
                 spare[r["shard"]] += r["n"]
-        grant, back = _quotas(demand, spare)
-        closed |= set(np.flatnonzero((demand - grant).sum(axis=0)).tolist())  # shards with nothing left to give
-        if not grant.any():
-            break
-        movers = state_ask.where("goal is not null")
-        won = [(i, j, 0, int(grant[i, j]), j) for i in range(shards) for j in range(shards) if grant[i, j]]
-        paying = []
-        for j in range(shards):
-            a = 0
-            for i in range(shards):
-                if back[j, i]:
-                    paying.append((j, a, a + int(back[j, i]), i))
-                    a += int(back[j, i])
-        moved = _moved(movers, ["shard", "goal"], ["rid"], won, salts)
-        free = state_ask.where("goal is null and grp is null")
-        if paying:
-            free = _moved(free, ["shard"], ["rid"], paying, salts)
-        still = state_ask.where("goal is null and grp is not null")
-        state = materialize(moved.unionByName(free).unionByName(still).select("rid", "shard", "grp"), "labels")
+            grant, back = _quotas(demand, spare)
+            closed |= set(np.flatnonzero((demand - grant).sum(axis=0)).tolist())  # shards with nothing left to give
+            if not grant.any():
+                break
+            won = [(i, j, 0, int(grant[i, j]), j) for i in range(shards) for j in range(shards) if grant[i, j]]
+            paying = []
+            for j in range(shards):
+                a = 0
+                for i in range(shards):
+                    if back[j, i]:
+                        paying.append((j, a, a + int(back[j, i]), i))
+                        a += int(back[j, i])
+            moved = _moved(asks.where("goal is not null"), ["shard", "goal"], ["rid"], won, salts)
+            after = materialize(moved.unionByName(asks.where("goal is null")).select("rid", "shard", "grp"), "linked")
+            release(linked, asks)
+            linked = after
+            if paying:
+                after = materialize(_moved(free, ["shard"], ["rid"], paying, salts), "free")
+                release(free)
+                free = after
 
-    placed = keyed_offsets(state.select("rid", "shard"), ["shard"], ["rid"], out="slot", salts=salts)
+        placed = keyed_offsets(linked.select("rid", "shard").unionByName(free), ["shard"], ["rid"], out="slot", salts=salts)
+        placed = keep(materialize(placed, "placed"))
     return base.join(placed, "rid").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def cut_share(placed: DataFrame) -> float:
-    """Share of documents with an equal text that aren't in their group's largest shard (0: no edge is cut)."""
+    """Share of documents with an equal text that aren't in their group's largest shard (0: no edge is cut); texts of size 1 count as equal."""
     near = placed.groupBy("text_crc32", "size", "shard").agg(F.count("*").alias("c"))
     by = near.groupBy("text_crc32", "size").agg(F.sum("c").alias("n"), F.max("c").alias("m")).where("n > 1")
     got = by.agg(F.sum("n").alias("n"), F.sum("m").alias("m")).first()
