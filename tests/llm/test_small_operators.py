@@ -1,12 +1,13 @@
 """Rules, token counts, licenses, revisits, sharding and packing against plain versions."""
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from textaxis.llm import licenses, packing, rules, sharding, tokens, warc
+from textaxis.llm import decontam, jaccard, licenses, lm, packing, rlz, rules, sharding, tokens, warc
 from textaxis.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, source string, n long, start string, rid int, shard string"
@@ -175,15 +176,112 @@ def test_a_group_larger_than_a_shard(spark):
     assert sharding.shard_by_propagation(table(spark, []), 4).count() == 0
 
 
+def test_cut_share_is_the_best_on_small_tables(spark):
+    texts = [f"t{i % 40}" if i % 3 else f"alone {i}" for i in range(320)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    placed = sharding.shard_by_propagation(docs, 4)
+    assert sharding.cut_share(placed) == 0.0  # every group is smaller than a shard: none has to be cut
+    sizes = [r["count"] for r in placed.groupBy("shard").count().collect()]
+    assert max(sizes) - min(sizes) <= 1
+    big = spark.createDataFrame([(i, "same") for i in range(60)] + [(60 + i, f"x{i}") for i in range(20)], "doc_id long, text string")
+    assert sharding.cut_share(sharding.shard_by_propagation(big, 4)) <= 1 - 20 / 60 + 1e-9  # a shard holds 20 of the 60
+
+
 def test_revisits(spark):
     rows = [
         (1, "http://A.com/x#f", 10, "response", "e1", None, "d1", {"ETag": "e1", "Content-Type": "t"}), (2, "https://www.a.com/x/?utm_source=q", 20, "revisit", 'W/e1', None, None, {"Date": "20", "Set-Cookie": "s"}),
         (3, "a.com/x", 20000, "response", "e2", "m", "d2", {"etag": "e2"}), (4, "a.com/x", 30000, "revisit", "e1", None, None, None), (5, "a.com/x", 30001, "revisit", None, "m", None, {}),
         (6, "b.com", 5, "revisit", "e1", None, None, None), (7, None, 5, "revisit", None, None, "d1", None), (8, "a.com/x", 10, "revisit", None, None, "d1", None), (9, "a.com/x", None, "revisit", "e1", None, None, None),
+        (None, "a.com/x", 40000, "revisit", "e2", None, None, None), (None, "c.com", 1, "response", "e3", None, None, None), (10, "c.com", 2, "revisit", "e3", None, None, None), (8, "a.com/x", 10, "revisit", None, None, "d1", None),
+        (11, "d.com", 5, "response", "x", None, None, {"ETag": "x"}), (11, "d.com", 5, "response", "y", None, None, {"ETag": "y"}), (11, "d.com", 5, "revisit", "y", None, None, {}),
     ]
     shape = "record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>"
-    got = {r["record_id"]: r for r in warc.resolve_revisits(spark.createDataFrame(rows, shape)).collect()}
-    assert {k: (r["resolution"], r["refers_to"]) for k, r in got.items()} == {
-        1: ("full", 1), 2: ("resolved", 1), 3: ("full", 3), 4: ("mismatch", 3), 5: ("resolved", 3), 6: ("orphan", None), 7: ("orphan", None), 8: ("resolved", 1), 9: ("orphan", None)}
-    assert got[2]["headers"] == {"etag": "e1", "content-type": "t", "date": "20"}
+    for per in (warc.BUCKET_ROWS, 2):
+        table = spark.createDataFrame([(*r, "old", -1, "k") for r in rows], shape + ", resolution string, refers_to long, url_key string")
+        found = warc.resolve_revisits(table, per).collect()
+        assert len(found) == len(rows)
+        got = {r["record_id"]: r for r in found if r["record_id"] is not None and r["record_id"] < 11}
+        assert {k: (r["resolution"], r["refers_to"]) for k, r in got.items()} == {
+            1: ("full", 1), 2: ("resolved", 1), 3: ("full", 3), 4: ("mismatch", 3), 5: ("resolved", 3), 6: ("orphan", None), 7: ("orphan", None), 8: ("resolved", 1), 9: ("orphan", None),
+            10: ("orphan", None)}
+        assert sum(r["record_id"] == 8 and r["resolution"] == "resolved" for r in found) == 2
+        assert sorted(r["resolution"] for r in found if r["record_id"] is None) == ["full", "orphan"]
+        assert [r["headers"] for r in found if r["record_id"] == 11 and r["kind"] == "revisit"] == [{"etag": "y"}]
+        assert got[2]["headers"] == {"etag": "e1", "content-type": "t", "date": "20"}
     assert warc.resolve_revisits(spark.createDataFrame([], shape)).count() == 0
+
+
+def test_headers_that_differ_in_case_only(spark):
+    shape = "record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>"
+    rows = [(1, "a.com", 1, "response", "e", None, None, {"etag": "b", "ETag": "a", "Age": "1"}), (2, "a.com", 2, "revisit", "e", None, None, {"DATE": "1", "date": "2", "Etag": "c"})]
+    got = {r["record_id"]: r["headers"] for r in warc.resolve_revisits(spark.createDataFrame(rows, shape)).collect()}
+    assert got == {1: rows[0][7], 2: {"age": "1", "etag": "c", "date": "1"}}
+
+
+def test_revisits_of_a_busy_url_equal_a_plain_scan(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "hot.com" if i % 3 else f"u{i % 7}.com", int(rng.integers(0, 500)), "response" if rng.random() < 0.3 else "revisit", None, None, f"d{rng.integers(3)}", None) for i in range(900)]
+    shape = "record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>"
+    got = {r["record_id"]: (r["resolution"], r["refers_to"]) for r in warc.resolve_revisits(spark.createDataFrame(rows, shape), 20).collect()}
+    last, want = {}, {}
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        if r[3] == "response":
+            last[r[1]], want[r[0]] = r, ("full", r[0])
+        else:
+            of = last.get(r[1])
+            want[r[0]] = ("orphan", None) if of is None else ("resolved" if of[6] == r[6] else "mismatch", of[0])
+    assert got == want
+
+
+def plain_base(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower().decode())
+    found = []
+    for phrase, label in licenses.PHRASES.items():
+        p = phrase.split()
+        found += [(i, i + len(p) - 1, label) for i in range(len(words)) if words[i:i + len(p)] == p]
+    return len(words), len(found), min((f[0] for f in found), default=None), max((f[0] for f in found), default=None), ",".join(sorted({f[2] for f in found}))
+
+
+def test_license_base_equals_a_plain_scan(spark):
+    rng = np.random.default_rng(6)
+    bits = ["MIT", "license", "Apache", "general", "public", "the", "émit", "x1", "mit license", "General Public License", "apache-license", "li\u00adcense"]
+    texts = [" ".join(rng.choice(bits, rng.integers(0, 40))).replace(" the ", rng.choice([", ", "\n", "/"])) for _ in range(200)] + [None, "", "mit", "MIT LICENSE" * 3]
+    docs = spark.createDataFrame([(i, t, "z", 3) for i, t in enumerate(texts)], "doc_id long, text string, label string, rid int")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == plain_base(t)
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+
+
+def test_characters_inside_pieces_only_become_bytes():
+    merges = tokens.PieceMerges(vocabulary("piece_bpe_32k.model"))
+    want = merges.counts(["▁ab", "▁"])
+    inner = "\u4e00"
+    merges.symbol[inner] = merges.known  # a character without a piece of its own
+    merges.bytes_of = np.array([3])
+    got = merges.counts(["▁ab" + inner, "▁"])
+    assert got.tolist() == [want[0] + 3, want[1]]
+
+
+ODD_ROWS = [(1, None, None), (1, "", None), (None, "same words here again and again", "a"), (2, "same words here again and again", "a"), (2, "same words here again and again", "a"),
+       (3, "\u00e9\u00e8 \x0b\x0c  ", "b"), (4, " ".join(f"w{i % 5000}" for i in range(250_000)), "b")]
+
+
+def odd_runs():
+    path = lambda: vocabulary("byte_bpe_50k.json")
+    return {
+        "sharding": (lambda d: sharding.shard_by_propagation(d, 3), 7), "rules": (rules.verdicts, 7), "filter": (rules.filter_quality, 0), "lm": (lambda d: lm.score_texts(d, path()), 7),
+        "substrings": (rlz.dedup_substrings, 7), "licenses": (licenses.scan_licenses, 7), "tokens": (lambda d: tokens.token_counts(d, vocabulary("piece_bpe_32k.model")), 7),
+        "jaccard": (jaccard.jaccard_components, 7), "keep_one": (jaccard.keep_one, 7), "rewrite": (rlz.rewrite, 7),
+        "packing": (lambda d: packing.pack(d, path()).groupBy("doc_id").count(), 5), "leaks": (lambda d: decontam.drop_contaminated(d, d.selectExpr("doc_id as item_id", "'same words here' as text")), 5)}  # rows with the item go, but for that without doc_id
+
+
+@pytest.mark.parametrize("name", list(odd_runs()))
+def test_odd_rows_and_clashing_columns(spark, name):
+    """Nulls, repeats, one text of over a megabyte and columns named like the operators' own."""
+    run, n = odd_runs()[name]
+    clash = [f"{i} as {c}" for i, c in enumerate(("n", "k1", "sig", "node", "grp", "rid", "shard", "tag", "n_words", "failed", "queue", "ids", "held_out", "part"))]
+    docs = spark.createDataFrame(ODD_ROWS, "doc_id long, text string, source string").selectExpr("*", *clash).repartition(2)
+    assert len(run(docs).collect()) == n
+    assert run(docs.where("false")).count() == 0
