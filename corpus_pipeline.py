@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; every stage but the last returns
 the columns of ``documents``. ``run`` writes each stage's rows as Parquet in the shared folder and reads them again
-for the next one. Rows with a null or empty text go at the first stage; an empty table stays empty.
+for the next one; a stage's inner tables and its input go as soon as its rows are written. Rows with a null or empty
+text go at the first stage. Repeated rows: those of one doc_id and text stay or go together, as they are one document
+to every stage. Rows without doc_id pass the next three stages as they are. Of equal documents the smallest doc_id
+stays. Texts of any length are taken whole; columns that no stage reads are handed on, whatever their names; an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textaxis.llm import decontam, jaccard, packing, rlz, rules
 from textaxis.llm.queries import vocabulary
-from textaxis.session import materialize
+from textaxis.session import materialize, release, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +53,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark) as keep_all:
+        docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+        for name, stage in STAGES[:-1]:
+            with scratch(spark) as keep:
+                docs = keep(materialize(stage(spark, docs, sf_dir), name))
+            if before is not None:
+                release(before)
+            before = docs
+        packed = keep_all(materialize(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0]))
+    return packed
