@@ -84,6 +84,37 @@ def test_large_group_of_edited_copies(spark):
     assert got == components(texts, list(range(len(texts))))
 
 
+def test_a_token_in_a_third_of_the_sets(spark):
+    rng = np.random.default_rng(13)
+    shared = [f"common{k}" for k in range(12)]
+    texts = []
+    for i in range(240):
+        if i % 3 == 0:  # edited copies of one text, and short texts that are little more than the common passage
+            w = [f"c{k}" for k in range(60)] + shared
+            for _ in range(rng.integers(0, 6)):
+                w[rng.integers(len(w))] = f"e{rng.integers(1000)}"
+        elif i % 3 == 1:
+            w = shared + [f"x{rng.integers(40)}" for _ in range(rng.integers(0, 12))]
+        else:
+            w = [f"r{rng.integers(300)}" for _ in range(rng.integers(5, 80))]
+        texts.append(" ".join(w))
+    ids = list(range(len(texts)))
+    for part_members in (jaccard.PART_MEMBERS, 16):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(table(spark, texts, ids), part_members=part_members).collect()}
+        assert got == components(texts, ids)
+
+
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(14)
+    for _ in range(200):
+        both = rng.integers(0, 2**64, rng.integers(1, 500), dtype=np.uint64)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 2**64, rng.integers(0, 200), dtype=np.uint64)])) for _ in range(2))
+        a, b = (np.frombuffer(jaccard.signature(s), np.uint8) for s in (x, y))
+        wide = min(len(a), len(b))
+        a, b = (np.bitwise_xor.reduce(s.reshape(-1, wide), axis=0) for s in (a, b))
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+
+
 def test_jaccard_odd_tables(spark):
     assert jaccard.jaccard_components(table(spark, [])).count() == 0
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (0, None)], "doc_id long, text string")
