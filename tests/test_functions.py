@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from textaxis.operators import axes as A
 from textaxis.operators import corpus as O
 from textaxis.operators import reports as R
 from textaxis.operators import stats as S
+from textaxis.operators.ranking import numbered
 
 TEXTS = ["", "  a  b ", "a\xa0b c", "x\x1cy\r\nz\r\n\r\n\r\n\r\nw", "\tTab\t\ttab ", "Ünï çode ①½ naïve", "don’t", "one", None]
 
@@ -160,6 +162,50 @@ def test_three_way_sizes(spark):
     assert all(sum(c) == n for n, c in got.items()) and all(min(c) >= 1 for n, c in got.items() if n >= 3)
 
 
+def test_an_empty_bucket_takes_from_the_largest(spark):
+    def plain(n, shares):
+        if n < 3:
+            return {0: (0, 0, 0), 1: (1, 0, 0), 2: (1, 1, 0)}[n]
+        exact = [n * s for s in shares]
+        got = [int(e) for e in exact]
+        for i in sorted(range(3), key=lambda i: (-round(exact[i] - got[i], 9), i))[:n - sum(got)]:
+            got[i] += 1
+        while 0 in got and max(got) > 1:
+            most, zero = got.index(max(got)), got.index(0)
+            got[most] -= 1
+            got[zero] += 1
+        return tuple(got)
+
+    for shares in ((0.1, 0.8, 0.1), (0.05, 0.05, 0.9), (0.98, 0.01, 0.01), (0.8, 0.1, 0.1)):
+        got = {r["id"]: tuple(r["c"]) for r in spark.range(40).select("id", O.three_way_counts(F.col("id").cast("double"), shares).alias("c")).collect()}
+        assert got == {n: plain(n, shares) for n in range(40)}
+
+
+def test_one_source_and_topic_with_two_groups(spark):
+    df = spark.createDataFrame([(i, "q", "s", "A" if i < 50 else "B", "t", float(100 - i)) for i in range(100)], "k int, q string, s string, g string, t string, c double")
+    got = O.balanced_capped_sample(df, "q", "s", "g", "t", "c", "k", 20, 1.0, 0.5, 1.0).collect()
+    assert sorted(r["k"] for r in got) == [*range(10), *range(50, 60)]
+
+
+def test_numbers_along_an_order(spark):
+    df = spark.createDataFrame([(int(x),) for x in np.random.default_rng(3).permutation(1000) ** 2 - 500], "k long")
+    rows = sorted(tuple(r) for r in numbered(df.repartition(5), "k", salts=16).collect())
+    assert [at for _, at in rows] == list(range(1000))
+
+
+def test_long_arrays_take_linear_time(spark):
+    def took(n):
+        words, numbers = f"array_join(transform(sequence(1, {n}), i -> concat('w', i % 977)), ' ')", f"transform(sequence(1, {n}), i -> i % 7 + 1.0D)"
+        df = spark.range(4).select(F.expr(words).alias("x"), F.expr(numbers).alias("v"))
+        out = df.select(X.distinct_ratio(F.col("x"), 2), X.max_word_share(F.col("x")), F.size(V.unit(F.col("v"))), F.size(V.unit_above(F.col("v"))))
+        out.collect()
+        began = time.perf_counter()
+        out.collect()
+        return time.perf_counter() - began
+
+    assert took(64_000) < 3 * took(32_000) + 0.5
+
+
 def test_splits_do_not_depend_on_partitions(spark):
     df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 7).alias("d"))
     for f in (lambda x: O.three_way_split(x, ["d"], "k", 1), lambda x: O.document_split(x, "d", 0.3, 1), lambda x: O.folds(x, "k", 5, 1)):

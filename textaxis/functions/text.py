@@ -5,6 +5,8 @@ White space means what ``str.split`` means by it. Patterns name the characters,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, _EDGE, "")
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once per row, also where it stands inside lambdas."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def words(x: Column) -> Column:
     """Words between white space; none for null or blank."""
     return F.filter(F.split(F.coalesce(x, F.lit("")), f"[{SPACE_CLASS}]+"), lambda w: w != "")
@@ -142,24 +149,32 @@ def render_options(options: Column, refused: str = "Refused") -> Column:
 
 def distinct_ratio(x: Column, n: int) -> Column:
     """Distinct n-grams over n-grams of lower-case words; 0 without any."""
-    w = words(F.lower(x))
-    grams = F.when(
-        F.size(w) >= n,
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(grams) > 0, F.size(F.array_distinct(grams)) / F.size(grams)).otherwise(0.0)
+
+    def grams(w: Column) -> Column:
+        out = F.slice(w, 1, F.greatest(F.size(w) - (n - 1), F.lit(0)))
+        for k in range(1, n):
+            later = F.slice(w, k + 1, F.greatest(F.size(w) - (n - 1), F.lit(0)))
+            out = F.zip_with(out, later, lambda a, b: F.concat(a, F.lit(" "), b))
+        return out
+
+    def share(g: Column) -> Column:
+        return F.when(F.size(g) > 0, F.size(F.array_distinct(g)) / F.size(g)).otherwise(0.0)
+
+    return bound(words(F.lower(x)), lambda w: bound(grams(w), share))
 
 
 def max_word_share(x: Column) -> Column:
     """Share of the most frequent lower-case word; 0 without words. Sorted words are run-length counted in one fold."""
-    w = F.array_sort(words(F.lower(x)))
     start = F.struct(F.lit("").alias("w"), F.lit(0).alias("c"), F.lit(0).alias("m"))
 
     def step(a, v):
         c = F.when(a["w"] == v, a["c"] + 1).otherwise(1)
         return F.struct(v.alias("w"), c.alias("c"), F.greatest(a["m"], c).alias("m"))
 
-    return F.when(F.size(w) > 0, F.aggregate(w, start, step)["m"] / F.size(w)).otherwise(0.0)
+    def share(w: Column) -> Column:
+        return F.when(F.size(w) > 0, F.aggregate(w, start, step)["m"] / F.size(w)).otherwise(0.0)
+
+    return bound(F.sort_array(words(F.lower(x))), share)
 
 
 def contains_any(x: Column, phrases: tuple[str, ...]) -> Column:

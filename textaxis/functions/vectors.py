@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from textaxis.functions.text import bound
+
 #: The fixed order of quadrants.
 QUADRANTS = ("left_lib", "left_auth", "right_lib", "right_auth")
 
@@ -29,16 +31,18 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column, epsilon: float = 0.0) -> Column:
     """The vector over its norm (plus ``epsilon``); with no epsilon a zero vector raises."""
-    n = norm(v)
-    if epsilon:
-        return F.transform(as_double(v), lambda x: x / (n + F.lit(epsilon)))
-    return F.when(n == 0, F.raise_error(F.lit("zero vector")).cast("array<double>")).otherwise(F.transform(as_double(v), lambda x: x / n))
+
+    def over(y: Column, n: Column) -> Column:
+        if epsilon:
+            return F.transform(y, lambda x: x / (n + F.lit(epsilon)))
+        return F.when(n == 0, F.raise_error(F.lit("zero vector")).cast("array<double>")).otherwise(F.transform(y, lambda x: x / n))
+
+    return bound(as_double(v), lambda y: bound(norm(y), lambda n: over(y, n)))
 
 
 def unit_above(v: Column, least: float = 1e-8) -> Column:
     """The unit vector where the norm is over ``least``, else the vector itself."""
-    n = norm(v)
-    return F.when(n > least, F.transform(as_double(v), lambda x: x / n)).otherwise(as_double(v))
+    return bound(as_double(v), lambda y: bound(norm(y), lambda n: F.when(n > least, F.transform(y, lambda x: x / n)).otherwise(y)))
 
 
 def cosine(a: Column, b: Column, epsilon: float = 1e-12) -> Column:

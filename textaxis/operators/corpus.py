@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textaxis.functions.text import strip, words
+from textaxis.functions.text import bound, strip, words
+from textaxis.operators.ranking import hash_salt, keyed_offsets
 
 
 def hash_order(seed: int, *keys: str) -> Column:
@@ -134,8 +135,7 @@ def document_split(chunks: DataFrame, doc: str, share: float, seed: int) -> Data
     count = docs.agg(F.count("*").alias("__n"))
     ranked = docs.withColumn("__h", hash_order(seed, doc))
     cut = ranked.crossJoin(F.broadcast(count)).select(doc, "__h", F.greatest(F.lit(1), F.ceil(F.col("__n") * share)).alias("__k"))
-    # A global rank over keys alone; rows join back, so no chunk travels through the single sort.
-    val = cut.withColumn("__rn", F.row_number().over(Window.orderBy("__h", doc))).where("__rn <= __k").select(doc, F.lit(True).alias("__v"))
+    val = keyed_offsets(cut, [], ["__h", doc], out="__at", salt=hash_salt("__h")).where("__at < __k").select(doc, F.lit(True).alias("__v"))
     return chunks.join(val, doc, "left").withColumn("split", F.when(F.col("__v"), "val").otherwise("train")).drop("__v")
 
 
@@ -170,10 +170,15 @@ def three_way_counts(n: Column, shares: tuple[float, float, float] = (0.8, 0.1,
                 ahead = ahead + (rest[j] > rest[i]).cast("int")
         rank.append(ahead)
     got = [f + (r < left).cast("long") for f, r in zip(low, rank, strict=True)]
-    for i in (1, 2):  # an empty bucket takes one from train, which is the largest for any usual shares
-        need = (got[i] == 0).cast("long")
-        got = [got[0] - need, *got[1:]]
-        got[i] = got[i] + need
+
+    def steal(c: Column) -> Column:
+        """The first empty bucket takes one from the largest, of equal ones the first, unless that has only one."""
+        zero = F.array_position(c, 0)
+        most = F.array_position(c, F.array_max(c))
+        able = (zero > 0) & (F.array_max(c) > 1)
+        return F.transform(c, lambda v, i: F.when(able & (i == zero - 1), v + 1).when(able & (i == most - 1), v - 1).otherwise(v))
+
+    got = bound(bound(bound(F.array(*[g.cast("long") for g in got]), steal), steal), lambda c: c)
     names = ("train", "val", "test")
     small = {0: (0, 0, 0), 1: (1, 0, 0), 2: (1, 1, 0)}
     out = []
@@ -212,7 +217,8 @@ def group_weights(rows: DataFrame, group: str, cap: float = 3.0) -> DataFrame:
 
 def folds(rows: DataFrame, row_key: str, k: int, seed: int) -> DataFrame:
     """Shuffled folds of (nearly) equal size."""
-    return rows.withColumn("fold", ((F.row_number().over(Window.orderBy(hash_order(seed, row_key), row_key)) - 1) % k).cast("int"))
+    placed = keyed_offsets(rows.withColumn("__h", hash_order(seed, row_key)), [], ["__h", row_key], out="__at", salt=hash_salt("__h"))
+    return placed.withColumn("fold", (F.col("__at") % k).cast("int")).drop("__h", "__at")
 
 
 def balanced_capped_sample(rows: DataFrame, quadrant: str, source: str, group: str, topic: str, score: str, row_key: str, target: int,
@@ -220,10 +226,11 @@ def balanced_capped_sample(rows: DataFrame, quadrant: str, source: str, group: s
     """At most ``target`` rows of each quadrant under three caps at once, best scores first.
 
     The choice of a row depends on all earlier ones, so candidates are scanned in order, per quadrant. A quadrant's
-    candidates are first cut to what the caps could ever admit: the best ``target`` rows of each (source, topic) cell,
-    which bounds what one task holds by target * cells, whatever the quadrant's size.
+    candidates are first cut to what the caps could ever admit: the best ``target`` rows of each (source, group, topic)
+    cell (of rows alike to all caps a prefix is taken), which bounds what one task holds by target * cells, whatever the
+    quadrant's size.
     """
-    cell = Window.partitionBy(quadrant, source, topic).orderBy(F.desc(score), row_key)
+    cell = Window.partitionBy(quadrant, source, group, topic).orderBy(F.desc(score), row_key)
     able = rows.withColumn("__rn", F.row_number().over(cell)).where(F.col("__rn") <= target).drop("__rn")
     limits = {source: max(1, int(target * source_cap)), group: max(1, int(target * group_cap)), topic: max(1, int(target * topic_cap))}
 

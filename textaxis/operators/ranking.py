@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 1024
 
 
 def keyed_offsets(df: DataFrame, keys: list[str], order: list[str], weight: str | None = None, out: str = "slot",
-                  salts: int = SALTS) -> DataFrame:
+                  salts: int = SALTS, salt: Column | None = None) -> DataFrame:
     """Add ``out``: the sum of ``weight`` (1 if none) over the key's earlier rows, gapless from 0.
 
     Rows are dealt by (keys, salt), the salt a hash of ``order``; a salt's rows follow those of all smaller salts, so
     only one small total per (key, salt) has to be summed up per key. ``order`` must identify a row for a
     repeatable result; rows equal in it are in an arbitrary but gapless order. Null keys form a key of their own.
+    ``salt`` (a long that never falls along ``order``) makes the offsets those of the one order over all rows.
     """
     w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")).withColumn("__w", w)
+    dealt = F.pmod(F.xxhash64(*order), F.lit(salts)) if salt is None else salt
+    salted = df.withColumn("__salt", dealt.cast("long")).withColumn("__w", w)
     totals = salted.groupBy(*keys, "__salt").agg(F.sum("__w").alias("__t"))
     before = Window.partitionBy(*keys).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
@@ -33,3 +35,15 @@ def keyed_offsets(df: DataFrame, keys: list[str], order: list[str], weight: str
         placed.join(totals, on).withColumn(out, (F.col("__base") + F.col("__in")).cast("long"))
         .drop("__salt", "__s", "__base", "__in", "__w", *[f"__k{i}" for i in range(len(keys))])
     )
+
+
+def hash_salt(hashed: str, digits: int = 3) -> Column:
+    """A salt along the order of a column of hexadecimal hashes."""
+    return F.conv(F.substring(hashed, 1, digits), 16, 10).cast("long")
+
+
+def numbered(df: DataFrame, order: str, out: str = "slot", salts: int = SALTS) -> DataFrame:
+    """``df`` with each row's number from 0 along a column of distinct longs, cut into ``salts`` ranges of equal width."""
+    ends = df.agg(F.min(order).alias("__low"), F.max(order).alias("__high"))
+    at = F.floor((F.col(order) - F.col("__low")) / (F.col("__high") - F.col("__low") + 1) * salts)
+    return keyed_offsets(df.crossJoin(F.broadcast(ends)), [], [order], out=out, salt=at).drop("__low", "__high")

@@ -104,32 +104,34 @@ def bootstrap_se(rows: DataFrame, x: str, row_key: str, reps: int, seed: int) ->
     return means.agg(F.avg("m").alias("mean"), F.stddev_samp("m").alias("se"))
 
 
-def validate_center(rows: DataFrame, category: str, axes: tuple[str, str], limit: float = 2.5, tolerance: tuple[float, float] = (0.5, 0.15)) -> DataFrame:
-    """Centre of neutral items by axis after removing outliers on either axis, with its checks.
-
-    Outlier: a sample z-score over ``limit``. Checks: the first two categories' centres differ by at most
-    ``tolerance[0]`` standard deviations; the centre is near the midpoint of its range.
+def validate_center(rows: DataFrame, polarity: DataFrame, category: str, axes: tuple[str, str], limit: float = 2.5, tolerance: tuple[float, float] = (0.5, 0.15)) -> DataFrame:
+    """Centre of neutral items by axis after removing outliers on either axis, with its checks, one row per axis.
+
+    ``polarity`` holds charged items: ``axis``, ``positive`` (boolean) and ``x``. Outlier: a sample z-score over
+    ``limit``. Checks: the first two categories' centres differ by at most ``tolerance[0]`` standard deviations; the
+    centre is off the midpoint of the two polarity groups' means by at most ``tolerance[1]`` of their spread.
+    ``passed``: both checks on both axes. A polarity group without items has mean 0. Means and deviations come from one
+    aggregate that is broadcast as its one row.
     """
-    z = rows
-    for a in axes:
-        z = z_scores(z, a, [], False, f"__z_{a}")
+    moments = rows.agg(*[f(a).alias(f"__{n}_{a}") for a in axes for n, f in (("m", F.avg), ("s", F.stddev_samp))])
     out = F.lit(False)
     for a in axes:
-        out = out | (F.abs(f"__z_{a}") > limit)
-    clean = z.withColumn("__out", out)
-    parts = []
-    for a in axes:
-        parts.append(F.struct(F.lit(a).alias("axis"), F.col(a).alias("x")))
-    long = clean.select(category, "__out", F.inline(F.array(*parts)))
+        sd = F.coalesce(F.col(f"__s_{a}"), F.lit(0.0))
+        out = out | ((sd != 0) & F.coalesce(F.abs(F.col(a) - F.col(f"__m_{a}")) > limit * sd, F.lit(False)))
+    placed = rows.crossJoin(F.broadcast(moments)).withColumn("__out", out)
+    long = placed.select(category, "__out", F.inline(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("x")) for a in axes])))
+    kept = F.when(~F.col("__out"), F.col("x"))
     by_category = long.where("not __out").groupBy("axis", category).agg(F.avg("x").alias("m"))
-    first_two = by_category.withColumn("__rn", F.row_number().over(Window.partitionBy("axis").orderBy(category))).groupBy("axis").agg(
-        F.max(F.when(F.col("__rn") == 1, F.col("m"))).alias("m1"), F.max(F.when(F.col("__rn") == 2, F.col("m"))).alias("m2"))
-    by = long.groupBy("axis").agg(
-        F.count("*").alias("n_raw"), F.count_if("__out").alias("n_outliers"), F.avg(F.when(~F.col("__out"), F.col("x"))).alias("center"),
-        sample_std(F.when(~F.col("__out"), F.col("x"))).alias("sd"), F.min(F.when(~F.col("__out"), F.col("x"))).alias("lo"), F.max(F.when(~F.col("__out"), F.col("x"))).alias("hi"))
-    mid = F.abs(F.col("center") - (F.col("lo") + F.col("hi")) / 2) / (F.abs(F.col("hi") - F.col("lo")) + 1e-12)
-    agree = F.coalesce(F.abs(F.col("m1") - F.col("m2")) <= tolerance[0] * F.col("sd"), F.lit(True))
-    return by.join(first_two, "axis").select("axis", "n_raw", "n_outliers", "center", "sd", mid.alias("midpoint_ratio"), agree.alias("categories_agree"), (mid <= tolerance[1]).alias("midpoint_ok"))
+    first_two = by_category.groupBy("axis").agg(F.slice(F.array_sort(F.collect_list(F.struct(category, "m"))), 1, 2).alias("two"))  # one entry per category
+    by = long.groupBy("axis").agg(F.count("*").alias("n_raw"), F.count_if("__out").alias("n_outliers"), F.avg(kept).alias("center"), sample_std(kept).alias("sd"))
+    groups = polarity.groupBy("axis").agg(mean_or_zero(F.when(F.col("positive"), F.col("x"))).alias("__p"), mean_or_zero(F.when(~F.col("positive"), F.col("x"))).alias("__n"))
+    off = F.abs(F.col("center") - (F.col("__p") + F.col("__n")) / 2) / (F.abs(F.col("__p") - F.col("__n")) + 1e-12)
+    agree = F.coalesce(F.abs(F.col("two")[0]["m"] - F.get("two", F.lit(1))["m"]) <= tolerance[0] * F.col("sd"), F.lit(True))
+    checked = by.join(first_two, "axis").join(groups, "axis", "left").select(
+        "axis", "n_raw", "n_outliers", "center", "sd", (F.col("__p") - F.col("__n")).alias("charged_spread"), off.alias("midpoint_ratio"), agree.alias("categories_agree"),
+        F.coalesce(off <= tolerance[1], F.lit(False)).alias("midpoint_ok"))
+    whole = checked.agg(F.every(F.col("categories_agree") & F.col("midpoint_ok")).alias("passed"))
+    return checked.crossJoin(F.broadcast(whole))
 
 
 def proportions(rows: DataFrame, by: list[str], key: str) -> DataFrame:

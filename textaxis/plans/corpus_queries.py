@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textaxis.functions import text as X
 from textaxis.operators import corpus as O
 from textaxis.operators import reports as R
+from textaxis.operators.ranking import numbered
 from textaxis.plans.registry import Registry
 from textaxis.plans.text_queries import words_sql
 
@@ -117,11 +118,9 @@ def _(t):
 @query("w7_w8_keep_first", """
     select 'p_' || lpad((row_number() over (order by doc_id) - 1)::varchar, 6, '0') as id, doc_id from (select doc_id, row_number() over (partition by text order by doc_id) as r from documents) where r = 1""")
 def _(t):
-    from pyspark.sql import Window
-
     first = O.keep_first(t("documents").select("doc_id", F.md5("text").alias("k")), ["k"], ["doc_id"])
-    # Sequential ids need one order over all keys; only keys pass through it.
-    return first.select(F.concat(F.lit("p_"), F.lpad((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("string"), 6, "0")).alias("id"), "doc_id")
+    placed = numbered(first.select("doc_id"), "doc_id")
+    return placed.select(F.concat(F.lit("p_"), F.lpad(F.col("slot").cast("string"), 6, "0")).alias("id"), "doc_id")
 
 
 @query("w9_w10_shares", """
@@ -196,11 +195,13 @@ def _(t):
 
 
 @query("l8_three_way_split", """
-    with r as (select doc_id, source, row_number() over (partition by source order by md5('4:' || doc_id::varchar), doc_id) as r, count(*) over (partition by source) as n from documents)
-    select source, count(*) as n, count(distinct doc_id) as d from r group by source""")
+    with r as (select doc_id, source, row_number() over (partition by source order by md5('4:' || doc_id::varchar), doc_id) as r, count(*) over (partition by source) as n from documents),
+    s as (select source, doc_id, r, n, floor(n * 0.8) as a, floor(n * 0.1) as b, round(n * 0.8 - floor(n * 0.8), 9) as ra, round(n * 0.1 - floor(n * 0.1), 9) as rb from r),
+    g as (select *, n - a - 2 * b as l from s), h as (select source, doc_id, r, n, a + ((rb > ra)::int * 2 < l)::int as a, b + ((ra >= rb)::int < l)::int as v from g)
+    select source, split, count(*) as n, sum(doc_id)::bigint as ids from (select source, doc_id, case when r <= a then 'train' when r <= a + v then 'val' else 'test' end as split from h) group by source, split""")
 def _(t):
     got = O.three_way_split(t("documents"), ["source"], "doc_id", 4)
-    return got.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d"))
+    return got.groupBy("source", "split").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
 @query("l9_balanced_capped")

@@ -233,12 +233,21 @@ def _(t):
     with {SCORED}, z as (select *, abs((se - avg(se) over ()) / stddev_samp(se) over ()) > 2.5 or abs((ss - avg(ss) over ()) / stddev_samp(ss) over ()) > 2.5 as o, (label % 3)::varchar as c from scored),
     l as (select 'score_econ' as axis, c, o, se as x from z union all select 'score_soc', c, o, ss from z),
     k as (select axis, c, avg(x) as m, row_number() over (partition by axis order by c) as r from l where not o group by axis, c),
-    b as (select axis, count(*) as n_raw, count(*) filter (where o) as n_outliers, avg(x) filter (where not o) as center, stddev_samp(x) filter (where not o) as sd, min(x) filter (where not o) as lo, max(x) filter (where not o) as hi from l group by axis)
-    select axis, n_raw, n_outliers, round(center, 6) as center, round(abs(center - (lo + hi) / 2) / (abs(hi - lo) + 1e-12), 6) as midpoint_ratio,
-      abs((select m from k where k.axis = b.axis and r = 1) - (select m from k where k.axis = b.axis and r = 2)) <= 0.5 * sd as categories_agree, abs(center - (lo + hi) / 2) / (abs(hi - lo) + 1e-12) <= 0.15 as midpoint_ok from b""")
+    b as (select axis, count(*) as n_raw, count(*) filter (where o) as n_outliers, avg(x) filter (where not o) as center, stddev_samp(x) filter (where not o) as sd from l group by axis),
+    q as (select 'score_econ' as axis, avg(se) filter (where label % 2 = 0) as p, avg(se) filter (where label % 2 <> 0) as n from scored union all
+      select 'score_soc', avg(ss) filter (where label >= 5), avg(ss) filter (where label < 5) from scored),
+    f as (select b.axis, n_raw, n_outliers, center, p - n as charged_spread, abs(center - (p + n) / 2) / (abs(p - n) + 1e-12) as ratio,
+      abs((select m from k where k.axis = b.axis and r = 1) - (select m from k where k.axis = b.axis and r = 2)) <= 0.5 * sd as categories_agree from b join q using (axis))
+    select axis, n_raw, n_outliers, round(center, 6) as center, round(charged_spread, 6) as charged_spread, round(ratio, 6) as midpoint_ratio, categories_agree, ratio <= 0.15 as midpoint_ok,
+      (select bool_and(categories_agree and ratio <= 0.15) from f) as passed from f""")
 def _(t):
-    got = S.validate_center(scored(t).withColumn("c", (F.col("label") % 3).cast("string")), "c", ("score_econ", "score_soc"))
-    return got.select("axis", "n_raw", "n_outliers", F.round("center", 6).alias("center"), F.round("midpoint_ratio", 6).alias("midpoint_ratio"), "categories_agree", "midpoint_ok")
+    s = scored(t)
+    polarity = s.select(F.inline(F.array(
+        F.struct(F.lit("score_econ").alias("axis"), (F.col("label") % 2 == 0).alias("positive"), F.col("score_econ").alias("x")),
+        F.struct(F.lit("score_soc").alias("axis"), (F.col("label") >= 5).alias("positive"), F.col("score_soc").alias("x")))))
+    got = S.validate_center(s.withColumn("c", (F.col("label") % 3).cast("string")), polarity, "c", ("score_econ", "score_soc"))
+    return got.select("axis", "n_raw", "n_outliers", F.round("center", 6).alias("center"), F.round("charged_spread", 6).alias("charged_spread"), F.round("midpoint_ratio", 6).alias("midpoint_ratio"),
+                      "categories_agree", "midpoint_ok", "passed")
 
 
 @query("t5_split_half", f"""
