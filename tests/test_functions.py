@@ -111,25 +111,61 @@ def test_candidate_fan_keeps_first(spark):
     assert kept == plain and len(fan) == 7 and len(kept) == 4 and np.allclose(fan[4], [0.25, 0.05, 0.45, 0.25])
 
 
+def plain_edit_loop(p, a, states, econ, social, steps):
+    corners = [-econ - social, social - econ, econ - social, econ + social]
+    made, reason = 0, None
+    for _ in range(steps):
+        q = p * np.exp(-a)
+        q /= q.sum()
+        mixed = (q[:, None] * states).sum(axis=0)
+        mixed /= np.linalg.norm(mixed)
+        b = np.array([c @ mixed / np.linalg.norm(c) for c in corners])
+        moved, turned = np.abs(q - p).max(), np.abs(b - a).max()
+        p, a, made = q, b, made + 1
+        if min(abs(econ @ mixed), abs(social @ mixed)) <= 0.015:
+            reason = "axis_proximity"
+        elif moved <= 1e-3 and turned <= 1e-3:
+            reason = "converged"
+        if reason:
+            break
+    return p, a, made, reason
+
+
 def test_edit_loop_equals_a_plain_loop(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, rng.dirichlet([1.0] * 4).tolist(), rng.normal(0, 0.5, 4).tolist(), float(rng.normal()), float(rng.normal())) for i in range(40)]
-    df = spark.createDataFrame(rows, "i int, p array<double>, a array<double>, e double, s double")
-    got = values(df, P.edit_loop(F.col("p"), F.col("a"), F.col("e"), F.col("s")))
-    for (_, p, a, e, s), r in zip(rows, got, strict=True):
-        p, a, steps, reason = np.array(p), np.array(a), 0, "max_steps"
-        for _ in range(10):
-            pull = float(p @ a)
-            if max(abs(e * (1 - pull)), abs(s * (1 - pull))) <= 0.015:
-                reason = "axis_proximity"
-                break
-            q = np.exp(np.log(np.maximum(p, 1e-12)) - a)
-            q /= q.sum()
-            moved, p, steps = np.abs(q - p).max(), q, steps + 1
-            if moved <= 1e-3:
-                reason = "converged"
-                break
-        assert (r["steps"], r["reason"]) == (steps, reason) and np.allclose(r["policy"], p)
+    axes = [x / np.linalg.norm(x) for x in rng.normal(size=(2, 6))]  # not orthogonal
+    rows = [(i, rng.dirichlet([1.0] * 4).tolist(), rng.normal(0, 0.5, 4).tolist(), rng.normal(size=(4, 6)).tolist()) for i in range(60)]
+    still = rng.normal(size=6)  # equal states score alike whatever the weights
+    even = np.array([x @ still / np.linalg.norm(x) / np.linalg.norm(still) for x in (-axes[0] - axes[1], axes[1] - axes[0], axes[0] - axes[1], axes[0] + axes[1])])
+    rows.append((60, [0.25] * 4, even.tolist(), [still.tolist()] * 4))
+    odd = [(61, None, [0.0] * 4, rows[0][3]), (62, [1.0, 0.0, 0.0, 0.0], [0.0] * 4, rows[0][3]), (63, [0.25] * 4, [0.0] * 4, None)]
+    df = spark.createDataFrame(rows + odd, "i int, p array<double>, a array<double>, h array<array<double>>")
+    econ, social = (F.array(*[F.lit(float(v)) for v in x]) for x in axes)
+    columns = [F.col(c) for c in "pah"]
+    for steps, recursive in ((10, True), (200, True), (10, False)):
+        got = values(df, P.edit_loop(*columns, econ, social, steps=steps, recursive=recursive))
+        assert got[len(rows):] == [None] * 3
+        for (_, p, a, h), r in zip(rows, got, strict=False):
+            p, a, made, reason = plain_edit_loop(np.array(p), np.array(a), np.array(h), *axes, steps if recursive else 1)
+            assert (r["steps"], r["reason"]) == (made, reason if recursive else None)
+            assert np.allclose(r["policy"], p) and np.allclose(r["align"], a)
+
+
+def test_fans_end_with_draws(spark):
+    df = spark.createDataFrame([(i, [0.1, 0.2, 0.3, 0.4], [1.0, 2.0, 0.5, 0.1]) for i in range(3)], "i int, p array<double>, q array<double>")
+    df = df.withColumn("d", P.dirichlet_draws(F.array(*[F.element_at("p", i + 1) * 64.0 for i in range(4)]), F.col("i")))
+    draws = values(df, F.col("d"))
+    for fan, n in ((P.candidate_fan(F.col("p"), F.col("q"), draws=F.col("d")), 23), (P.standalone_fan(F.col("p"), draws=F.col("d")), 30)):
+        for made, drawn in zip(values(df, fan), draws, strict=True):
+            assert len(made) == n and np.allclose(np.sum(made, axis=1), 1) and np.min(made) > 0.009
+            assert np.allclose(made[-16:], drawn, atol=0.02)
+
+
+def test_unknown_modes_raise(spark):
+    df = spark.createDataFrame([("router", [0.4, 0.3, 0.2, 0.1]), ("uniform", None)], "m string, p array<double>").withColumn("i", F.monotonically_increasing_id())
+    assert values(df, P.initial_mixture(F.col("m"), F.col("p"))) == [[0.4, 0.3, 0.2, 0.1], [0.25] * 4]
+    with pytest.raises(Exception, match="unknown mode"):
+        values(df, P.initial_mixture(F.lit("other"), F.col("p")))
 
 
 def test_dirichlet_draws_repeat(spark):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textaxis.functions.vectors import QUADRANTS
+from textaxis.functions.text import bound
+from textaxis.functions.vectors import QUADRANTS, dot
 
 K = len(QUADRANTS)
 #: The corner that is across each quadrant, by place.
@@ -176,10 +177,11 @@ def valid_policy(p: Column, tolerance: float = 1e-6) -> Column:
     return p.isNotNull() & (F.size(p) == K) & ~F.coalesce(bad, F.lit(True)) & (F.abs(_sum(p) - 1) <= tolerance)
 
 
-def candidate_fan(prior: Column, scores: Column, least: float = 0.01) -> Column:
-    """The structured candidates of a prompt: prior, uniform, sharpened, softened, opposite, two adjacent; floored."""
-    fan = [prior, uniform(), sharpen(prior, 0.5), sharpen(prior, 2.0), opposite_heavy(scores), *adjacent_variants(scores)]
-    return F.array(*[floored(p, least) for p in fan])
+def candidate_fan(prior: Column, scores: Column, least: float = 0.01, draws: Column | None = None) -> Column:
+    """The candidates of a prompt: prior, uniform, sharpened, softened, opposite, two adjacent, then ``draws`` (see
+    ``dirichlet_draws``; around the prior, by a multiple of it); all floored."""
+    fan = F.array(prior, uniform(), sharpen(prior, 0.5), sharpen(prior, 2.0), opposite_heavy(scores), *adjacent_variants(scores))
+    return F.transform(fan if draws is None else F.concat(fan, draws), lambda p: floored(p, least))
 
 
 def keep_first_distinct(fan: Column, tolerance: float = 1e-6) -> Column:
@@ -188,13 +190,14 @@ def keep_first_distinct(fan: Column, tolerance: float = 1e-6) -> Column:
     return F.aggregate(fan, none, lambda kept, p: F.when(F.exists(kept, lambda q: same_within(p, q, tolerance)), kept).otherwise(F.concat(kept, F.array(p))))
 
 
-def standalone_fan(prior: Column, least: float = 0.01) -> Column:
-    """The other runner's candidates, without its draws: prior, uniform, two sharpened, two softened, every opposite
-    and adjacent; clipped, not floored, and with repeats."""
+def standalone_fan(prior: Column, least: float = 0.01, draws: Column | None = None) -> Column:
+    """The other runner's candidates: prior, uniform, two sharpened, two softened, every opposite and adjacent, then
+    ``draws`` (of even parts); clipped, not floored, and with repeats."""
     fan = [prior, uniform()] + [resample(prior, t) for t in (0.5, 0.25, 2.0, 4.0)] + [heavy(i, 0.7) for i in range(K)]
     for i in range(K):
         fan.append(F.array(*[F.lit(0.1 if j in (i, OPPOSITE[i]) else 0.4) for j in range(K)]))
-    return F.array(*[clipped(p, least) for p in fan])
+    fan = F.array(*fan)
+    return F.transform(fan if draws is None else F.concat(fan, draws), lambda p: clipped(p, least))
 
 
 def dirichlet_draws(alpha: Column, seed: Column, n: int = 16) -> Column:
@@ -210,37 +213,71 @@ def dirichlet_draws(alpha: Column, seed: Column, n: int = 16) -> Column:
     return draw(alpha, seed)
 
 
-def edit_loop(policy: Column, align: Column, econ: Column, social: Column, beta: float = 1.0, near: float = 0.015, still: float = 1e-3, steps: int = 10) -> Column:
-    """Repeated exponentiated updates alpha <- softmax(log alpha - beta * align), per row until it is near the centre,
-    moves no more, or has made ``steps``. ``align`` is the quadrants' alignment; the axis scores shrink with the
-    mixture's alignment. Returns a struct (policy, steps, reason). Vectorized over a batch with a mask of live rows."""
-
-    @F.pandas_udf("struct<policy array<double>, steps int, reason string>")
-    def run(policy, align, econ, social):
-        import numpy as np
-        import pandas as pd
-
-        p, a = np.array(policy.tolist(), float), np.array(align.tolist(), float)
-        e, s = econ.to_numpy(float), social.to_numpy(float)
-        made, reason = np.zeros(len(p), int), np.full(len(p), "max_steps", dtype=object)
-        live = np.ones(len(p), bool)
-        for _ in range(steps):
-            pull = (p * a).sum(axis=1)
-            close = live & (np.maximum(np.abs(e * (1 - pull)), np.abs(s * (1 - pull))) <= near)
-            reason[close], live = "axis_proximity", live & ~close
-            logits = np.log(np.maximum(p, 1e-12)) - beta * a
-            q = np.exp(logits - logits.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            moved = np.abs(q - p).max(axis=1)
-            p[live] = q[live]
-            made[live] += 1
-            done = live & (moved <= still)
-            reason[done], live = "converged", live & ~done
-            if not live.any():
-                break
-        return pd.DataFrame({"policy": [x.tolist() for x in p], "steps": made, "reason": reason})
-
-    return run(policy, align, econ, social)
+def initial_mixture(mode: Column, policy: Column) -> Column:
+    """The policy in mode 'router', even parts in mode 'uniform'; any other mode raises."""
+    other = F.raise_error(F.concat(F.lit("unknown mode "), F.coalesce(mode, F.lit("null")))).cast("array<double>")
+    return F.when(mode == "router", policy).when(mode == "uniform", uniform()).otherwise(other)
+
+
+def edit_loop(policy: Column, align: Column, states: Column, econ: Column, social: Column, beta: float = 1.0, near: float = 0.015,
+              still: float = 1e-3, steps: int = 10, recursive: bool = True, stop_near: bool = True) -> Column:
+    """Repeated updates alpha <- softmax(log alpha - beta * align), each followed by a new score of the mixture.
+
+    ``states`` holds the four quadrants' pooled vectors, ``econ`` and ``social`` are unit axes, ``align`` is the first
+    alignment. After each step the mixture of the states is normalized and projected; its quadrant scores are the next
+    alignment. A row stops when the smaller axis score is at most ``near`` in size ('axis_proximity'), else when neither
+    weights nor alignment moved by more than ``still`` ('converged'); the reason is null where ``steps`` ran out, and
+    where ``recursive`` is off, which makes one step. The result is a struct (policy, align, steps, reason); it is null
+    for a row with a null input or with a policy whose four parts aren't all positive.
+
+    Mixtures are linear, so a step needs only the states' scores on the axes and their inner products, which are
+    computed once a row, whatever the vectors' width. The steps are a fold inside the JVM.
+    """
+    kind = "struct<policy:array<double>,align:array<double>,steps:int,reason:string>"
+
+    def largest_move(x: Column, y: Column) -> Column:
+        return F.array_max(F.zip_with(x, y, lambda u, v: F.abs(u - v)))
+
+    def weights(p: Column, a: Column) -> Column:
+        logits = F.zip_with(p, a, lambda x, y: F.log(x) - y * beta)
+        raw = bound(logits, lambda l: bound(F.array_max(l), lambda m: F.transform(l, lambda x: F.exp(x - m))))
+        return bound(raw, lambda w: bound(_sum(w), lambda total: F.transform(w, lambda x: x / total)))
+
+    def point(q: Column, know: Column) -> Column:
+        """The normalized mixture's scores on both axes."""
+        square = _sum(F.transform(know["gram"], lambda g, i: g * F.get(q, F.floor(i / K).cast("int")) * F.get(q, i % K)))
+        size = F.sqrt(F.greatest(square, F.lit(0.0)))
+        raw = F.array(_sum(F.zip_with(q, know["econ"], lambda x, y: x * y)), _sum(F.zip_with(q, know["social"], lambda x, y: x * y)))
+        return bound(F.when(size > 1e-8, size).otherwise(1.0), lambda n: F.transform(raw, lambda x: x / n))
+
+    def corners(at: Column, know: Column) -> Column:
+        x, y, same, across = at[0], at[1], know["same"], know["across"]
+        return F.array((-x - y) / same, (y - x) / across, (x - y) / across, (x + y) / same)
+
+    def moved(state: Column, q: Column, at: Column, turned: Column) -> Column:
+        reason = F.lit(None).cast("string")
+        if recursive:
+            rest = (largest_move(q, state["policy"]) <= still) & (largest_move(turned, state["align"]) <= still)
+            close = (F.least(F.abs(at[0]), F.abs(at[1])) <= near) & F.lit(stop_near)
+            reason = F.when(close, "axis_proximity").when(rest, "converged")
+        return F.struct(q.alias("policy"), turned.alias("align"), (state["steps"] + 1).alias("steps"), reason.alias("reason")).cast(kind)
+
+    def loop(know: Column) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            after = bound(weights(state["policy"], state["align"]), lambda q: bound(
+                point(q, know), lambda at: bound(corners(at, know), lambda turned: moved(state, q, at, turned))))
+            return F.when(state["reason"].isNotNull(), state).otherwise(after)
+
+        start = F.struct(policy.alias("policy"), align.alias("align"), F.lit(0).alias("steps"), F.lit(None).alias("reason")).cast(kind)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps if recursive else 1)), start, step)
+
+    wide = lambda f: F.sqrt(F.greatest(2 + f * 2 * dot(econ, social), F.lit(1e-24)))
+    know = F.struct(
+        F.transform(states, lambda h: dot(h, econ)).alias("econ"), F.transform(states, lambda h: dot(h, social)).alias("social"),
+        F.flatten(F.transform(states, lambda x: F.transform(states, lambda y: dot(x, y)))).alias("gram"), wide(1).alias("same"), wide(-1).alias("across"))
+    able = (F.size(policy) == K) & F.forall(policy, lambda x: x > 0) & (F.size(align) == K) & (F.size(states) == K)
+    whole = lambda k: F.forall(k["gram"], lambda g: g.isNotNull()) & F.forall(k["econ"], lambda g: g.isNotNull()) & k["same"].isNotNull()
+    return F.when(able, bound(know, lambda k: F.when(whole(k), loop(k))))
 
 
 def final_score(bias: Column, quality: Column, refusal: Column, vague: Column, kl: Column, weights: tuple[float, ...] = (1.0, 0.5, 0.5, 0.25, 0.1)) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textaxis.functions.text import bound, strip, words
-from textaxis.operators.ranking import hash_salt, keyed_offsets
+from textaxis.operators.ranking import hash_salt, keyed_offsets, numbered
 
 
 def hash_order(seed: int, *keys: str) -> Column:
@@ -102,6 +102,20 @@ def cap_cells(rows: DataFrame, cell: list[str], row_key: str, cap: int, seed: in
     return rows.withColumn("__h", hash_order(seed, row_key)).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= cap).drop("__h", "__rn")
 
 
+def slice_rows(rows: DataFrame, order: str, start: int, end: int) -> DataFrame:
+    """Rows ``start`` to ``end - 1`` along a column of distinct longs, with their ``position`` from 0 in the whole table."""
+    return numbered(rows, order, out="position").where((F.col("position") >= start) & (F.col("position") < end))
+
+
+def stratify_by_sign(rows: DataFrame, econ: str, social: str, row_key: str, n: int, seed: int) -> DataFrame:
+    """At most ``n`` rows of each quadrant by seeded order, and their place in one shuffled order. Here a score of 0 is
+    left or lib, unlike in ``vectors.quadrant``; rows without a score have no quadrant and are left out."""
+    quadrant = F.concat_ws("_", F.when(F.col(econ) > 0, "right").otherwise("left"), F.when(F.col(social) > 0, "auth").otherwise("lib"))
+    able = rows.where(F.col(econ).isNotNull() & F.col(social).isNotNull()).withColumn("quadrant", quadrant)
+    some = cap_cells(able, ["quadrant"], row_key, n, seed)  # at most 4 * n rows from here on
+    return some.withColumn("place", F.row_number().over(Window.orderBy(hash_order(seed + 1, row_key), row_key)) - 1)
+
+
 def sample_groups(rows: DataFrame, group: list[str], row_key: str, n: int, seed: int) -> DataFrame:
     """A simple random sample of ``n`` rows of each group."""
     return cap_cells(rows, group, row_key, n, seed)

@@ -126,15 +126,35 @@ def unique_match(left: DataFrame, right: DataFrame, unit: list[str], tie: str, l
 
 
 def candidate_targets(scores: DataFrame, example: str, policy: str, score: str, temperature: float = 1.0, least: float = 0.01) -> DataFrame:
-    """Per example the softmax-weighted mixture of its candidates' policies, floored, with its entropy and size."""
+    """Per example the softmax-weighted mixture of its candidates' policies, floored, with its entropy and size and the
+    best score."""
     w = Window.partitionBy(example)
     weighed = scores.withColumn("__e", F.exp((F.col(score) - F.max(score).over(w)) / temperature))
     parts = [(F.sum(F.col("__e") * F.element_at(policy, i + 1)) / F.sum("__e")) for i in range(P.K)]
-    mixed = weighed.groupBy(example).agg(F.count("*").alias("n_candidates"), F.array(*parts).alias("__p"))
+    mixed = weighed.groupBy(example).agg(F.count("*").alias("n_candidates"), F.max(score).alias("best_score"), F.array(*parts).alias("__p"))
     target = P.floored(F.col("__p"), least)
     return mixed.withColumn("target", target).withColumn("entropy", P.entropy(F.col("target"))).drop("__p")
 
 
+def target_report(targets: DataFrame, prior: Column) -> DataFrame:
+    """Means over the rows of ``candidate_targets``: candidates, best score, entropy, divergence from the prior."""
+    kl = P.kl_clamped(F.col("target"), prior)
+    return targets.agg(F.count("*").alias("n_records"), F.avg("n_candidates").alias("mean_candidates"), F.avg("best_score").alias("mean_best"),
+                       F.avg("entropy").alias("mean_entropy"), F.avg(kl).alias("mean_kl"))
+
+
+def split_summary(rows: DataFrame, by: list[str], dimensions: list[str]) -> DataFrame:
+    """Per ``by``: rows, mean tokens (3 digits), mean margin and scores (6 digits), and counts of each of ``dimensions``
+    as a map (null as 'unlabeled'). Rows have n_tokens, margin, score_econ and score_soc."""
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("n_tokens"), 3).alias("mean_tokens"),
+                                *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("margin", "score_econ", "score_soc")])
+    for d in dimensions:
+        counted = rows.groupBy(*by, F.coalesce(d, F.lit("unlabeled")).alias("__d")).agg(F.count("*").alias("__c"))
+        maps = counted.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__d", "__c")))).alias(f"{d}_counts"))
+        out = out.join(maps, by)
+    return out
+
+
 def stance_summary(rows: DataFrame, by: str) -> DataFrame:
     """Mean stance times polarity by axis, and the radius over both axes (columns: axis, stance -2..2, polarity)."""
     axis = rows.groupBy(by, "axis").agg(F.avg(F.col("stance") * F.col("polarity")).alias("m"), F.count("*").alias("n"))
@@ -146,11 +166,13 @@ def stance_summary(rows: DataFrame, by: str) -> DataFrame:
 
 def checks(train: DataFrame, validation: dict[str, DataFrame], expected: list[str], held_topic: str | None = None, held_source: str | None = None,
            max_cell: int = 250, source_cap: float = 0.7, topic_cap: float = 0.5, kl_cap: float = 8.0, length_ratio: float = 3.0,
-           margin_ratio: float = 2.5, least: int = 15) -> DataFrame:
+           margin_ratio: float = 2.5, least: int = 15, group: str | None = None, group_cap: float | None = None, group_gap: float | None = None) -> DataFrame:
     """One row per check: ``check_name, value, bound, passed``.
 
     Rows have quadrant, source, topic, document_id, n_tokens and margin. ``validation`` holds the splits val_indist,
-    val_source and val_topic, or some of them; ``expected`` the quadrants that every split must hold.
+    val_source and val_topic, or some of them; ``expected`` the quadrants that every split must hold. ``group`` names a
+    column of source groups: no group may have more than ``group_cap`` of a quadrant, nor shares of two expected
+    quadrants that differ by more than ``group_gap`` (a quadrant without the group has share 0).
     """
     out: list[DataFrame] = []
 
@@ -165,6 +187,14 @@ def checks(train: DataFrame, validation: dict[str, DataFrame], expected: list[st
         by = train.groupBy("quadrant", key).agg(F.count("*").alias("n"))
         share = by.select((F.col("n") / F.sum("n").over(Window.partitionBy("quadrant"))).alias("x"))
         row(name, share, top, cap, v <= cap)
+    if group is not None:
+        by = train.groupBy("quadrant", group).agg(F.count("*").alias("n"))
+        share = by.withColumn("x", F.col("n") / F.sum("n").over(Window.partitionBy("quadrant")))
+        if group_cap is not None:
+            row("SOURCE_GROUP_CAP", share, top, group_cap, v <= group_cap)
+        if group_gap is not None:
+            low = F.when(F.count("*") < len(expected), 0.0).otherwise(F.min("x"))
+            row("SOURCE_GROUP_ALIGNMENT", share.groupBy(group).agg((F.max("x") - low).alias("x")), top, group_gap, v <= group_gap)
     row("TOPIC_KL", topic_divergence(train), F.max("kl"), kl_cap, v <= kl_cap)
     for name, of, cap in (("LENGTH_RATIO", "n_tokens", length_ratio), ("CONF_MARGIN_RATIO", "margin", margin_ratio)):
         means = train.groupBy("quadrant").agg(F.avg(of).alias("x"))

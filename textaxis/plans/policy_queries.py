@@ -11,6 +11,8 @@ from textaxis.plans.registry import Registry
 registry = Registry()
 query = registry.query
 
+#: Concentration of the fans' draws.
+CONCENTRATION = 64.0
 #: Four scores and a prior per event, in both languages.
 SCORES = """
     q as (select event_id, user_id, [value / 100, (event_id % 7) / 7 - 0.5, (event_id % 5) / 5, (event_id % 11) / 11 - 0.3] as q from events),
@@ -99,20 +101,23 @@ def _(t):
 @query("d11_fan")
 def _(t):
     """Candidates per prompt after tolerance dedupe; the tests hold the fold against a plain loop."""
-    fan = P.keep_first_distinct(P.candidate_fan(F.col("p"), F.col("q")))
-    return scores(t).select("event_id", F.posexplode(fan).alias("candidate", "c")).select("event_id", "candidate", *parts(F.col("c")))
+    draws = P.dirichlet_draws(F.array(*[F.element_at("p", i + 1) * CONCENTRATION for i in range(4)]), F.col("event_id") + 42)
+    fan = P.keep_first_distinct(P.candidate_fan(F.col("p"), F.col("q"), draws=F.col("draws")))
+    return scores(t).withColumn("draws", draws).select("event_id", F.posexplode(fan).alias("candidate", "c")).select("event_id", "candidate", *parts(F.col("c")))
 
 
 @query("d21_standalone_fan")
 def _(t):
     """The other runner's candidates, with repeats."""
-    return scores(t).select("event_id", F.posexplode(P.standalone_fan(F.col("p"))).alias("candidate", "c")).select("event_id", "candidate", *parts(F.col("c")))
+    draws = P.dirichlet_draws(F.array(*[F.lit(CONCENTRATION)] * 4), F.col("event_id") + 42)
+    rows = scores(t).withColumn("draws", draws)
+    return rows.select("event_id", F.posexplode(P.standalone_fan(F.col("p"), draws=F.col("draws"))).alias("candidate", "c")).select("event_id", "candidate", *parts(F.col("c")))
 
 
 @query("l15_dirichlet")
 def _(t):
     """Seeded Dirichlet draws; the tests check the sums and the repeatability."""
-    draws = P.dirichlet_draws(F.col("p"), F.col("event_id") + 42, 4)
+    draws = P.dirichlet_draws(F.col("p"), F.col("event_id") + 42)
     return scores(t).select("event_id", F.posexplode(draws).alias("draw", "c")).select("event_id", "draw", *parts(F.col("c")))
 
 
@@ -135,17 +140,73 @@ def _(t):
     return scores(t).select("event_id", F.round(s, 6).alias("score"))
 
 
-@query("d14_consistency", f"with {SCORES} select user_id, round(max(p[1]) - min(p[1]), 6) as spread, max(p[1]) - min(p[1]) <= 1e-6 as consistent from p group by user_id")
+@query("d14_consistency", f"""
+    with {SCORES}, s as (select user_id, {', '.join(f'max(p[{i}]) - min(p[{i}]) as s{i}' for i in range(1, 5))} from p group by user_id)
+    select user_id, round(greatest(s1, s2, s3, s4), 6) as spread, greatest(s1, s2, s3, s4) <= 1e-6 as consistent from s""")
 def _(t):
-    spread = F.max(F.element_at("p", 1)) - F.min(F.element_at("p", 1))
+    part = lambda i: F.element_at("p", i)
+    spread = F.greatest(*[F.max(part(i)) - F.min(part(i)) for i in range(1, 5)])
     return scores(t).groupBy("user_id").agg(F.round(spread, 6).alias("spread"), (spread <= 1e-6).alias("consistent"))
 
 
-@query("d15_edit_loop")
-def _(t):
-    """Iterated per-row edits; the tests hold it against a plain loop."""
-    got = scores(t).withColumn("r", P.edit_loop(F.col("p"), F.col("q"), F.element_at("q", 1), F.element_at("q", 2)))
-    return got.select("event_id", "r.steps", "r.reason", *parts(F.col("r.policy"), 4))
+def _edit_sql(steps: int = 10) -> str:
+    """The loop's steps one by one; each embedding's quarters are the four states."""
+    four, sixteen = range(1, 5), [(i, j) for i in range(1, 5) for j in range(1, 5)]
+    total = lambda x: " + ".join(x.format(i=i) for i in four)
+    state = ", ".join([f"h{i}" for i in four])
+    made = ", ".join([f"e{i}, s{i}" for i in four] + [f"g{i}{j}" for i, j in sixteen])
+    axis = "list_transform(range(16), lambda i: {})"
+    out = f"""v as (select vec_id, {', '.join(f'embedding[{16 * i - 15}:{16 * i}]::double[] as h{i}' for i in four)}, {', '.join(f'1 + vec_id % {i + 1} as r{i}' for i in four)} from embeddings),
+    n0 as materialized (select vec_id, {', '.join(f"list_inner_product(h{i}, {axis.format('0.25::double')}) as e{i}, list_inner_product(h{i}, {axis.format('(0.25 - 0.5 * (i % 2))::double')}) as s{i}" for i in four)},
+      {', '.join(f'list_inner_product(h{i}, h{j}) as g{i}{j}' for i, j in sixteen)}, {', '.join(f'r{i} / (r1 + r2 + r3 + r4) as p{i}, (vec_id % {i + 4}) / 10 - 0.2 as a{i}' for i in four)}, 0 as steps, null::varchar as reason from v)"""
+    for k in range(1, steps + 1):
+        out += f""",
+    w{k} as materialized (select *, {', '.join(f'p{i}::double * exp(-a{i}::double) as w{i}' for i in four)} from n{k - 1}),
+    q{k} as materialized (select *, {', '.join(f'w{i} / ({total("w{i}")}) as q{i}' for i in four)} from w{k}),
+    m{k} as materialized (select *, sqrt({' + '.join(f'q{i} * q{j} * g{i}{j}' for i, j in sixteen)}) as size from q{k}),
+    x{k} as materialized (select *, ({total("q{i} * e{i}")}) / size as x, ({total("q{i} * s{i}")}) / size as y from m{k}),
+    b{k} as materialized (select *, (-x - y) / sqrt(2) as b1, (y - x) / sqrt(2) as b2, (x - y) / sqrt(2) as b3, (x + y) / sqrt(2) as b4 from x{k}),
+    n{k} as materialized (select vec_id, {made}, {', '.join(f'case when reason is null then q{i} else p{i} end as p{i}, case when reason is null then b{i} else a{i} end as a{i}' for i in four)}, steps + (reason is null)::int as steps,
+      case when reason is not null then reason when least(abs(x), abs(y)) <= 0.015 then 'axis_proximity'
+        when greatest({', '.join(f'abs(q{i} - p{i}), abs(b{i} - a{i})' for i in four)}) <= 1e-3 then 'converged' end as reason from b{k})"""
+    return f"with {out} select vec_id, steps, reason, {', '.join(f'round(p{i}, 4) as p{i - 1}, round(a{i}, 4) as a{i - 1}' for i in four)} from n{steps}"
+
+
+@query("d15_edit_loop", _edit_sql())
+def _(t):
+    """Policies edited until the mixture of an embedding's quarters is near an axis."""
+    k = F.col("vec_id")
+    states = F.array(*[F.slice("embedding", 16 * i + 1, 16) for i in range(4)])
+    econ, social = F.array(*[F.lit(0.25)] * 16), F.array(*[F.lit(0.25 - 0.5 * (i % 2)) for i in range(16)])
+    start = P.normalize(F.array(*[(1 + k % (i + 2)).cast("double") for i in range(4)]))
+    align = F.array(*[(k % (i + 5)) / 10 - 0.2 for i in range(4)])
+    got = t("embeddings").select("vec_id", P.edit_loop(start, align, states, econ, social).alias("r"))
+    return got.select("vec_id", "r.steps", "r.reason", *parts(F.col("r.policy"), 4), *[F.round(F.element_at("r.align", i + 1), 4).alias(f"a{i}") for i in range(4)])
+
+
+@query("d18_initial_mixture", f"with {SCORES}, m as (select event_id, case when event_id % 2 = 0 then p else [0.25, 0.25, 0.25, 0.25]::double[] end as m from p) select event_id, {parts_sql('m')} from m")
+def _(t):
+    mode = F.when(F.col("event_id") % 2 == 0, "router").otherwise("uniform")
+    return scores(t).select("event_id", *parts(P.initial_mixture(mode, F.col("p"))))
+
+
+@query("a29_target_report", f"""
+    with {SCORES}, s as (select user_id, event_id, p, q[1] as q1, exp(q[1] - max(q[1]) over (partition by user_id)) as w from p),
+    m as (select user_id, count(*) as n, max(q1) as best, [sum(w * p[1]) / sum(w), sum(w * p[2]) / sum(w), sum(w * p[3]) / sum(w), sum(w * p[4]) / sum(w)] as m from s group by user_id),
+    x as (select *, list_transform(m, lambda v: greatest(v - 0.01, 0.0)) as x from m), r as (select *, list_transform(x, lambda v: 0.01 + 0.96 * v / list_sum(x)) as r from x)
+    select count(*) as n_records, round(avg(n), 6) as mean_candidates, round(avg(best), 6) as mean_best, round(avg(-list_sum(list_transform(r, lambda v: v * ln(v)))), 6) as mean_entropy,
+      round(avg(list_sum(list_transform(r, lambda v: v * ln(v / 0.25)))), 6) as mean_kl from r""")
+def _(t):
+    got = R.target_report(R.candidate_targets(scores(t).withColumn("s", F.element_at("q", 1)), "user_id", "p", "s"), P.uniform())
+    return got.select("n_records", *[F.round(c, 6).alias(c) for c in got.columns[1:]])
+
+
+@query("a36_opposite_peak", f"with {SCORES} select user_id % 10 as g, count(*) as n, round(avg((list_position(p, list_max(p)) = 5 - list_position(q, list_max(q)))::int), 6) as opposite from p group by 1")
+def _(t):
+    """How often a policy peaks across the quadrant with the largest score."""
+    peak = lambda x: F.array_position(x, F.array_max(x))
+    across = (peak(F.col("p")) == 5 - peak(F.col("q"))).cast("double")
+    return scores(t).groupBy((F.col("user_id") % 10).alias("g")).agg(F.count("*").alias("n"), F.round(F.avg(across), 6).alias("opposite"))
 
 
 @query("a37_diagnostics", f"""
