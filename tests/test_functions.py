@@ -360,3 +360,59 @@ def test_questions_match_by_beginning_then_by_containment(spark):
     got = {r["id"]: r["key"] for r in O.match_questions(rows, asked, "id", "text", "key", "question", "n").collect()}
     assert got == {i: plain(q) for i, q in enumerate(texts)}
     assert [got[i] for i in range(6)] == ["c", "a", "a", "b", "e", None]
+
+
+def test_pooling_masks_padding_and_prefixes(spark):
+    states = [[1.0, 2.0], [3.0, 4.0], [5.0, 9.0]]
+    cases = [(states, [1, 1, 0], 0), (states, [1, 1, 1], 1), (states, [1, 1, 1], 5), (states, [0, 0, 0], 0), ([], [], 0), (None, None, 0), (states, [1], 0)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "id int, s array<array<double>>, m array<int>, k int")
+    mask = V.response_mask(F.col("m"), F.col("k"))
+    got = rows.select("id", V.pooled(F.col("s"), mask).alias("mean"), V.pooled(F.col("s"), mask, "last_token").alias("last")).orderBy("id").collect()
+    assert [r["mean"] for r in got] == [[2.0, 3.0], [4.0, 6.5], [3.0, 5.0], [0.0, 0.0], None, None, None]
+    assert [r["last"] for r in got[:6]] == [[3.0, 4.0], [3.0, 4.0], [5.0, 9.0], [1.0, 2.0], None, None]
+    with pytest.raises(ValueError):
+        V.pooled(F.col("s"), F.col("m"), "max")
+
+
+def test_encoder_sees_each_text_once_in_bounded_calls(spark):
+    def encoder(texts):
+        assert 0 < len(texts) <= 3 and None not in texts
+        return [[len(x), x.count("a")] for x in texts]
+
+    texts = ["a", None, "banana", "", "x" * 5000, None, "aa", "bb", "c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r["vec"] for r in A.encode_batches(rows, "id", "text", encoder, size=3).collect()}
+    assert got == {i: None if x is None else [len(x), x.count("a")] for i, x in enumerate(texts)}
+    assert A.encode_batches(rows.where("id < 0"), "id", "text", encoder).count() == 0
+
+
+def test_shuffled_labels_against_numpy(spark):
+    import hashlib
+
+    rng = np.random.default_rng(3)
+    x, p = rng.normal(size=(60, 5)), np.arange(60) % 3 == 0
+    x[p] += 0.8
+
+    def d(a):
+        axis = x[a].mean(axis=0) - x[~a].mean(axis=0)
+        y = x @ (axis / np.linalg.norm(axis))
+        return (y[a].mean() - y[~a].mean()) / np.sqrt((y[a].var(ddof=1) + y[~a].var(ddof=1)) / 2)
+
+    null = np.array([d(np.array([int(hashlib.md5(f"7:{r // 32}:{k}".encode()).hexdigest()[r % 32], 16) >= 8 for k in range(60)])) for r in range(40)])
+    data = [(k, x[k].tolist(), bool(p[k])) for k in range(60)] + [(60, None, True), (61, x[0].tolist(), None)]
+    rows = spark.createDataFrame(data, "id int, v array<double>, p boolean").repartition(3)
+    got = A.shuffled_label_null(rows, "v", "p", "id", 5, 40, 7).first()
+    assert np.allclose([got["real"], got["mean"], got["p95"], got["max"]], [d(p), null.mean(), np.percentile(null, 95), null.max()])
+    assert got["reps"] == 40 and got["p"] == pytest.approx(((null >= d(p)).sum() + 1) / 41)
+    none = A.shuffled_label_null(rows.where("id < 0"), "v", "p", "id", 5, 40, 7).first()
+    assert none["reps"] == 0 and none["real"] is None
+
+
+def test_reference_shares_take_the_weakest_quadrant(spark):
+    rows = [("a", "x")] * 90 + [("a", "y")] * 2 + [("b", "x")] * 20 + [("b", "y")] * 20 + [("b", "z")] * 3 + [("c", "other")] * 9
+    df = spark.createDataFrame(rows, "q string, g string")
+    got = O.reference_proportions(df, "q", "g", ["a", "b"], ["x", "y"], 40, 0.1, 0.5).orderBy("g").collect()
+    assert [(r["g"], r["reference"], r["capacity"], r["n"]) for r in got] == [("x", "a", 22, 90), ("y", "a", 22, 2)]
+    assert [r["share"] for r in got] == pytest.approx([0.5 / 0.6, 0.1 / 0.6])
+    empty = O.reference_proportions(df.where("q = 'd'"), "q", "g", ["b", "a"], ["x", "y"], 40, 0.0, 0.5).collect()
+    assert {(r["reference"], r["capacity"], r["raw_share"], r["share"]) for r in empty} == {("b", 0, 0.0, 0.0)}

@@ -70,6 +70,29 @@ def mixture(weights: list[Column], vectors: list[Column]) -> Column:
     return out
 
 
+def response_mask(attention: Column, n_prefix: Column) -> Column:
+    """The mask without its first ``n_prefix`` places; the whole mask if that leaves none. Null in, null out."""
+    rest = F.transform(attention, lambda m, i: F.when(i < n_prefix, F.lit(0)).otherwise(m.cast("int")))
+    return bound(rest, lambda r: F.when(F.exists(r, lambda m: m > 0), r).otherwise(F.transform(attention, lambda m: m.cast("int"))))
+
+
+def pooled(states: Column, mask: Column, how: str = "mean") -> Column:
+    """One vector of a sequence of them: the mean of the places that the mask holds (zeros if it holds none), or the
+    state at the mask's sum less one, which is the last token where padding stands on the right.
+
+    An empty or null sequence, and a place that isn't there, give null; so do a mask and states of unequal length.
+    """
+    total = F.aggregate(mask, F.lit(0), lambda n, m: n + m.cast("int"))
+    if how == "last_token":
+        return as_double(F.try_element_at(states, F.greatest(total, F.lit(1))))
+    if how != "mean":
+        raise ValueError(how)
+    zeros = F.transform(F.try_element_at(states, F.lit(1)), lambda _: F.lit(0.0))
+    held = F.filter(F.zip_with(states, mask, lambda v, m: F.struct(v.alias("v"), m.alias("m"))), lambda s: s["m"] > 0)
+    summed = F.aggregate(held, zeros, lambda a, s: F.zip_with(a, s["v"], lambda x, y: x + y.cast("double")))
+    return F.when(F.size(states) == F.size(mask), bound(F.greatest(total, F.lit(1)), lambda n: bound(summed, lambda v: F.transform(v, lambda x: x / n))))
+
+
 def quadrant_basis(econ: Column, social: Column) -> dict[str, Column]:
     """Unit vectors of the four corners."""
     minus_e, minus_s = scaled(econ, -1.0), scaled(social, -1.0)

@@ -153,6 +153,103 @@ def random_direction_null(rows: DataFrame, vec: str, positive: str, width: int,
     return d.agg(F.count("*").alias("reps"), F.avg(F.abs("d")).alias("mean"), F.percentile(F.abs("d"), 0.95).alias("p95"), F.max(F.abs("d")).alias("max"))
 
 
+def shuffled_label_null(rows: DataFrame, vec: str, positive: str, row_key: str, width: int, reps: int = 200, seed: int = 0) -> DataFrame:
+    """Cohen's d of the mean-difference axis (``real``) against axes rebuilt from shuffled labels: mean, 95th
+    percentile, maximum and the one-sided p-value (hits + 1) / (reps + 1), without absolute values.
+
+    Repetition r labels a row by the top bit of hex digit r % 32 of md5("seed:r // 32:key"), so groups are equal but for
+    chance and SQL can repeat them; the true labels are one more repetition. Two passes over the rows: sums for the
+    axes, then sums and squares along them. Each task sends one set of sums; the driver holds reps * width numbers,
+    whatever the rows. Rows without vector or label are left out; a group without two rows gives null, as do no rows.
+    """
+    import numpy as np
+
+    n_all = reps + 1
+
+    def sides(pdf):
+        """Labels, rows by repetitions, and the vectors."""
+        import hashlib
+
+        digits = [np.array([[int(c, 16) for c in hashlib.md5(f"{seed}:{b}:{k}".encode()).hexdigest()] for k in pdf["k"]]) for b in range(-(-reps // 32))]
+        coins = np.concatenate([*digits, np.zeros((len(pdf), 0), int)], axis=1)[:, :reps] >= 8
+        return np.column_stack([coins, pdf["p"].to_numpy(bool)]).astype(float), np.stack(pdf["v"].to_list()).astype(float)
+
+    def sums(batches):
+        import pandas as pd
+
+        n, s = np.zeros((2, n_all)), np.zeros((2, n_all, width))
+        for pdf in batches:
+            if len(pdf):
+                a, x = sides(pdf)
+                n += [a.sum(axis=0), (1 - a).sum(axis=0)]
+                s += [a.T @ x, (1 - a).T @ x]
+        if n.any():
+            for rep in range(n_all):
+                yield pd.DataFrame({"rep": [rep] * 2, "pole": [True, False], "n": n[:, rep], "s": list(s[:, rep])})
+
+    data = rows.where(F.col(vec).isNotNull() & F.col(positive).isNotNull()).select(F.col(row_key).cast("string").alias("k"), F.col(positive).alias("p"), F.col(vec).alias("v"))
+    parts = data.mapInPandas(sums, "rep int, pole boolean, n double, s array<double>")
+    means = parts.select("rep", "pole", "n", F.posexplode("s").alias("i", "x")).groupBy("rep", "i").agg(
+        *[(F.sum(F.when(F.col("pole") == p, F.col("x"))) / F.nullif(F.sum(F.when(F.col("pole") == p, F.col("n"))), F.lit(0.0))).alias(c) for p, c in ((True, "a"), (False, "b"))])
+    axes = np.zeros((width, n_all))
+    for r in means.select("rep", "i", (F.col("a") - F.col("b")).alias("d")).where("d is not null").toLocalIterator():  # reps * width rows
+        axes[r["i"], r["rep"]] = r["d"]
+    lengths = np.linalg.norm(axes, axis=0)
+    axes /= np.where(lengths == 0, 1.0, lengths)
+
+    def along(batches):
+        import pandas as pd
+
+        n, s, q = np.zeros((3, 2, n_all))
+        for pdf in batches:
+            if len(pdf):
+                a, x = sides(pdf)
+                y = x @ axes
+                n += [a.sum(axis=0), (1 - a).sum(axis=0)]
+                s += [(y * a).sum(axis=0), (y * (1 - a)).sum(axis=0)]
+                q += [(y * y * a).sum(axis=0), (y * y * (1 - a)).sum(axis=0)]
+        if n.any():
+            for side, pole in enumerate((True, False)):
+                yield pd.DataFrame({"rep": range(n_all), "pole": pole, "n": n[side], "s": s[side], "q": q[side]})
+
+    of = data.mapInPandas(along, "rep int, pole boolean, n double, s double, q double").groupBy("rep", "pole").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).where("n > 1")
+    of = of.select("rep", "pole", (F.col("s") / F.col("n")).alias("m"), ((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)).alias("v"))
+    two = of.groupBy("rep").agg(F.sum(F.when(F.col("pole"), F.col("m"))).alias("a"), F.sum(F.when(~F.col("pole"), F.col("m"))).alias("b"), F.sum("v").alias("v"))
+    d = two.select("rep", ((F.col("a") - F.col("b")) / F.sqrt(F.nullif(F.col("v") / 2, F.lit(0.0)))).alias("d"))
+    real, null = F.max(F.when(F.col("rep") == reps, F.col("d"))), F.when(F.col("rep") < reps, F.col("d"))
+    seen = d.agg(real.alias("real"))
+    return d.join(F.broadcast(seen)).agg(
+        F.count(null).alias("reps"), F.first("real").alias("real"), F.avg(null).alias("mean"), F.percentile(null, 0.95).alias("p95"), F.max(null).alias("max"),
+        ((F.count_if((F.col("rep") < reps) & (F.col("d") >= F.col("real"))) + 1) / (F.count(null) + 1)).alias("p"))
+
+
+def method_agreement(axes: DataFrame, layer: str, a: str, b: str) -> DataFrame:
+    """Each layer's cosine between the axes of two methods, and the smallest of all layers."""
+    each = axes.select(layer, V.cosine(F.col(a), F.col(b), 0.0).alias("cosine"))
+    return each.join(F.broadcast(each.agg(F.min("cosine").alias("min_cosine"))))
+
+
+def encode_batches(rows: DataFrame, key: str, text: str, encoder, out: str = "vec", size: int = 64) -> DataFrame:
+    """``(key, out)``: vectors of texts by a model call, ``encoder(list of str) -> list of vectors``, at most ``size``
+    texts a call, in order of the partition. ``encoder`` is pickled to the executors and should load its model once a
+    process. Null texts aren't encoded and get null."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def encode(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            vectors, asked = [None] * len(pdf), [i for i, x in enumerate(pdf["t"]) if x is not None]
+            for at in range(0, len(asked), size):
+                part = asked[at:at + size]
+                for i, v in zip(part, encoder([pdf["t"].iloc[i] for i in part]), strict=True):
+                    vectors[i] = np.asarray(v, float).tolist()
+            yield pd.DataFrame({key: pdf["k"], out: vectors})
+
+    return rows.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(encode, f"`{key}` {kind}, `{out}` array<double>")
+
+
 def top_examples(rows: DataFrame, by: str, score: str, key: str, k: int = 5) -> DataFrame:
     """The best ``k`` of each group (a report's top-k); ties go to the smaller key."""
     w = Window.partitionBy(by).orderBy(F.desc(score), key)

@@ -6,6 +6,8 @@ same for any partitioning and both sides of a comparison can compute them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -261,3 +263,26 @@ def balanced_capped_sample(rows: DataFrame, quadrant: str, source: str, group: s
         return pdf[keep]
 
     return able.groupBy(quadrant).applyInPandas(scan, able.schema)
+
+
+def reference_proportions(rows: DataFrame, quadrant: str, group: str, quadrants: list[str], groups: list[str], target: int, least: float, most: float) -> DataFrame:
+    """Source-group shares of the weakest feasible quadrant, one row per group: ``reference`` (the quadrant),
+    ``capacity``, ``n``, ``raw_share`` and ``share``, which is clipped to [least, most] and made to sum to one.
+
+    A quadrant's capacity is the sum of its group counts, each held to floor(target * most), so that one large group
+    doesn't make a quadrant feasible; equal capacities go to the first of ``quadrants``. Quadrants and groups without
+    rows count as zero; other groups are left out. Only the grid of counts is joined.
+    """
+    spark = rows.sparkSession
+    grid = spark.createDataFrame([(q, i, g) for i, q in enumerate(quadrants) for g in groups], f"{quadrant} string, __i int, {group} string")
+    counts = rows.where(F.col(group).isin(groups)).groupBy(quadrant, group).agg(F.count("*").alias("n"))
+    counts = grid.join(counts, [quadrant, group], "left").fillna(0, ["n"])
+    cap = math.floor(target * most)
+    weakest = counts.groupBy(quadrant).agg(F.min("__i").alias("__i"), F.sum(F.least("n", F.lit(cap).cast("long"))).alias("capacity"))
+    weakest = weakest.agg(F.min(F.struct("capacity", "__i", quadrant)).alias("w")).select(f"w.{quadrant}", "w.capacity")
+    over = Window.partitionBy(quadrant)
+    raw = F.col("n") / F.greatest(F.sum("n").over(over), F.lit(1))
+    got = counts.join(F.broadcast(weakest), quadrant).withColumn("raw_share", raw)
+    got = got.withColumn("share", F.least(F.greatest("raw_share", F.lit(float(least))), F.lit(float(most))))
+    total = F.sum("share").over(over)
+    return got.select(group, F.col(quadrant).alias("reference"), "capacity", "n", "raw_share", (F.col("share") / F.when(total == 0, 1.0).otherwise(total)).alias("share"))

@@ -117,3 +117,28 @@ def _(t):
     splits = {"val_topic": rows.where("document_id % 10 = 1"), "val_source": rows.where("document_id % 3 = 1")}
     got = R.checks(rows.where("document_id % 3 = 0"), splits, ["en"], held_topic="t1", held_source="src1")
     return got.where(F.col("check_name").endswith("PURITY")).select("check_name", "value", "bound", "passed")
+
+
+@query("l10_reference_shares", """
+    with c as (select lang as quadrant, 'g' || doc_id % 7 % 3 as grp, count(*) as n from documents where source <> 'src0' or doc_id % 7 % 3 = 1 group by 1, 2),
+    g as (select quadrant, place, grp, coalesce(n, 0) as n from (values ('en', 0), ('de', 1), ('fr', 2), ('es', 3)) q(quadrant, place) cross join (values ('g0'), ('g1'), ('g2'), ('g3')) s(grp) left join c using (quadrant, grp)),
+    w as (select quadrant, sum(least(n, 24))::bigint as capacity from g group by quadrant, place order by capacity, place limit 1),
+    r as (select grp, quadrant as reference, capacity, n, n / greatest(sum(n) over (), 1) as raw from g join w using (quadrant)),
+    s as (select *, least(greatest(raw, 0.05), 0.4) as clipped from r)
+    select grp, reference, capacity, n, round(raw, 6) as raw_share, round(clipped / sum(clipped) over (), 6) as share from s""")
+def _(t):
+    """The weakest language by capacity, and its group shares; one group has no rows."""
+    k = F.col("doc_id") % 7 % 3
+    rows = t("documents").where((F.col("source") != "src0") | (k == 1)).select(F.col("lang").alias("quadrant"), F.concat(F.lit("g"), k.cast("string")).alias("grp"))
+    got = O.reference_proportions(rows, "quadrant", "grp", ["en", "de", "fr", "es"], ["g0", "g1", "g2", "g3"], 60, 0.05, 0.4)
+    return got.select("grp", "reference", "capacity", "n", F.round("raw_share", 6).alias("raw_share"), F.round("share", 6).alias("share"))
+
+
+@query("j15_match_questions", """
+    with d as (select doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as x from documents), q as (select item_id, text as y from benchmark),
+    f as (select doc_id, max(item_id) as item_id from d join q on substr(x, 1, 80) = substr(y, 1, 80) group by doc_id),
+    s as (select doc_id, min(item_id) as item_id from d join q on contains(y, substr(x, 1, 60)) or contains(x, substr(y, 1, 60)) group by doc_id)
+    select doc_id, coalesce(f.item_id, s.item_id) as item_id from d left join f using (doc_id) left join s using (doc_id)""")
+def _(t):
+    """Each document's benchmark item, by equal beginnings, else by containment."""
+    return O.match_questions(t("documents"), t("benchmark").withColumn("place", F.col("item_id")), "doc_id", "text", "item_id", "text", "place")

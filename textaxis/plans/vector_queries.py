@@ -308,3 +308,48 @@ def _(t):
     a = A.logistic_axis(e, "embedding", F.col("label") >= 5)
     b = A.mean_difference_axis(e, "embedding", F.col("label") >= 5).select(F.col("axis").alias("b"))
     return a.join(b).select(F.round(V.cosine(F.col("axis"), F.col("b")), 2).alias("cosine"))
+
+
+@query("v6_pooling", """
+    with x as (select vec_id, i, j, embedding[i * 8 + j + 1]::double as v, case when i < vec_id % 9 and vec_id % 9 < 8 then 0 else 1 end as m from embeddings, range(8) a(i), range(8) b(j)),
+    p as (select vec_id, j, sum(v * m) / greatest(sum(m), 1) as mean, max(v) filter (where i = 7 - case when vec_id % 9 < 8 then vec_id % 9 else 0 end) as last from x group by vec_id, j)
+    select vec_id, round(sqrt(sum(mean * mean)), 6) as mean_norm, round(sqrt(sum(last * last)), 6) as last_norm from p group by vec_id""")
+def _(t):
+    """Each embedding as eight states of eight numbers; a prefix of up to eight is masked, all eight fall back."""
+    states = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    rows = t("embeddings").select("vec_id", states.alias("states"), V.response_mask(F.array_repeat(F.lit(1), 8), (F.col("vec_id") % 9).cast("int")).alias("mask"))
+    by = lambda how: F.round(V.norm(V.pooled(F.col("states"), F.col("mask"), how)), 6)
+    return rows.select("vec_id", by("mean").alias("mean_norm"), by("last_token").alias("last_norm"))
+
+
+@query("v24_method_agreement", """
+    with e as (select vec_id, vec_id % 4 as layer, label >= 5 as p, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as v from embeddings),
+    m as (select layer, i, avg(v) filter (where p) - avg(v) filter (where not p) as a, avg(sign(v)) filter (where p) - avg(sign(v)) filter (where not p) as b from e group by layer, i),
+    c as (select layer, sum(a * b) / sqrt(sum(a * a) * sum(b * b)) as cosine from m group by layer)
+    select layer, round(cosine, 6) as cosine, round(min(cosine) over (), 6) as min_cosine from c""")
+def _(t):
+    """The mean difference of vectors and of their signs, for four layers."""
+    rows = t("embeddings").select((F.col("vec_id") % 4).alias("layer"), (F.col("label") >= 5).alias("pole"), "embedding", F.transform("embedding", lambda x: F.signum(x)).alias("signs"))
+
+    def axes(vec, out):
+        m = A.mean_vector(rows, ["layer", "pole"], vec, out="m").groupBy("layer")
+        m = m.agg(F.max(F.when(F.col("pole"), F.col("m"))).alias("p"), F.max(F.when(~F.col("pole"), F.col("m"))).alias("n"))
+        return m.select("layer", V.subtract(F.col("p"), F.col("n")).alias(out))
+
+    got = A.method_agreement(axes("embedding", "a").join(axes("signs", "b"), "layer"), "layer", "a", "b")
+    return got.select("layer", F.round("cosine", 6).alias("cosine"), F.round("min_cosine", 6).alias("min_cosine"))
+
+
+@query("t8_shuffled_labels", """
+    with e as (select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as v from embeddings),
+    r as (select vec_id, rep, case when rep = 64 then label >= 5 else substr(md5('5:' || (rep // 32) || ':' || vec_id), (rep % 32 + 1)::int, 1) >= '8' end as a from embeddings, range(65) t(rep)),
+    m as (select rep, i, avg(v) filter (where a) - avg(v) filter (where not a) as d from r join e using (vec_id) group by rep, i),
+    u as (select rep, i, d / sqrt(sum(d * d) over (partition by rep)) as d from m),
+    x as (select rep, a, sum(v * d) as x from r join e using (vec_id) join u using (rep, i) group by rep, a, vec_id),
+    s as (select rep, (avg(x) filter (where a) - avg(x) filter (where not a)) / sqrt((var_samp(x) filter (where a) + var_samp(x) filter (where not a)) / 2) as d from x group by rep),
+    o as (select d as real from s where rep = 64)
+    select count(*) as reps, round(any_value(real), 6) as real, round(avg(d), 6) as mean, round(quantile_cont(d, 0.95), 6) as p95, round(max(d), 6) as max, (count(*) filter (where d >= real) + 1) / (count(*) + 1) as p
+    from s, o where rep < 64""")
+def _(t):
+    got = A.shuffled_label_null(t("embeddings").withColumn("p", F.col("label") >= 5), "embedding", "p", "vec_id", 64, 64, 5)
+    return got.select("reps", *[F.round(c, 6).alias(c) for c in ("real", "mean", "p95", "max")], "p")
