@@ -43,6 +43,38 @@ OP10 = r"""
     v as (select *, case when ref is null then 'orphan' when case page_id % 3 when 1 then substr(tag, 1, 2) = substr(ref_tag, 1, 2) else tag = ref_tag end then 'resolved' else 'mismatch' end as resolution from a)
     select page_id, url_key, ref as refers_to_page, resolution, case when resolution = 'resolved' then ref_tag end as etag, case when resolution = 'resolved' then 'text/html' end as content_type from v"""
 
+OP11 = rf"""
+    with d as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, {_LOWER} as t from documents),
+    w as (select rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+    kept as (select lang, term, count(*)::hugeint as ln from w group by all having count(distinct rid) >= 30),
+    v as (select lang, count(*)::hugeint as v, sum(ln)::hugeint as n from kept group by lang),
+    g as (select distinct lang, source from d),
+    c as (select lang, source, term, count(*)::hugeint as n from w semi join kept using (lang, term) group by all),
+    gn as (select g.lang, g.source, coalesce(sum(c.n), 0)::hugeint as n from g left join c on g.lang = c.lang and g.source = c.source group by all),
+    p as (select gn.lang, gn.source, kept.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (gn.n + 5 * v.v) as p,
+        1 + (1000000000::hugeint * (kept.ln + 5)) // (v.n + 5 * v.v) as q
+      from gn join kept on gn.lang = kept.lang join v on v.lang = gn.lang left join c on c.lang = gn.lang and c.source = gn.source and c.term = kept.term),
+    s as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+    pair as (select x.lang, x.source, 'pair' as part, y.source as item, coalesce(s.value, 0)::bigint as value from g x join g y on x.lang = y.lang and x.source <> y.source
+      left join s on s.lang = x.lang and s.source = x.source and s.item = y.source),
+    term as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from p where n > 0 and p > q),
+    ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from pair union all select * from term))
+    select * from ranked where part = 'pair' or rank <= 50"""
+
+OP12 = OP8.replace("w[i : i + 4]", "w[i : i + 2]").replace("len(w) - 4", "len(w) - 2").replace(">= 75 *", ">= 85 *").replace(
+    "r.c as component_id from", "r.c as component_id, d.doc_id = r.c as kept from")
+
+OP13 = rf"""
+    with d as (select row_number() over () as rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+    g as (select count(*) filter (where len(w) > 0)::bigint as n, sum(len(w))::bigint as l from d),
+    tf as (select rid, term, count(*) as tf from (select rid, unnest(w) as term from d) group by all),
+    q as (select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+    wt as (select term, floor(1000 * ln((2 * max(g.n)::double + 2) / (2 * count(*)::double + 1)))::bigint as w from tf, g where term in (select term from q) group by term),
+    s as (select q.item_id, tf.rid, sum(q.times * wt.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (25 + (75 * len(d.w) * g.n) // g.l))))::bigint as score
+      from q join tf on q.term = tf.term join wt on wt.term = q.term join d on d.rid = tf.rid, g group by all),
+    r as (select item_id, d.doc_id, score, row_number() over (partition by item_id order by score desc, d.doc_id)::int as rank from s join d on d.rid = s.rid where score > 0)
+    select item_id, rank, doc_id, score from r where rank <= 10"""
+
 _LEDGER = OP2[:OP2.rindex("select doc_id")] + "select failed from f"
 _RULES = ("few_words", "repeated_phrases", "symbols", "repeated_lines", "long_words", "short_words", "shouting")
 

@@ -10,7 +10,8 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textaxis.llm import decontam, jaccard, licenses, lm, oracles, packing, rlz, rules, sharding, tokens, warc
+from textaxis.llm import (
+    decontam, divergence, jaccard, licenses, lm, minhash, oracles, packing, rlz, rules, search, sharding, tokens, warc)
 
 
 def vocabulary(name: str) -> str:
@@ -71,12 +72,26 @@ def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
         "element_at(headers, 'etag') as etag", "element_at(headers, 'content-type') as content_type")
 
 
+def op11_systolic_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"), 30)
+
+
+def op12_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), 3, 85)
+
+
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_label_propagation, op2_rule_ledger, op3_attention_scores, op4_aligned_leaks, op5_relative_lz, op6_diagonal_voting,
-    op7_rank_merging, op8_set_relation_join, op9_mixture_packing, op10_revisit_resolution, rule_ablations, pipeline)}
+    op7_rank_merging, op8_set_relation_join, op9_mixture_packing, op10_revisit_resolution, op11_systolic_divergence,
+    op12_bbit_minhash, op13_impact_search, rule_ablations, pipeline)}
 ORACLES: dict[str, str] = {
-    "op2_rule_ledger": oracles.OP2, "rule_ablations": oracles.ablations(rules.POLICIES), "op5_relative_lz": oracles.OP5, "op8_set_relation_join": oracles.OP8, "op10_revisit_resolution": oracles.OP10}
+    "op2_rule_ledger": oracles.OP2, "rule_ablations": oracles.ablations(rules.POLICIES), "op5_relative_lz": oracles.OP5, "op8_set_relation_join": oracles.OP8, "op10_revisit_resolution": oracles.OP10,
+    "op11_systolic_divergence": oracles.OP11, "op12_bbit_minhash": oracles.OP12, "op13_impact_search": oracles.OP13}
