@@ -225,7 +225,7 @@ def test_one_source_and_topic_with_two_groups(spark):
 
 def test_numbers_along_an_order(spark):
     df = spark.createDataFrame([(int(x),) for x in np.random.default_rng(3).permutation(1000) ** 2 - 500], "k long")
-    rows = sorted(tuple(r) for r in numbered(df.repartition(5), "k", salts=16).collect())
+    rows = sorted(tuple(r) for r in numbered(df.repartition(5), "k").collect())
     assert [at for _, at in rows] == list(range(1000))
 
 

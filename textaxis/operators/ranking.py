@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textaxis.session import materialize
+
 SALTS = 1024
 
 
@@ -42,8 +44,52 @@ def hash_salt(hashed: str, digits: int = 3) -> Column:
     return F.conv(F.substring(hashed, 1, digits), 16, 10).cast("long")
 
 
-def numbered(df: DataFrame, order: str, out: str = "slot", salts: int = SALTS) -> DataFrame:
-    """``df`` with each row's number from 0 along a column of distinct longs, cut into ``salts`` ranges of equal width."""
-    ends = df.agg(F.min(order).alias("__low"), F.max(order).alias("__high"))
-    at = F.floor((F.col(order) - F.col("__low")) / (F.col("__high") - F.col("__low") + 1) * salts)
-    return keyed_offsets(df.crossJoin(F.broadcast(ends)), [], [order], out=out, salt=at).drop("__low", "__high")
+def ordered_parts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``__part``, written once: ranges along (keys, order) of about equal numbers of rows, cut where a sample
+    says, so a key with a third of all rows lies in many parts. Parts rise along the order; null keys and values come
+    first. Rows equal in all of ``order`` share a part, so the last of ``order`` should tell rows apart where ties are many. The
+    table belongs to the caller's scope (``session.scratch``).
+    """
+    return materialize(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+
+
+def ordered(df: DataFrame, keys: list[str], order: list[str], out: str = "slot", weight: str | None = None) -> DataFrame:
+    """Add ``out``: the sum of ``weight`` (1 if none) over the key's earlier rows along ``order``.
+
+    A range shuffle puts the rows in order; sums are carried from part to part, one number for each part in which a key
+    goes on, so no task holds a key. Null weights count 0. Null keys form a key of their own. ``order`` must tell a
+    key's rows apart for a repeatable result.
+    """
+    w = F.lit(1).cast("long") if weight is None else F.coalesce(F.col(weight), F.lit(0))
+    parts = ordered_parts(df.withColumn("__weight", w), keys, order)
+    totals = parts.groupBy(*keys, "__part").agg(F.sum("__weight").alias("__total"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__at"), F.sum("__total").over(before).alias("__base"))
+    carried = carried.where("__base is not null")  # at most one key of a part goes on from another
+    on = F.col("__part") == F.col("__at")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    inside = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.join(F.broadcast(carried), on, "left").withColumn("__inside", F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
+    total = F.coalesce("__base", F.lit(0)) + F.col("__inside")
+    return placed.withColumn(out, total.cast("long") if weight is None else total).drop("__weight", "__part", "__at", "__base", "__inside", *[f"__k{i}" for i in range(len(keys))])
+
+
+def numbered(df: DataFrame, order: str, out: str = "slot") -> DataFrame:
+    """``df`` with each row's number from 0 along a column of distinct values."""
+    return ordered(df, [], [order], out)
+
+
+def average_ranks(rows: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
+    """Add ``out``: each row's rank from 1 inside its group, ties averaged; nulls come first, as ties of one another.
+
+    Only the counts of distinct values are put in order, so however many rows share a value, they are one row there.
+    """
+    values = rows.groupBy(*by, x).agg(F.count("*").alias("__n"))
+    placed = ordered(values, by, [x], "__before", "__n")
+    names = [*by, x]
+    ranks = placed.select(*[F.col(c).alias(f"__v{i}") for i, c in enumerate(names)], (F.col("__before") + (F.col("__n") + 1) / 2).alias(out))
+    on = F.lit(True)
+    for i, c in enumerate(names):
+        on = on & F.col(c).eqNullSafe(F.col(f"__v{i}"))
+    return rows.join(ranks, on).drop(*[f"__v{i}" for i in range(len(names))])

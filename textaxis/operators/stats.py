@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textaxis.operators.corpus import hash_order
+from textaxis.operators.ranking import average_ranks, numbered, ordered
+from textaxis.operators.resampling import bootstrap_moments
 
 
 def mean_or_zero(x: Column) -> Column:
@@ -23,29 +25,75 @@ def sample_std(x: Column) -> Column:
 
 
 def percentile_pack(x: Column) -> list[Column]:
-    """mean, min, p10, p25, median, p75, p90, max with linear interpolation."""
+    """mean, min, p10, p25, median, p75, p90, max with linear interpolation. Exact percentiles hold a group's distinct
+    values in one task; ``quantiles`` doesn't."""
     q = lambda p, name: F.percentile(x, p).alias(name)
     return [F.avg(x).alias("mean"), F.min(x).alias("min"), q(0.1, "p10"), q(0.25, "p25"), q(0.5, "median"), q(0.75, "p75"), q(0.9, "p90"), F.max(x).alias("max")]
 
 
-def average_rank(x: str, by: list[str] | None = None) -> Column:
-    """Ranks from 1 with ties averaged."""
-    w = Window.partitionBy(*(by or []))
-    return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*(by or []), x)) - 1) / 2
+def quantiles(rows: DataFrame, x: str, by: list[str], at: dict[str, float]) -> DataFrame:
+    """``(by, n, mean, min, max)`` and a column for each named quantile, exact with linear interpolation; nulls of ``x`` are left out.
+
+    Distinct values are counted and put in order with carried counts; a quantile lies where the running count passes its
+    place. No task holds a group. Groups without values have no row.
+    """
+    values = rows.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__c"))
+    sums = values.groupBy(*by).agg(F.sum("__c").alias("n"), F.sum(F.col(x).cast("double") * F.col("__c")).alias("__s"), F.min(x).alias("min"), F.max(x).alias("max"))
+    placed = _joined(ordered(values, by, [x], "__b", "__c"), sums.select(*by, F.col("n").alias("__n")), by)
+    ends = []
+    for i, p in enumerate(at.values()):
+        place = (F.col("__n") - 1) * F.lit(float(p))
+        for end, f in (("lo", F.floor), ("hi", F.ceil)):
+            inside = (f(place) >= F.col("__b")) & (f(place) < F.col("__b") + F.col("__c"))
+            ends.append(F.max(F.when(inside, F.col(x).cast("double"))).alias(f"__{end}{i}"))
+    got = _joined(placed.groupBy(*by).agg(*ends), sums, by)
+    between = lambda i, p: F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * ((F.col("n") - 1) * F.lit(float(p)) - F.floor((F.col("n") - 1) * F.lit(float(p))))
+    return got.select(*by, "n", (F.col("__s") / F.col("n")).alias("mean"), "min", *[between(i, p).alias(c) for i, (c, p) in enumerate(at.items())], "max")
+
+
+def _joined(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Each row with its group's columns; null keys equal one another; without keys, ``groups`` has one row."""
+    if not by:
+        return rows.crossJoin(F.broadcast(groups))
+    named = groups.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], *[c for c in groups.columns if c not in by])
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    return rows.join(named, on).drop(*[f"__g{i}" for i in range(len(by))])
 
 
 def correlations(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Pearson and Spearman by group."""
-    ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__rx", average_rank(x, by)).withColumn("__ry", average_rank(y, by))
+    """Pearson and Spearman by group; rows with a null on either side are left out."""
+    able = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    ranked = average_ranks(average_ranks(able, x, by, "__rx"), y, by, "__ry")
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("__rx", "__ry").alias("spearman"))
 
 
+def correlation_matrix(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """``(by, x, y, n, pearson, spearman)`` of every two of ``columns``, in the given order, a column with itself included.
+
+    Rows with a null in any of them are left out. Each column is ranked once; all pairs come from one aggregate.
+    """
+    able = rows.dropna(subset=columns).select(*by, *columns)
+    for i, c in enumerate(columns):
+        able = average_ranks(able, c, by, f"__r{i}")
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = [f(a, b).alias(f"__{n}{i}_{j}") for i, j in pairs for n, f, a, b in (("p", F.corr, columns[i], columns[j]), ("s", F.corr, f"__r{i}", f"__r{j}"))]
+    got = able.groupBy(*by).agg(F.count("*").alias("n"), *sums)
+    cells = F.array(*[F.struct(F.lit(columns[i]).alias("x"), F.lit(columns[j]).alias("y"), F.col("n"), F.col(f"__p{i}_{j}").alias("pearson"), F.col(f"__s{i}_{j}").alias("spearman")) for i, j in pairs])
+    return got.select(*by, F.inline(cells))
+
+
 def auc(rows: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
-    """Area under the ROC curve by rank sums, ties one half; null where a class is missing."""
-    ranked = rows.withColumn("__r", average_rank(score, by))
+    """Area under the ROC curve, ties one half; null where a class is missing. Rows of no class don't count.
+
+    Counts of distinct scores are put in order; each positive beats the negatives before it.
+    """
     p = F.col(positive)
-    got = ranked.groupBy(*by).agg(F.sum(F.when(p, F.col("__r"))).alias("__s"), F.count_if(p).alias("n_pos"), F.count_if(~p).alias("n_neg"))
-    area = (F.col("__s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))
+    values = rows.groupBy(*by, score).agg(F.count_if(p).alias("__p"), F.count_if(~p).alias("__n"))
+    placed = ordered(values, by, [score], "__before", "__n")
+    got = placed.groupBy(*by).agg(F.sum(F.col("__p") * (F.col("__before") + F.col("__n") / 2)).alias("__s"), F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"))
+    area = F.col("__s") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))
     return got.select(*by, "n_pos", "n_neg", area.alias("auc"))
 
 
@@ -58,11 +106,10 @@ def separation(x: Column, positive: Column) -> list[Column]:
 
 
 def z_scores(rows: DataFrame, x: str, by: list[str], population: bool, out: str = "z") -> DataFrame:
-    """Population z-scores (zeros under 1e-8) or sample z-scores (zeros at 0)."""
-    w = Window.partitionBy(*by)
-    sd = (F.stddev_pop if population else F.stddev_samp)(x).over(w)
-    flat = F.coalesce(sd, F.lit(0.0)) < 1e-8 if population else F.coalesce(sd, F.lit(0.0)) == 0
-    return rows.withColumn(out, F.when(flat, 0.0).otherwise((F.col(x) - F.avg(x).over(w)) / sd))
+    """Population z-scores (zeros under 1e-8) or sample z-scores (zeros at 0); moments come from one aggregate."""
+    moments = rows.groupBy(*by).agg(F.avg(x).alias("__m"), (F.stddev_pop if population else F.stddev_samp)(x).alias("__sd"))
+    flat = F.coalesce("__sd", F.lit(0.0)) < 1e-8 if population else F.coalesce("__sd", F.lit(0.0)) == 0
+    return _joined(rows, moments, by).withColumn(out, F.when(flat, 0.0).otherwise((F.col(x) - F.col("__m")) / F.col("__sd"))).drop("__m", "__sd")
 
 
 def split_half(rows: DataFrame, entity: str, row_key: str, x: str, seed: int) -> DataFrame:
@@ -76,15 +123,15 @@ def split_half(rows: DataFrame, entity: str, row_key: str, x: str, seed: int) ->
 
 
 def permutation_p(rows: DataFrame, x: str, y: str, row_key: str, reps: int, seed: int) -> DataFrame:
-    """Two-sided permutation p-value of a Spearman correlation, (hits + 1) / (reps + 1).
+    """Two-sided permutation p-value of a Spearman correlation, (hits + 1) / (reps + 1), of a short table of entities.
 
-    Ranks are computed once and only they are permuted: each repetition re-pairs the rows by a seeded order, as one
-    equi-join on (repetition, place).
+    Each repetition re-pairs the rows by a seeded order of hashes, as one equi-join on (repetition, place): reps * n
+    rows, n of them in a task. Tables of items go through ``resampling.permutation_test``.
     """
-    ranked = rows.withColumn("__rx", average_rank(x)).withColumn("__ry", average_rank(y)).select(row_key, "__rx", "__ry")
+    ranked = average_ranks(average_ranks(rows.select(row_key, x, y), x, [], "__rx"), y, [], "__ry").select(row_key, "__rx", "__ry")
     seen = ranked.agg(F.corr("__rx", "__ry").alias("r"), F.count("*").alias("n"))
     rep = rows.sparkSession.range(reps).select(F.col("id").alias("rep"))
-    placed = ranked.withColumn("place", F.row_number().over(Window.orderBy(row_key)))
+    placed = numbered(ranked, row_key, "place").withColumn("place", F.col("place") + 1)
     mixed = placed.select("__ry", row_key).join(F.broadcast(rep))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col(row_key).cast("string")))
     mixed = mixed.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(order, row_key)))
@@ -94,9 +141,9 @@ def permutation_p(rows: DataFrame, x: str, y: str, row_key: str, reps: int, seed
 
 
 def bootstrap_se(rows: DataFrame, x: str, row_key: str, reps: int, seed: int) -> DataFrame:
-    """Mean and bootstrap standard error of the mean. Each repetition draws places by hash: reps * n rows, aggregated
-    before anything is sorted."""
-    placed = rows.withColumn("place", F.row_number().over(Window.orderBy(row_key)) - 1).select("place", x)
+    """Mean and bootstrap standard error of the mean, of a short table of entities: each repetition draws n places by
+    hash, reps * n rows in all. Tables of items go through ``resampling.bootstrap_moments``."""
+    placed = numbered(rows.select(row_key, x), row_key, "place").select("place", x)
     n = rows.agg(F.count("*").alias("n"))
     draws = rows.sparkSession.range(reps).select(F.col("id").alias("rep")).join(placed.select("place").join(F.broadcast(n)))
     pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("place").cast("string"))), 1, 12), 16, 10).cast("long"), F.col("n"))
@@ -110,7 +157,7 @@ def validate_center(rows: DataFrame, polarity: DataFrame, category: str, axes: t
     ``polarity`` holds charged items: ``axis``, ``positive`` (boolean) and ``x``. Outlier: a sample z-score over
     ``limit``. Checks: the first two categories' centres differ by at most ``tolerance[0]`` standard deviations; the
     centre is off the midpoint of the two polarity groups' means by at most ``tolerance[1]`` of their spread.
-    ``passed``: both checks on both axes. A polarity group without items has mean 0. Means and deviations come from one
+    ``passed``: both of these checks on both axes; ``center_verdict`` has all four. A polarity group without items has mean 0. Means and deviations come from one
     aggregate that is broadcast as its one row.
     """
     moments = rows.agg(*[f(a).alias(f"__{n}_{a}") for a in axes for n, f in (("m", F.avg), ("s", F.stddev_samp))])
@@ -134,14 +181,22 @@ def validate_center(rows: DataFrame, polarity: DataFrame, category: str, axes: t
     return checked.crossJoin(F.broadcast(whole))
 
 
-def proportions(rows: DataFrame, by: list[str], key: str) -> DataFrame:
-    """Share of each key inside its group."""
-    counted = rows.groupBy(*by, key).agg(F.count("*").alias("n"))
-    return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+def center_verdict(rows: DataFrame, polarity: DataFrame, category: str, axes: tuple[str, str], row_key: str, reps: int = 1000, seed: int = 42,
+                   limit: float = 2.5, tolerance: tuple[float, float, float] = (0.5, 0.15, 0.05)) -> DataFrame:
+    """All four checks of a centre of neutral items in one verdict, one row per axis.
 
-
-def dominant(rows: DataFrame, entity: str, key: str, order: str) -> DataFrame:
-    """The most frequent key of each entity; ties go to the one seen first by ``order``."""
-    counted = rows.groupBy(entity, key).agg(F.count("*").alias("n"), F.min(order).alias("__first"))
-    w = Window.partitionBy(entity).orderBy(F.desc("n"), "__first")
-    return counted.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select(entity, F.col(key).alias("dominant"), "n")
+    To ``validate_center``'s columns come ``no_outliers`` (none on either axis), ``bootstrap_se`` of the centre over ``reps``
+    resamples of the items that are left, its ``se_ratio`` to the charged spread, ``stable`` (at most ``tolerance[2]``), and
+    ``all_passed``: no outlier, categories agree, centre near the midpoint, stable, on both axes. ``row_key`` is a long
+    that tells items apart.
+    """
+    checked = validate_center(rows, polarity, category, axes, limit, tolerance[:2])
+    kept = rows.select(row_key, *axes)
+    for i, a in enumerate(axes):
+        kept = z_scores(kept, a, [], False, f"__z{i}")
+    kept = kept.where(" and ".join(f"coalesce(abs(__z{i}) <= {limit}, true)" for i in range(len(axes))))
+    se = bootstrap_moments(kept, list(axes), row_key, reps, seed).select(F.col("x").alias("axis"), F.col("se").alias("bootstrap_se"))
+    ratio = F.coalesce("bootstrap_se", F.lit(0.0)) / (F.abs("charged_spread") + 1e-12)
+    got = checked.drop("passed").join(F.broadcast(se), "axis", "left").withColumn("se_ratio", ratio).withColumn("stable", F.col("se_ratio") <= tolerance[2]).withColumn("no_outliers", F.col("n_outliers") == 0)
+    whole = got.agg(F.every(F.col("no_outliers") & F.col("categories_agree") & F.col("midpoint_ok") & F.col("stable")).alias("all_passed"))
+    return got.crossJoin(F.broadcast(whole))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textaxis.functions import text as X
 from textaxis.operators import corpus as O
 from textaxis.operators import reports as R
+from textaxis.operators.matched import budgets_by_share, even_budgets, matched_sample
 from textaxis.operators.ranking import numbered
 from textaxis.plans.registry import Registry
 from textaxis.plans.text_queries import words_sql
@@ -211,6 +212,54 @@ def _(t):
     return O.balanced_capped_sample(d, "quadrant", "source", "grp", "topic", "score", "doc_id", 40, 0.2, 0.4, 0.5)
 
 
+def matched_sql(target: int, shares: dict[str, float], topics: list[str], seed: int, caps: tuple[float, float, float], share: float, least: int) -> str:
+    """The matched sampler as one scan after another, each a recursion over its candidates in order; sources, groups and
+    topics are numbers at the ends of their names."""
+    source_cap, group_cap, topic_cap = (max(1, int(target * c)) for c in caps)
+    hashes = ", ".join(f"md5('{seed + i}:' || doc_id::varchar) as h{i}" for i in range(3))
+    parts = [f"""base as (select doc_id, lang as q, substr(source, 4)::int as s, substr(source, 4)::int % 4 as g, doc_id % 4 as t, (doc_id * 7919) % 97 as x, {hashes} from documents where doc_id % 4 in ({', '.join(t[1:] for t in topics)})),
+    r as (select *, row_number() over (partition by q, g, t order by x desc, doc_id) as rc, count(*) over (partition by q, g, t) as nc from base),
+    st0 as (select q, [0 for i in range(64)] as src, [0 for i in range(4)] as top, [0 for i in range(4)] as grp, 0 as n from (select distinct q from base))"""]
+    steps, chosen = 0, "select null::bigint as doc_id where false"
+    pool = lambda n, need: f"case when {n} <= {need} then {n} else greatest({need}, ceil({n} * {share}::double)) end"
+
+    def scan(candidates: str, order: str, room: str, caps_of: str) -> None:
+        nonlocal steps, chosen
+        k, steps = steps, steps + 1
+        parts.append(f"""
+    c{k} as (select q, doc_id, s, g, t, row_number() over (partition by q order by {order}, doc_id) as rn from ({candidates})),
+    w{k} as (select q, 0::bigint as rn, null::bigint as doc_id, false as ok, src, top, grp, n, 0 as added from st{k}
+      union all select q, rn, doc_id, ok, list_transform(src, lambda v, i: v + (ok and i = s + 1)::int), list_transform(top, lambda v, i: v + (ok and i = t + 1)::int), list_transform(grp, lambda v, i: v + (ok and i = g + 1)::int), n + ok::int, added + ok::int
+        from (select w.q, c.rn, c.doc_id, s, g, t, src, top, grp, n, added, src[s + 1] < {source_cap} and top[t + 1] < {topic_cap} and {caps_of} and {room} as ok from w{k} w join c{k} c on c.q = w.q and c.rn = w.rn + 1)),
+    st{k + 1} as (select q, arg_max(src, rn) as src, arg_max(top, rn) as top, arg_max(grp, rn) as grp, arg_max(n, rn) as n from w{k} group by q)""")
+        chosen += f" union all select doc_id from w{k} where ok"
+
+    for g, budget in budgets_by_share(target, shares).items():
+        grouped, i = f"grp[g + 1] < {group_cap} and grp[g + 1] < {budget}", g[1:]
+        for t, want in even_budgets(budget, topics).items():
+            scan(f"select * from r where g = {i} and t = {t[1:]} and nc >= {least} and rc <= {pool('nc', want)}", "h0", f"added < {want}", grouped)
+        left = f"(select r.*, row_number() over (partition by r.q order by x desc, doc_id) as rk, count(*) over (partition by r.q) as nk from r where g = {i} and doc_id not in ({chosen}))"
+        scan(f"select z.* from {left} z join st{steps} on z.q = st{steps}.q where rk <= {pool('nk', f'({budget} - grp[{i} + 1])')}", "h1", "true", grouped)
+    left = f"(select r.*, row_number() over (partition by r.q order by x desc, doc_id) as rk, count(*) over (partition by r.q) as nk from r where doc_id not in ({chosen}))"
+    scan(f"select z.* from {left} z join st{steps} on z.q = st{steps}.q where rk <= {pool('nk', f'({target} - n)')}", "h2", f"n < {target}", "true")
+    stage = lambda k: "final" if k == steps - 1 else ("group" if k % (len(topics) + 1) == len(topics) else "topic")
+    found = " union all ".join(f"select q, doc_id, '{stage(k)}' as stage, {k} as k, rn from w{k} where ok" for k in range(steps))
+    return f"with recursive {', '.join(parts)}, found as ({found}) select doc_id, q as quadrant, stage, (row_number() over (partition by q order by k, rn) - 1)::int as place from found"
+
+
+_MATCHED = (60, {"g1": 0.5, "g0": 0.3, "g2": 0.2}, ["t1", "t2", "t0"], 21, (0.3, 0.45, 0.4), 0.4, 2)
+
+
+@query("l9_matched_sample", matched_sql(*_MATCHED))
+def _(t):
+    """Budgets of groups and topics, top-ups and three caps at once, in each language."""
+    number = F.substring("source", 4, 9).cast("int")
+    d = t("documents").select("doc_id", F.col("lang").alias("quadrant"), "source", F.concat(F.lit("g"), (number % 4).cast("string")).alias("grp"),
+                              F.concat(F.lit("t"), (F.col("doc_id") % 4).cast("string")).alias("topic"), (F.col("doc_id") * 7919 % 97).alias("score"))
+    target, shares, topics, seed, caps, share, least = _MATCHED
+    return matched_sample(d, "quadrant", "source", "grp", "topic", "score", "doc_id", target, shares, topics, seed, *caps, share, least).select("doc_id", "quadrant", "stage", "place")
+
+
 @query("l11_weights", "select source, count(*) as n_rows, round(least(3.0, (select count(*) from documents) / ((select count(distinct source) from documents) * count(*)))::double, 6) as weight from documents group by source")
 def _(t):
     return O.group_weights(t("documents"), "source").select("source", "n_rows", F.round("weight", 6).alias("weight"))

@@ -129,6 +129,15 @@ def _(t):
     return got.select("event_type", *[c if c in ("min", "max") else F.round(c, 6).alias(c) for c in got.columns[1:]])
 
 
+@query("a25_quantiles", """
+    select event_type, count(value) as n, round(avg(value), 6) as mean, min(value) as min, round(quantile_cont(value, 0.1), 6) as p10, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.9), 6) as p90,
+      round(quantile_cont(value, 0.99), 6) as p99, max(value) as max from events group by event_type""")
+def _(t):
+    """Exact quantiles of each type from carried counts of distinct values."""
+    got = S.quantiles(t("events"), "value", ["event_type"], {"p10": 0.1, "median": 0.5, "p90": 0.9, "p99": 0.99})
+    return got.select("event_type", "n", F.round("mean", 6).alias("mean"), "min", *[F.round(c, 6).alias(c) for c in ("p10", "median", "p90", "p99")], "max")
+
+
 @query("a9_a10_proportions", "select source, lang, n, round(n / sum(n) over (partition by source), 6) as share from (select source, lang, count(*) as n from documents group by 1, 2)")
 def _(t):
     return R.nested_shares(t("documents"), "source", "lang").select("source", "lang", "n", F.round("share", 6).alias("share"))

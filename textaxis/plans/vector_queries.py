@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from textaxis.functions import vectors as V
 from textaxis.operators import axes as A
 from textaxis.operators import reports as R
+from textaxis.operators import resampling as RS
 from textaxis.operators import stats as S
 from textaxis.operators.corpus import folds
 from textaxis.plans.registry import Registry
@@ -301,6 +303,97 @@ def _(t):
     return got.select(F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"))
 
 
+def mix32_sql(x: str, p: str) -> str:
+    """Columns ``{p}1`` to ``{p}5``; the last is the 32-bit mix of ``x``, an unsigned 64-bit expression."""
+    return (f"xor({x}, ({x}) >> 16) as {p}1, ({p}1 * 2246822507) & 4294967295 as {p}2, xor({p}2, {p}2 >> 13) as {p}3, "
+            f"({p}3 * 3266489909) & 4294967295 as {p}4, xor({p}4, {p}4 >> 16) as {p}5")
+
+
+def stream_sql(seed: int, stream: int, p: str) -> str:
+    """The key of a stream of random numbers of repetition ``rep``, as column ``{p}5``."""
+    first = int(RS.mix32(np.array([(seed + 0x9E3779B9 * (stream + 1)) & 0xFFFFFFFF], np.uint64))[0])
+    return mix32_sql(f"(({first}::ubigint + rep) & 4294967295)", p)
+
+
+def permutation_sql(seed: int, reps: int) -> str:
+    """CTEs after ``places(place, x2, y2)``: ``walked(rep, place, v)``, where each permutation puts each place."""
+    rounds, left, right = [], "(v >> half)", "(v & mask)"
+    for r in range(4):
+        rounds += [mix32_sql(f"(({right} + k{r}) & 4294967295)", f"r{r}m"), f"xor({left}, r{r}m5 & mask) as r{r}"]
+        left, right = right, f"r{r}"
+    keys = ", ".join(stream_sql(seed, r, f"s{r}m") for r in range(4))
+    return f"""
+    shape as (select count(*)::ubigint as n from places),
+    sized as (select n, h::ubigint as half, ((1::ubigint << h) - 1)::ubigint as mask from (select n, (select min(h) from range(1, 32) t(h) where (1::ubigint << (2 * h)) >= n)::int as h from shape)),
+    keys as (select rep, s0m5 as k0, s1m5 as k1, s2m5 as k2, s3m5 as k3 from (select rep, {keys} from (select range::ubigint as rep from range({reps})))),
+    walk as (select rep, place::ubigint as place, place::ubigint as v, 0 as step from places, (select range::ubigint as rep from range({reps}))
+      union all select rep, place, (r2 << half) | r3, step + 1 from (select walk.rep, place, step, half, {', '.join(rounds)} from walk join keys on walk.rep = keys.rep, sized where step = 0 or v >= n)),
+    walked as (select rep, place, v from walk, sized where step > 0 and v < n)"""
+
+
+@query("t4_permutation_items", f"""
+    with recursive {SCORED}, places as (select (row_number() over (order by ss, vec_id) - 1)::bigint as place, 2 * rank() over (order by se) + count(*) over (partition by se) - 1 as x2, 2 * rank() over (order by ss) + count(*) over (partition by ss) - 1 as y2 from scored),
+    {permutation_sql(5, 10_000)},
+    c as (select rep, corr(a.x2, b.y2) as c from walked join places a on a.place = walked.place join places b on b.place = walked.v group by rep)
+    select (select count(*) from places) as n, (select round(corr(x2, y2), 6) from places) as spearman, count(*) filter (where abs(c) >= abs((select corr(x2, y2) from places)) - 1e-9) as hits,
+      round((count(*) filter (where abs(c) >= abs((select corr(x2, y2) from places)) - 1e-9) + 1) / 10001, 9) as p from c""")
+def _(t):
+    """Ten thousand permutations of all items."""
+    got = RS.permutation_test(scored(t), "score_econ", "score_soc", "vec_id", 10_000, 5)
+    return got.select("n", F.round("spearman", 6).alias("spearman"), "hits", F.round("p", 9).alias("p"))
+
+
+def bootstrap_sql(seed: int, reps: int) -> str:
+    """CTEs after ``items(id, x)`` (longs and doubles): ``means(rep, m)``."""
+    bounds = " + ".join(f"(hm5 >= {b})::int" for b in RS.POISSON)
+    return f"""
+    keyed as (select rep, sm5 as k from (select rep, {stream_sql(seed, 0, 'sm')} from (select range::ubigint as rep from range({reps})))),
+    drawn as (select rep, x, {bounds} as w from (select rep, x, {mix32_sql("((id::ubigint & 4294967295) + k) & 4294967295", "lm")}, {mix32_sql("((lm5 + (id::ubigint >> 32)) & 4294967295)", "hm")} from items, keyed)),
+    means as (select rep, sum(w * x) / sum(w) as m from drawn group by rep)"""
+
+
+@query("t15_bootstrap_items", f"""
+    with {SCORED}, items as (select vec_id as id, se as x from scored), {bootstrap_sql(9, 1000)}
+    select 'score_econ' as x, (select count(*) from items) as n, (select round(avg(x), 6) from items) as mean, round(avg(m), 6) as boot_mean, round(stddev_samp(m), 6) as se from means""")
+def _(t):
+    """A thousand resamples of all items."""
+    got = RS.bootstrap_moments(scored(t), ["score_econ"], "vec_id", 1000, 9)
+    return got.select("x", "n", *[F.round(c, 6).alias(c) for c in ("mean", "boot_mean", "se")])
+
+
+@query("t16_center_verdict", f"""
+    with {SCORED}, z as (select *, abs((se - avg(se) over ()) / stddev_samp(se) over ()) > 2.5 or abs((ss - avg(ss) over ()) / stddev_samp(ss) over ()) > 2.5 as o, (label % 3)::varchar as c from scored),
+    l as (select 'score_econ' as axis, c, o, se as x from z union all select 'score_soc', c, o, ss from z),
+    cm as (select axis, c, avg(x) as m, row_number() over (partition by axis order by c) as r from l where not o group by axis, c),
+    b as (select axis, count(*) filter (where o) as n_outliers, avg(x) filter (where not o) as center, stddev_samp(x) filter (where not o) as sd from l group by axis),
+    q as (select 'score_econ' as axis, avg(se) filter (where label % 2 = 0) as p, avg(se) filter (where label % 2 <> 0) as n from scored union all
+      select 'score_soc', avg(ss) filter (where label >= 5), avg(ss) filter (where label < 5) from scored),
+    items as (select vec_id as id, [se, ss] as x2, 0.0 as x from z where not o), {bootstrap_sql(42, 1000).replace('drawn as (select rep, x,', 'drawn as (select rep, x2,').replace('from (select rep, x,', 'from (select rep, x2,').replace('sum(w * x) / sum(w) as m', 'sum(w * x2[1]) / sum(w) as m1, sum(w * x2[2]) / sum(w) as m2')},
+    be as (select 'score_econ' as axis, stddev_samp(m1) as bse from means union all select 'score_soc', stddev_samp(m2) from means),
+    f as (select b.axis, n_outliers, center, p - n as spread, abs(center - (p + n) / 2) / (abs(p - n) + 1e-12) <= 0.15 as midpoint_ok, bse, bse / (abs(p - n) + 1e-12) as ratio,
+      abs((select m from cm where cm.axis = b.axis and r = 1) - (select m from cm where cm.axis = b.axis and r = 2)) <= 0.5 * sd as categories_agree from b join q using (axis) join be using (axis))
+    select axis, n_outliers, round(center, 6) as center, n_outliers = 0 as no_outliers, categories_agree, midpoint_ok, round(bse, 6) as bootstrap_se, round(ratio, 6) as se_ratio, ratio <= 0.05 as stable,
+      (select bool_and(n_outliers = 0 and categories_agree and midpoint_ok and ratio <= 0.05) from f) as all_passed from f""")
+def _(t):
+    """All four checks of the centre, with a thousand resamples of the items that are no outliers."""
+    s = scored(t)
+    polarity = s.select(F.inline(F.array(
+        F.struct(F.lit("score_econ").alias("axis"), (F.col("label") % 2 == 0).alias("positive"), F.col("score_econ").alias("x")),
+        F.struct(F.lit("score_soc").alias("axis"), (F.col("label") >= 5).alias("positive"), F.col("score_soc").alias("x")))))
+    got = S.center_verdict(s.withColumn("c", (F.col("label") % 3).cast("string")), polarity, "c", ("score_econ", "score_soc"), "vec_id")
+    return got.select("axis", "n_outliers", F.round("center", 6).alias("center"), "no_outliers", "categories_agree", "midpoint_ok", F.round("bootstrap_se", 6).alias("bootstrap_se"),
+                      F.round("se_ratio", 6).alias("se_ratio"), "stable", "all_passed")
+
+
+@query("t3_correlation_matrix", f"""
+    with {SCORED}, v as (select vec_id, 'score_econ' as c, 1 as i, se as v from scored union all select vec_id, 'score_soc', 2, ss from scored union all select vec_id, 'label', 3, label from scored),
+    r as (select *, rank() over (partition by c order by v) + (count(*) over (partition by c, v) - 1) / 2 as k from v)
+    select a.c as x, b.c as y, count(*) as n, round(corr(a.v, b.v), 6) as pearson, round(corr(a.k, b.k), 6) as spearman from r a join r b on a.vec_id = b.vec_id and a.i <= b.i group by a.c, b.c""")
+def _(t):
+    got = S.correlation_matrix(scored(t).withColumn("label", F.col("label").cast("double")), ["score_econ", "score_soc", "label"], [])
+    return got.select("x", "y", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+
+
 @query("v17_logistic_axis")
 def _(t):
     """The logistic axis's cosine with the mean-difference axis; the tests bound it."""
