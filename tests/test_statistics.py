@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textaxis.operators import ranking, resampling, stats
+from textaxis.operators.corpus import equalized_texts, running_cap
+from textaxis.operators.greedy import chosen, entry_table, min_gap_rows
 from textaxis.operators.matched import budgets_by_share, even_budgets, matched_sample
 
 
@@ -182,3 +184,56 @@ def test_matched_sample_equals_a_plain_loop(spark, n, target, caps, share, least
     got = matched_sample(df, "q", "s", "g", "t", "x", "k", target, shares, topics, n, *caps, share, least)
     assert {r.k: (r.stage, r.place) for r in got.collect()} == plain_matched(rows, target, shares, topics, n, caps, share, least)
     assert matched_sample(df.where("false"), "q", "s", "g", "t", "x", "k", target, shares, topics, n).count() == 0
+
+
+def plain_gap(at, gap):
+    out = []
+    for i in sorted(set(at)):
+        if not out or i >= out[-1] + gap:
+            out.append(i)
+    return out
+
+
+@pytest.mark.parametrize("gap", [0, 1, 7, 500, 10**9])
+def test_greedy_gaps_over_long_and_short_keys(spark, gap):
+    """One key in many ranges, short keys, repeated indexes, nulls; gaps smaller and larger than a range."""
+    rng = np.random.default_rng(gap % 97)
+    rows = [("long", int(x)) for x in rng.integers(0, 20_000, 6000)] + [(f"k{i % 40}", int(rng.integers(-50, 50))) for i in range(600)] + [("one", 5), ("one", 5), (None, 3), ("k1", None)]
+    df = spark.createDataFrame(rows, "k string, i long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r.k, r.i) for r in min_gap_rows(df, "k", "i", gap).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == sorted((k, i) for k in {r[0] for r in rows if r[0]} for i in plain_gap([i for x, i in rows if x == k and i is not None], gap))
+    assert min_gap_rows(df.where("false"), "k", "i", gap).count() == 0
+
+
+def test_scans_composed_from_parts_equal_one_scan():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        at, gap = np.unique(rng.integers(0, 300, rng.integers(1, 60))), int(rng.integers(1, 60))
+        cuts = np.unique(np.r_[0, rng.integers(0, len(at) + 1, rng.integers(0, 6)), len(at)])
+        since, got = None, []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            got += at[a:b][chosen(at[a:b], gap, since)].tolist()
+            entry, leave = entry_table(at[a:b], gap)
+            i = 0 if since is None else int(np.searchsorted(entry, since))
+            since = int(leave[i]) if i < len(entry) else since
+        assert got == plain_gap(at.tolist(), gap)
+
+
+def test_word_budgets_of_a_hot_key(spark):
+    rows = [(i, "hot" if i % 4 else "cold", " ".join(f"w{i}_{j}" for j in range(i % 5))) for i in range(400)] + [(1000, None, "a b c"), (1001, "few", "a"), (1002, "hot", None)]
+    df = spark.createDataFrame(rows, "i long, k string, t string").repartition(4)
+    got = {r.k: (r.n_rows, r.n_words, r.t) for r in equalized_texts(df, "k", "i", "t", 100, 3).collect()}
+    for k in ("hot", "cold"):
+        mine = sorted((r for r in rows if r[1] == k and (r[2] or "").split()), key=lambda r: hashlib.md5(f"3:{r[0]}".encode()).hexdigest())
+        w, used = [], 0
+        for r in mine:
+            used += len(w) < 100
+            w += r[2].split()
+        assert got[k] == (used, 100, " ".join(w[:100]))
+    assert set(got) == {"hot", "cold"}
+    capped = running_cap(df.withColumn("n", F.size(F.split("t", " "))), "k", ["i"], "n", 50).where("k = 'hot'").collect()
+    assert max(r.words_before for r in capped) < 50 and len({r.i for r in capped}) == len(capped) >= 12

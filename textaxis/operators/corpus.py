@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textaxis.functions.text import bound, strip, words
-from textaxis.operators.ranking import hash_salt, keyed_offsets, numbered
+from textaxis.operators.greedy import min_gap_rows
+from textaxis.operators.ranking import hash_salt, keyed_offsets, numbered, ordered
 
 
 def hash_order(seed: int, *keys: str) -> Column:
@@ -39,24 +40,27 @@ def chunk_windows(docs: DataFrame, size: int, overlap: int = 0, least: int = 1,
 
 
 def running_cap(rows: DataFrame, key: str, order: list[str], words_of: str, cap: int) -> DataFrame:
-    """Rows of each key while the words before them are under ``cap``."""
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("words_before", F.coalesce(F.sum(words_of).over(before), F.lit(0)).cast("long")).where(F.col("words_before") < cap)
+    """Rows of each key while the words before them are under ``cap``; sums are carried along ranges, no task holds a key."""
+    return ordered(rows, [key], order, "words_before", words_of).withColumn("words_before", F.col("words_before").cast("long")).where(F.col("words_before") < cap)
 
 
 def equalize(rows: DataFrame, key: str, row_key: str, text: str, target: int, seed: int) -> DataFrame:
-    """``(key, n_rows, n_words)`` and the words of each key's rows in seeded order, cut at exactly ``target``; keys with
+    """``(key, row_key, kept_words, kept, words_before)``: each key's rows in seeded order, cut at exactly ``target`` words; keys with
     fewer words are left out. Each row keeps only the words that fall under the target."""
-    n = F.size(words(F.col(text)))
-    before = Window.partitionBy(key).orderBy("__h", row_key).rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = Window.partitionBy(key)
-    placed = (
-        rows.withColumn("__n", n).withColumn("__h", hash_order(seed, row_key))
-        .withColumn("__b", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumn("__t", F.sum("__n").over(all_rows))
-        .where((F.col("__t") >= target) & (F.col("__b") < target) & (F.col("__n") > 0))
-    )
-    kept = placed.withColumn("kept_words", F.least(F.col("__n").cast("long"), F.lit(target) - F.col("__b")))
-    return kept.select(key, row_key, "kept_words", F.array_join(F.slice(words(F.col(text)), F.lit(1), F.col("kept_words").cast("int")), " ").alias("kept"))
+    counted = rows.select(key, row_key, text, F.size(words(F.col(text))).alias("__n"), hash_order(seed, row_key).alias("__h")).where("__n > 0")
+    placed = ordered(counted, [key], ["__h", row_key], "words_before", "__n").where(F.col("words_before") < target)
+    enough = counted.groupBy(key).agg(F.sum("__n").alias("__t")).where(F.col("__t") >= target).select(F.col(key).alias("__key"))
+    placed = placed.join(enough, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    kept = placed.withColumn("kept_words", F.least(F.col("__n").cast("long"), F.lit(target) - F.col("words_before")))
+    return kept.select(key, row_key, "kept_words", F.array_join(F.slice(words(F.col(text)), F.lit(1), F.col("kept_words").cast("int")), " ").alias("kept"), F.col("words_before").cast("long").alias("words_before"))
+
+
+def equalized_texts(rows: DataFrame, key: str, row_key: str, text: str, target: int, seed: int) -> DataFrame:
+    """``(key, n_rows, n_words, text)``: one text of exactly ``target`` words for each key that has as many, the words of its rows in
+    seeded order, joined by single spaces. The target bounds what is gathered of a key."""
+    pieces = equalize(rows, key, row_key, text, target, seed)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("words_before", "kept"))), lambda p: p["kept"]), " ")
+    return pieces.groupBy(key).agg(F.count("*").alias("n_rows"), F.sum("kept_words").alias("n_words"), joined.alias(text))
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -85,17 +89,9 @@ def match_questions(rows: DataFrame, questions: DataFrame, row_key: str, text: s
     return first.where("__hit").select(row_key, F.col("__k").alias(key)).unionByName(second)
 
 
-def min_gap(indexes: Column, gap: int) -> Column:
-    """Greedy selection from an array of indexes: each kept one is at least ``gap`` after the last kept one."""
-    none = F.array().cast("array<long>")
-    step = lambda kept, x: F.when((F.size(kept) == 0) | (x >= F.element_at(kept, -1) + gap), F.concat(kept, F.array(x))).otherwise(kept)
-    return F.aggregate(F.array_sort(F.transform(indexes, lambda x: x.cast("long"))), none, lambda kept, x: F.when(F.size(kept) == 0, F.array(x)).otherwise(step(kept, x)))
-
-
 def gap_dedupe(chunks: DataFrame, key: str, index: str, gap: int) -> DataFrame:
-    """Chunks of each document at least ``gap`` apart, greedily from the first."""
-    kept = chunks.groupBy(key).agg(F.collect_list(index).alias("__all")).select(key, F.explode(min_gap(F.col("__all"), gap)).alias(index))
-    return chunks.join(kept, [key, index], "left_semi")
+    """Chunks of each document at least ``gap`` apart, greedily from the first; chunks of one index stay or go together."""
+    return chunks.join(min_gap_rows(chunks, key, index, gap), [key, index], "left_semi")
 
 
 def cap_cells(rows: DataFrame, cell: list[str], row_key: str, cap: int, seed: int) -> DataFrame:

@@ -42,6 +42,17 @@ def _(t):
     return O.equalize(t("documents"), "source", "doc_id", "text", 2000, 11).select("source", "doc_id", "kept_words", F.md5("kept").alias("h"))
 
 
+@query("x3_equalized_texts", f"""
+    with w as (select source, doc_id, {words_sql('text')} as w from documents),
+    b as (select *, len(w) as n, coalesce(sum(len(w)) over (partition by source order by md5('11:' || doc_id::varchar), doc_id rows between unbounded preceding and 1 preceding), 0) as before, sum(len(w)) over (partition by source) as total from w),
+    k as (select source, before, w[1 : least(n, 2000 - before)::bigint] as w from b where total >= 2000 and before < 2000 and n > 0)
+    select source, count(*) as n_rows, sum(len(w))::bigint as n_words, md5(string_agg(array_to_string(w, ' '), ' ' order by before)) as h from k group by source""")
+def _(t):
+    """One text of 2,000 words for each source."""
+    got = O.equalized_texts(t("documents"), "source", "doc_id", "text", 2000, 11)
+    return got.select("source", "n_rows", "n_words", F.md5("text").alias("h"))
+
+
 @query("x4_running_cap", f"""
     select source, doc_id, words_before from (select source, doc_id, coalesce(sum(len({words_sql('text')})) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as words_before from documents) where words_before < 15000""")
 def _(t):
