@@ -27,8 +27,8 @@ from textaxis.session import materialize, release, scratch
 SEATS = 8
 #: Slabs of a language at least, and the entries that a cell should hold.
 SLABS, CELL_ENTRIES = 16, 1 << 16
-#: Counts that a task gathers before it adds them up, and after that sends.
-GATHERED = 1 << 19
+#: Counts that a task gathers before it adds them up, and after that sends; text bytes that it works on at a time.
+GATHERED, SLICE_BYTES = 1 << 18, 2 << 20
 TOP = 50
 
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -60,7 +60,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [batch.column(c).fill_null("").cast(pa.string()).dictionary_encode() for c in ("lang", "source")]
         lang, source = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in names)
         group = lang * len(names[1].dictionary) + source
-        for lo, hi, row, code, dictionary in coded_terms(batch, NOT_ALPHA):
+        for lo, hi, row, code, dictionary in coded_terms(batch, NOT_ALPHA, most=SLICE_BYTES):
             wide = max(1, len(dictionary))
             in_doc, times = counted(row * wide + code)
             key = group[lo + in_doc // wide] * wide + in_doc % wide
