@@ -200,7 +200,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
             texts = mine.select("number", "text").orderBy("number").collect()  # at most a block
             parts.append(keep(_search_block(docs, mine, [(r["number"], terms_of(r["text"])) for r in texts], k)))
     if not parts:
-        return spark.createDataFrame([], items.select("item_id").schema.add("rank", "int").add("doc_id", "long").add("score", "long"))
+        return items.where("false").select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
