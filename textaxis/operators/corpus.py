@@ -7,6 +7,7 @@ same for any partitioning and both sides of a comparison can compute them.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ from textaxis.operators.greedy import min_gap_rows
 from textaxis.operators.ranking import hash_salt, keyed_offsets, numbered, ordered
 
 
+#: Questions that are broadcast, and characters that a contained beginning is joined on if there are more.
+SHORT_LIST, ANCHOR = 10_000, 12
+
+
 def hash_order(seed: int, *keys: str) -> Column:
     """A seeded pseudo-random order that any engine with MD5 can repeat."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
@@ -69,26 +74,51 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def match_questions(rows: DataFrame, questions: DataFrame, row_key: str, text: str, key: str, question: str, order: str, equal: int = 80, inside: int = 60) -> DataFrame:
+def match_questions(rows: DataFrame, questions: DataFrame, row_key: str, text: str, key: str, question: str, order: str, equal: int = 80, inside: int = 60,
+                    short_list: int = SHORT_LIST) -> DataFrame:
     """``(row_key, key)``: each row's question, null without one.
 
     First by equality of the stripped text's first ``equal`` characters with a question's; of equal beginnings the last
     question by ``order`` holds, as in the reference's table of beginnings. Rows without such take the first question by
-    ``order`` that contains the text's first ``inside`` characters, or whose first ``inside`` the text contains. The
-    questions are a bounded list and are broadcast; ``row_key`` is unique.
+    ``order`` that contains the text's first ``inside`` characters, or whose first ``inside`` the text contains. ``row_key`` is
+    unique. Questions are counted first: up to ``short_list`` are broadcast; more meet the rows in joins on the ``ANCHOR``
+    characters that the contained beginning starts with, and only those shorter than that, at most ``short_list``, are broadcast.
     """
     rows = rows.select(row_key, strip(F.col(text)).alias("__t"))
     asked = questions.select(F.col(key).alias("__k"), F.col(question).alias("__q"), F.col(order).alias("__o"))
+    few = asked.count() <= short_list
     begins = asked.groupBy(F.substring("__q", 1, equal).alias("__p")).agg(F.max_by("__k", "__o").alias("__k"), F.lit(True).alias("__hit"))
-    first = rows.join(F.broadcast(begins), F.substring("__t", 1, equal) == F.col("__p"), "left")
+    first = rows.join(F.broadcast(begins) if few else begins, F.substring("__t", 1, equal) == F.col("__p"), "left")
     either = F.col("__q").contains(F.substring("__t", 1, inside)) | F.col("__t").contains(F.substring("__q", 1, inside))
     rest = first.where("__hit is null").select(row_key, "__t")
-    second = (
-        rest.join(F.broadcast(asked), either, "left").groupBy(row_key).agg(F.min_by("__k", "__o").alias(key))
-    )
+    if few:
+        second = rest.join(F.broadcast(asked), either, "left")
+    else:
+        second = rest.join(_anchored(rest, asked, row_key, inside, short_list), row_key, "left")
+    second = second.groupBy(row_key).agg(F.min_by("__k", "__o").alias(key))
     return first.where("__hit").select(row_key, F.col("__k").alias(key)).unionByName(second)
 
 
+def _anchored(rows: DataFrame, asked: DataFrame, row_key: str, inside: int, short_list: int) -> DataFrame:
+    """``(row_key, __k, __o)`` where one text contains the other's beginning, by joins on the beginning's first characters."""
+    windows = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - ANCHOR + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(ANCHOR))))
+    found = []
+    for needle, hay, haystack, needles in (("__t", "__q", asked, rows), ("__q", "__t", rows, asked)):
+        start = F.substring(needle, 1, inside)
+        hit = F.col(hay).contains(start)
+        long = needles.where(F.length(start) >= ANCHOR).withColumn("__a", F.substring(needle, 1, ANCHOR))
+        met = long.join(haystack.withColumn("__a", F.explode(windows(F.col(hay)))), "__a").where(hit)
+        found.append(met.select(row_key, "__k", "__o"))
+        # Shorter beginnings: distinct ones are few, and only they meet every text.
+        short = needles.where(F.length(start) < ANCHOR)
+        starts = short.select(start.alias("__s")).distinct()
+        if (n := starts.count()) > short_list:
+            raise ValueError(f"{n} different beginnings of fewer than {ANCHOR} characters, more than {short_list}")
+        at = haystack.join(F.broadcast(starts), F.col(hay).contains(F.col("__s")))
+        found.append(at.join(short.withColumn("__s", start), "__s").select(row_key, "__k", "__o"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def gap_dedupe(chunks: DataFrame, key: str, index: str, gap: int) -> DataFrame:
     """Chunks of each document at least ``gap`` apart, greedily from the first; chunks of one index stay or go together."""
     return chunks.join(min_gap_rows(chunks, key, index, gap), [key, index], "left_semi")
@@ -114,11 +144,6 @@ def stratify_by_sign(rows: DataFrame, econ: str, social: str, row_key: str, n: i
     return some.withColumn("place", F.row_number().over(Window.orderBy(hash_order(seed + 1, row_key), row_key)) - 1)
 
 
-def sample_groups(rows: DataFrame, group: list[str], row_key: str, n: int, seed: int) -> DataFrame:
-    """A simple random sample of ``n`` rows of each group."""
-    return cap_cells(rows, group, row_key, n, seed)
-
-
 def confidence_pool(rows: DataFrame, group: list[str], score: str, row_key: str, target: int, share: float) -> DataFrame:
     """Each group's best max(target, ceil(n * share)) rows, with their ranks."""
     w = Window.partitionBy(*group)
