@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textaxis.operators import people as PE
 from textaxis.operators import reports as R
 from textaxis.operators import stats as S
 from textaxis.plans.registry import Registry
+from textaxis.plans.text_queries import strip_sql, words_sql
 
 registry = Registry()
 query = registry.query
@@ -270,3 +272,51 @@ def _(t):
     old = d.where("doc_id % 2 = 0").groupBy("source").agg(F.count("*").alias("n"))
     old = old.unionByName(d.sparkSession.createDataFrame([("gone", 1)], "source string, n long"))
     return upsert_manifest(old, d.where("doc_id % 3 = 0").groupBy("source").agg(F.count("*").alias("n")))
+
+
+_PEOPLE = f"""
+    sp as (select doc_id, text, len({words_sql('text')}) as n, doc_id % 3 + 1 as congress, doc_id % 40 as k from documents),
+    s as (select *, congress || '-' || k as speaker_id, 'L' || (k % 11) as last_name, case when k % 9 = 0 then '' else chr((65 + k % 5)::int) || 'X' end as first_name, case when k % 10 < 6 then 'H' when k % 10 < 9 then 'S' else 'E' end as chamber, 'S' || (k % 4) as state from sp where n >= 20),
+    b as (select *, coalesce(sum(n) over (partition by congress, speaker_id order by doc_id rows between unbounded preceding and 1 preceding), 0) as before from s),
+    kept as (select * from b where before < 3000),
+    m as (select c_custkey % 3 + 1 as congress, case when c_custkey % 5 < 3 then 'House' else 'Senate' end as chamber, 'S' || (c_custkey % 4) as state, 'L' || (c_custkey // 3 % 23) as last_name, chr((65 + c_custkey % 7)::int) as f, c_custkey % 90 as icpsr, c_acctbal / 10000 as d
+      from customer where c_custkey % 8 > 0),
+    u as (select congress, speaker_id, arg_min(last_name, doc_id) as last_name, arg_min(first_name, doc_id) as first_name, arg_min(chamber, doc_id) as chamber, arg_min(state, doc_id) as state, min(doc_id) as start from kept group by 1, 2),
+    c as (select u.*, m.icpsr, m.f from u left join m on u.congress = m.congress and m.chamber = case u.chamber when 'H' then 'House' when 'S' then 'Senate' end and u.state = m.state and u.last_name = m.last_name),
+    g as (select congress, speaker_id, first_name, chamber, state, last_name, start, count(icpsr) as candidates, min(icpsr) as one, count(*) filter (where f = substr(first_name, 1, 1)) as same, min(icpsr) filter (where f = substr(first_name, 1, 1)) as two from c group by all),
+    x as (select *, case when candidates = 1 then one when candidates > 1 and first_name <> '' and same = 1 then two end as icpsr, case when candidates = 1 then 'name' when candidates > 1 and first_name <> '' and same = 1 then 'initial' end as matched_by from g)"""
+
+
+def _speeches(t):
+    k, doc = F.col("doc_id") % 40, F.col("doc_id")
+    return t("documents").select(
+        "doc_id", "text", (doc % 3 + 1).alias("congress"), F.concat_ws("-", (doc % 3 + 1).cast("string"), k.cast("string")).alias("speaker_id"), F.concat(F.lit("L"), (k % 11).cast("string")).alias("last_name"),
+        F.when(k % 9 == 0, "").otherwise(F.concat(F.char(65 + k % 5), F.lit("X"))).alias("first_name"), F.when(k % 10 < 6, "H").when(k % 10 < 9, "S").otherwise("E").alias("chamber"), F.concat(F.lit("S"), (k % 4).cast("string")).alias("state"))
+
+
+def _members(t):
+    c = F.col("c_custkey")
+    return t("customer").select(
+        (c % 3 + 1).alias("congress"), F.when(c % 5 < 3, "House").otherwise("Senate").alias("chamber"), F.concat(F.lit("S"), (c % 4).cast("string")).alias("state_abbrev"),
+        F.concat(F.lit("L"), (F.expr("c_custkey div 3") % 23).cast("string"), F.lit(", "), F.char(65 + c % 7), F.lit("y")).alias("bioname"), (c % 90).alias("icpsr"), F.lit("100").alias("party_code"),
+        F.when(c % 8 > 0, F.col("c_acctbal") / 10000).alias("nominate_dim1"), F.lit(None).cast("double").alias("nominate_dim2"))
+
+
+@query("j2_match_speakers", f"""
+    with {_PEOPLE} select congress, speaker_id, icpsr, matched_by, candidates from x""")
+def _(t):
+    """Speakers' units linked to members by block, last name and initial."""
+    kept = PE.speaker_speeches(_speeches(t), "doc_id", "text", 20, 3000)
+    units = kept.groupBy(*PE.UNIT).agg(*[F.min_by(c, "doc_id").alias(c) for c in ("last_name", "first_name", "chamber", "state")])
+    return PE.match_speakers(units, _members(t)).select("congress", "speaker_id", "icpsr", "matched_by", "candidates")
+
+
+@query("a22_pool_people", f"""
+    with {_PEOPLE}, z as (select x.*, (select min(d) from m where m.congress = x.congress and m.chamber = case x.chamber when 'H' then 'House' else 'Senate' end and m.state = x.state and m.last_name = x.last_name and m.icpsr = x.icpsr) as d from x where icpsr is not null),
+    p as (select icpsr, count(*) as n_units, round(avg(d), 6) as dim1, array_to_string(list_sort(list_distinct(list(congress)))::varchar[], '|') as congresses from z group by icpsr),
+    w as (select z.icpsr, count(*) as n_speeches, sum(kept.n)::bigint as n_words, md5(string_agg({strip_sql('kept.text')}, ' ' order by z.congress, z.start, kept.doc_id)) as h from z join kept using (congress, speaker_id) group by z.icpsr)
+    select p.icpsr, n_units, dim1, congresses, n_speeches, n_words, h from p join w using (icpsr)""")
+def _(t):
+    """One record for each person: mean scores, congresses, and all kept speeches as one text."""
+    people, _unmatched = PE.pool_people(_speeches(t), _members(t), "doc_id", "text", 20, 3000)
+    return people.select("icpsr", "n_units", F.round("nominate_dim1", 6).alias("dim1"), F.array_join(F.transform("congresses", lambda c: c.cast("string")), "|").alias("congresses"), "n_speeches", "n_words", F.md5("text").alias("h"))
