@@ -61,18 +61,18 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], out: str = "slot",
     key's rows apart for a repeatable result.
     """
     w = F.lit(1).cast("long") if weight is None else F.coalesce(F.col(weight), F.lit(0))
-    parts = ordered_parts(df.withColumn("__weight", w), keys, order)
-    totals = parts.groupBy(*keys, "__part").agg(F.sum("__weight").alias("__total"))
+    parts = ordered_parts(df.withColumn("__ord_weight", w), keys, order)
+    totals = parts.groupBy(*keys, "__part").agg(F.sum("__ord_weight").alias("__ord_total"))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__at"), F.sum("__total").over(before).alias("__base"))
-    carried = carried.where("__base is not null")  # at most one key of a part goes on from another
-    on = F.col("__part") == F.col("__at")
+    carried = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__ord_at"), F.sum("__ord_total").over(before).alias("__ord_base"))
+    carried = carried.where("__ord_base is not null")  # at most one key of a part goes on from another
+    on = F.col("__part") == F.col("__ord_at")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     inside = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.join(F.broadcast(carried), on, "left").withColumn("__inside", F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
-    total = F.coalesce("__base", F.lit(0)) + F.col("__inside")
-    return placed.withColumn(out, total.cast("long") if weight is None else total).drop("__weight", "__part", "__at", "__base", "__inside", *[f"__k{i}" for i in range(len(keys))])
+    placed = parts.join(F.broadcast(carried), on, "left").withColumn("__ord_inside", F.coalesce(F.sum("__ord_weight").over(inside), F.lit(0)))
+    total = F.coalesce("__ord_base", F.lit(0)) + F.col("__ord_inside")
+    return placed.withColumn(out, total.cast("long") if weight is None else total).drop("__ord_weight", "__part", "__ord_at", "__ord_base", "__ord_inside", *[f"__k{i}" for i in range(len(keys))])
 
 
 def numbered(df: DataFrame, order: str, out: str = "slot") -> DataFrame:

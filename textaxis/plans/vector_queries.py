@@ -9,6 +9,7 @@ from textaxis.functions import vectors as V
 from textaxis.operators import axes as A
 from textaxis.operators import reports as R
 from textaxis.operators import resampling as RS
+from textaxis.operators import router as RT
 from textaxis.operators import stats as S
 from textaxis.operators.corpus import folds
 from textaxis.plans.registry import Registry
@@ -446,3 +447,34 @@ def _(t):
 def _(t):
     got = A.shuffled_label_null(t("embeddings").withColumn("p", F.col("label") >= 5), "embedding", "p", "vec_id", 64, 64, 5)
     return got.select("reps", *[F.round(c, 6).alias(c) for c in ("real", "mean", "p95", "max")], "p")
+
+
+def _head():
+    """A fixed head of four by 64 numbers, which SQL can make too."""
+    k, i = np.arange(4)[:, None], np.arange(64)[None, :]
+    return RT.Head(((k * 7 + (i + 1) * 3) % 5 - 2) / 10, np.arange(4) / 20)
+
+
+@query("d3_head_policy", """
+    with e as (select vec_id, label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as v from embeddings),
+    z as (select vec_id, k, sum(v * (((k * 7 + i * 3) % 5 - 2) / 10)) + k / 20 - 0.25 * ((label + k) % 4) as z from e, range(4) t(k) group by vec_id, label, k),
+    s as (select vec_id, k, exp(z - max(z) over (partition by vec_id)) as x from z)
+    select vec_id, k::int as place, round(x / sum(x) over (partition by vec_id), 6) as p from s""")
+def _(t):
+    """Policies from a log-prior and a linear head over hidden states."""
+    prior = F.array(*[-0.25 * ((F.col("label") + k) % 4) for k in range(4)])
+    rows = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("h"), prior.alias("prior"))
+    got = RT.calibrated(rows, "h", "prior", _head()).select("vec_id", F.posexplode("policy").alias("place", "p"))
+    return got.select("vec_id", "place", F.round("p", 6).alias("p"))
+
+
+@query("d16_router_training")
+def _(t):
+    """Mean losses of each of three epochs over all items; the tests hold the loop against numpy."""
+    z = F.array(*[-0.25 * ((F.col("label") + k) % 4) for k in range(4)])
+    rows = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("h"), z.alias("prior"))
+    softmax = lambda c: F.transform(c, lambda x: F.exp(x) / F.aggregate(c, F.lit(0.0), lambda s, y: s + F.exp(y)))
+    rows = rows.withColumn("prior", F.transform(softmax(F.col("prior")), lambda x: F.log(x))).withColumn("target", softmax(F.array(*[2.0 * F.element_at("h", k + 1) for k in range(4)])))
+    head = RT.train_head(rows, "h", "prior", "target", "vec_id", epochs=3, batch_size=256, rate=0.01, kl=0.05, entropy=0.01)
+    spark = rows.sparkSession
+    return spark.createDataFrame([(i, *[round(h[c], 6) for c in RT.LOSSES]) for i, h in enumerate(head.history)], "epoch int, " + ", ".join(f"{c} double" for c in RT.LOSSES))
