@@ -55,6 +55,20 @@ def pivot_with_totals(rows: DataFrame, row: str, column: str, values: list[str])
     return wide.unionByName(bottom.select(*wide.columns))
 
 
+def pivot_statistics(rows: DataFrame, row: str, column: str, values: list[str], x: str) -> DataFrame:
+    """Mean and median of ``x`` pivoted over ``values``: columns ``<value>_mean`` and ``<value>_median``, null where a cell has no
+    value, with a last row 'total' over all of ``rows`` in ``values``. One row for each value of ``row``.
+
+    Medians come from carried counts of distinct values (``stats.quantiles``), so no task holds a cell.
+    """
+    from textaxis.operators.stats import quantiles
+
+    able = rows.where(F.col(column).isin(*values)).select(F.col(row).cast("string").alias(row), column, x)
+    both = able.unionByName(able.withColumn(row, F.lit("total")))
+    cells = quantiles(both, x, [row, column], {"median": 0.5})
+    return cells.groupBy(row).pivot(column, values).agg(F.first("mean").alias("mean"), F.first("median").alias("median"))
+
+
 def summary_sets(rows: DataFrame, keys: list[str], measures: list[Column]) -> DataFrame:
     """The same measures overall and by each key alone: grouping sets with a column that names the set."""
     sets = [[]] + [[F.col(k)] for k in keys]

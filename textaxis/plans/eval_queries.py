@@ -172,6 +172,15 @@ def _(t):
     return R.pivot_with_totals(t("documents"), "source", "lang", ["en", "de", "fr"])
 
 
+@query("a18_pivot_statistics", f"""
+    with r as (select source as source, lang, n_chars from documents where lang in ('en', 'de', 'es', 'fr') union all select 'total', lang, n_chars from documents where lang in ('en', 'de', 'es', 'fr'))
+    select source, {', '.join(f"round(avg(n_chars) filter (where lang = '{v}'), 4) as {v}_mean, round(median(n_chars) filter (where lang = '{v}'), 4) as {v}_median" for v in ('de', 'en', 'es', 'fr'))} from r group by source""")
+def _(t):
+    """Mean and median length by source and language, with totals."""
+    got = R.pivot_statistics(t("documents"), "source", "lang", ["de", "en", "es", "fr"], "n_chars")
+    return got.select("source", *[F.round(c, 4).alias(c) for c in got.columns[1:]])
+
+
 @query("a21_mean_of_means", """
     with p as (select event_type as m, user_id, avg(value) as x, avg(event_id % 7) as y from events group by 1, 2) select m, count(*) as n_prompts, round(avg(x), 6) as x, round(avg(y), 6) as y, round(stddev_pop(x), 6) as sx from p group by m""")
 def _(t):

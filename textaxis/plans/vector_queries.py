@@ -273,16 +273,32 @@ def _(t):
     return got.select("n", F.round("spearman", 6).alias("spearman"), F.round("p", 6).alias("p"))
 
 
-@query("t9_kfold_auc")
-def _(t):
-    """Held-out AUC by five seeded folds; the tests hold it against numpy."""
+@query("t9_kfold_auc", """
+    with f as (select vec_id, label, embedding, ((row_number() over (order by md5('0:' || vec_id::varchar), vec_id) - 1) % 5)::int as fold from embeddings),
+    e as (select vec_id, label, fold, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as v from f),
+    m as (select k, i, avg(v) filter (where label >= 5) - avg(v) filter (where label < 5) as m from e, range(5) t(k) where fold <> k group by k, i),
+    a as (select k, i, m / (sqrt(sum(m * m) over (partition by k)) + 1e-12) as a from m),
+    s as (select vec_id, label >= 5 as p, sum(v * a) as s from e join a on e.fold = a.k and e.i = a.i group by vec_id, label),
+    r as (select p, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2 as r from s)
+    select count(*) filter (where p) as n_pos, count(*) filter (where not p) as n_neg,
+      round((sum(r) filter (where p) - count(*) filter (where p) * (count(*) filter (where p) + 1) / 2) / (count(*) filter (where p) * count(*) filter (where not p)), 6) as auc from r""")
+def _(t):
+    """Held-out AUC by five seeded folds."""
     rows = folds(t("embeddings").withColumn("p", F.col("label") >= 5), "vec_id", 5, 0)
     return A.kfold_auc(rows, "embedding", "p", "fold").select("n_pos", "n_neg", F.round("auc", 6).alias("auc"))
 
 
-@query("t10_leave_one_group_out")
+@query("t10_leave_one_group_out", """
+    with f as (select vec_id, label, embedding, case when vec_id % 4 < 3 then (vec_id % 4)::varchar end as g from embeddings), h as (select distinct g as held from f where g is not null),
+    e as (select vec_id, label, g, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as v from f),
+    m as (select held, i, avg(v) filter (where label >= 5) - avg(v) filter (where label < 5) as m from e, h where g is distinct from held group by held, i),
+    a as (select held, i, m / (sqrt(sum(m * m) over (partition by held)) + 1e-12) as a from m),
+    s as (select held, vec_id, label >= 5 as p, sum(v * a) as s from e join a on e.g = a.held and e.i = a.i group by held, vec_id, label),
+    r as (select held, p, s, rank() over (partition by held order by s) + (count(*) over (partition by held, s) - 1) / 2 as r from s)
+    select held, count(*) filter (where p) as n_pos, count(*) filter (where not p) as n_neg,
+      round((sum(r) filter (where p) - count(*) filter (where p) * (count(*) filter (where p) + 1) / 2) / (count(*) filter (where p) * count(*) filter (where not p)), 6) as auc from r group by held""")
 def _(t):
-    """AUC of each label's thirds on axes of the others; the tests hold it against numpy."""
+    """AUC of each label's thirds on axes of the others."""
     rows = t("embeddings").withColumn("p", F.col("label") >= 5).withColumn("g", F.when(F.col("vec_id") % 4 < 3, (F.col("vec_id") % 4).cast("string")))
     return A.leave_one_group_out(rows, "embedding", "p", "g").select("held", "n_pos", "n_neg", F.round("auc", 6).alias("auc"))
 
