@@ -9,10 +9,8 @@
 4. What is left is confirmed on full sets, best estimates first; pairs that these links already join aren't compared.
 
 A band that more than ``BUCKET`` classes share doesn't give all its pairs. Each of its members meets one hub, the member
-that shares the largest buckets. Where that leaves a bucket in more than one part, its members are joined exactly on
-prefixes of their sets, rare hashes first, which needs no bands: pairs in one part are passed over, and a member asks
-only for partners of the sizes that its place in a list leaves possible. So large buckets cost no quadratic work and
-lose no link.
+that shares the largest buckets. Where that leaves a bucket in more than one part, its members go through the exact
+prefix join of ``jaccard``, which needs no bands. So large buckets cost no quadratic work and lose no link.
 """
 
 from __future__ import annotations
@@ -25,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textaxis.llm.frequent import most_frequent
-from textaxis.llm.jaccard import BROADCAST_IDS, COUNT_ROWS, FREQUENT, LOCAL_COUNT, _compared, _keys, _ordered, prefix_length, shingle_sets
+from textaxis.llm.jaccard import _compared, _keys, jaccard_components, shingle_sets
 from textaxis.llm.words import mix
 from textaxis.operators.graph import connected_components
 from textaxis.session import materialize, release, scratch
@@ -35,8 +32,6 @@ U = np.uint64
 MINIMA, ROWS, BITS = 128, 4, 4
 #: Classes of a bucket whose pairs are all taken, and the chance of losing a link by its estimate.
 BUCKET, LOSS = 16, 1e-10
-#: Sizes that differ by less than this factor share a step.
-SIZE_STEP = 1.02
 #: Hashes whose minima are taken at a time.
 BLOCK = 1 << 16
 
@@ -44,8 +39,6 @@ _rng = np.random.default_rng(20240817)
 _FACTORS = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _BAND = _rng.integers(0, 2**64, (MINIMA // ROWS, ROWS), dtype=U) | U(1)
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
-_CROWD = pa.schema([("node", pa.int64()), ("part", pa.int64()), ("hashes", pa.binary()), ("k1", pa.int64()), ("n", pa.int64())])
-_PREFIX = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("part", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 _NEAR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("star", pa.bool_()), ("same", pa.int32())])
 
 
@@ -140,83 +133,6 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("star"), pa.array(agreeing(x, y).astype(np.int32))], schema=_NEAR)
 
 
-def _crowd_sets(words: int):
-    """The whole sets of asked classes, and the hashes that a task counts more than once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        rows = 0
-
-        def often() -> pa.RecordBatch:
-            u, c = np.unique(np.concatenate(held) if held else np.zeros(0, U), return_counts=True)
-            u, c = u[c >= LOCAL_COUNT], c[c >= LOCAL_COUNT]
-            blank = pa.nulls(len(u), pa.int64())
-            return pa.RecordBatch.from_arrays([blank, blank, pa.nulls(len(u), pa.binary()), pa.array(u.view(np.int64)), pa.array(c)], schema=_CROWD)
-
-        for batch in batches:
-            node, part, k1, k2 = (batch.column(c).to_pylist() for c in ("node", "part", "k1", "k2"))
-            out: list[list] = [[], [], []]
-            for i, s in shingle_sets(batch, words):
-                if _keys(s) != (k1[i], k2[i]):  # another text under the same doc_id
-                    continue
-                for column, x in zip(out, (node[i], part[i], s.tobytes()), strict=True):
-                    column.append(x)
-                held.append(s)
-                rows += len(s)
-                if rows > COUNT_ROWS:
-                    yield often()
-                    held, rows = [], 0
-            n = len(out[0])
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, f.type) for x, f in zip(out, _CROWD, strict=False)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=_CROWD)
-        yield often()
-
-    return run
-
-
-def _prefix_rows(t: tuple[int, int], frequent):
-    """The hashes of each set's prefix with their places, rare ones first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, part, raw in zip(*(batch.column(c) for c in ("node", "part", "hashes")), strict=True):
-                s = np.frombuffer(raw.as_buffer(), U)
-                n = prefix_length(len(s), t)
-                tokens = _ordered(s, frequent.value)[0][:n]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(tokens.view(np.int64)), pa.array(np.full(n, node.as_py(), np.int64)), pa.array(np.full(n, part.as_py(), np.int64)), pa.array(np.full(n, len(s), np.int32)),
-                    pa.array(np.arange(n, dtype=np.int32))], schema=_PREFIX)
-
-    return run
-
-
-def _crowd_pairs(known: DataFrame, asked: DataFrame, words: int, t: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of ``asked`` classes (first, node, part, k1, k2) in different parts that may link: an exact prefix join."""
-    sc = known.sparkSession.sparkContext
-    wanted = asked.withColumnRenamed("first", "doc_id")
-    if asked.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    shape = "node long, part long, hashes binary, k1 long, n long"
-    sets = materialize(known.join(wanted, "doc_id").select("node", "part", "k1", "k2", "text").mapInArrow(_crowd_sets(words), shape), "crowdsets")
-    often = most_frequent(sets.where("node is null").groupBy("k1").agg(F.sum("n").alias("n")), "k1", "n", FREQUENT).sort_values(["n", "k1"])
-    hot = often["k1"].to_numpy(np.int64).view(U)
-    o = np.argsort(hot)
-    frequent = sc.broadcast((hot[o], np.arange(len(hot))[o], np.ones(len(hot), U)))
-    rows = materialize(sets.where("node is not null").mapInArrow(_prefix_rows(t, frequent), "token long, node long, part long, n int, pos int").distinct(), "prefixes", "zstd")
-    release(sets)
-    counts = rows.groupBy("token", "part").agg(F.count("*").alias("c"))
-    largest = counts.groupBy("token").agg(F.max_by("part", F.struct("c", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("token", "most")
-    step = lambda n: F.floor(F.log(n) / math.log(SIZE_STEP))
-    low = F.ceil(F.col("n") * t[0] / t[1])
-    high = F.least(F.floor(F.col("n") * t[1] / t[0]), F.floor((F.col("n") - F.col("pos")) * (t[0] + t[1]) / t[0]) - F.col("n"))
-    open_ = rows.join(largest, "token")
-    asks = open_.where("part <> most").withColumn("low", low).withColumn("high", high).where("high >= low")
-    asks = asks.select("token", F.explode(F.sequence(step(F.col("low")), step(F.col("high")))).alias("step"), *[F.col(c).alias(f"a_{c}") for c in ("node", "part", "n", "pos")])
-    met = asks.join(open_.withColumn("step", step(F.col("n"))), ["token", "step"])
-    need = f"((({t[0]} * (n + a_n)) + {t[0] + t[1] - 1}) div {t[0] + t[1]})"
-    met = met.where(f"part <> a_part and n - pos >= {need} and a_n - a_pos >= {need} and least(n, a_n) >= {need}")
-    return met.select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b")).distinct()
-
-
 def _named_parts(links: DataFrame) -> DataFrame:
     """``(node, part)`` of the ends of links: the smallest node within two links, so that equal parts are joined."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -276,13 +192,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bucket:
         # Large buckets in more than one part: the exact join of their members.
         crowd = crowd.join(part, "node", "left").select("band", "node", F.coalesce("part", "node").alias("part"))
         open_ = crowd.groupBy("band").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 <> p2").select("band")
-        ids = materialize(crowd.join(open_, "band", "left_semi").select("node", "part").distinct(), "crowd")
+        ids = materialize(crowd.join(open_, "band", "left_semi").select("node").distinct(), "crowd")
         release(members)
         if not ids.isEmpty():
-            met = _crowd_pairs(known, nodes.join(ids, "node").select("first", "node", "part", "k1", "k2"), words, t)
-            met = materialize(_estimated(met.join(best, ["a", "b"], "left_anti").withColumn("star", F.lit(False)), nodes, percent), "met")
-            if not met.isEmpty():
-                links = links.unionByName(_compared(met, known, nodes, words, t).where("linked").select("a", "b"))
+            asked = nodes.join(ids, "node").select("first", "node")
+            texts = materialize(known.join(asked.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"), "crowdtexts", "zstd")
+            more = jaccard_components(texts, words, percent).where("component_id <> doc_id").select("doc_id", "component_id").distinct()
+            pair = more.join(asked, F.col("doc_id") == F.col("first")).select(F.col("node").alias("b"), "component_id")
+            links = links.unionByName(pair.join(asked, F.col("component_id") == F.col("first")).select(F.col("node").alias("a"), "b"))
         part = connected_components(links)
 
         named = classes.select("node", "first", "k1", "k2").join(part, F.col("node") == F.col("id"), "left").withColumn("c", F.coalesce("component", "node"))
