@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from textaxis.functions import vectors as V
 from textaxis.operators.stats import auc
+from textaxis.session import materialize
+
+#: Prototypes that are broadcast at a time.
+PROTOTYPES = 4096
 
 
 def mean_vector(rows: DataFrame, by: list[str], vec: str, weight: str | None = None, out: str = "vec") -> DataFrame:
@@ -67,23 +71,66 @@ def scored_items(items: DataFrame, vec: str, label: str) -> DataFrame:
     return got.withColumn("quadrant", V.quadrant(F.col("score_econ"), F.col("score_soc"))).withColumn("margin", V.confidence_margin(F.col("score_econ"), F.col("score_soc")))
 
 
-def nearest_prototypes(items: DataFrame, key: str, vec: str, prototypes: DataFrame, name: str, proto: str) -> DataFrame:
+def nearest_prototypes(items: DataFrame, key: str, vec: str, prototypes: DataFrame, name: str, proto: str, most: int = PROTOTYPES) -> DataFrame:
     """``(key, topic_primary, topic_primary_score, topic_secondary, topic_secondary_score)`` by cosine.
 
-    The prototypes are gathered into one array value, so items are scored in place without a pair row each. Without
-    prototypes the topic is 'other' with score 0. Ties go to the smaller name.
+    The prototypes are counted first. Up to ``most`` are gathered into one array value, so items are scored in place without
+    a pair row each. More are taken in blocks of ``most``, each a matrix that is broadcast for one scan of the items; a scan
+    keeps two of each item. Without prototypes the topic is 'other' with score 0. Ties go to the smaller name. ``key`` tells
+    items apart; items with a null vector are left out where there are several blocks, and have null scores where there is one.
     """
-    table = prototypes.agg(F.array_sort(F.collect_list(F.struct(F.col(name).cast("string").alias("name"), V.unit(F.col(proto), 1e-12).alias("v")))).alias("__p"))
+    named = prototypes.select(F.col(name).cast("string").alias("name"), V.unit(F.col(proto), 1e-12).alias("v"))
+    if named.count() > most:
+        return _nearest_in_blocks(items, key, vec, named, most)
+    table = named.agg(F.array_sort(F.collect_list(F.struct("name", "v"))).alias("__p"))
     u = V.unit(F.col(vec), 1e-12)
     scored = items.select(key, u.alias("__u")).join(F.broadcast(table))
     each = F.transform("__p", lambda p: F.struct((-V.dot(F.col("__u"), p["v"])).alias("s"), p["name"].alias("name")))
-    best = scored.select(key, F.array_sort(each).alias("__b"))
+    return _two_best(scored.select(key, F.array_sort(each).alias("__b")), key)
+
+
+def _two_best(best: DataFrame, key: str) -> DataFrame:
+    """Topics from ``__b``, sorted structs of the negative score ``s`` and the ``name``."""
     at = lambda i: F.get("__b", F.lit(i))
     return best.select(
         key, F.coalesce(at(0)["name"], F.lit("other")).alias("topic_primary"), F.coalesce(-at(0)["s"], F.lit(0.0)).alias("topic_primary_score"),
         at(1)["name"].alias("topic_secondary"), (-at(1)["s"]).alias("topic_secondary_score"))
 
 
+def _nearest_in_blocks(items: DataFrame, key: str, vec: str, named: DataFrame, most: int) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    from textaxis.operators.ranking import ordered
+
+    spark = items.sparkSession
+    numbered = materialize(ordered(named.withColumn("__tie", F.xxhash64("v")), [], ["name", "__tie"], "at"), "prototypes")
+    units = items.where(F.col(vec).isNotNull()).select(F.col(key).alias("k"), V.unit(F.col(vec), 1e-12).alias("u"))
+    shape = f"k {items.schema[key].dataType.simpleString()}, b array<struct<s: double, name: string>>"
+    parts = []
+    for number in range(-(-numbered.count() // most)):
+        block = numbered.where((F.col("at") >= number * most) & (F.col("at") < (number + 1) * most)).orderBy("at").toPandas()  # at most ``most`` rows
+        sent = spark.sparkContext.broadcast((block["name"].tolist(), np.stack(block["v"].to_numpy()).astype(float)))
+
+        def score(batches, sent=sent):
+            names, matrix = sent.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                u = batch.column("u").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                s = -(u @ matrix.T)
+                two = np.lexsort((np.broadcast_to(np.arange(len(names)), s.shape), s), axis=1)[:, :2]  # names ascend
+                rows = [[{"s": float(s[i, j]), "name": names[j]} for j in two[i]] for i in range(len(batch))]
+                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(rows, pa.list_(pa.struct([("s", pa.float64()), ("name", pa.string())])))], names=["k", "b"])
+
+        parts.append(units.mapInArrow(score, shape))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    best = every.groupBy(F.col("k").alias(key)).agg(F.array_sort(F.flatten(F.collect_list("b"))).alias("__b"))  # two for each block
+    return _two_best(best, key)
+
+
 def layer_quality(accuracy: Column, separation: Column) -> Column:
     """0.6 * accuracy + 0.4 * min(separation / 2, 1)."""
     return accuracy * 0.6 + F.least(separation / 2, F.lit(1.0)) * 0.4

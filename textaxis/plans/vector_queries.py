@@ -106,6 +106,17 @@ def _(t):
     return got.select("vec_id", "topic_primary", F.round("topic_primary_score", 6).alias("primary_score"), "topic_secondary", F.round("topic_secondary_score", 6).alias("secondary_score"))
 
 
+@query("v14_retained_topics", f"""
+    with {PROTO} select a.vec_id, a.name as topic_primary, round(a.s, 6) as primary_score, b.name as topic_secondary from r a left join r b on a.vec_id = b.vec_id and b.k = 2 where a.k = 1
+      and a.vec_id in (with {SCORED} select vec_id from scored where margin >= 0.015)""")
+def _(t):
+    """Topics of retained items only, with the prototypes in three blocks."""
+    e = t("embeddings")
+    kept = scored(t).where(F.col("margin") >= 0.015)
+    got = A.nearest_prototypes(kept, "vec_id", "embedding", A.mean_vector(e, ["label"], "embedding"), "label", "vec", most=4)
+    return got.select("vec_id", "topic_primary", F.round("topic_primary_score", 6).alias("primary_score"), "topic_secondary")
+
+
 @query("v15_layers", f"""
     with {SCORED} select vec_id, round(sum(case when i <= 32 then 0.25 else 0.75 end * v * econ / case when i <= 32 then (select sqrt(sum(econ * econ)) + 1e-12 from x where i <= 32) else (select sqrt(sum(econ * econ)) + 1e-12 from x where i > 32) end), 6) as score from u join x using (i) group by vec_id""")
 def _(t):
