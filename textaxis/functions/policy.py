@@ -36,12 +36,6 @@ def softmax(x: Column, temperature: float = 1.0) -> Column:
     return normalize(F.transform(x, lambda v: F.exp((v - m) / temperature)))
 
 
-def log_softmax(x: Column) -> Column:
-    m = F.array_max(x)
-    s = F.log(_sum(F.transform(x, lambda v: F.exp(v - m))))
-    return F.transform(x, lambda v: v - m - s)
-
-
 def standardize(x: Column) -> Column:
     """Population z-scores; zeros where the deviation is under 1e-8."""
     mean = _sum(x) / K
@@ -157,16 +151,6 @@ def adjacent_variants(scores: Column) -> list[Column]:
     return [F.element_at(F.array(*[_raised({_sides(i)[k]: 2.0, _sides(i)[1 - k]: 0.5}) for i in range(K)]), _top(scores)) for k in (0, 1)]
 
 
-def adjacent_heavy(scores: Column, share: float = 0.4) -> Column:
-    """``share`` on each of the two corners next to the largest score, the rest even."""
-    top = F.array_position(scores, F.array_max(scores)).cast("int")
-    rest = (1 - 2 * share) / 2
-    rows = []
-    for i in range(K):
-        rows.append(F.array(*[F.lit(rest if j in (i, OPPOSITE[i]) else share) for j in range(K)]))
-    return F.element_at(F.array(*rows), top)
-
-
 def same_within(p: Column, q: Column, tolerance: float = 1e-6) -> Column:
     return F.forall(F.zip_with(p, q, lambda a, b: F.abs(a - b) <= tolerance), lambda x: x)
 
