@@ -187,6 +187,34 @@ def test_cut_share_is_the_best_on_small_tables(spark):
     assert sharding.cut_share(sharding.shard_by_propagation(big, 4)) <= 1 - 20 / 60 + 1e-9  # a shard holds 20 of the 60
 
 
+def test_small_groups_stay_whole_beside_a_hot_one(spark):
+    rng = np.random.default_rng(3)
+    texts = ["hot"] * 300 + [f"g{i}" for i in range(80) for _ in range(int(rng.integers(2, 9)))]
+    texts += [f"alone {i}" for i in range(912 - len(texts))]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    where, sizes = defaultdict(set), Counter()
+    for r in sharding.shard_by_propagation(table(spark, texts), 8).collect():
+        where[texts[r["doc_id"]]].add(r["shard"])
+        sizes[r["shard"]] += 1
+    assert set(sizes.values()) == {114}
+    assert len(where.pop("hot")) == 3 and all(len(v) == 1 for v in where.values())  # 300 rows need three shards of 114
+
+
+def test_quotas_keep_sizes_and_close_cycles():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        demand = rng.integers(0, 6, (5, 5)) * (rng.random((5, 5)) < 0.4)
+        np.fill_diagonal(demand, 0)
+        spare = rng.integers(0, 5, 5)
+        grant, back = sharding._quotas(demand.astype(np.int64), spare.astype(np.int64))
+        moved = grant + back
+        assert (moved.sum(axis=0) == moved.sum(axis=1)).all()
+        assert (grant >= 0).all() and (grant <= demand).all() and (back >= 0).all() and (back.sum(axis=1) <= spare).all()
+        assert not (((demand - grant).sum(axis=0) > 0) & (spare - back.sum(axis=1) > 0)).any()  # no demand waits where a spare row is
+    ring = np.array([[0, 2, 0], [0, 0, 3], [2, 0, 0]], np.int64)
+    assert (sharding._quotas(ring, np.zeros(3, np.int64))[0] == np.where(ring > 0, 2, 0)).all()
+
+
 def test_revisits(spark):
     rows = [
         (1, "http://A.com/x#f", 10, "response", "e1", None, "d1", {"ETag": "e1", "Content-Type": "t"}), (2, "https://www.a.com/x/?utm_source=q", 20, "revisit", 'W/e1', None, None, {"Date": "20", "Set-Cookie": "s"}),
