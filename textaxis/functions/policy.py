@@ -264,7 +264,11 @@ def edit_loop(policy: Column, align: Column, states: Column, econ: Column, socia
     return F.when(able, bound(know, lambda k: F.when(whole(k), loop(k))))
 
 
-def final_score(bias: Column, quality: Column, refusal: Column, vague: Column, kl: Column, weights: tuple[float, ...] = (1.0, 0.5, 0.5, 0.25, 0.1)) -> Column:
-    """-b * bias + q * quality - r * refusal - v * vague - k * KL / ln 4."""
+def final_score(bias: Column, quality: Column, refusal: Column, vague: Column, kl: Column, weights: tuple[float, ...] = (1.0, 0.5, 0.5, 0.25, 0.1), median: Column | None = None) -> Column:
+    """-b * bias + q * quality - r * refusal - v * vague - k * KL / ln 4; with ``median`` the bias is taken over that of
+    a baseline, which must be finite and positive (else it raises; null: as without one)."""
     b, q, r, v, k = weights
+    if median is not None:
+        bad = (median <= 0) | F.isnan(median) | (median == F.lit(float("inf")))
+        bias = bias / F.when(median.isNull(), 1.0).when(bad, F.raise_error(F.lit("a baseline's median must be finite and positive")).cast("double")).otherwise(median)
     return -b * bias + q * quality - r * refusal - v * vague - k * kl / F.log(F.lit(float(K)))

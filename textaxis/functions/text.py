@@ -141,9 +141,16 @@ def first_filled(*candidates: Column, default: str = "unknown") -> Column:
     return F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in candidates], F.lit(default))
 
 
+def without_refused(options: Column, refused: str = "Refused", within: bool = False) -> Column:
+    """Options other than the refusal; with ``within`` also without those that mention it in any case. Null options go."""
+    if within:
+        return F.filter(options, lambda o: ~F.contains(F.lower(o), F.lit(refused.lower())))
+    return F.filter(options, lambda o: o != refused)
+
+
 def render_options(options: Column, refused: str = "Refused") -> Column:
     """Options that aren't refusals, lettered from A, one per line; at most 26."""
-    kept = F.slice(F.filter(options, lambda o: o != refused), 1, 26)
+    kept = F.slice(without_refused(options, refused), 1, 26)
     return F.array_join(F.transform(kept, lambda o, i: F.concat(F.char(i + 65), F.lit(". "), o)), "\n")
 
 
@@ -232,9 +239,17 @@ def verdict(x: Column, criteria: tuple[str, ...] = ("neutrality", "coherence", "
     return F.when(ok, got)
 
 
+def strict_verdict(x: Column, criteria: tuple[str, ...] = ("neutrality", "coherence", "relevance")) -> Column:
+    """As ``verdict``, but what isn't a verdict raises with its first 80 characters; null stays null."""
+    got = verdict(x, criteria)
+    shape = "struct<" + ", ".join(f"{c}: string" for c in criteria) + ">"
+    wrong = F.raise_error(F.concat(F.lit("not a verdict: "), F.substring(x, 1, 80))).cast(shape)
+    return F.when(x.isNull() | got.isNotNull(), got).otherwise(wrong)
+
+
 def is_ordinal(question: Column, options: Column, keywords: tuple[str, ...] = ORDINAL_KEYWORDS, refused: str = "refused") -> Column:
     """Two to six options that don't mention refusal, and any keyword in the question or any option."""
-    kept = F.filter(options, lambda o: ~F.lower(o).contains(refused))
+    kept = without_refused(options, refused, within=True)
     text = F.lower(F.concat_ws(" ", question, F.array_join(options, " ")))
     any_key = F.lit(False)
     for k in keywords:

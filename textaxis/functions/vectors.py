@@ -70,6 +70,13 @@ def mixture(weights: list[Column], vectors: list[Column]) -> Column:
     return out
 
 
+def rescored(vector: Column, econ: Column, social: Column) -> Column:
+    """A mixture's position: normalized, then a struct (econ, social, bias, quadrant) of its dots with both axes."""
+    at = lambda v: F.struct(dot(v, econ).alias("econ"), dot(v, social).alias("social"))
+    placed = lambda p: F.struct(p["econ"], p["social"], bias_magnitude(p["econ"], p["social"]).alias("bias"), quadrant(p["econ"], p["social"]).alias("quadrant"))
+    return bound(unit(vector), lambda v: bound(at(v), placed))
+
+
 def response_mask(attention: Column, n_prefix: Column) -> Column:
     """The mask without its first ``n_prefix`` places; the whole mask if that leaves none. Null in, null out."""
     rest = F.transform(attention, lambda m, i: F.when(i < n_prefix, F.lit(0)).otherwise(m.cast("int")))

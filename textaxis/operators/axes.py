@@ -25,6 +25,11 @@ def mean_vector(rows: DataFrame, by: list[str], vec: str, weight: str | None = N
     return means.groupBy(*by).agg(packed)
 
 
+def weighted_axis(rows: DataFrame, by: list[str], vec: str, weight: str, out: str = "axis") -> DataFrame:
+    """The unit vector along the weighted mean of each group's vectors; a group whose mean is zero raises."""
+    return mean_vector(rows, by, vec, weight).select(*by, V.unit(F.col("vec")).alias(out))
+
+
 def mean_difference_axis(rows: DataFrame, vec: str, positive: Column, normalize_first: bool = False) -> DataFrame:
     """One row ``axis``: the unit difference of the positive and negative means."""
     x = V.unit(F.col(vec)) if normalize_first else F.col(vec)
