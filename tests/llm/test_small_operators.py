@@ -136,6 +136,28 @@ def test_rounds_carry_deficits():
     assert uneven.sum(axis=0).tolist() == [7, 0, 93]
 
 
+@pytest.mark.parametrize("queues", [5, 1000])
+def test_runs_of_a_quantum_hold_the_mixture(queues):
+    rng = np.random.default_rng(queues)
+    held = rng.integers(1, 4000, queues) + (np.arange(queues) == 0) * 200 * queues
+    held[-1] += -held.sum() % 1024
+    windows = int(held.sum()) // 1024
+    share = held / held.sum()
+    got = packing.rounds(held, share, [1024] * windows, quantum=64)
+    assert set(got.sum(axis=1)) == {1024} and got.sum(axis=0).tolist() == held.tolist() and got.min() >= 0
+    off = np.cumsum(got, axis=0) - np.arange(1, windows + 1)[:, None] * 1024 * share
+    assert np.abs(off).max() <= 2 * 64
+    # A run under a quantum is a window's last, or a queue's.
+    assert (got > 0).sum() <= held.sum() / 64 + 2 * windows + queues
+
+
+def test_many_sources_do_not_shred_texts(spark):
+    docs = spark.createDataFrame([(i, "word " * (20 + i % 90), f"s{i % 300}") for i in range(1500)], "doc_id long, text string, source string")
+    got = packing.pack(docs, vocabulary("byte_bpe_50k.json"), 1024).collect()
+    tokens = sum(r["length"] for r in got)
+    assert len(got) <= 1500 + tokens / 64 + 2 * -(-tokens // 1024) + 300
+
+
 def test_license_phrases_and_templates(spark):
     mit = licenses.TEMPLATES["mit"].split()
     edited = mit[:20] + ["really"] + mit[20:30] + mit[31:]

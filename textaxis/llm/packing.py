@@ -2,7 +2,9 @@
 
 Every source is a queue of tokens. A window of ``length`` tokens takes from each queue what its target share says,
 plus the deficit carried over from earlier windows; shares default to what the corpus holds, so all queues end
-together. Windows are dealt in two levels: the driver runs the round-robin once over whole blocks (at most
+together. A queue waits until it has earned a run of a sixteenth of a window (the quantum), so however many sources there
+are, texts aren't shredded: a window has at most sixteen whole runs beside the ends of texts, and each queue stays within
+about a quantum of its target. Windows are dealt in two levels: the driver runs the round-robin once over whole blocks (at most
 ``BOUNDS`` starts of blocks in queues, so its work has a fixed bound), which gives every block its exact start in every
 queue; each block then runs the same round-robin over its own windows, in parallel, a part of them at a time. Deficits so carry across windows and
 blocks alike, and every window but the very last is full.
@@ -23,6 +25,8 @@ from textaxis.operators.ranking import keyed_offsets
 from textaxis.session import materialize, scratch
 
 QUEUES, BLOCK_WINDOWS = 1024, 256
+#: Runs of a quantum in a window.
+RUNS = 16
 #: Most blocks, and most entries of the table that says where each block starts in each queue.
 BLOCKS, BOUNDS = 1 << 16, 1 << 22
 #: Windows that a block deals at a time.
@@ -153,42 +157,39 @@ def _encode(path: str):
     return run
 
 
-def deal(credit: np.ndarray, left: np.ndarray, size: int) -> np.ndarray:
-    """Whole numbers that sum up to ``size``, near ``credit`` and at most ``left``; ties go to the first queue."""
-    give = np.minimum(np.floor(np.maximum(credit, 0)).astype(np.int64), left)
-    short = size - int(give.sum())
-    while short:
-        if short > 0:
-            able = np.flatnonzero(left > give)
-            if short > len(able):
-                room = (left - give)[able]
-                add = np.minimum(room, np.floor(short * (room / room.sum())).astype(np.int64))
-                if add.any():
-                    give[able] += add
-                    short -= int(add.sum())
-                    continue
-            first = able[np.argsort(-(credit - give)[able], kind="stable")][:short]
-            give[first] += 1
-            short -= len(first)
-        else:
-            able = np.flatnonzero(give > 0)
-            first = able[np.argsort((credit - give)[able], kind="stable")][:-short]
-            give[first] -= 1
-            short += len(first)
+def deal(credit: np.ndarray, left: np.ndarray, size: int, quantum: int = 1) -> np.ndarray:
+    """Whole numbers that sum up to ``size``, near ``credit`` and at most ``left``.
+
+    A queue whose credit is under the quantum (or under what it has left) waits. What then is missing comes in runs of a
+    quantum from those with the most credit left; what is too much goes from those with the least. Ties go to the first
+    queue.
+    """
+    give = np.where(credit >= np.minimum(quantum, left), np.minimum(np.floor(np.maximum(credit, 0)).astype(np.int64), left), 0)
+    while short := size - int(give.sum()):
+        sign = 1 if short > 0 else -1
+        able = np.flatnonzero(left > give) if short > 0 else np.flatnonzero(give)
+        step = max(quantum, abs(short) // len(able))
+        most = np.minimum(step, left - give) if short > 0 else np.where(give < 2 * step, give, step)
+        first = able[np.argsort(-sign * (credit - give)[able], kind="stable")]
+        before = np.cumsum(most[first]) - most[first]
+        give[first] += sign * np.clip(abs(short) - before, 0, most[first])
     return give
 
 
-def rounds(start_left: np.ndarray, share: np.ndarray, sizes: list[int], deficit: np.ndarray | None = None) -> np.ndarray:
-    """What each round takes from each queue; deficits carry from round to round, and on in ``deficit`` if given."""
+def rounds(start_left: np.ndarray, share: np.ndarray, sizes: list[int], deficit: np.ndarray | None = None, quantum: int = 1) -> np.ndarray:
+    """What each round takes from each queue; deficits carry from round to round, and on in ``deficit`` if given. A queue
+    that ended ahead of its target goes on earning what it took too early; the rest of its share goes to the others."""
     left, carried = start_left.copy(), deficit
     deficit = np.zeros(len(share)) if carried is None else carried.copy()
     out = np.zeros((len(sizes), len(share)), np.int64)
     for k, size in enumerate(sizes):
-        live = np.where(left > 0, share, 0)
-        credit = deficit + size * (live / live.sum() if live.sum() else live)
-        out[k] = give = deal(credit, left, size)
+        earning, live = np.where((left > 0) | (deficit < 0), share, 0), np.where(left > 0, share, 0)
+        credit = deficit + size * (earning / earning.sum() if earning.sum() else earning)
+        over = np.where(left > 0, 0, np.maximum(credit, 0))
+        credit += over.sum() * (live / live.sum() if live.sum() else live) - over
+        out[k] = give = deal(credit, left, size, quantum)
         left -= give
-        deficit = np.where(left > 0, credit - give, 0)
+        deficit = np.where(left > 0, credit - give, np.minimum(credit - give, 0))
     if carried is not None:
         carried[:] = deficit
     return out
@@ -214,7 +215,7 @@ def _to_blocks(shared):
     return run
 
 
-def _fill(shared, sizes: np.ndarray, per: int, length: int):
+def _fill(shared, sizes: np.ndarray, per: int, length: int, quantum: int):
     schema = pa.schema([(c, pa.int64()) for c in ("rid", "start", "length", "sequence_id", "offset")])
 
     def run(key, table):
@@ -227,7 +228,7 @@ def _fill(shared, sizes: np.ndarray, per: int, length: int):
         out: list[list[np.ndarray]] = [[], [], [], [], []]
         deficit = np.zeros(len(share))
         for w in range(0, len(windows), DEALT):
-            give = rounds(end - begin, share, windows[w:w + DEALT], deficit)
+            give = rounds(end - begin, share, windows[w:w + DEALT], deficit, quantum)
             edges = begin + np.vstack([np.zeros((1, len(share)), np.int64), np.cumsum(give, axis=0)])
             before = np.cumsum(give, axis=1) - give
             begin = edges[-1]
@@ -300,11 +301,12 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 1024, shares: dict[str,
             share = np.array([shares.get(x, 0.0) for x in names] + [sum(v for x, v in shares.items() if x not in given)], float)
         share = np.where(held > 0, np.maximum(share, 0), 0)
 
+        quantum = max(1, length // RUNS)
         windows = -(-tokens // length)
         per = max(BLOCK_WINDOWS, -(-windows // min(BLOCKS, BOUNDS // len(held))))
         blocks = -(-windows // per)
         amounts = [min(per * length, tokens - b * per * length) for b in range(blocks)]
-        taken = rounds(held, share, amounts)
+        taken = rounds(held, share, amounts, quantum=quantum)
         bounds = spark.sparkContext.broadcast(np.vstack([np.zeros((1, len(held)), np.int64), np.cumsum(taken, axis=0)]))  # at most BOUNDS
 
         number = spark.createDataFrame([(x is None, x or "", i) for i, x in enumerate(names)], "__null boolean, __source string, queue int")
@@ -315,7 +317,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 1024, shares: dict[str,
         shape = "block long, queue int, start long, n long, rid long"
         pieces = (
             placed.select("queue", "start", "n", "rid").mapInArrow(_to_blocks(bounds), shape).groupBy("block")
-            .applyInArrow(_fill(bounds, np.array(amounts, np.int64), per, length), "rid long, start long, length long, sequence_id long, offset long")
+            .applyInArrow(_fill(bounds, np.array(amounts, np.int64), per, length, quantum), "rid long, start long, length long, sequence_id long, offset long")
             .groupBy("rid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
         )
         pieces = keep(materialize(pieces, "pieces"))
