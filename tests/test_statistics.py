@@ -39,6 +39,27 @@ def test_parts_are_even_however_values_lie(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
 
+def unsteady(spark, n):
+    """Distinct scores whose last bits differ whenever they are computed again, as those of sums that are added up in another order."""
+
+    @F.pandas_udf("double")
+    def near(x):
+        import os
+
+        import pandas as pd
+
+        return pd.Series([v + b * 1e-13 for v, b in zip(x, os.urandom(len(x)), strict=True)])
+
+    noise = near.asNondeterministic()
+    return spark.range(n).select("id", (F.col("id") % 3).alias("g"), noise(F.col("id").cast("double")).alias("x"), noise((F.col("id") * 7 % n).cast("double")).alias("y"))
+
+
+def test_correlations_keep_rows_whose_scores_change_when_computed_again(spark):
+    n = 299
+    got = stats.correlations(unsteady(spark, n), "x", "y", [])
+    assert [(r.n, round(r.spearman, 6)) for r in got.collect()] == [(n, round(float(np.corrcoef(range(n), [i * 7 % n for i in range(n)])[0, 1]), 6))]
+    assert {r.g: r.n for r in stats.correlations(unsteady(spark, n), "x", "y", ["g"]).collect()} == {0: 100, 1: 100, 2: 99}
+
 
 def plain_ranks(x):
     return np.array([(sum(v < u for v in x) + (sum(v == u for v in x) + 1) / 2) for u in x])

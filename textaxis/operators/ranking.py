@@ -80,11 +80,14 @@ def numbered(df: DataFrame, order: str, out: str = "slot") -> DataFrame:
     return ordered(df, [], [order], out)
 
 
-def average_ranks(rows: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
+def average_ranks(rows: DataFrame, x: str, by: list[str], out: str, stored: bool = False) -> DataFrame:
     """Add ``out``: each row's rank from 1 inside its group, ties averaged; nulls come first, as ties of one another.
 
-    Only the counts of distinct values are put in order, so however many rows share a value, they are one row there.
+    Only the counts of distinct values are put in order, so however many rows share a value, they are one row there. Ranks meet
+    the rows by value, so ``rows`` are written once first: sums of doubles can differ in their last bits when they are computed
+    again. ``stored``: they come from written tables already.
     """
+    rows = rows if stored else materialize(rows, "ranked")
     values = rows.groupBy(*by, x).agg(F.count("*").alias("__n"))
     placed = ordered(values, by, [x], "__before", "__n")
     names = [*by, x]

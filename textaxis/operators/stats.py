@@ -65,7 +65,7 @@ def _joined(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
 def correlations(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Pearson and Spearman by group; rows with a null on either side are left out."""
     able = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    ranked = average_ranks(average_ranks(able, x, by, "__rx"), y, by, "__ry")
+    ranked = average_ranks(average_ranks(able, x, by, "__rx"), y, by, "__ry", stored=True)
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("__rx", "__ry").alias("spearman"))
 
 
