@@ -61,6 +61,11 @@ def test_correlations_keep_rows_whose_scores_change_when_computed_again(spark):
     assert {r.g: r.n for r in stats.correlations(unsteady(spark, n), "x", "y", ["g"]).collect()} == {0: 100, 1: 100, 2: 99}
 
 
+def test_correlation_matrix_keeps_rows_whose_scores_change_when_computed_again(spark):
+    got = stats.correlation_matrix(unsteady(spark, 299), ["x", "y"], []).collect()
+    assert [(r.x, r.y, r.n) for r in got] == [("x", "x", 299), ("x", "y", 299), ("y", "y", 299)] and got[0].spearman == pytest.approx(1)
+
+
 def plain_ranks(x):
     return np.array([(sum(v < u for v in x) + (sum(v == u for v in x) + 1) / 2) for u in x])
 

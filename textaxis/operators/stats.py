@@ -76,7 +76,7 @@ def correlation_matrix(rows: DataFrame, columns: list[str], by: list[str]) -> Da
     """
     able = rows.dropna(subset=columns).select(*by, *columns)
     for i, c in enumerate(columns):
-        able = average_ranks(able, c, by, f"__r{i}")
+        able = average_ranks(able, c, by, f"__r{i}", stored=i > 0)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     sums = [f(a, b).alias(f"__{n}{i}_{j}") for i, j in pairs for n, f, a, b in (("p", F.corr, columns[i], columns[j]), ("s", F.corr, f"__r{i}", f"__r{j}"))]
     got = able.groupBy(*by).agg(F.count("*").alias("n"), *sums)
