@@ -66,6 +66,13 @@ def test_correlation_matrix_keeps_rows_whose_scores_change_when_computed_again(s
     assert [(r.x, r.y, r.n) for r in got] == [("x", "x", 299), ("x", "y", 299), ("y", "y", 299)] and got[0].spearman == pytest.approx(1)
 
 
+def test_permutations_keep_rows_whose_scores_change_when_computed_again(spark):
+    rows = unsteady(spark, 29)
+    want = round(float(np.corrcoef(range(29), [i * 7 % 29 for i in range(29)])[0, 1]), 6)
+    for got in (stats.permutation_p(rows, "x", "y", "id", 20, 5), resampling.permutation_test(rows, "x", "y", "id", 20, 5)):
+        assert [(r.n, round(r.spearman, 6)) for r in got.collect()] == [(29, want)]
+
+
 def plain_ranks(x):
     return np.array([(sum(v < u for v in x) + (sum(v == u for v in x) + 1) / 2) for u in x])
 

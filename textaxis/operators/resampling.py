@@ -111,7 +111,7 @@ def permutation_test(rows: DataFrame, x: str, y: str, row_key: str, reps: int =
     spark = rows.sparkSession
     with scratch(spark) as keep:
         able = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(row_key, x, y)
-        ranked = average_ranks(average_ranks(able, x, [], "__rx"), y, [], "__ry").select(row_key, y, "__rx", "__ry")
+        ranked = average_ranks(average_ranks(able, x, [], "__rx"), y, [], "__ry", stored=True).select(row_key, y, "__rx", "__ry")
         placed = materialize(ordered(ranked, [], [y, row_key], "place").select((2 * F.col("__rx")).cast("long").alias("x2"), (2 * F.col("__ry")).cast("long").alias("y2"), "place"), "places")
         seen = placed.agg(F.count("*").alias("n"), F.corr("x2", "y2").alias("r"), F.stddev_pop("x2").alias("sx"), F.stddev_pop("y2").alias("sy")).first()
         n = seen["n"]

@@ -128,7 +128,7 @@ def permutation_p(rows: DataFrame, x: str, y: str, row_key: str, reps: int, seed
     Each repetition re-pairs the rows by a seeded order of hashes, as one equi-join on (repetition, place): reps * n
     rows, n of them in a task. Tables of items go through ``resampling.permutation_test``.
     """
-    ranked = average_ranks(average_ranks(rows.select(row_key, x, y), x, [], "__rx"), y, [], "__ry").select(row_key, "__rx", "__ry")
+    ranked = average_ranks(average_ranks(rows.select(row_key, x, y), x, [], "__rx"), y, [], "__ry", stored=True).select(row_key, "__rx", "__ry")
     seen = ranked.agg(F.corr("__rx", "__ry").alias("r"), F.count("*").alias("n"))
     rep = rows.sparkSession.range(reps).select(F.col("id").alias("rep"))
     placed = numbered(ranked, row_key, "place").withColumn("place", F.col("place") + 1)
