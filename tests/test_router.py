@@ -58,3 +58,25 @@ def test_no_rows_are_an_error(spark):
     df = spark.createDataFrame([], "id long, h array<double>, p array<double>, t array<double>")
     with pytest.raises(ValueError, match="no rows"):
         R.train_head(df, "h", "p", "t", "id", 1, 8)
+
+
+@pytest.mark.parametrize("numbers", [1 << 20, 8 * 13 * 3, 4 * 13])
+def test_jobs_grow_with_runs_not_with_steps(spark, monkeypatch, numbers):
+    """87 steps in one run an epoch, in runs of three, and by sums over pieces of a batch, give the same head."""
+    hidden, prior, target = sample()
+    df = spark.createDataFrame([(i, hidden[i].tolist(), prior[i].tolist(), target[i].tolist()) for i in range(len(hidden))], "id long, h array<double>, p array<double>, t array<double>")
+    monkeypatch.setattr(R, "RUN", numbers)
+    tracker, group = spark.sparkContext.statusTracker(), f"router-{numbers}"
+    spark.sparkContext.setJobGroup(group, group)
+    head = R.train_head(df, "h", "p", "t", "id", epochs=3, batch_size=8, rate=0.05, seed=9)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    order = sorted(range(len(hidden)), key=lambda i: (hashlib.md5(f"9:{i}".encode()).hexdigest(), i))
+    x, optimiser = np.zeros(24), R.AdamW(24, 0.05)
+    for epoch in range(3):
+        for b in R.epoch_order(9, epoch, 29):
+            at = order[8 * b:8 * b + 8]
+            s = R.loss_sums(hidden[at], prior[at], target[at], x[:20].reshape(4, 5), x[20:], 0.0, 0.0)
+            x = optimiser.step(x, s[:24] / s[-1])
+    assert np.abs(np.concatenate([head.weights.ravel(), head.bias]) - x).max() < 1e-6
+    if numbers == 1 << 20:
+        assert len(tracker.getJobIdsForGroup(group)) < 40

@@ -1,15 +1,18 @@
 """Training of a linear head over a log-prior, as a loop of broadcast weights and summed gradients.
 
-The policy of a row is ``softmax(log_prior + W h + b)``. Every step sends the weights to the tasks, which hand back sums of
-gradients over their rows of the step's batch: what travels is the size of the head, never rows. Rows are dealt into
-batches once, by a seeded order, and stored by batch, so a step reads its own batch only; each epoch visits the batches in a
-seeded order of its own. The optimiser (AdamW: moments, bias correction, decoupled decay) is a few lines on the driver.
+The policy of a row is ``softmax(log_prior + W h + b)``. Rows are dealt into batches once, by a seeded order; each epoch
+visits the batches in a seeded order of its own and stores them by runs of consecutive steps. Steps follow from one another, so
+small batches are taken a run at a time: one task steps through the batches of a run, whose numbers are bounded, and hands on
+weights and moments. A batch over that bound is a run of its own, whose tasks hand back sums of gradients. What travels is the
+size of the head, never rows, and a job reads its own run only. The optimiser (AdamW: moments, bias correction, decoupled
+decay) is a few lines.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +22,12 @@ from pyspark.sql import functions as F
 from textaxis.functions.vectors import dot
 from textaxis.operators.corpus import hash_order
 from textaxis.operators.ranking import ordered
-from textaxis.session import materialize, scratch
+from textaxis.session import materialize, release, scratch
 
 #: Rows of a task's block that are turned into arrays at a time.
 BLOCK = 4096
+#: Numbers of a run of steps: what one task holds at a time.
+RUN = 1 << 20
 LOSSES = ("total", "supervised", "kl_anchor", "entropy")
 
 
@@ -73,28 +78,59 @@ def _stacked(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def _arrays(rows: pa.RecordBatch) -> list[np.ndarray]:
+    return [_stacked(rows.column(c)) for c in ("hidden", "log_prior", "target")]
+
+
 def _sums(weights, kl: float, entropy: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = weights.value
         total = np.zeros(w.size + b.size + len(LOSSES) + 1)
         for batch in batches:
             for lo in range(0, len(batch), BLOCK):
-                part = batch.slice(lo, BLOCK)
-                total += loss_sums(*(_stacked(part.column(c)) for c in ("hidden", "log_prior", "target")), w, b, kl, entropy)
+                total += loss_sums(*_arrays(batch.slice(lo, BLOCK)), w, b, kl, entropy)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["place", "v"])
 
     return run
 
 
+def _steps(state, k: int, d: int, kl: float, entropy: float):
+    """All steps of one run: weights, then both moments, then the sums of losses and of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, optimiser = state.value
+        seen = np.zeros(len(LOSSES) + 1)
+        if parts := [b for b in batches if len(b)]:
+            table = pa.Table.from_batches(parts).sort_by([("step", "ascending"), ("at", "ascending")]).combine_chunks()
+            step, (hidden, log_prior, target) = table.column("step").to_numpy(), _arrays(table.to_batches()[0])
+            ends = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(step)]
+            for lo, hi in pairwise(ends):
+                got = loss_sums(hidden[lo:hi], log_prior[lo:hi], target[lo:hi], x[:k * d].reshape(k, d), x[k * d:], kl, entropy)
+                x = optimiser.step(x, got[:len(x)] / got[-1])
+                seen += got[len(x):]
+            out = np.concatenate([x, optimiser.m, optimiser.v, seen])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], names=["place", "v"])
+
+    return run
+
+
 def epoch_order(seed: int, epoch: int, batches: int) -> list[int]:
     """The order in which an epoch visits the batches."""
     return np.random.default_rng([seed, epoch]).permutation(batches).tolist()
 
 
 def dealt_batches(rows: DataFrame, row_key: str, batch_size: int, seed: int) -> DataFrame:
-    """``rows`` with ``batch``: consecutive ``batch_size`` rows of a seeded order; the last may be smaller."""
+    """``rows`` with ``batch``: consecutive ``batch_size`` rows of a seeded order; the last may be smaller. ``at``: places inside."""
     placed = ordered(rows.withColumn("__h", hash_order(seed, row_key)), [], ["__h", row_key], "__at")
-    return placed.withColumn("batch", F.floor(F.col("__at") / batch_size).cast("int")).drop("__h", "__at")
+    return placed.withColumn("batch", F.floor(F.col("__at") / batch_size).cast("int")).withColumn("at", F.col("__at") % batch_size).drop("__h", "__at")
+
+
+def _by_runs(dealt: DataFrame, order: list[int], steps: int, piece: int) -> DataFrame:
+    """An epoch's rows, stored by runs of ``steps`` batches in ``order``; a run's rows lie in pieces of at most ``piece`` places of a batch."""
+    spark = dealt.sparkSession
+    at = spark.createDataFrame(pa.table({"batch": pa.array(order, pa.int32()), "step": pa.array(range(len(order)), pa.int32())}))
+    placed = dealt.join(F.broadcast(at), "batch").drop("batch").withColumn("run", F.floor(F.col("step") / steps).cast("int"))
+    return materialize(placed.repartition("run", F.floor(F.col("at") / piece)), "runs", by=["run"])
 
 
 def train_head(rows: DataFrame, hidden: str, log_prior: str, target: str, row_key: str, epochs: int, batch_size: int, rate: float = 1e-3, decay: float = 0.01, kl: float = 0.0, entropy: float = 0.0,
@@ -107,23 +143,35 @@ def train_head(rows: DataFrame, hidden: str, log_prior: str, target: str, row_ke
     spark = rows.sparkSession
     able = rows.select(F.col(row_key).alias("k"), F.col(hidden).cast("array<double>").alias("hidden"), F.col(log_prior).cast("array<double>").alias("log_prior"), F.col(target).cast("array<double>").alias("target")).dropna()
     with scratch(spark):
-        dealt = materialize(dealt_batches(able, "k", batch_size, seed).repartition("batch").sortWithinPartitions("batch"), "batches")
+        dealt = materialize(dealt_batches(able, "k", batch_size, seed).drop("k"), "batches")
         shape = dealt.agg(F.max("batch").alias("last"), F.max(F.size("hidden")).alias("d"), F.max(F.size("target")).alias("k")).first()
         if shape["last"] is None:
             raise ValueError("there are no rows to train on")
         k, d = shape["k"], shape["d"]
+        steps, piece = max(1, RUN // (batch_size * (d + 2 * k))), max(1, RUN // (d + 2 * k))
         w, b = start if start is not None else (np.zeros((k, d)), np.zeros(k))
         x = np.concatenate([np.asarray(w, float).ravel(), np.asarray(b, float)])
         optimiser, out = AdamW(len(x), rate, decay=decay), Head(w, b)
         for epoch in range(epochs):
             seen = np.zeros(len(LOSSES) + 1)
-            for number in epoch_order(seed, epoch, shape["last"] + 1):
-                sent = spark.sparkContext.broadcast((x[:k * d].reshape(k, d), x[k * d:]))
-                parts = dealt.where(F.col("batch") == number).select("hidden", "log_prior", "target").mapInArrow(_sums(sent, kl, entropy), "place int, v double")
-                got = parts.groupBy("place").agg(F.sum("v").alias("v")).orderBy("place").toPandas()["v"].to_numpy()  # the head's size and five numbers
-                sent.unpersist()
-                x = optimiser.step(x, got[:len(x)] / got[-1])
-                seen += got[len(x):]
+            order = epoch_order(seed, epoch, shape["last"] + 1)
+            stored = _by_runs(dealt, order, steps, piece)
+            for first in range(0, len(order), steps):
+                rows = spark.read.schema(stored.drop("run").schema).parquet(f"{stored._scratch_path}/run={first // steps}")
+                if batch_size > piece:
+                    sent = spark.sparkContext.broadcast((x[:k * d].reshape(k, d), x[k * d:]))
+                    parts = rows.select("hidden", "log_prior", "target").mapInArrow(_sums(sent, kl, entropy), "place int, v double")
+                    got = parts.groupBy("place").agg(F.sum("v").alias("v")).orderBy("place").toPandas()["v"].to_numpy()  # the head's size and five numbers
+                    x = optimiser.step(x, got[:len(x)] / got[-1])
+                    seen += got[len(x):]
+                else:
+                    sent = spark.sparkContext.broadcast((x, optimiser))
+                    got = rows.coalesce(1).mapInArrow(_steps(sent, k, d, kl, entropy), "place int, v double").toPandas().sort_values("place")["v"].to_numpy()  # three times the head's size
+                    x, optimiser.m, optimiser.v, losses = np.split(got, [len(x), 2 * len(x), 3 * len(x)])
+                    optimiser.t += min(steps, len(order) - first)
+                    seen += losses
+                sent.destroy()
+            release(stored)
             out.history.append(dict(zip(LOSSES, (seen[:-1] / seen[-1]).tolist(), strict=True)))
         out.weights, out.bias = x[:k * d].reshape(k, d), x[k * d:]
         return out

@@ -53,10 +53,11 @@ def _path(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy", by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    ``codec`` is Parquet's; tables of text or ids are worth a denser one than the default. The shuffles of the write
+    ``codec`` is Parquet's; tables of text or ids are worth a denser one than the default. ``by``: columns whose values have a
+    folder each. The shuffles of the write
     are freed as soon as it ends; the files go with the innermost ``scratch`` scope, at the latest with the driver's JVM.
     """
     spark = df.sparkSession
@@ -68,7 +69,7 @@ def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     before = spark.conf.get(_FREE_SHUFFLES, "false")
     spark.conf.set(_FREE_SHUFFLES, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).parquet(path, partitionBy=by)
     finally:
         spark.conf.set(_FREE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
