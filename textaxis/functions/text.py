@@ -89,9 +89,9 @@ def iso_date(x: Column) -> Column:
 
 
 def epoch_date(x: Column) -> Column:
-    """UTC date of epoch seconds given as text or number, null if it isn't one."""
+    """UTC date of epoch seconds given as text or number, null if it isn't one; years of five digits bear no sign."""
     seconds = F.floor(x.try_cast("double"))
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd")
+    return F.ltrim(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd"), F.lit("+"))
 
 
 def decade(date: Column) -> Column:
