@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from textaxis.operators import people as P
 
@@ -68,3 +69,30 @@ def test_people_equal_a_plain_pass(spark):
     assert got[500].text == "first words here more words here" and got[500].nominate_dim2 == 0.5
     people, unmatched = P.pool_people(s.where("false"), m, "id")
     assert people.count() == 0 and unmatched.count() == 0
+
+
+def test_words_in_batches_equal_words_of_columns(spark):
+    from textaxis.functions.text import word_count, word_count_in_batches
+
+    spaces = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       　"
+    texts = [None, "", " ", "a", " a  b ", *[f"{c}a{c}b{c}{c}c" for c in spaces], "a​b c", "﻿a b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r.a == r.b for r in df.select(word_count(F.col("t")).alias("a"), word_count_in_batches(F.col("t")).alias("b")).collect())
+
+
+def test_only_counts_are_put_in_order(spark, monkeypatch):
+    """No text goes through the range shuffle, for speeches and for equalized texts."""
+    from textaxis.operators import corpus, people, ranking
+
+    seen = []
+
+    def spy(df, *more):
+        seen.append(df.columns)
+        return ranking.ordered(df, *more)
+
+    monkeypatch.setattr(people, "ordered", spy)
+    monkeypatch.setattr(corpus, "ordered", spy)
+    df = spark.createDataFrame([(1, 1, i, "a b c", "k") for i in range(9)], "congress int, speaker_id int, i int, text string, k string")
+    assert sorted(r.i for r in people.speaker_speeches(df, "i", "text", 1, 7).collect()) == [0, 1, 2]
+    assert sum(r.kept_words for r in corpus.equalize(df, "k", "i", "text", 7, 1).collect()) == 7
+    assert len(seen) == 2 and all("text" not in c for c in seen)

@@ -7,11 +7,14 @@ common name costs one row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textaxis.functions.text import strip, word_count
+from textaxis.functions.text import strip, word_count_in_batches
 from textaxis.operators.ranking import ordered
+from textaxis.session import materialize
 
 UNIT = ["congress", "speaker_id"]
 BLOCK = ["congress", "chamber", "state"]
@@ -27,9 +30,14 @@ def member_names(bioname: Column) -> tuple[Column, Column]:
 
 def speaker_speeches(speeches: DataFrame, order: str, text: str = "text", least_words: int = 0, most_words: int = 1 << 62) -> DataFrame:
     """Speeches of at least ``least_words`` that a unit (congress, speaker_id) holds: along ``order`` while those before have fewer than
-    ``most_words``. Adds ``n_words`` and ``words_before``; null texts have no words. No task holds a unit's speeches."""
-    long = speeches.withColumn("n_words", word_count(F.col(text)).cast("long")).where(F.col("n_words") >= least_words)
-    return ordered(long, UNIT, [order], "words_before", "n_words").where(F.col("words_before") < most_words)
+    ``most_words``. Adds ``n_words`` and ``words_before``; null texts have no words. ``order`` tells a
+    unit's speeches apart: only counts are put in order, and kept speeches fetch their texts by it. No task holds a unit's speeches."""
+    counted = materialize(speeches.select(*UNIT, order, word_count_in_batches(F.col(text)).alias("n_words")), "counted")  # without texts, whose words are counted once
+    placed = ordered(counted.where(F.col("n_words") >= least_words), UNIT, [order], "words_before", "n_words").where(F.col("words_before") < most_words)
+    keys = [*UNIT, order]
+    kept = materialize(placed.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], "n_words", "words_before"), "kept")
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)])
+    return materialize(speeches.join(kept, on).drop(*[f"__k{i}" for i in range(len(keys))]), "speeches")
 
 
 def match_speakers(units: DataFrame, members: DataFrame) -> DataFrame:
