@@ -84,6 +84,39 @@ def test_encoder_equals_the_library(monkeypatch):
         assert np.frombuffer(ids, encoder.kind).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_plain_words_are_merged_as_arrays(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), packing.ByteEncoder(path)
+    rng = np.random.default_rng(3)
+    letters = list("aaeeiioottnnsshhrrdlcumAETéñßöÀƒɏ")
+    words = ["".join(rng.choice(letters, rng.integers(1, 16))) + "".join(rng.choice(list(".,:;!?"), rng.integers(0, 3))) for _ in range(3000)]
+    words += ["aaaaaaa", "hahahahaha", "ssssssss,,,,", "é" * 30, "a" * 63, "a" * 64]
+    for size in (1, 70_000):
+        monkeypatch.setattr(packing, "PLAIN_CHUNKS", max(size, 100))
+        got = encoder._coded([f" {w}".encode() for w in words] + [w.encode() for w in words])
+        want = [library.encode(w, add_special_tokens=False).ids for w in [f" {w}" for w in words] + words]
+        assert [np.frombuffer(x, encoder.kind).tolist() for x in got] == want
+    # Only what isn't plain is left to the library.
+    left = []
+    by_library = encoder._by_library
+    monkeypatch.setattr(encoder, "_by_library", lambda chunks: left.extend(chunks) or by_library(chunks))
+    text = "Plain words, façades and more! it's 12 a\u00d7b x\n\ny"
+    assert np.frombuffer(encoder.encode([text])[0], encoder.kind).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert left == [" it's", " 12", " a\u00d7b", "\n\ny"]
+
+
+def test_merges_that_cannot_go_at_once_are_left_to_the_library(tmp_path):
+    import json
+
+    held = json.loads(open(vocabulary("byte_bpe_50k.json"), encoding="utf-8").read())
+    held["model"]["merges"] = held["model"]["merges"][::-1]
+    (tmp_path / "turned.json").write_text(json.dumps(held))
+    assert packing.ByteMerges.read(str(tmp_path / "turned.json")) is None
+    assert packing.ByteMerges.read(vocabulary("byte_bpe_50k.json")) is not None
+
+
 @pytest.mark.parametrize("shares", [None, {"s0": 0.5, "s1": 0.5}])
 def test_packing_is_a_partition_of_all_ids(spark, shares):
     from tokenizers import Tokenizer

@@ -12,15 +12,18 @@ blocks alike, and every window but the very last is full.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textaxis.llm.words import slices, text_buffer
 from textaxis.operators.ranking import keyed_offsets
 from textaxis.session import materialize, scratch
 
@@ -32,19 +35,111 @@ BLOCKS, BOUNDS = 1 << 16, 1 << 22
 #: Windows that a block deals at a time.
 DEALT = 4096
 CACHE = 800_000
+#: Bytes of text that are encoded at a time; one longer text is taken alone.
+SLICE_BYTES = 4 << 20
 #: A text is cut before white space that follows something else, where the pattern of the vocabulary always cuts, too.
 _BLANKS = " \n\t\r"
-_CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-_ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_BLANK = np.isin(np.arange(256), [ord(c) for c in _BLANKS])
+#: White space that a text is not cut at, though the pattern knows it.
+_ODD_SPACE = [0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
+
+#: Chunks that the pattern cuts in one known way, as UTF-8: a blank or none, Latin letters (up to U+024F), then marks or none.
+_PLAIN = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([.,:;!?]*)")
+#: Bytes of a chunk, and chunks, that are merged as arrays at a time.
+PLAIN_BYTES, PLAIN_CHUNKS = 64, 1 << 16
+_NONE = np.iinfo(np.int32).max
+
+
+class ByteMerges:
+    """The merges of a byte-level BPE as arrays, for many short words at once.
+
+    In each round every word merges all places of its pair of lowest rank. That equals merging them one by one, as a pair
+    with a merged token always ranks after the merges that made the token; ``read`` gives None for a vocabulary where it
+    doesn't, or that has other rules.
+    """
+
+    def __init__(self, base: np.ndarray, keys: np.ndarray, made: np.ndarray, size: int):
+        order = np.argsort(keys)
+        self.base, self.made, self.size = base, made, size
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        both = np.arange(1 << 16)
+        self.first = self._found(base[both >> 8] * size + base[both & 255])
+
+    @classmethod
+    def read(cls, path: str) -> ByteMerges | None:
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        model, cut = held["model"], held.get("pre_tokenizer") or {}
+        if held.get("normalizer") or held.get("post_processor") or model["type"] != "BPE" or any(model.get(k) for k in (
+                "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            return None
+        if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            return None
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from U+0100 on
+        char = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        vocabulary = model["vocab"]
+        if any(c not in vocabulary for c in char.values()):
+            return None
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        at = dict.fromkeys(char.values(), -1)
+        for rank, (a, b) in enumerate(merges):
+            at[a + b] = max(rank, at.get(a + b, -1))
+        if any(at.get(x, rank) >= rank for rank, m in enumerate(merges) for x in m):
+            return None
+        ids = np.array([(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in merges], np.int64).reshape(-1, 3)
+        size = max(vocabulary.values()) + 1
+        return cls(np.array([vocabulary[char[b]] for b in range(256)], np.int64), ids[:, 0] * size + ids[:, 1], ids[:, 2], size)
+
+    def _found(self, key: np.ndarray) -> np.ndarray:
+        """The rank of each pair, ``_NONE`` if it has none."""
+        if not len(self.keys):
+            return np.full(len(key), _NONE, np.int32)
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[k] == key, self.ranks[k], _NONE)
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, which are not empty, in order, and where each word's end."""
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        row = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        sym, rank = self.base[raw], np.full(len(raw), _NONE, np.int32)
+        rank[:-1] = self.first[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        rank[:-1][row[1:] != row[:-1]] = _NONE
+        ended: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(sym):
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            low = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(row))))
+            done = low == _NONE
+            if done.any():
+                ended.append((row[done], sym[done]))
+                sym, row, rank, low = sym[~done], row[~done], rank[~done], low[~done]
+            at = np.flatnonzero(rank == low)
+            # Of places in a row, which hold one symbol over and over, every second one.
+            run = np.append(True, np.diff(at) != 1)[:len(at)]
+            at = at[(np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 0] if len(at) else at
+            sym[at] = self.made[rank[at]]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            sym, row, rank = sym[keep], row[keep], rank[keep]
+            at = at - np.arange(len(at))
+            near = np.zeros(len(sym), bool)
+            near[at] = near[at[at > 0] - 1] = True
+            again = np.flatnonzero(near)
+            rank[again] = _NONE
+            again = again[again < len(sym) - 1]
+            again = again[row[again] == row[again + 1]]
+            rank[again] = self._found(sym[again] * self.size + sym[again + 1])
+        rows, ids = (np.concatenate(x) for x in zip(*ended, strict=True)) if ended else (row, sym)
+        order = np.argsort(rows, kind="stable")
+        return ids[order], np.cumsum(np.bincount(rows, minlength=len(words)))
 
 
 class _Numbers(dict):
     """Numbers chunks as they come up and keeps the new ones: one lookup per chunk."""
 
     def __init__(self):
-        self.new: list[str] = []
+        self.new: list[bytes] = []
 
-    def __missing__(self, chunk: str) -> int:
+    def __missing__(self, chunk: bytes) -> int:
         n = self[chunk] = len(self)
         self.new.append(chunk)
         return n
@@ -63,8 +158,10 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([f"[{''.join(map(chr, _ODD_SPACE))}]", *special])
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.merges = ByteMerges.read(path)
         self.known, self.coded = _Numbers(), []
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -75,8 +172,29 @@ class ByteEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def _coded(self, chunks: list[str]) -> list[bytes]:
-        """The ids of new chunks. Those that begin with white space and end without are put end to end, as the pattern
+    def _coded(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of new chunks: plain ones by arrays of merges, the others by the library."""
+        plain = [None if self.merges is None or len(c) > PLAIN_BYTES else _PLAIN.fullmatch(c) for c in raw]
+        others = iter(self._by_library([c.decode() for c, m in zip(raw, plain, strict=True) if m is None]))
+        out: list[bytes] = []
+        for lo in range(0, len(raw), PLAIN_CHUNKS):
+            some = plain[lo:lo + PLAIN_CHUNKS]
+            words = [w for m in some if m is not None for w in m.groups() if w]
+            ids, ends = self.merges.merged(words) if words else (None, None)
+            last = np.cumsum([1 + bool(m[2]) for m in some if m is not None], dtype=np.int64) - 1
+            cut = iter((ends[last] * self.kind.itemsize).tolist() if words else ())
+            flat, at = ids.astype(self.kind).tobytes() if words else b"", 0
+            for m in some:
+                if m is None:
+                    out.append(next(others))
+                else:
+                    b = next(cut)
+                    out.append(flat[at:b])
+                    at = b
+        return out
+
+    def _by_library(self, chunks: list[str]) -> list[bytes]:
+        """The library's ids of chunks. Those that begin with white space and end without are put end to end, as the pattern
         cuts between them, too; the ids are told apart by their bytes."""
         out: list[bytes | None] = [None] * len(chunks)
         alone = [i for i, c in enumerate(chunks) if c[0] not in _BLANKS or c[-1] in _BLANKS]
@@ -100,27 +218,52 @@ class ByteEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes; equal to the library's over the whole text."""
+        return self.encode_column(pa.array(texts, pa.large_string()))
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """As ``encode``, for a column: equal chunks meet in Arrow, only the distinct ones are looked up."""
+        odd = pc.match_substring_regex(texts, self.odd).fill_null(False).to_numpy(zero_copy_only=False)
+        out: list[bytes | None] = [None] * len(texts)
+        if not odd.all():
+            held = np.flatnonzero(~odd)
+            for i, ids in zip(held.tolist(), self._by_chunks(texts.take(pa.array(held)) if odd.any() else texts), strict=True):
+                out[i] = ids
+        if odd.any():
+            whole = np.flatnonzero(odd)
+            for i, ids in zip(whole.tolist(), self._ids(texts.take(pa.array(whole)).to_pylist()), strict=True):
+                out[i] = ids
+        return out
+
+    def _by_chunks(self, texts: pa.Array) -> list[bytes]:
+        buf, offsets = text_buffer(texts)
+        part, at = buf[offsets[0]:offsets[-1]], offsets - offsets[0]
+        if not len(part):
+            return [b""] * len(texts)
+        blank = _BLANK[part]
+        begin = blank.copy()
+        begin[1:] &= ~blank[:-1]
+        begin[at[:-1][at[1:] > at[:-1]]] = True
+        starts = np.flatnonzero(begin)
+        ends = np.append(starts, len(part))
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(part)]).dictionary_encode()
         if len(self.known) > CACHE:  # what came up first is mostly what comes up often
             self.known.forget(CACHE // 2)
             del self.coded[CACHE // 2:]
-        number = self.known.__getitem__
-        held, whole = [], []
-        for i, text in enumerate(texts):
-            text = text or ""
-            if any(s in text for s in self.special) or _ODD_SPACE.search(text):
-                whole.append(i)
-            else:
-                held.append((i, list(map(number, _CHUNK.findall(text)))))
+        names, cuts = text_buffer(chunks.dictionary)
+        names, cuts = names.tobytes(), cuts.tolist()
+        numbers = [self.known[names[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         new, self.known.new = self.known.new, []
         self.coded += self._coded(new)
-        out: list[bytes | None] = [None] * len(texts)
-        coded = self.coded.__getitem__
-        for i, numbers in held:
-            out[i] = b"".join(map(coded, numbers))
-        if whole:
-            for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-                out[i] = ids
-        return out
+        distinct = list(map(self.coded.__getitem__, numbers))
+        ids = np.frombuffer(b"".join(distinct), self.kind)
+        size = np.fromiter(map(len, distinct), np.int64, len(distinct)) // self.kind.itemsize
+        code = chunks.indices.to_numpy(zero_copy_only=False)
+        many = size[code]
+        done = np.append(0, np.cumsum(many))
+        place = np.arange(done[-1]) + np.repeat((np.cumsum(size) - size)[code] - done[:-1], many)
+        raw = ids[place].tobytes()
+        edges = (done[np.searchsorted(starts, at)] * self.kind.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 _encoders: dict[str, ByteEncoder] = {}
@@ -140,19 +283,13 @@ def _encode(path: str):
         encoder = _encoder(path)
         end = np.zeros(1, encoder.kind).tobytes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and size < 1 << 20:
-                    size += len(texts[hi] or "")
-                    hi += 1
-                ids = [x + end for x in encoder.encode(texts[lo:hi])]
-                n = [len(x) // encoder.kind.itemsize for x in ids]
+            texts = batch.column("text")
+            for lo, hi in slices(text_buffer(texts)[1], SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
+                ids = [x + end for x in encoder.encode_column(part.column("text"))]
+                n = [len(x) // encoder.kind.itemsize for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                                                  names=["doc_id", "source", "n", "ids"])
-                lo = hi
 
     return run
 
