@@ -209,6 +209,28 @@ def test_parse_takes_the_furthest_factor():
     assert rlz.parse([]) == []
 
 
+def test_texts_without_factors_are_not_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 400, n))
+    passage = word(60)
+    texts = [word(80) for _ in range(40)] + [f"{word(30)} {passage} {word(20)}" for _ in range(4)] + [None, ""]
+    rows = [(i, t, f"more {i}") for i, t in enumerate(texts)] + [(None, texts[40], "no id"), (41, texts[41], "again"), (41, "other", "same id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, factors string")
+    got = {}
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(rlz, "BROADCAST_IDS", most)
+        out = rlz.rewrite(docs)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("LeftAnti" in plan) == (most > 0)
+        if most:  # the branch of texts without factors is a broadcast join over the input
+            assert "BroadcastHashJoin" in (physical := out._jdf.queryExecution().sparkPlan().toString()) and "LeftAnti, BuildRight" in physical
+        sums = rlz.dedup_substrings(docs, keep_text=True).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
+        got[most] = [sorted(map(tuple, x.collect()), key=repr) for x in (out, sums)]
+        assert out.columns == docs.columns
+    assert got[0] == got[1 << 20] and len(got[0][0]) == len(got[0][1]) == len(rows)
+    assert sum(r[2] for r in got[0][1]) == 4 * 60
+
+
 def test_substrings_odd_tables(spark):
     assert rlz.dedup_substrings(table(spark, [])).count() == 0
     long = " ".join(f"w{i}" for i in range(60))

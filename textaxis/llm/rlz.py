@@ -31,6 +31,8 @@ from textaxis.session import materialize, release, scratch
 U = np.uint64
 #: Words of a single text whose anchors are chosen at a time; bounds the bits for a place.
 STRIDE = 1 << 22
+#: Most ids of documents that are broadcast, so that only those documents' texts are shuffled; with more, all are.
+BROADCAST_IDS = 1 << 20
 _PLACE_BITS = U(24)
 
 _BLOCKS = pa.schema([("anchor", pa.int64()), ("block", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()),
@@ -187,10 +189,13 @@ def parsed(docs: DataFrame, window: int = 50, anchor: int = 16) -> DataFrame:
             index.join(shared, "anchor", "left_semi").select(F.col("ref").alias("doc_id"), "block")
             .groupBy("doc_id").agg(F.collect_set("block").alias("asked"))
         )
-        single = materialize(
-            docs.select("doc_id", "tag", "text").join(asked, "doc_id")
-            .mapInArrow(_windows(window, anchor), "anchor long, win long, doc_id long, tag long, start int"), "windows")
+        asked = materialize(asked, "asked")
         release(index)
+        texts = docs.select("doc_id", "tag", "text")
+        if asked.count() <= BROADCAST_IDS:
+            texts = texts.join(F.broadcast(asked.select("doc_id")), "doc_id", "left_semi")
+        single = materialize(
+            texts.join(asked, "doc_id").mapInArrow(_windows(window, anchor), "anchor long, win long, doc_id long, tag long, start int"), "windows")
         seen = single.groupBy("anchor", "win").agg(first.alias("f"), F.max("doc_id").alias("last")).where("last > f.doc_id")
         edge = (
             single.join(seen, ["anchor", "win"]).where("doc_id > f.doc_id")
@@ -237,6 +242,22 @@ def _tagged(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.coalesce(text, F.lit(""))).alias("tag"), text.alias("text"))
 
 
+def _placed(rows: DataFrame, found: DataFrame, tag: str) -> DataFrame:
+    """``rows`` (doc_id, ``tag``, any other columns) with their ``__factors`` of ``found``, null without any.
+
+    Texts of documents without factors, most of them as a rule, stay where they are.
+    """
+    found = found.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__t"), F.col("factors").alias("__factors"))
+    ids, same = found.select("__doc").distinct(), F.col("doc_id") == F.col("__doc")
+    few = ids.count() <= BROADCAST_IDS
+    some = rows.join(F.broadcast(ids), same, "left_semi") if few else rows
+    some = some.join(found, same & (F.col(tag) == F.col("__t")), "left").drop("__doc", "__t")
+    if not few:
+        return some
+    rest = rows.join(F.broadcast(ids), same, "left_anti")
+    return some.unionByName(rest.withColumn("__factors", F.lit(None).cast(found.schema["__factors"].dataType)))
+
+
 def dedup_substrings(docs: DataFrame, window: int = 50, anchor: int = 16, keep_text: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_words, n_removed, kept_sha256, and ``kept`` if ``keep_text``.
 
@@ -248,7 +269,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, anchor: int = 16, keep_t
     """
     tagged = _tagged(docs)
     found = parsed(tagged.where("doc_id is not null"), window, anchor)
-    joined = tagged.join(found, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "factors")
+    joined = _placed(tagged, found, "tag").select("doc_id", "tag", "text", F.col("__factors").alias("factors"))
     out = joined.mapInArrow(_cut(keep_text), "doc_id long, tag long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if keep_text else out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -261,8 +282,7 @@ def rewrite(docs: DataFrame, window: int = 50, anchor: int = 16) -> DataFrame:
     found = parsed(_tagged(docs).where("doc_id is not null"), window, anchor)
     names = docs.columns
     tagged = docs.withColumn("__tag", F.crc32(F.coalesce(F.col("text"), F.lit(""))))
-    found = found.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__t"), F.col("factors").alias("__factors"))
-    joined = tagged.join(found, (F.col("doc_id") == F.col("__doc")) & (F.col("__tag") == F.col("__t")), "left")
+    joined = _placed(tagged, found, "__tag")
 
     @F.pandas_udf("string")
     def cut(text, factors):
