@@ -107,6 +107,27 @@ def test_plain_words_are_merged_as_arrays(monkeypatch):
     assert left == [" it's", " 12", " a\u00d7b", "\n\ny"]
 
 
+def test_symbols_and_lines_do_not_make_new_chunks(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), packing.ByteEncoder(path)
+    rng = np.random.default_rng(4)
+    pieces = [*"ab's\n\t .,$&-(\"éß×ªж1²\x00<", "'ll", "don't", "''s", "--", "\n\n", "é.", "×.", "ж."]
+    texts = ["".join(rng.choice(pieces, 40)) for _ in range(2000)] + ["\n", "\na", "a\n", "é", ".é", "é.", "'", "a'", ".'s", "'.s", "\n.", "\n'"]
+    for t, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, encoder.kind).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    # A known word is not looked up in the library again for what stands beside it.
+    encoder.encode(["\n", "fine words façade"])
+    before = len(encoder.known)
+    encoder.encode([" words", " façade", "words", "fine", ",", "$$$", "-", " ("])
+    left = []
+    monkeypatch.setattr(encoder, "_by_library", lambda chunks: left.extend(chunks) or [b""] * len(chunks))
+    known = len(encoder.known)
+    encoder.encode(["fine words, façade$$$\nwords-words (words"])
+    assert known > before and len(encoder.known) == known and not left
+
+
 def test_merges_that_cannot_go_at_once_are_left_to_the_library(tmp_path):
     import json
 
