@@ -404,6 +404,33 @@ def plain_score(model, text):
     return out
 
 
+def test_texts_are_coded_and_counted_in_large_slices(monkeypatch):
+    import pyarrow as pa
+
+    from textaxis.llm import packing
+
+    encoder, calls = packing._encoder(vocabulary("byte_bpe_50k.json")), []
+    whole = encoder.encode_column
+    monkeypatch.setattr(encoder, "encode_column", lambda texts: calls.append(len(texts)) or whole(texts))
+    texts = [f"Word{i % 7} of\x0bÉ text{i} " * 6000 for i in range(30)] + [None, "", "\x1c Ab"]  # 4 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts)], names=["doc_id", "held_out", "text"])
+    coded = list(lm._code(vocabulary("byte_bpe_50k.json"))(iter([batch])))
+    assert calls == [len(texts)]
+    assert coded[0].column("ids").to_pylist() == encoder.encode([lower(t) for t in texts])
+    end = encoder.tokenizer.get_vocab_size()
+    found = [r for b in lm._count(encoder.kind.str, end)(iter(coded)) for r in b.to_pylist()]
+    assert {r["word"]: r["n"] for r in found if r["kind"] == 0} == Counter(w.encode() for t in texts for w in WORD.findall(lower(t)))
+    assert [r["n"] for r in found if r["kind"] == 2] == [len(texts)]
+
+
+def test_cells_are_the_places_that_a_line_sees():
+    want = [(i, j) for i in range(lm.BLOCK + 2) for j in range(lm.BLOCK - 1 + i)]
+    assert list(zip(lm._LINE.tolist(), lm._COLUMN.tolist(), strict=True)) == want
+    at = {c: k for k, c in enumerate(want)}
+    for k, back in enumerate(lm._BACK, 1):
+        assert all(b == at[i - k, j - k] for (i, j), b in zip(want, back.tolist(), strict=True) if i >= k and j >= k)
+
+
 @pytest.mark.parametrize("size", [1, 2, lm.BLOCK, lm.BLOCK + 1, 5 * lm.BLOCK + 7])
 def test_scores_equal_the_plain_model(size):
     model, rng = small_model(), np.random.default_rng(size)

@@ -18,9 +18,7 @@ once, in the later half of a window, and a batch of windows is a few masked arra
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textaxis.llm.frequent import most_frequent
-from textaxis.llm.packing import _encoder
+from textaxis.llm.packing import SLICE_BYTES, _encoder
+from textaxis.llm.terms import coded_terms
+from textaxis.llm.words import LOWER, SPACES, slices, text_buffer
 from textaxis.session import materialize, release, scratch
 
 BLOCK = 32
@@ -45,25 +45,38 @@ EQUAL, EQUAL_PAIR = 25.0, 170.0
 PRIOR = 20.0
 _SMOOTH = 8.0
 #: Windows that are worked on at a time.
-WINDOWS = 128
+WINDOWS = 256
+
+#: Cells of a window: lines (places that ask) and the columns (places before) that each sees; each line's first cell, and the
+#: cell one and two places back on both.
+_LINE = np.repeat(np.arange(BLOCK + 2, dtype=np.int32), np.arange(BLOCK - 1, 2 * BLOCK + 1))
+_FIRST = np.searchsorted(_LINE, np.arange(BLOCK + 2))
+_COLUMN = (np.arange(len(_LINE)) - _FIRST[_LINE]).astype(np.int32)
+_BACK = [np.where((_LINE >= k) & (_COLUMN >= k), _FIRST[_LINE - k] + _COLUMN - k, 0).astype(np.int32) for k in (1, 2)]
 
 _COUNTS = pa.schema([("kind", pa.int8()), ("word", pa.binary()), ("id", pa.int64()), ("n", pa.int64())])
 
 
-def _lower(text: str | None) -> bytes:
-    return (text or "").encode().lower()  # of bytes: A-Z only
+def _lower(texts: pa.Array) -> pa.Array:
+    """A-Z as a-z; null counts as empty."""
+    buf, offsets = text_buffer(texts)
+    part = LOWER[buf[offsets[0]:offsets[-1]]]
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(part)])
 
 
-def _counted(kind: int, words: list | None, ids, n) -> pa.RecordBatch:
+def _counted(kind: int, words: pa.Array | None, ids, n) -> pa.RecordBatch:
     size = len(n)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int8)), pa.nulls(size, pa.binary()) if words is None else pa.array(words, pa.binary()),
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int8)), pa.nulls(size, pa.binary()) if words is None else _binary(words),
                                        pa.nulls(size, pa.int64()) if ids is None else pa.array(ids, pa.int64()), pa.array(n, pa.int64())], schema=_COUNTS)
 
 
+def _binary(words: pa.Array) -> pa.Array:
+    return words.cast(pa.large_binary()).cast(pa.binary())
+
+
 def _parts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``most`` bytes of text."""
-    of = batch.column("text").fill_null("") if "text" in batch.schema.names else batch.column("ids")
-    lo, sizes = 0, pc.binary_length(of).to_pylist()
+    """Ranges of rows with about ``most`` bytes of ids."""
+    lo, sizes = 0, pc.binary_length(batch.column("ids")).to_pylist()
     while lo < len(batch):
         hi, size = lo, 0
         while hi < len(batch) and size < most:
@@ -79,9 +92,9 @@ def _code(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            for lo, hi in _parts(batch):
+            for lo, hi in slices(text_buffer(batch.column("text"))[1], SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
-                ids = encoder.encode([_lower(t).decode() for t in part.column("text").to_pylist()])
+                ids = encoder.encode_column(_lower(part.column("text")))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "text")), pa.array(ids, pa.binary())], names=["doc_id", "held_out", "text", "ids"])
 
     return run
@@ -96,21 +109,15 @@ def _count(kind: str, end: int):
     """Counts of words (kind 0), of subword ids (kind 1), and of texts (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[bytes] = Counter()
         units = np.zeros(end + 1, np.int64)
         texts = 0
         for batch in batches:
+            texts += len(batch)
+            for _, _, _, code, dictionary in coded_terms(batch, SPACES):
+                yield _counted(0, dictionary, None, np.bincount(code, minlength=len(dictionary)))
             for lo, hi in _parts(batch):
-                part = batch.slice(lo, hi - lo)
-                for t in part.column("text").to_pylist():
-                    words.update(_lower(t).split())
-                units += np.bincount(np.concatenate(_ids(part.column("ids"), kind, end)), minlength=end + 1)
-                texts += hi - lo
-                if len(words) > 400_000:
-                    yield _counted(0, list(words), None, list(words.values()))
-                    words.clear()
+                units += np.bincount(np.concatenate(_ids(batch.column("ids").slice(lo, hi - lo), kind, end)), minlength=end + 1)
         at = np.flatnonzero(units)
-        yield _counted(0, list(words), None, list(words.values()))
         yield _counted(1, None, at, units[at])
         yield _counted(2, None, [0], [texts])
 
@@ -166,19 +173,19 @@ class Model:
         asked for by x[p] and sees the places before p. With ``grown`` the sums of a training pass are added to it.
         """
         w, size = self.weights, len(x)
-        wide, tall = np.int32(2 * BLOCK + 1), np.int32(BLOCK + 2)
         none, i32, f32 = x < 0, np.int32, np.float32
         small = np.uint16 if self.end < (1 << 16) - 2 else np.uint32
-        keys = x.astype(small)  # -1 becomes the largest value; a query without id gets the next one
-        asks = np.where(none[:, BLOCK - 1:], small(np.iinfo(small).max - 1), keys[:, BLOCK - 1:])
-        equal = asks[:, :, None] == keys[:, None, :]
-        equal &= np.arange(wide)[None, :] < np.arange(BLOCK - 1, wide)[:, None]
-        flat = equal.ravel()
+        keys = x.T.astype(small, order="C")  # -1 becomes the largest value; a query without id gets the next one
+        asks = np.where(none.T[BLOCK - 1:], small(np.iinfo(small).max - 1), keys[BLOCK - 1:])
+        flat = np.empty((len(_LINE), size), bool)  # by cell (a line and a column that it sees) and window
+        for ask, lo in zip(asks, _FIRST.tolist(), strict=True):
+            seen = BLOCK - 1 + int(_LINE[lo])
+            np.equal(keys[:seen], ask, out=flat[lo:lo + seen])
+        flat = flat.ravel()
         f = np.flatnonzero(flat).astype(i32)  # pairs of equal ids, few of all
-        line = f // wide
-        column, window = f - line * wide, line // tall
-        line -= window * tall
-        before = flat.take(np.maximum(f - (wide + 1), 0)) & (column > 0) & (line > 0)
+        cell = f // i32(size)
+        window, line, column = f - cell * i32(size), _LINE.take(cell), _COLUMN.take(cell)
+        before = flat.take(_BACK[0].take(cell) * i32(size) + window) & (column > 0) & (line > 0)
 
         cls = self.classes[x[:, :-1]]
         held = w["key"][cls] * ~(none[:, :-1] | none[:, 1:])
@@ -207,7 +214,7 @@ class Model:
         at = np.flatnonzero((line >= 2) & (column >= 1))
         t, k = (window * i32(BLOCK) + line - i32(2)).take(at), (window * i32(2 * BLOCK) + column - i32(1)).take(at)
         one = before.take(at)
-        two = one & flat.take(np.maximum(f.take(at) - 2 * (wide + 1), 0)) & (column.take(at) > 1)
+        two = one & flat.take(_BACK[1].take(cell.take(at)) * i32(size) + window.take(at)) & (column.take(at) > 1)
         e = (line + i32(BLOCK - 1) - column).take(at)
         t_class = last.take(t) + (one.astype(i32) + two) * i32(CLASSES)
         given = held_flat.take(k) * distance.take(e) * match.take(t_class)
@@ -222,7 +229,7 @@ class Model:
         seen = total > 1e-20
         att = np.where(seen, copied / np.maximum(total, f32(1e-20)), bi)
         gated = last * i32(3) + level
-        mixed = [g * v for g, v in zip(w["gate"].take(gated, axis=0).T, (uni, bi, att), strict=True)]
+        mixed = [g.take(gated) * v for g, v in zip(w["gate"].T.copy(), (uni, bi, att), strict=True)]
         p = np.maximum(mixed[0] + mixed[1] + mixed[2], f32(1e-30))
         if grown is not None:
             for c, m in enumerate(mixed):
@@ -308,24 +315,21 @@ def _scores(kind: str, shared, head):
     names = ["doc_id", "held_out", "n_tokens", "n_head", "head_score", "score", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs = shared.value, head.value
-        get = logs.get
-        end = logs[None]
+        model, (often, logs, end) = shared.value, head.value
+        often, logs = pa.array(often, pa.large_binary()), np.append(logs, 1.0)  # logarithms are below 0
         for batch in batches:
-            for lo, hi in _parts(batch):
-                part = batch.slice(lo, hi - lo)
-                n, known, total, rest = [], [], [], []
-                for t in part.column("text").to_pylist():
-                    words = _lower(t).split()
-                    got = np.fromiter(map(get, words, repeat(1.0)), np.float64, len(words))  # logarithms are below 0
-                    other = np.flatnonzero(got > 0)
-                    n.append(len(words) + 1)
-                    known.append(len(words) - len(other) + (end[1] > 0))
-                    total.append(got.sum() - len(other) + end[0])
-                    rest.append([words[i] for i in other.tolist()])
+            for lo, hi, row, code, dictionary in coded_terms(batch, SPACES):
+                part, size = batch.slice(lo, hi - lo), hi - lo
+                place = pc.index_in(dictionary.cast(pa.large_binary()), value_set=often).fill_null(len(often)).to_numpy(zero_copy_only=False)
+                got = logs[place][code]
+                other = np.flatnonzero(got > 0)
+                got[other] = 0
+                n, rest = np.bincount(row, minlength=size), np.bincount(row[other], minlength=size)
+                starts = pa.array(np.append(0, np.cumsum(rest)), pa.int32())
+                score = np.concatenate([model.score(_ids(part.column("ids").slice(a, b - a), kind, model.end)) for a, b in _parts(part)])
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(total, pa.float64()), pa.array(model.score(_ids(part.column("ids"), kind, model.end))), pa.array(rest, pa.list_(pa.binary()))], names=names)
+                    part.column("doc_id"), part.column("held_out"), pa.array(n + 1), pa.array(n - rest + (end[1] > 0)),
+                    pa.array(np.bincount(row, got, size) + end[0]), pa.array(score), pa.ListArray.from_arrays(starts, _binary(dictionary.take(pa.array(code[other]))))], names=names)
 
     return run
 
@@ -363,8 +367,7 @@ def score_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
         scale = tokens + 0.5 * (distinct + 1)
         often = most_frequent(words, "word", "n", HEAD)
         log = np.log10((often["n"].to_numpy(np.float64) + 0.5) / scale)
-        head = dict(zip(map(bytes, often["word"]), log.tolist(), strict=True))
-        head[None] = (float(np.log10((texts + 0.5) / scale)), texts)
+        head = (list(map(bytes, often["word"])), log, (float(np.log10((texts + 0.5) / scale)), texts))
 
         model = trained(train.select("ids"), units, kind, PASSES if texts else 0)
         shape = "doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, score double, rest array<binary>"
