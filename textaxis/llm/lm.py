@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textaxis.llm.frequent import most_frequent
-from textaxis.llm.packing import SLICE_BYTES, _encoder
-from textaxis.llm.terms import coded_terms
+from textaxis.llm.packing import _encoder
+from textaxis.llm.terms import SLICE_BYTES, coded_terms
 from textaxis.llm.words import LOWER, SPACES, slices, text_buffer
 from textaxis.session import materialize, release, scratch
 
