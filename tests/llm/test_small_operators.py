@@ -5,9 +5,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from textaxis.llm import decontam, jaccard, licenses, lm, packing, rlz, rules, sharding, tokens, warc
+from textaxis.llm import decontam, jaccard, licenses, lm, packing, rlz, rules, sharding, tokens, warc, words
 from textaxis.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, source string, n long, start string, rid int, shard string"
@@ -389,3 +391,45 @@ def test_odd_rows_and_clashing_columns(spark, name):
     docs = spark.createDataFrame(ODD_ROWS, "doc_id long, text string, source string").selectExpr("*", *clash).repartition(2)
     assert len(run(docs).collect()) == n
     assert run(docs.where("false")).count() == 0
+
+
+def test_python_gets_batches_of_bounded_bytes(spark):
+    from textaxis import session
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    before = spark.conf.get(session._BATCH_BYTES)
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 1600).alias("text"))  # 24 MB
+    with session.scratch(spark):
+        got = session.materialize(texts.mapInArrow(sizes, "n long, size long"), "sizes").collect()
+    assert sum(r["n"] for r in got) == 3000 and max(r["size"] for r in got) < 1.1 * session.BATCH_BYTES
+    assert spark.conf.get(session._BATCH_BYTES) == before
+
+
+def test_a_task_gives_its_free_memory_back_also_when_it_ends_early(monkeypatch):
+    given = []
+    monkeypatch.setattr(words, "give_back", lambda: given.append(1))
+    double = words.lean(lambda batches: (2 * b for b in batches))
+
+    class Batches(list):
+        def __rmul__(self, n):
+            return [n * x for x in self]
+
+    assert list(double(iter([Batches([1]), Batches([2, 3])]))) == [[2], [4, 6]] and len(given) == 1
+    early = double(iter([Batches([1]), Batches([2])]))
+    next(early)
+    early.close()
+    assert len(given) == 2
+
+
+def test_the_encoder_keeps_few_chunks_and_no_long_ones(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 10)
+    path = vocabulary("byte_bpe_50k.json")
+    encoder = packing.ByteEncoder(path)
+    for k in range(5):
+        texts = [f"only{k}x{i} again" for i in range(8)] + ["abcd" * 5000 + " again", None, ""]
+        got = encoder.encode(texts)
+        assert got == [np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, encoder.kind).tobytes() for t in texts]
+        assert len(encoder.known) <= 10 + 8 * 4 + 8 and max(map(len, encoder.known)) <= packing.CACHED_BYTES

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textaxis.llm.words import NOT_ALNUM, mix, word_slices
+from textaxis.llm.words import NOT_ALNUM, lean, mix, word_slices
 from textaxis.session import materialize, scratch
 
 BITMAP = 1 << 25
@@ -222,7 +222,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, percent: int = 50, ind
     items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with scratch(spark) as keep:
-        seeds = materialize(items.mapInArrow(_item_seeds, "item_id long, seed long, item_pos int, words binary"), "seeds")
+        seeds = materialize(items.mapInArrow(lean(_item_seeds), "item_id long, seed long, item_pos int, words binary"), "seeds")
         places = seeds.select(F.shiftrightunsigned("seed", 39).alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)  # at most BITMAP
         bits = np.zeros(BITMAP, np.uint8)
         bits[places] = 1
@@ -230,7 +230,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, percent: int = 50, ind
         index = spark.sparkContext.broadcast(SeedIndex(seeds.toPandas()) if few else None)
         reach = max(1, seeds.agg(F.max(F.octet_length("words"))).first()[0] or 0) // 8 * 3 // 2 + SHAPES[-1][-1]
         shape = "doc_id long, base int, words binary, pos array<int>, seed array<long>"
-        found = texts.mapInArrow(_passages(reach, percent, spark.sparkContext.broadcast(np.packbits(bits, bitorder="little")), index), shape)
+        found = texts.mapInArrow(lean(_passages(reach, percent, spark.sparkContext.broadcast(np.packbits(bits, bitorder="little")), index)), shape)
         found = materialize(found.withColumn("passage", F.monotonically_increasing_id()), "passages")
 
         # Places are brought together by seed on both sides first, so a seed and an item meet once per passage.
@@ -240,7 +240,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, percent: int = 50, ind
         whole = seeds.where("words is not null").select("item_id", F.col("words").alias("item_words"))
         jobs = pairs.join(found.select("passage", "doc_id", "base", "words"), "passage").join(whole, "item_id")
         shape = "doc_id long, item_id long, start_word long, end_word long, item_words long, score double"
-        scored = jobs.select("doc_id", "item_id", "base", "words", "item_words", "hits").mapInArrow(_aligned(percent), shape)
+        scored = jobs.select("doc_id", "item_id", "base", "words", "item_words", "hits").mapInArrow(lean(_aligned(percent)), shape)
         best = scored.groupBy("doc_id", "item_id").agg(
             F.max(F.struct("score", -F.col("start_word"), "end_word", "item_words")).alias("b"),
             F.count_distinct("start_word", "end_word").alias("n_places"))

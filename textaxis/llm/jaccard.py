@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textaxis.llm.frequent import most_frequent
-from textaxis.llm.words import Ranges, mix, word_slices
+from textaxis.llm.words import Ranges, lean, mix, word_slices
 from textaxis.operators.graph import connected_components
 from textaxis.session import materialize, release, scratch
 
@@ -343,7 +343,7 @@ def _candidates(pairs: DataFrame, nodes: DataFrame, t: tuple[int, int]) -> DataF
                      F.when(F.col("node_a") < F.col("node_b"), F.col("nb")).otherwise(F.col("na")).alias("nb"),
                      F.when(F.col("node_a") < F.col("node_b"), F.col("sig_a")).otherwise(F.col("sig_b")).alias("sig_a"),
                      F.when(F.col("node_a") < F.col("node_b"), F.col("sig_b")).otherwise(F.col("sig_a")).alias("sig_b"), "n")
-    return met.mapInArrow(_near(t), "a long, b long, n long, low long, near boolean")
+    return met.mapInArrow(lean(_near(t)), "a long, b long, n long, low long, near boolean")
 
 
 def _compared(pairs: DataFrame, known: DataFrame, nodes: DataFrame, words: int, t: tuple[int, int]) -> DataFrame:
@@ -352,11 +352,11 @@ def _compared(pairs: DataFrame, known: DataFrame, nodes: DataFrame, words: int,
     asked = nodes.join(ids, "node", "left_semi").select(F.col("first").alias("doc_id"), "node", "k1", "k2")
     if asked.count() <= BROADCAST_IDS:
         asked = F.broadcast(asked)
-    sets = known.join(asked, "doc_id").select("node", "k1", "k2", "text").mapInArrow(_full_sets(words), "node long, hashes binary")
+    sets = known.join(asked, "doc_id").select("node", "k1", "k2", "text").mapInArrow(lean(_full_sets(words)), "node long, hashes binary")
     sets = materialize(sets.dropDuplicates(["node"]), "fullsets")
     x = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    links = materialize(pairs.select("a", "b").join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(_compare(t), "a long, b long, apart long, linked boolean"), "compared")
+    links = materialize(pairs.select("a", "b").join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(lean(_compare(t)), "a long, b long, apart long, linked boolean"), "compared")
     release(sets)
     return links
 
@@ -376,7 +376,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, part_
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id is not null")
     with scratch(spark) as keep:
-        found = materialize(docs.mapInArrow(_summaries(words), "kind byte, doc_id long, n long, k1 long, k2 long, sig binary"), "sets")
+        found = materialize(docs.mapInArrow(lean(_summaries(words)), "kind byte, doc_id long, n long, k1 long, k2 long, sig binary"), "sets")
         rows = found.where("kind = 0").select("doc_id", "n", "k1", "k2")
         classes = materialize(
             found.where("kind = 0 and n > 0 and doc_id is not null").groupBy("k1", "k2")
@@ -391,7 +391,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, part_
         tokens = rows.agg(F.sum("n")).first()[0] or 0
         buckets = max(256, int(tokens * (1 - t[0] / t[1])) // BUCKET_TOKENS)
 
-        blobs = known.select("text").mapInArrow(_prefixes(words, t, frequent, buckets), "bucket long, data binary")
+        blobs = known.select("text").mapInArrow(lean(_prefixes(words, t, frequent, buckets)), "bucket long, data binary")
         shape = "list_id long, hub long, id long, n int, pos int, star boolean, split boolean"
         lists = materialize(blobs.groupBy("bucket").applyInArrow(_lists(t), shape), "lists")
         nodes = materialize(classes.join(lists.select(F.col("id").alias("k1")).distinct(), "k1", "left_semi"), "nodes")

@@ -16,6 +16,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textaxis.llm.words import slices, text_buffer
+from textaxis.llm.words import lean, slices, text_buffer
 from textaxis.operators.ranking import keyed_offsets
 from textaxis.session import materialize, scratch
 
@@ -34,9 +35,10 @@ RUNS = 16
 BLOCKS, BOUNDS = 1 << 16, 1 << 22
 #: Windows that a block deals at a time.
 DEALT = 4096
-CACHE = 800_000
+#: Chunks that a worker keeps from one slice to the next, and the most bytes of one.
+CACHE, CACHED_BYTES = 200_000, 256
 #: Bytes of text that are encoded at a time; one longer text is taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: A text is cut where the pattern of the vocabulary always cuts, too: before white space that follows something else, after a
 #: line break or tab alone, and between letters and symbols.
 _BLANKS = " \n\t\r"
@@ -150,24 +152,6 @@ class ByteMerges:
         return ids[order], np.cumsum(np.bincount(rows, minlength=len(sizes)))
 
 
-class _Numbers(dict):
-    """Numbers chunks as they come up and keeps the new ones: one lookup per chunk."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, chunk: bytes) -> int:
-        n = self[chunk] = len(self)
-        self.new.append(chunk)
-        return n
-
-    def forget(self, kept: int) -> None:
-        """Keep the first chunks only."""
-        first = [c for c, n in self.items() if n < kept]
-        self.clear()
-        self.update(zip(first, range(kept), strict=True))
-
-
 class ByteEncoder:
     """A byte-level BPE from a ``tokenizers`` file, with a bounded cache of the chunks between white space."""
 
@@ -179,7 +163,7 @@ class ByteEncoder:
         self.odd = "|".join([f"[{''.join(map(chr, _ODD_SPACE))}]", *special])
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.merges = ByteMerges.read(path)
-        self.known, self.coded = _Numbers(), []
+        self.known: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -283,14 +267,17 @@ class ByteEncoder:
         ends = np.append(starts, len(part))
         chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(part)]).dictionary_encode()
         if len(self.known) > CACHE:  # what came up first is mostly what comes up often
-            self.known.forget(CACHE // 2)
-            del self.coded[CACHE // 2:]
+            self.known = dict(islice(self.known.items(), CACHE // 2))
         names, cuts = text_buffer(chunks.dictionary)
         names, cuts = names.tobytes(), cuts.tolist()
-        numbers = [self.known[names[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        new, self.known.new = self.known.new, []
-        self.coded += self._coded(new)
-        distinct = list(map(self.coded.__getitem__, numbers))
+        named = [names[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        distinct = list(map(self.known.get, named))
+        new = [i for i, ids in enumerate(distinct) if ids is None]
+        for i, ids in zip(new, self._coded([named[i] for i in new]), strict=True):
+            distinct[i] = ids
+            if len(named[i]) <= CACHED_BYTES:
+                self.known[named[i]] = ids
+        del names, named
         ids = np.frombuffer(b"".join(distinct), self.kind)
         size = np.fromiter(map(len, distinct), np.int64, len(distinct)) // self.kind.itemsize
         code = chunks.indices.to_numpy(zero_copy_only=False)
@@ -458,7 +445,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 1024, shares: dict[str,
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     with scratch(spark) as keep:
-        coded = docs.mapInArrow(_encode(vocabulary), "doc_id long, source string, n long, ids binary")
+        coded = docs.mapInArrow(lean(_encode(vocabulary)), "doc_id long, source string, n long, ids binary")
         coded = keep(materialize(coded.withColumn("rid", F.monotonically_increasing_id()), "ids", "zstd"))
         kind = _encoder(vocabulary).kind.str
         by_source = coded.groupBy("source").agg(F.sum("n").alias("n"))
@@ -482,17 +469,19 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 1024, shares: dict[str,
         taken = rounds(held, share, amounts, quantum=quantum)
         bounds = spark.sparkContext.broadcast(np.vstack([np.zeros((1, len(held)), np.int64), np.cumsum(taken, axis=0)]))  # at most BOUNDS
 
-        number = spark.createDataFrame([(x is None, x or "", i) for i, x in enumerate(names)], "__null boolean, __source string, queue int")
+        number = spark.createDataFrame(pa.table(  # of Arrow: no Python worker of its own
+            [pa.array([x is None for x in names], pa.bool_()), pa.array([x or "" for x in names], pa.string()), pa.array(range(len(names)), pa.int32())],
+            ["__null", "__source", "queue"]))
         light = coded.select("source", "n", "rid").join(
             F.broadcast(number), F.col("source").isNull().eqNullSafe(F.col("__null")) & (F.coalesce("source", F.lit("")) == F.col("__source")), "left")
         light = light.select(F.coalesce("queue", F.lit(len(names))).alias("queue"), "n", "rid")
         placed = keyed_offsets(light, ["queue"], ["rid"], "n", out="start", salts=max(1024, rows // 50_000))
         shape = "block long, queue int, start long, n long, rid long"
         pieces = (
-            placed.select("queue", "start", "n", "rid").mapInArrow(_to_blocks(bounds), shape).groupBy("block")
+            placed.select("queue", "start", "n", "rid").mapInArrow(lean(_to_blocks(bounds)), shape).groupBy("block")
             .applyInArrow(_fill(bounds, np.array(amounts, np.int64), per, length, quantum), "rid long, start long, length long, sequence_id long, offset long")
             .groupBy("rid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
         )
         pieces = keep(materialize(pieces, "pieces"))
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return coded.join(pieces, "rid").select("doc_id", "n", "ids", "pieces").mapInArrow(_checked(kind), shape)
+    return coded.join(pieces, "rid").select("doc_id", "n", "ids", "pieces").mapInArrow(lean(_checked(kind)), shape)

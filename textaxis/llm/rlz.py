@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textaxis.llm.words import Ranges, mix, sliding_min, word_slices
+from textaxis.llm.words import Ranges, give_back, lean, mix, sliding_min, word_slices
 from textaxis.session import materialize, release, scratch
 
 U = np.uint64
@@ -176,7 +176,7 @@ def parsed(docs: DataFrame, window: int = 50, anchor: int = 16) -> DataFrame:
     """
     with scratch(docs.sparkSession) as keep:
         shape = "anchor long, block long, doc_id long, tag long, start int, stop int"
-        blocks = materialize(docs.select("doc_id", "tag", "text").mapInArrow(_blocks(window, anchor), shape), "blocks")
+        blocks = materialize(docs.select("doc_id", "tag", "text").mapInArrow(lean(_blocks(window, anchor)), shape), "blocks")
         first = F.min(F.struct("doc_id", "start"))
         index = blocks.groupBy("anchor", "block").agg(first.alias("f"), F.max("doc_id").alias("last"))
         index = materialize(index.select("anchor", "block", F.col("f.doc_id").alias("ref"), F.col("f.start").alias("ref_start"), "last"), "index")
@@ -195,7 +195,7 @@ def parsed(docs: DataFrame, window: int = 50, anchor: int = 16) -> DataFrame:
         if asked.count() <= BROADCAST_IDS:
             texts = texts.join(F.broadcast(asked.select("doc_id")), "doc_id", "left_semi")
         single = materialize(
-            texts.join(asked, "doc_id").mapInArrow(_windows(window, anchor), "anchor long, win long, doc_id long, tag long, start int"), "windows")
+            texts.join(asked, "doc_id").mapInArrow(lean(_windows(window, anchor)), "anchor long, win long, doc_id long, tag long, start int"), "windows")
         seen = single.groupBy("anchor", "win").agg(first.alias("f"), F.max("doc_id").alias("last")).where("last > f.doc_id")
         edge = (
             single.join(seen, ["anchor", "win"]).where("doc_id > f.doc_id")
@@ -203,7 +203,7 @@ def parsed(docs: DataFrame, window: int = 50, anchor: int = 16) -> DataFrame:
         )
         copies = whole.unionByName(edge).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop", "ref", "ref_start")).alias("copies"))
         shape = "doc_id long, tag long, factors array<struct<start int, length int, ref_doc_id long, ref_start int>>"
-        return keep(materialize(copies.mapInArrow(_parsed, shape), "factors"))
+        return keep(materialize(copies.mapInArrow(lean(_parsed), shape), "factors"))
 
 
 def factors(docs: DataFrame, window: int = 50, anchor: int = 16) -> DataFrame:
@@ -270,7 +270,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, anchor: int = 16, keep_t
     tagged = _tagged(docs)
     found = parsed(tagged.where("doc_id is not null"), window, anchor)
     joined = _placed(tagged, found, "tag").select("doc_id", "tag", "text", F.col("__factors").alias("factors"))
-    out = joined.mapInArrow(_cut(keep_text), "doc_id long, tag long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = joined.mapInArrow(lean(_cut(keep_text)), "doc_id long, tag long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if keep_text else out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
@@ -296,6 +296,7 @@ def rewrite(docs: DataFrame, window: int = 50, anchor: int = 16) -> DataFrame:
                 kept += words[at:a]
                 at = b
             out.append(b" ".join(kept + words[at:]).decode())
+        give_back()
         return type(text)(out, dtype=object)
 
     cut_text = F.when(F.col("__factors").isNull(), F.col("text")).otherwise(cut("text", "__factors"))

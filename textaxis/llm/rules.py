@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textaxis.llm.words import give_back
 from textaxis.session import materialize, scratch
 
 _SYMBOLS = "#*$%&|<>"
@@ -144,7 +145,9 @@ def filter_quality(docs: DataFrame, policy: str = "v1") -> DataFrame:
     def counts(text):
         import pandas as pd
 
-        return pd.DataFrame([measure(t) for t in text], columns=list(_COUNTS))
+        out = pd.DataFrame([measure(t) for t in text], columns=list(_COUNTS))
+        give_back()
+        return out
 
     led = docs.withColumn("__m", counts(F.col("text").cast("string"))).withColumn("__failed", failure_bits("__m"))
     return led.where(passes(F.col("__failed"), "base") & passes(F.col("__failed"), policy)).select(*docs.columns)

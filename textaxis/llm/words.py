@@ -7,7 +7,9 @@ with a finishing mix; the seeds are fixed, so every task and every attempt gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,30 @@ _PLACE, *_BASES = (int(x) | 1 for x in _rng.integers(2**40, 2**63, 4, dtype=U))
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def give_back() -> None:
+    """Free memory of this process goes back to the system, where its allocators can do that."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # other systems than glibc's
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, a function of ``mapInArrow``, that leaves no free memory in its worker: Spark keeps workers for later tasks,
+    so what one stage freed would stand beside all that the next ones take."""
+
+    def leaving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+        try:
+            for out in run(batches):
+                yield out
+                del out
+                pool.release_unused()
+        finally:
+            give_back()
+
+    return leaving
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose every output bit depends on every input bit."""
     x = x ^ (x >> U(30))

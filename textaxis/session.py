@@ -16,6 +16,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch for Python (Spark's default is 64 MB, which each task holds in the JVM and in its worker).
+_BATCH_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: Paths of the tables of the open scopes, innermost last.
 _scopes: contextvars.ContextVar[tuple[set[str], ...]] = contextvars.ContextVar("scopes", default=())
 
@@ -58,7 +60,7 @@ def materialize(df: DataFrame, name: str, codec: str = "snappy", by: list[str] |
 
     ``codec`` is Parquet's; tables of text or ids are worth a denser one than the default. ``by``: columns whose values have a
     folder each. The shuffles of the write
-    are freed as soon as it ends; the files go with the innermost ``scratch`` scope, at the latest with the driver's JVM.
+    are freed as soon as it ends, and its Python functions get batches of ``BATCH_BYTES``; the files go with the innermost ``scratch`` scope, at the latest with the driver's JVM.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -66,12 +68,14 @@ def materialize(df: DataFrame, name: str, codec: str = "snappy", by: list[str] |
     fs.deleteOnExit(target)
     if scopes := _scopes.get():
         scopes[-1].add(path)
-    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    before = {_FREE_SHUFFLES: spark.conf.get(_FREE_SHUFFLES, "false"), _BATCH_BYTES: spark.conf.get(_BATCH_BYTES)}
     spark.conf.set(_FREE_SHUFFLES, "true")
+    spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
     try:
         df.write.option("compression", codec).parquet(path, partitionBy=by)
     finally:
-        spark.conf.set(_FREE_SHUFFLES, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
